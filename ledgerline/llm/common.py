@@ -12,6 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def null_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same names where null equals null; the right side's keys go."""
+    for k in on:
+        right = right.withColumnRenamed(k, f"__{k}")
+    match = F.lit(True)
+    for k in on:
+        match = match & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return left.join(right, match, how).drop(*[f"__{k}" for k in on])
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder.
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import secrets
+from ledgerline.llm import mixing, secrets
 from ledgerline.llm.common import table
 
 QUERIES = {
     "op2_secrets": lambda spark, d: secrets.op2_secrets(table(spark, d, "documents")),
+    "op6_mix": lambda spark, d: mixing.op6_mix(table(spark, d, "documents")),
 }
 
 ORACLES = {
     "op2_secrets": secrets.oracle(),
+    "op6_mix": mixing.oracle(),
 }
