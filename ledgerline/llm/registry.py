@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import mixing, secrets
+from ledgerline.llm import langid, mixing, secrets, toxicity
 from ledgerline.llm.common import table
 
 QUERIES = {
+    "op1_toxicity": lambda spark, d: toxicity.op1_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op2_secrets": lambda spark, d: secrets.op2_secrets(table(spark, d, "documents")),
+    "op3_language": lambda spark, d: langid.op3_language(table(spark, d, "documents")),
     "op6_mix": lambda spark, d: mixing.op6_mix(table(spark, d, "documents")),
 }
 
