@@ -12,8 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def null_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join on columns of the same names where null equals null; the right side's keys go."""
+def null_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int = 1) -> DataFrame:
+    """Join on columns of the same names where null equals null; the right side's keys go.
+
+    With ``salts``, for a right side of a row or so a key, each of its rows is sent that many times and the
+    left rows of a key are dealt over as many tasks, by a digest of the whole row.
+    """
+    if salts > 1:
+        left = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+        right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return null_join(left, right, [*on, "__salt"], how).drop("__salt")
     for k in on:
         right = right.withColumnRenamed(k, f"__{k}")
     match = F.lit(True)

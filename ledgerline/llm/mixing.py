@@ -31,6 +31,7 @@ from ledgerline.llm.common import materialise, null_join
 WORD = r"[^\x20\x09-\x0D]+"
 CYCLE = (1, 2, 3)
 BINS = 4096
+SALTS = 64
 
 
 def targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, cap: float = 3.0) -> DataFrame:
@@ -88,8 +89,8 @@ def mix(docs: DataFrame, seed: int = 7, cycle: tuple[int, ...] = CYCLE, cap: int
     of_k = level.groupBy("source").agg(F.max_by("k", "b").alias("k"))
     plan = null_join(of, of_k, ["source"], "left")
 
-    # a row a source on the right: Spark broadcasts it if it is small, and splits a hot source if it isn't
-    drawn = null_join(rows, plan, ["source"])
+    # a row a source on the right; the rows of a hot source are dealt over many tasks
+    drawn = null_join(rows, plan, ["source"], salts=SALTS)
     copies = F.when(F.col("size") == 0, F.lit(0.0)).otherwise(F.coalesce(F.least(F.lit(float(cap)), F.col("k") * bits), F.lit(float(cap))))
     drawn = drawn.withColumn("e", copies).withColumn("sure", F.floor("e").cast("int")).withColumn("p", F.col("e") - F.col("sure"))
     u = unit_draw(_key(), seed)
@@ -103,14 +104,14 @@ def mix(docs: DataFrame, seed: int = 7, cycle: tuple[int, ...] = CYCLE, cap: int
     cut = _cut(fine.withColumn("before", F.coalesce(F.sum("z").over(run), F.lit(0))), room, "coarse")
 
     inner = drawn.where("q is not null").withColumn("coarse", F.floor(F.col("bin") / BINS))
-    inner = null_join(inner, cut.withColumnRenamed("at", "coarse"), ["source", "coarse"]).groupBy("source", "bin").agg(F.sum("size").alias("z"), F.first("before").alias("base"))
+    inner = null_join(inner, cut.withColumnRenamed("at", "coarse"), ["source", "coarse"], salts=SALTS).groupBy("source", "bin").agg(F.sum("size").alias("z"), F.first("before").alias("base"))
     run = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     last = _cut(inner.withColumn("before", F.col("base") + F.coalesce(F.sum("z").over(run), F.lit(0))), room, "bin")
 
     # a source without a last bin takes every extra copy (its room is not less than all of them) or none at all
     all_or_none = F.when(F.col("room") > 0, F.lit(BINS * BINS + 1)).otherwise(F.lit(-1))
     ends = null_join(room, last, ["source"], "left").withColumn("at", F.coalesce("at", all_or_none).cast("long"))
-    placed = null_join(drawn, ends, ["source"])
+    placed = null_join(drawn, ends, ["source"], salts=SALTS)
     edge = placed.where("bin = at")
     inside = Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("so_far", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))

@@ -155,8 +155,8 @@ class Scanner:
         return [np.log1p(exact), strongest, np.log1p(misspelled), np.log1p(quoted), np.log1p(addressed), np.log1p(1000 * (exact + misspelled) / (20 + len(words)))]
 
 
-def learn_lexicon(rows: DataFrame, support: int = 4, precision: float = 0.9, terms: int = 1000) -> dict[str, float]:
-    """Weights of the words of ``rows(text, toxic)`` that stand mostly in toxic texts: smoothed log odds."""
+def learn_lexicon(rows: DataFrame, support: int = 3, precision: float = 0.9, terms: int = 1000, ceiling: float = 4.0) -> dict[str, float]:
+    """Weights of the words of ``rows(text, toxic)`` that stand mostly in toxic texts: smoothed log odds up to a ceiling, so that a term counts by how sure it is, not by how common."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list[int]] = {}
@@ -198,10 +198,10 @@ def learn_lexicon(rows: DataFrame, support: int = 4, precision: float = 0.9, ter
         t, c = whole[w]["toxic"], n_clean.get(w, 0)
         if t >= precision * (t + c):
             out[w] = float(np.log((t + 0.5) / (c + 0.5)) + shift)
-    return {w: v for w, v in out.items() if v > 0}
+    return {w: min(v, ceiling) for w, v in out.items() if v > 0}
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Logistic regression by Newton's steps; the last weight is the constant."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -228,7 +228,7 @@ def _features(rows: DataFrame, lexicon: dict[str, float], carried: str) -> DataF
     return rows.select(carried, "text").mapInArrow(scan, f"{carried} {kind}, x array<double>")
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 30_000) -> tuple[dict[str, float], np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 50_000) -> tuple[dict[str, float], np.ndarray]:
     """(lexicon, weights of the regression) from the labels' rows that aren't held out."""
     marked = labels.where("toxic is not null").select("doc_id", "toxic").where(~held_out(3, 1)).where("doc_id is not null")
     n = marked.count()
