@@ -72,3 +72,13 @@ def components(edges: DataFrame) -> DataFrame:
         live = materialise(live.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
         if live.isEmpty():
             return labels
+
+
+_kept: dict = {}
+
+
+def per_worker(key, build):
+    """What ``build`` makes, made once in each Python worker for a key."""
+    if key not in _kept:
+        _kept[key] = build()
+    return _kept[key]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import langid, mixing, secrets, toxicity
+from ledgerline.llm import langid, mixing, piece_codec, secrets, token_counts, toxicity
 from ledgerline.llm.common import table
 
 QUERIES = {
@@ -10,6 +10,8 @@ QUERIES = {
     "op2_secrets": lambda spark, d: secrets.op2_secrets(table(spark, d, "documents")),
     "op3_language": lambda spark, d: langid.op3_language(table(spark, d, "documents")),
     "op6_mix": lambda spark, d: mixing.op6_mix(table(spark, d, "documents")),
+    "op9_token_counts": lambda spark, d: token_counts.op9_token_counts(table(spark, d, "documents")),
+    "op10_pieces": lambda spark, d: piece_codec.op10_pieces(table(spark, d, "documents")),
 }
 
 ORACLES = {
