@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import langid, mixing, piece_codec, secrets, token_counts, toxicity
+from ledgerline.llm import langid, mixing, near_dup, piece_codec, secrets, token_counts, toxicity, vectors
 from ledgerline.llm.common import table
 
 QUERIES = {
     "op1_toxicity": lambda spark, d: toxicity.op1_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op2_secrets": lambda spark, d: secrets.op2_secrets(table(spark, d, "documents")),
     "op3_language": lambda spark, d: langid.op3_language(table(spark, d, "documents")),
+    "op4_near_duplicates": lambda spark, d: near_dup.near_duplicates(table(spark, d, "documents")),
+    "op5_embedding_dups": lambda spark, d: vectors.op5_embedding_dups(table(spark, d, "embeddings")),
     "op6_mix": lambda spark, d: mixing.op6_mix(table(spark, d, "documents")),
     "op9_token_counts": lambda spark, d: token_counts.op9_token_counts(table(spark, d, "documents")),
     "op10_pieces": lambda spark, d: piece_codec.op10_pieces(table(spark, d, "documents")),
