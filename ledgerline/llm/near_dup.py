@@ -5,8 +5,8 @@ Texts are lower-cased words between white space; a shingle is five of them (a sh
 1. Equal word sequences are one text: only its digest goes on, so a group of copies costs one row.
 2. ProbMinHash: every shingle, weighing 1 + ln(occurrences), is a Poisson process of arrivals with its weight
    as rate, each arrival at a random slot of the signature; a slot keeps its first arrival. All processes
-   advance together to a common time, which is doubled only if a slot is still empty or could still be
-   reached earlier, so most shingles stop after their first arrival. Two slots agree with the probability
+   advance together to a common time, which is put off only while a slot is still empty, so most shingles stop
+   after their first arrivals. Two slots agree with the probability
    Jaccard similarity of the weighted shingle sets.
 3. Banding: ``BANDS`` bands of ``ROWS`` slots; texts that share a band are candidates. A bucket is compared in
    blocks of at most about ``BLOCK`` texts against each other, by signature, in one task for each pair of blocks; of the pairs that agree in
@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import components, materialise
+from ledgerline.llm.langid import blocks
 
 WIDTH = 5
 BANDS, ROWS = 24, 5
@@ -42,6 +43,8 @@ NEAR = 0.66
 BLOCK = 128
 #: A worker keeps the hashes of at most so many words.
 REMEMBERED = 500_000
+#: Letters of the texts that are signed together.
+TOGETHER = 200_000
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _words: dict[str, int] = {}
@@ -53,17 +56,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(words: list[str], width: int = WIDTH) -> np.ndarray:
-    """64-bit hashes of all shingles, repeats included."""
+def word_hashes(words: list[str]) -> np.ndarray:
     if len(_words) > REMEMBERED:
         _words.clear()
-    h = []
-    for w in words:
-        v = _words.get(w)
-        if v is None:
-            v = _words[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        h.append(v)
-    a = np.array(h, np.uint64)
+    h = list(map(_words.get, words))
+    if None in h:
+        for i, v in enumerate(h):
+            if v is None:
+                h[i] = _words[words[i]] = int.from_bytes(hashlib.blake2b(words[i].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return np.array(h, np.uint64)
+
+
+def shingles(words: list[str], width: int = WIDTH) -> np.ndarray:
+    """64-bit hashes of all shingles, repeats included."""
+    a = word_hashes(words)
     n = len(a) - width + 1
     if n < 1:
         a = np.concatenate([a, np.zeros(width - len(a), np.uint64)])
@@ -74,41 +80,48 @@ def shingles(words: list[str], width: int = WIDTH) -> np.ndarray:
     return out
 
 
-def prob_minhash(items: np.ndarray, weights: np.ndarray, slots: int = SLOTS) -> np.ndarray:
-    """Signature (64-bit) of distinct items under weights."""
-    best = np.full(slots, np.inf)
-    who = np.zeros(slots, np.uint64)
+def prob_minhash(items: np.ndarray, weights: np.ndarray, texts: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+    """Signatures (text, slot), 64-bit, of many weighted sets; ``texts`` numbers the set of each item from 0, without gaps."""
+    n = int(texts.max()) + 1
+    best = np.full(n * slots, np.inf)
+    who = np.zeros(n * slots, np.uint64)
     time = np.zeros(len(items))
-    live = np.arange(len(items))
-    state = items ^ _C[4]
-    limit = 1.1 * slots * (np.log(slots) + 1.5) / weights.sum()
-    ahead = np.empty(len(items))
+    state = mix64((items ^ _C[4]) + _C[0])
+    # about so long until every slot of a set has had an arrival
+    limit = slots * (np.log(slots) + 1.5) / np.bincount(texts, weights, n)
 
-    def advance(at: np.ndarray) -> None:
-        state[at] = mix64(state[at] + _C[0])
-        ahead[at] = time[at] - np.log(((state[at] >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)) / weights[at]
+    def arrival(at: np.ndarray) -> np.ndarray:
+        return time[at] - np.log(((state[at] >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)) / weights[at]
 
-    advance(live)
+    ahead = arrival(np.arange(len(items)))
+    waiting = np.arange(len(items))
     while True:
-        live = np.flatnonzero(ahead <= limit)
+        live = waiting[ahead[waiting] <= limit[texts[waiting]]]
         while len(live):
             t = ahead[live]
-            slot = (mix64(state[live] ^ _C[3]) % np.uint64(slots)).astype(np.int64)
-            order = np.lexsort((items[live], -t))  # the earliest comes last and stays
-            better = order[t[order] <= best[slot[order]]]
-            s = slot[better]
-            best[s], who[s] = t[better], items[live][better]
+            slot = texts[live] * slots + (mix64(state[live] ^ _C[3]) % np.uint64(slots)).astype(np.int64)
+            sooner = np.flatnonzero(t < best[slot])
+            sooner = sooner[np.argsort(-t[sooner], kind="stable")]  # the earliest comes last and stays
+            s = slot[sooner]
+            best[s], who[s] = t[sooner], items[live[sooner]]
             time[live] = t
-            advance(live)
-            live = live[ahead[live] <= limit]
-        if np.isfinite(best).all():
-            return who
-        limit *= 2
+            state[live] = mix64(state[live] + _C[0])
+            ahead[live] = t = arrival(live)
+            live = live[t <= limit[texts[live]]]
+        last = best.reshape(n, slots).max(axis=1)
+        late = ~np.isfinite(last)
+        if not late.any():
+            return who.reshape(n, slots)
+        limit[late] *= 1.3
+        waiting = waiting[late[texts[waiting]]]
 
 
-def signature(words: list[str]) -> tuple[np.ndarray, int]:
-    items, n = np.unique(shingles(words), return_counts=True)
-    return prob_minhash(items, 1 + np.log(n)), len(items)
+def signatures(texts: list[list[str]]) -> tuple[np.ndarray, list[int]]:
+    """(signatures, number of distinct shingles) of texts given as words."""
+    sets = [np.unique(shingles(words), return_counts=True) for words in texts]
+    sizes = [len(x) for x, _ in sets]
+    weights = 1 + np.log(np.concatenate([c for _, c in sets]))
+    return prob_minhash(np.concatenate([x for x, _ in sets]), weights, np.repeat(np.arange(len(sets)), sizes)), sizes
 
 
 def digest(words: list[str]) -> bytes:
@@ -121,26 +134,23 @@ def sign(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band = np.arange(BANDS, dtype=np.uint64) * _C[2]
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                rows: list[tuple] = []
-                last: dict[bytes, tuple] = {}
-                for text in batch.column(1).to_pylist():
-                    words = (text or "").lower().split()
-                    if not words:
-                        rows.append((None, None, None, None))
-                        continue
-                    key = digest(words)
-                    if key not in last:
-                        sig, n = signature(words)
-                        h = band.copy()
-                        for r in range(ROWS):
-                            h = mix64(h * _C[3] + sig[r::ROWS])
-                        last[key] = (key, n, (sig & np.uint64(255)).astype(np.uint8).tobytes(), h.view(np.int64))
-                    rows.append(last[key])
-                d, n, s, b = zip(*rows)
+            texts = whole.column(1).to_pylist()
+            for a, b in blocks(texts, TOGETHER):
+                words = [(t or "").lower().split() for t in texts[a:b]]
+                keys = [digest(w) if w else None for w in words]
+                distinct = {k: w for k, w in zip(keys, words) if k is not None}
+                made: dict[bytes | None, tuple] = {None: (None, None, None)}
+                if distinct:
+                    sigs, sizes = signatures(list(distinct.values()))
+                    h = np.tile(band, (len(sigs), 1))
+                    for r in range(ROWS):
+                        h = mix64(h * _C[3] + sigs[:, r::ROWS])
+                    small = (sigs & np.uint64(255)).astype(np.uint8)
+                    made.update({k: (n, small[x].tobytes(), h[x].view(np.int64)) for x, (k, n) in enumerate(zip(distinct, sizes))})
+                n, s, bands = zip(*[made[k] for k in keys])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(d, pa.binary()), pa.array(n, pa.int64()), pa.array(s, pa.binary()), pa.array(b, pa.list_(pa.int64()))], ["doc_id", "digest", "n", "sig", "bands"]
+                    [whole.column(0).slice(a, b - a), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(s, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    ["doc_id", "digest", "n", "sig", "bands"],
                 )
 
     kind = dict(docs.dtypes)["doc_id"]
