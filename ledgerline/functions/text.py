@@ -28,9 +28,13 @@ def _cut(w: str, n: int) -> str:
 
 def fold_spelling_sql(w: str) -> str:
     """One spelling of a lower-case word: the word map, then -ise to -ize, then -our to -or, then one form for the -ize family."""
+    words = " ".join(f"when {w} = '{a}' then '{b}'" for a, b in rules.SPELLINGS.items())
+    return f"case {words} else {fold_suffix_sql(w)} end"
+
+
+def fold_suffix_sql(w: str) -> str:
     keep = quoted(rules.KEEP_ISE)
     cases = [f"when {w} in ({keep}) then {w}"]
-    cases += [f"when {w} = '{a}' then '{b}'" for a, b in rules.SPELLINGS.items()]
     for a, b in rules.ISE_SUFFIXES:
         root = _cut(w, len(a))
         cases.append(f"when {_ends(w, a)} and length({w}) > {len(a) + 1} then case when concat({root}, 'ise') in ({keep}) or concat({root}, 'se') in ({keep}) then {w} else concat({root}, '{b}') end")
@@ -75,8 +79,10 @@ def tokens(text: Column) -> Column:
 def with_stem(vocabulary: DataFrame, token: str = "token", stem: str = "stem") -> DataFrame:
     """``vocabulary`` with the stem of each token. Each step is a function of one bound value, so the expression grows with the steps, not with their powers."""
     value = f"array(`{token}`)"
+    spelled = ", ".join(f"'{a}', '{b}'" for a, b in rules.SPELLINGS.items())
     for step in STEPS:
-        value = f"transform({value}, w -> {step('w')})"
+        body = step("w") if step is not fold_spelling_sql else f"coalesce(element_at(map({spelled}), w), {fold_suffix_sql('w')})"
+        value = f"transform({value}, w -> {body})"
     return vocabulary.withColumn(stem, F.expr(f"get({value}, 0)"))
 
 

@@ -1,6 +1,6 @@
 """Topical search in batch: many queries over many controls, scored term by term with reasons.
 
-``build_index`` gives three tables: ``postings(uid, stem, tf_body, tf_title, tf_section)``, ``doc_stats(uid, length)`` and
+``build_index`` gives three tables: ``postings(uid, stem, tf_body, tf_title, tf_section)``, ``doc_stats(uid, length)`` (both written once, as any index is) and
 ``stem_stats(stem, df, idf)``. Everything after it is joins on stems and windows by query; the query side is
 small, so Spark may broadcast it, and nothing is ranked across queries.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import rules
 from ledgerline.functions.text import tokens, with_stem
+from ledgerline.operators.common import materialise
 
 
 @dataclass
@@ -39,8 +40,9 @@ def build_index(controls: DataFrame) -> Index:
     counted = token_counts(controls)
     stems = counted.join(vocabulary(counted), "token")
     of = lambda f: F.sum(F.when(F.col("field") == f, F.col("n")).otherwise(0)).alias(f"tf_{f}")
-    postings = stems.groupBy("uid", "stem").agg(of("body"), of("title"), of("section"))
+    postings = materialise(stems.groupBy("uid", "stem").agg(of("body"), of("title"), of("section")))
     doc_stats = postings.groupBy("uid").agg(F.sum(F.col("tf_body") + F.col("tf_title") + F.col("tf_section")).alias("length"))
+    doc_stats = materialise(doc_stats)
     totals = doc_stats.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("average_length"))
     df = postings.groupBy("stem").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -77,7 +79,7 @@ def query_terms(queries: DataFrame, index: Index, aliases: DataFrame | None = No
     weighed = weighed.withColumn("form_weight", F.min("w").over(per_form)).withColumn("form_size", F.count(F.lit(1)).over(per_form))
     weighed = weighed.withColumn("weight", F.max("form_weight").over(Window.partitionBy("query_id", "term")))
     place = F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.round("weight", 9).desc(), "term"))
-    return weighed.withColumn("place", place).where(F.col("place") <= most).select("query_id", "term", "label", "form", "form_size", "stem", "weight")
+    return materialise(weighed.withColumn("place", place).where(F.col("place") <= most)).select("query_id", "term", "label", "form", "form_size", "stem", "weight")
 
 
 def saturate(tf: Column, length: Column, average: Column) -> Column:
@@ -117,7 +119,7 @@ def search(queries: DataFrame, controls: DataFrame, frameworks: DataFrame, index
     else:
         found = found.withColumn("conceptual", F.lit(0.0))
     found = found.withColumn("subject", F.greatest("literal", rules.CONCEPT * F.col("conceptual")))
-    found = found.where((F.col("conceptual") > 0) | (F.col("n_matched") >= 2) | (F.round("coverage", 9) >= rules.SOLO))
+    found = materialise(found.where((F.col("conceptual") > 0) | (F.col("n_matched") >= 2) | (F.round("coverage", 9) >= rules.SOLO)))
     phrases = phrase_hits(queries, controls, found.where("n_matched = n_terms and n_terms > 1"))
     found = found.join(phrases, ["query_id", "uid"], "left").join(controls.select("uid", "framework_key", "structural"), "uid").join(frameworks.select("framework_key", "tier"), "framework_key", "left")
     nudge = F.coalesce(F.get(F.array(*[F.lit(rules.TIER_NUDGE[t]) for t in range(1, 6)]), F.col("tier") - 1), F.lit(0.0))
