@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.near_dup import sorted_groups
-from ledgerline.llm.vectors import sample_of, to_matrix, unit, usual_length
+from ledgerline.llm.vectors import in_slices, sample_of, to_matrix, unit, usual_length
 
 BLOCK = 2048
 NEIGHBOURS = 10
@@ -145,7 +145,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, parts: int = 32, pr
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, ids, stored = None, None, None
-        for g in in_groups_sliced(batches):
+        for g in in_slices(batches):
             at = (g.column(0)[0].as_py(), g.column(1)[0].as_py())
             asks = np.asarray(g.column(3).to_pylist(), bool)
             m = np.frombuffer(b"".join(g.column(5).to_pylist()), np.float64).reshape(g.num_rows, -1)
@@ -163,18 +163,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, parts: int = 32, pr
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def in_groups_sliced(batches: Iterator[pa.RecordBatch], most: int = 2048) -> Iterator[pa.RecordBatch]:
-    """Batches cut where part or block changes and, inside a group, before they grow beyond ``most`` rows."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        part, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        cuts = np.flatnonzero((part[1:] != part[:-1]) | (block[1:] != block[:-1])) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-            for s in range(a, b, most):
-                yield batch.slice(s, min(most, b - s))
-
-
 def best_of(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int) -> pa.RecordBatch:
     """The best ``k`` of each query. Products by matrix find what is near; what can be among the best is scored one by one."""
     qn, mn = np.sqrt((q * q).sum(axis=1)), np.sqrt((m * m).sum(axis=1))

@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import components, materialise
-from ledgerline.llm.near_dup import blocked, forest, in_groups, sorted_groups
+from ledgerline.llm.near_dup import forest, sorted_groups
 
-BLOCK = 512
+BLOCK = 2048
+#: Rows that are multiplied with a block at once.
+STRIP = 512
 
 
 def usual_length(vectors: DataFrame) -> int:
@@ -60,6 +62,18 @@ def sample_of(vectors: DataFrame, dim: int, bound: int, total: int) -> np.ndarra
     return unit(m[ok])
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], most: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by their first two columns, cut where one of them changes and before they grow beyond ``most`` rows."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = np.flatnonzero((part[1:] != part[:-1]) | (block[1:] != block[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            for s in range(a, b, most):
+                yield batch.slice(s, min(most, b - s))
+
+
 def spherical_kmeans(u: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
     """Unit centroids; an empty cell takes the vector worst served."""
     rng = np.random.default_rng(seed)
@@ -76,15 +90,15 @@ def spherical_kmeans(u: np.ndarray, k: int, rounds: int = 12, seed: int = 3) ->
     return c
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.95, per_cell: int = 500, max_cells: int = 1024, sample: int = 20_000) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.95, per_cell: int = 1000, max_cells: int = 1024, sample: int = 20_000) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors(vec_id, embedding)``.
 
     Equal vectors are one vector with a count. Spherical k-means on a bounded sample gives the cells (one for
     each ``per_cell`` rows, ``max_cells`` at most); every vector goes to its nearest centroid's cell and, as a
     guest, to each other cell whose border is nearer than half the chord of the threshold. Of two vectors
-    nearer than that chord one is then always a guest in the other's cell, so no link is missed. Inside a cell
-    blocks of about 512 vectors are multiplied with each other, a task for each pair of blocks, and give counts of
-    links and a spanning forest, not the links. The smallest vec_id of a component is kept.
+    nearer than that chord one is then always a guest in the other's cell, so no link is missed. A cell's own
+    vectors lie in blocks of about 2048; guests, and those of later blocks, pass by each block in strips and give
+    counts of links and a spanning forest, not the links: any number may share a cell. The smallest vec_id of a component is kept.
 
     Defined results: vectors that take no part (see above) have no link, are their own component and are kept;
     repeated rows are other vectors at cosine 1; a null vec_id comes last in its component.
@@ -133,41 +147,51 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, per_cell: int = 50
                     ["cell", "home", "cells", "digest", "copies", "u"],
                 )
 
-    sentout = reps.select("digest", "copies", "embedding").mapInArrow(assign, "cell int, home int, cells array<int>, digest binary, copies long, u binary")
-    groups = sorted_groups(blocked(materialise(sentout), "cell", "digest", BLOCK).select("cell", "i", "j", "own", "home", "cells", "digest", "copies", "u"), ["cell", "i", "j"], [])
+    placed = reps.select("digest", "copies", "embedding").mapInArrow(assign, "cell int, home int, cells array<int>, digest binary, copies long, u binary")
+    # a cell's residents lie in blocks; its guests, and the residents of later blocks, visit each block
+    homes = placed.where("cell = home").groupBy(F.col("cell").alias("__cell")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = placed.join(F.broadcast(homes), F.col("cell") == F.col("__cell"))  # a row a cell, max_cells at most
+    placed = placed.withColumn("own", F.when(F.col("cell") == F.col("home"), F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")))
+    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("own", F.col("blocks") - 1))))
+    placed = placed.withColumn("visits", F.coalesce(F.col("own") != F.col("block"), F.lit(True)))
+    groups = sorted_groups(placed.select("cell", "block", "visits", "home", "cells", "digest", "copies", "u"), ["cell", "block"], ["visits"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in in_groups(batches, 3):
-            if g.num_rows < 2:
-                continue
-            cell, i, j = (g.column(x)[0].as_py() for x in range(3))
-            own, home, copies = (g.column(x).to_numpy() for x in ("own", "home", "copies"))
-            left = np.flatnonzero(own == i)
-            right = left if i == j else np.flatnonzero(own == j)
-            if not len(left) or not len(right):
-                continue
-            keys = g.column("digest").to_pylist()
-            u = np.frombuffer(b"".join(g.column("u").to_pylist()), np.float64).reshape(len(keys), -1)
-            linked = u[left] @ u[right].T >= cosine
-            if i == j:
-                linked = np.triu(linked, 1)
-            if not linked.any():
-                continue
-            linked &= (home[left] == cell)[:, None] | (home[right] == cell)[None, :]
-            # two vectors that meet in both their cells count in the one with the smaller number
-            cells = [set(x) for x in g.column("cells").to_pylist()]
-            for c in np.unique(home[home < cell]):
-                there = np.array([h == cell and int(c) in x for h, x in zip(home, cells)])
-                linked &= ~((home[left] == c)[:, None] & there[right][None, :]) & ~(there[left][:, None] & (home[right] == c)[None, :])
-            x, y = np.nonzero(linked)
-            n = np.zeros(len(keys), np.int64)
-            n[left] += linked @ copies[right]
-            n[right] += linked.T @ copies[left]
-            some = np.flatnonzero(n)
-            tree = forest(len(keys), left[x], right[y])
-            a = [keys[z] for z in some] + [keys[p] for p, _ in tree]
-            b = [None] * len(some) + [keys[q] for _, q in tree]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n[some].tolist() + [0] * len(tree), pa.int64())], ["a", "b", "n"])
+        held, lived = None, None
+        for g in in_slices(batches, STRIP):
+            at = (g.column(0)[0].as_py(), g.column(1)[0].as_py())
+            now = {
+                "keys": np.array(g.column("digest").to_pylist(), object), "home": g.column("home").to_numpy(), "copies": g.column("copies").to_numpy(),
+                "u": np.frombuffer(b"".join(g.column("u").to_pylist()), np.float64).reshape(g.num_rows, -1), "cells": np.array([frozenset(x) for x in g.column("cells").to_pylist()], object),
+            }
+            visits = np.asarray(g.column("visits").to_pylist(), bool)
+            if at != held:
+                held, lived = at, {k: v[:0] for k, v in now.items()}
+            before = len(lived["keys"])
+            lived = {k: np.concatenate([lived[k], v[~visits]]) for k, v in now.items()}
+            for these in (~visits, visits):
+                if not these.any() or not len(lived["keys"]):
+                    continue
+                linked = now["u"][these] @ lived["u"].T >= cosine
+                if not visits[these].any():  # residents that came now: with those before them, each pair once
+                    linked &= np.arange(len(lived["keys"]))[None, :] < (before + np.arange(these.sum()))[:, None]
+                if not linked.any():
+                    continue
+                # two vectors that meet in both their cells count in the one with the smaller number
+                home = now["home"][these]
+                for c in np.unique(home[home < at[0]]):
+                    both = np.array([int(c) in x for x in lived["cells"]], bool)
+                    linked &= ~((home == c)[:, None] & both[None, :])
+                x, y = np.nonzero(linked)
+                a, b = linked @ lived["copies"], linked.T @ now["copies"][these]
+                names = np.concatenate([now["keys"][these], lived["keys"]])
+                n = np.concatenate([a, b])
+                some = np.flatnonzero(n)
+                tree = forest(len(names), x, y + len(a))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[z] for z in some] + [names[p] for p, _ in tree], pa.binary()), pa.array([None] * len(some) + [names[q] for _, q in tree], pa.binary()), pa.array(n[some].tolist() + [0] * len(tree), pa.int64())],
+                    ["a", "b", "n"],
+                )
 
     found = materialise(groups.mapInArrow(compare, "a binary, b binary, n long"))
     counts = found.where("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("n").alias("n"))
