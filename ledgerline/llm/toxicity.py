@@ -20,6 +20,7 @@ kinds every score is 0.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -28,10 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import per_worker
 from ledgerline.llm.langid import held_out
 
 WORD = re.compile(r"\w+")
 WINDOW = 5
+#: Letters each side in which the window's words and the marks of quotation are looked for.
+REACH = 60
 #: A worker forgets the words it has looked up beyond this number; it looks them up anew when they return.
 REMEMBERED = 400_000
 FEATURES = ("exact", "strongest", "misspelled", "quoted", "addressed", "density")
@@ -46,27 +50,37 @@ ADDRESSING = frozenset("you your yours youre u ur du dich dir dein deine ihr euc
 class Lexicon:
     """A trie of terms with weights, walked together with the automaton of a word."""
 
-    def __init__(self, weights: dict[str, float], errors: int = 1, least: int = 5):
+    def __init__(self, weights: dict[str, float], errors: int = 1, least: int = 6):
         self.weights, self.errors, self.least = weights, errors, least
         self.root: dict = {}
         self.longest = max(map(len, weights), default=0)
-        self.heads: set[str] = set()
-        self.tails: set[str] = set()
+        #: halves of terms, with the lengths of the words that may hold them
+        self.heads: dict[str, set[int]] = {}
+        self.tails: dict[str, set[int]] = {}
         for term in weights:
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = term
-            if len(term) >= least:  # one edit leaves one half of a term whole
-                self.heads.add(term[: len(term) // 2])
-                self.tails.add(term[len(term) // 2 :])
+            if len(term) >= least:
+                lengths = range(len(term) - errors, len(term) + errors + 1)
+                self.heads.setdefault(term[: len(term) // 2], set()).update(lengths)
+                self.tails.setdefault(term[len(term) // 2 :], set()).update(lengths)
         self.head_sizes = sorted({len(x) for x in self.heads})
         self.tail_sizes = sorted({len(x) for x in self.tails})
 
     def maybe(self, word: str) -> bool:
+        """Whether the walk could find something: a single edit leaves one half of a term whole."""
         if self.errors > 1:
             return True
-        return any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes)
+        n, heads, tails = len(word), self.heads, self.tails
+        for k in self.head_sizes:
+            if word[:k] in heads and n in heads[word[:k]]:
+                return True
+        for k in self.tail_sizes:
+            if word[-k:] in tails and n in tails[word[-k:]]:
+                return True
+        return False
 
     def find(self, word: str) -> tuple[str, int] | None:
         """The nearest term within the edits (at equal distance the heavier, then the first), or None."""
@@ -113,7 +127,8 @@ class Scanner:
     def features(self, text: str | None) -> list[float]:
         if not text:
             return [0.0] * len(FEATURES)
-        words = WORD.findall(text.lower())
+        low = text.lower()
+        words = WORD.findall(low)
         distinct = set(words)
         for w in distinct - self.seen:
             if got := self.lexicon.find(w):
@@ -123,24 +138,17 @@ class Scanner:
             self.seen, kept = set(), {w: self.hits[w] for w in distinct if w in self.hits}
         else:
             kept = self.hits
-        if distinct.isdisjoint(kept):
-            self.hits = kept
-            return [0.0] * len(FEATURES)
         self.hits = kept
-        return self.weigh(text, words)
+        found = distinct & kept.keys()
+        return self.weigh(low, words, found) if found else [0.0] * len(FEATURES)
 
-    def weigh(self, text: str, words: list[str]) -> list[float]:
+    def weigh(self, low: str, words: list[str], found: set[str]) -> list[float]:
         exact = strongest = misspelled = quoted = addressed = 0.0
-        low = text.lower()
-        spans = [m.span() for m in WORD.finditer(low)]
-        for i, w in enumerate(words):
-            if w not in self.hits:
-                continue
-            term, edits = self.hits[w]
+        for m in re.finditer(rf"\b(?:{'|'.join(sorted(map(re.escape, found)))})\b", low):
+            term, edits = self.hits[m.group()]
             weight = self.lexicon.weights[term]
-            near = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
-            a, b = spans[max(0, i - WINDOW)][0], spans[min(len(spans) - 1, i + WINDOW)][1]
-            before, after = low[a : spans[i][0]], low[spans[i][1] : b + 2]
+            before, after = low[max(0, m.start() - REACH) : m.start()], low[m.end() : m.end() + REACH]
+            near = WORD.findall(before)[-WINDOW:] + WORD.findall(after)[:WINDOW]
             framed = any(x in before for x in OPENING) and any(x in after for x in CLOSING)
             quotation = (0.6 if framed else 0.0) + min(0.4, 0.2 * sum(x in REPORTING for x in near))
             abuse = min(1.0, 0.5 * sum(x in ADDRESSING for x in near))
@@ -217,10 +225,11 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 
 def _features(rows: DataFrame, lexicon: dict[str, float], carried: str) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(lexicon)
+    named = hashlib.md5(repr(sorted(lexicon.items())).encode()).hexdigest()
     kind = dict(rows.dtypes)[carried]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(Lexicon(sent.value))
+        scanner = per_worker(("toxicity", named), lambda: Scanner(Lexicon(sent.value)))
         for batch in batches:
             x = [scanner.features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], [carried, "x"])
