@@ -47,7 +47,7 @@ SQL = {
         union all select concat('n', cast(n_nationkey as varchar(20))), concat('r', cast(n_regionkey as varchar(20))), n_name, 1 from nation
         union all select concat('c', cast(c_custkey as varchar(20))), concat('n', cast(c_nationkey as varchar(20))), case when c_custkey % 3 = 0 then concat(c_name, ':') else c_name end, 2 from customer
         union all select concat('o', cast(o_orderkey as varchar(20))), concat('c', cast(o_custkey as varchar(20))), case when o_orderkey % 2 = 0 then concat('order ', o_orderstatus) else concat('Order ', o_orderstatus) end, 3 from orders
-        union all select concat('l', cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar(20))), concat('o', cast(l_orderkey as varchar(20))), concat('line ', l_returnflag), 4 from lineitem""",
+        union all select concat('l', cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar(20))), concat('o', cast(l_orderkey as varchar(20))), concat('line ', min(l_returnflag)), 4 from lineitem group by l_orderkey, l_linenumber""",
     # typed links part -> supplier; the first of each pair
     "links": """select concat('p', cast(l_partkey % 10 as varchar(20)), ':', cast(l_partkey as varchar(20))) as source_uid, concat('s', cast(l_suppkey % 4 as varchar(20)), ':', cast(l_suppkey as varchar(20))) as target_uid,
         case l_returnflag when 'A' then 'published' when 'N' then 'published-tag' else 'derived' end as provenance,
