@@ -32,7 +32,8 @@ from ledgerline.llm.common import per_worker
 from ledgerline.llm.vocabulary import SPACE, read_pieces
 
 CHUNK = re.compile(r" *[^ \n]+| +|\n")
-REMEMBERED = 400_000
+#: A worker keeps the pieces of at most so many chunks.
+REMEMBERED = 800_000
 _M = (1 << 64) - 1
 
 
@@ -40,7 +41,10 @@ class Codec:
     def __init__(self, pieces: dict[str, tuple[int, float]], octets: dict[int, int], dropout: float = 0.1, seed: int = 1):
         self.pieces, self.octets, self.seed = pieces, octets, seed
         self.limit = int(dropout * (1 << 24))
-        self.known: dict = {}
+        order = {v: k for k, v in enumerate(sorted({v for _, v in pieces.values()}, reverse=True))}
+        self.ranks = {p: order[v] for p, (_, v) in pieces.items()}
+        self.known: dict[int, dict[str, bytes]] = {}
+        self.held = 0
         size = 1 + max([i for i, _ in pieces.values()] + list(octets.values()), default=0)
         self.bytes: list[bytes] = [b""] * size
         for p, (i, _) in pieces.items():
@@ -49,40 +53,36 @@ class Codec:
             self.bytes[i] = bytes([b])
 
     def cut(self, chunk: str, variant: int) -> list[int]:
-        """Piece ids of one chunk."""
-        pieces = self.pieces
+        """Piece ids of one chunk. The agenda holds ``rank << 32 | place``; an entry counts while the two sides there still make that piece."""
+        ranks = self.ranks
         symbols: list[str] = [SPACE if c == " " else "" if c == SPACE else c for c in chunk]
-        letters = list(chunk)
+        letters = chunk
         n = len(symbols)
+        agenda = [r << 32 | i for i, (x, y) in enumerate(zip(symbols, symbols[1:])) if x and y and (r := ranks.get(x + y)) is not None]
+        heapq.heapify(agenda)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        base = zlib.crc32(chunk.encode(), zlib.crc32(b"%d/%d" % (self.seed, variant))) if self.limit else 0
-        agenda: list[tuple[float, int, int, str]] = []
-
-        def offer(a: int, b: int) -> None:
-            if a >= 0 and b < n and symbols[a] and symbols[b]:
-                both = symbols[a] + symbols[b]
-                if (got := pieces.get(both)) is not None:
-                    heapq.heappush(agenda, (-got[1], a, b, both))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
         gone = bytearray(n)
+        limit = self.limit
+        base = zlib.crc32(chunk.encode(), zlib.crc32(b"%d/%d" % (self.seed, variant))) if limit else 0
         while agenda:
-            _, a, b, both = heapq.heappop(agenda)
-            if gone[a] or gone[b] or after[a] != b or symbols[a] + symbols[b] != both:
+            entry = heapq.heappop(agenda)
+            a, rank = entry & 0xFFFFFFFF, entry >> 32
+            if gone[a] or (b := after[a]) == n or ranks.get(both := symbols[a] + symbols[b]) != rank:
                 continue
-            if self.limit:
-                x = (base ^ (a * 0x9E3779B97F4A7C15 + pieces[both][0] * 0xBF58476D1CE4E5B9)) & _M
-                x = ((x ^ (x >> 31)) * 0x94D049BB133111EB) & _M
-                if x >> 40 < self.limit:
+            if limit:
+                x = (base ^ (a * 0x9E3779B97F4A7C15 + rank * 0xBF58476D1CE4E5B9)) & _M
+                if ((x ^ (x >> 31)) * 0x94D049BB133111EB & _M) >> 40 < limit:
                     continue
             symbols[a] = both
             gone[b] = 1
-            after[a] = after[b]
-            if after[b] < n:
-                before[after[b]] = a
-            offer(before[a], a)
-            offer(a, after[a])
+            after[a] = c = after[b]
+            if c < n:
+                before[c] = a
+                if symbols[c] and (r := ranks.get(both + symbols[c])) is not None:
+                    heapq.heappush(agenda, r << 32 | a)
+            if (p := before[a]) >= 0 and symbols[p] and (r := ranks.get(symbols[p] + both)) is not None:
+                heapq.heappush(agenda, r << 32 | p)
+        pieces = self.pieces
         out: list[int] = []
         for i in range(n):
             if not gone[i]:
@@ -103,8 +103,9 @@ class Codec:
             got = own.get(chunk)
             if got is None:
                 got = np.array(self.cut(chunk, variant), "<u4").tobytes()
-                if len(chunk) < 64 and sum(map(len, known.values())) < REMEMBERED:
+                if len(chunk) < 64 and self.held < REMEMBERED:
                     own[chunk] = got
+                    self.held += 1
             out.append(got)
         return b"".join(out)
 
@@ -125,7 +126,7 @@ def _with_codec(docs: DataFrame, make, schema: str, path: str | None, dropout: f
     return docs.select("doc_id", "text", variant.alias("variant")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {schema}")
 
 
-def encode(docs: DataFrame, path: str | None = None, dropout: float = 0.1, seed: int = 1, variants: int = 4) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, dropout: float = 0.1, seed: int = 1, variants: int = 2) -> DataFrame:
     """(doc_id, ids) of every row of ``docs(doc_id, text)``."""
 
     def make(codec: Codec, key, texts, variant) -> pa.RecordBatch:
@@ -150,7 +151,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
 
 
-def op10_pieces(docs: DataFrame, path: str | None = None, dropout: float = 0.1, seed: int = 1, variants: int = 4) -> DataFrame:
+def op10_pieces(docs: DataFrame, path: str | None = None, dropout: float = 0.1, seed: int = 1, variants: int = 2) -> DataFrame:
     """(doc_id, n_pieces, ids_sha256, lossless) of every document: encoded, decoded again and compared."""
 
     def make(codec: Codec, key, texts, variant) -> pa.RecordBatch:
