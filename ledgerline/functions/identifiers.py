@@ -7,11 +7,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACES = "[\\s ]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compatible(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKD", x), na_action="ignore")
 
