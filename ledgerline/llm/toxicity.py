@@ -87,7 +87,7 @@ class Lexicon:
         if word in self.weights:
             return word, 0
         n = len(word)
-        if not self.errors or n < self.least - 1 or n > self.longest + self.errors or not self.maybe(word):
+        if not self.errors or n < self.least - self.errors or n > self.longest + self.errors or not self.maybe(word):
             return None
         at: dict[str, int] = {}
         for i, c in enumerate(word):
@@ -152,7 +152,7 @@ class Scanner:
             framed = any(x in before for x in OPENING) and any(x in after for x in CLOSING)
             quotation = (0.6 if framed else 0.0) + min(0.4, 0.2 * sum(x in REPORTING for x in near))
             abuse = min(1.0, 0.5 * sum(x in ADDRESSING for x in near))
-            weight *= 1 - quotation * (1 - abuse)
+            weight *= 1 - 0.8 * quotation * (1 - abuse)
             quoted += quotation * (1 - abuse)
             addressed += abuse
             if edits:
