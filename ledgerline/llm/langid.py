@@ -88,7 +88,7 @@ def learn(labelled: DataFrame, sample: int = 20_000) -> tuple[list[str], np.ndar
                     sums[lang] = sums[lang] + got if lang in sums else got
         for lang, v in sums.items():
             at = np.flatnonzero(v)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(v[at].astype(np.int64))], ["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(v[at].astype(np.int64))], ["lang", "bucket", "n"])
 
     counts = labelled.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     rows = counts.toPandas()  # at most BUCKETS rows a language
