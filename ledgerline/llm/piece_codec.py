@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -32,8 +33,10 @@ from ledgerline.llm.common import per_worker
 from ledgerline.llm.vocabulary import SPACE, read_pieces
 
 CHUNK = re.compile(r" *[^ \n]+| +|\n")
-#: A worker keeps the pieces of at most so many chunks.
+#: A worker keeps the pieces of about so many chunks; those it hasn't met for long go.
 REMEMBERED = 800_000
+#: Stands for a word mark that is a letter of the text; no piece holds it.
+NOWHERE = "\ufffe"
 _M = (1 << 64) - 1
 
 
@@ -43,7 +46,10 @@ class Codec:
         self.limit = int(dropout * (1 << 24))
         order = {v: k for k, v in enumerate(sorted({v for _, v in pieces.values()}, reverse=True))}
         self.ranks = {p: order[v] for p, (_, v) in pieces.items()}
+        self.keyed = [r * 0xBF58476D1CE4E5B9 & _M for r in range(len(order))]
+        #: pieces of chunks by variant: those met lately, and those met before that
         self.known: dict[int, dict[str, bytes]] = {}
+        self.older: dict[int, dict[str, bytes]] = {}
         self.held = 0
         size = 1 + max([i for i, _ in pieces.values()] + list(octets.values()), default=0)
         self.bytes: list[bytes] = [b""] * size
@@ -53,57 +59,60 @@ class Codec:
             self.bytes[i] = bytes([b])
 
     def cut(self, chunk: str, variant: int) -> list[int]:
-        """Piece ids of one chunk. The agenda holds ``rank << 32 | place``; an entry counts while the two sides there still make that piece."""
-        ranks = self.ranks
-        symbols: list[str] = [SPACE if c == " " else "" if c == SPACE else c for c in chunk]
-        letters = chunk
-        n = len(symbols)
-        agenda = [r << 32 | i for i, (x, y) in enumerate(zip(symbols, symbols[1:])) if x and y and (r := ranks.get(x + y)) is not None]
-        heapq.heapify(agenda)
+        """Piece ids of one chunk.
+
+        A piece is a stretch of the chunk: ``after[a]`` is where the one that begins at ``a`` ends, 0 if none begins there
+        any more. The agenda holds ``rank << 32 | place``; an entry counts while the two pieces there still make that one.
+        """
+        ranks, keyed, limit, n = self.ranks, self.keyed, self.limit, len(chunk)
+        s = chunk.replace(SPACE, NOWHERE).replace(" ", SPACE)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        gone = bytearray(n)
-        limit = self.limit
+        agenda = [r << 32 | i for i in range(n - 1) if (r := ranks.get(s[i : i + 2])) is not None]
+        heapq.heapify(agenda)
         base = zlib.crc32(chunk.encode(), zlib.crc32(b"%d/%d" % (self.seed, variant))) if limit else 0
         while agenda:
             entry = heapq.heappop(agenda)
             a, rank = entry & 0xFFFFFFFF, entry >> 32
-            if gone[a] or (b := after[a]) == n or ranks.get(both := symbols[a] + symbols[b]) != rank:
+            b = after[a]
+            if not b or b == n or ranks.get(s[a : (c := after[b])]) != rank:
                 continue
             if limit:
-                x = (base ^ (a * 0x9E3779B97F4A7C15 + rank * 0xBF58476D1CE4E5B9)) & _M
+                x = (base ^ (a * 0x9E3779B97F4A7C15 + keyed[rank])) & _M
                 if ((x ^ (x >> 31)) * 0x94D049BB133111EB & _M) >> 40 < limit:
                     continue
-            symbols[a] = both
-            gone[b] = 1
-            after[a] = c = after[b]
+            after[a], after[b] = c, 0
             if c < n:
                 before[c] = a
-                if symbols[c] and (r := ranks.get(both + symbols[c])) is not None:
+                if (r := ranks.get(s[a : after[c]])) is not None:
                     heapq.heappush(agenda, r << 32 | a)
-            if (p := before[a]) >= 0 and symbols[p] and (r := ranks.get(symbols[p] + both)) is not None:
+            if (p := before[a]) >= 0 and (r := ranks.get(s[p:c])) is not None:
                 heapq.heappush(agenda, r << 32 | p)
-        pieces = self.pieces
+        pieces, a = self.pieces, 0
         out: list[int] = []
-        for i in range(n):
-            if not gone[i]:
-                got = pieces.get(symbols[i])
-                if got is not None:
-                    out.append(got[0])
-                else:
-                    out.extend(self.octets[b] for b in letters[i].encode("utf-8"))
+        while a < n:
+            got = pieces.get(s[a : after[a]])
+            if got is not None:
+                out.append(got[0])
+            else:
+                out.extend(self.octets[b] for b in chunk[a].encode("utf-8"))
+            a = after[a]
         return out
 
     def encode(self, text: str | None, variant: int = 0) -> bytes:
         """Piece ids of a text as little-endian 32-bit integers."""
         if not text:
             return b""
-        known, out = self.known, []
-        own = known.setdefault(variant, {})
+        if self.held > REMEMBERED // 2:
+            self.known, self.older, self.held = {}, self.known, 0
+        own, older, out = self.known.setdefault(variant, {}), self.older.get(variant, {}), []
         for chunk in CHUNK.findall(" " + text):
             got = own.get(chunk)
             if got is None:
-                got = np.array(self.cut(chunk, variant), "<u4").tobytes()
-                if len(chunk) < 64 and self.held < REMEMBERED:
+                got = older.get(chunk)
+                if got is None:
+                    ids = self.cut(chunk, variant)
+                    got = struct.pack(f"<{len(ids)}I", *ids)
+                if len(chunk) < 64 and self.held <= REMEMBERED:
                     own[chunk] = got
                     self.held += 1
             out.append(got)
