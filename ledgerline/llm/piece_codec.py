@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import random
 import re
 import struct
 import zlib
@@ -33,23 +34,25 @@ from ledgerline.llm.common import per_worker
 from ledgerline.llm.vocabulary import SPACE, read_pieces
 
 CHUNK = re.compile(r" *[^ \n]+| +|\n")
-#: A worker keeps the pieces of about so many chunks; those it hasn't met for long go.
+#: A worker keeps the pieces of at most so many chunks.
 REMEMBERED = 800_000
 #: Stands for a word mark that is a letter of the text; no piece holds it.
 NOWHERE = "\ufffe"
-_M = (1 << 64) - 1
+_M = (1 << 30) - 1
 
 
 class Codec:
     def __init__(self, pieces: dict[str, tuple[int, float]], octets: dict[int, int], dropout: float = 0.1, seed: int = 1):
         self.pieces, self.octets, self.seed = pieces, octets, seed
-        self.limit = int(dropout * (1 << 24))
+        self.limit = int(dropout * (1 << 30))
         order = {v: k for k, v in enumerate(sorted({v for _, v in pieces.values()}, reverse=True))}
         self.ranks = {p: order[v] for p, (_, v) in pieces.items()}
-        self.keyed = [r * 0xBF58476D1CE4E5B9 & _M for r in range(len(order))]
-        #: pieces of chunks by variant: those met lately, and those met before that
+        # tables of the keyed hash, 30 bits: one number a piece, one a place (places repeat after 4096)
+        draw = random.Random(f"pieces {seed}")
+        self.by_rank = [draw.getrandbits(30) for _ in order]
+        self.by_place = [draw.getrandbits(30) for _ in range(4096)]
+        #: pieces of chunks by variant
         self.known: dict[int, dict[str, bytes]] = {}
-        self.older: dict[int, dict[str, bytes]] = {}
         self.held = 0
         size = 1 + max([i for i, _ in pieces.values()] + list(octets.values()), default=0)
         self.bytes: list[bytes] = [b""] * size
@@ -64,22 +67,20 @@ class Codec:
         A piece is a stretch of the chunk: ``after[a]`` is where the one that begins at ``a`` ends, 0 if none begins there
         any more. The agenda holds ``rank << 32 | place``; an entry counts while the two pieces there still make that one.
         """
-        ranks, keyed, limit, n = self.ranks, self.keyed, self.limit, len(chunk)
+        ranks, by_rank, by_place, limit, n = self.ranks, self.by_rank, self.by_place, self.limit, len(chunk)
         s = chunk.replace(SPACE, NOWHERE).replace(" ", SPACE)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [r << 32 | i for i in range(n - 1) if (r := ranks.get(s[i : i + 2])) is not None]
         heapq.heapify(agenda)
-        base = zlib.crc32(chunk.encode(), zlib.crc32(b"%d/%d" % (self.seed, variant))) if limit else 0
+        base = zlib.crc32(chunk.encode(), zlib.crc32(b"%d/%d" % (self.seed, variant))) & _M
         while agenda:
             entry = heapq.heappop(agenda)
             a, rank = entry & 0xFFFFFFFF, entry >> 32
             b = after[a]
             if not b or b == n or ranks.get(s[a : (c := after[b])]) != rank:
                 continue
-            if limit:
-                x = (base ^ (a * 0x9E3779B97F4A7C15 + keyed[rank])) & _M
-                if ((x ^ (x >> 31)) * 0x94D049BB133111EB & _M) >> 40 < limit:
-                    continue
+            if limit and ((base ^ by_rank[rank] ^ by_place[a & 4095]) * 0x2C1B3C6D & _M) < limit:
+                continue
             after[a], after[b] = c, 0
             if c < n:
                 before[c] = a
@@ -102,17 +103,13 @@ class Codec:
         """Piece ids of a text as little-endian 32-bit integers."""
         if not text:
             return b""
-        if self.held > REMEMBERED // 2:
-            self.known, self.older, self.held = {}, self.known, 0
-        own, older, out = self.known.setdefault(variant, {}), self.older.get(variant, {}), []
+        own, out = self.known.setdefault(variant, {}), []
         for chunk in CHUNK.findall(" " + text):
             got = own.get(chunk)
             if got is None:
-                got = older.get(chunk)
-                if got is None:
-                    ids = self.cut(chunk, variant)
-                    got = struct.pack(f"<{len(ids)}I", *ids)
-                if len(chunk) < 64 and self.held <= REMEMBERED:
+                ids = self.cut(chunk, variant)
+                got = struct.pack(f"<{len(ids)}I", *ids)
+                if len(chunk) < 64 and self.held < REMEMBERED:
                     own[chunk] = got
                     self.held += 1
             out.append(got)
