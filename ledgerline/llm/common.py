@@ -78,7 +78,8 @@ _kept: dict = {}
 
 
 def per_worker(key, build):
-    """What ``build`` makes, made once in each Python worker for a key."""
+    """What ``build`` makes, made once in each Python worker and kept until the worker makes something for another key, so stages don't add up their memory."""
     if key not in _kept:
+        _kept.clear()
         _kept[key] = build()
     return _kept[key]

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import components, materialise
+from ledgerline.llm.common import components, materialise, per_worker
 from ledgerline.llm.langid import blocks
 
 WIDTH = 5
@@ -47,7 +47,6 @@ REMEMBERED = 500_000
 TOGETHER = 200_000
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_words: dict[str, int] = {}
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -57,6 +56,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
+    _words: dict[str, int] = per_worker("word hashes", dict)
     if len(_words) > REMEMBERED:
         _words.clear()
     h = list(map(_words.get, words))

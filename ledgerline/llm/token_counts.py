@@ -85,8 +85,8 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(sorted(pieces))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = per_worker(("longest match", path), lambda: LongestMatch(sent.value))
-        known: dict[str, int] = per_worker(("word counts", path), dict)
+        known: dict[str, int]
+        match, known = per_worker(("longest match", path), lambda: (LongestMatch(sent.value), {}))
         for batch in batches:
             n_words, n_tokens = [], []
             for text in batch.column(1).to_pylist():
