@@ -13,7 +13,7 @@ QUERIES = {
     "op4_near_duplicates": lambda spark, d: near_dup.near_duplicates(table(spark, d, "documents")),
     "op5_embedding_dups": lambda spark, d: vectors.op5_embedding_dups(table(spark, d, "embeddings")),
     "op6_mix": lambda spark, d: mixing.op6_mix(table(spark, d, "documents")),
-    "op7_repeats": lambda spark, d: repeats.op7_repeats(table(spark, d, "documents")),
+    "op7_repeats": lambda spark, d: repeats.op7_repeats(table(spark, d, "documents"), lines=True),
     "op8_neighbours": lambda spark, d: neighbours.op8_neighbours(table(spark, d, "embeddings")),
     "op9_token_counts": lambda spark, d: token_counts.op9_token_counts(table(spark, d, "documents")),
     "op10_pieces": lambda spark, d: piece_codec.op10_pieces(table(spark, d, "documents")),

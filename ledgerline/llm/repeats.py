@@ -1,11 +1,14 @@
 """Repeated passages: unit hashing over the whole corpus, with original offsets.
 
-A text's units are its lines, cut again before each word that begins with a capital (so a passage that was
-set into a line starts a unit of its own). A unit is normalised (lower case, single blanks, no marks at its
-ends) and hashed. Digests are counted over all documents; the occurrence in the smallest doc_id, and there the
-first, is kept, any other is a repeat. Repeats that follow each other make a run; units of fewer than
-``short`` words have no digest and neither start nor break a run. A run of at least ``least`` words is a passage
-to remove; it is reported by its first and last code point in the original text.
+A text's units are its lines, cut again before each word that begins with a capital and after each sentence end
+(so a passage that was set into a line starts and ends units of its own). A unit is normalised (lower case, single
+blanks, no marks at its ends) and hashed. Digests are counted over all documents; the occurrence in the smallest
+doc_id, and there the first, is kept, any other is a repeat. Repeats that follow each other make a run; units of
+fewer than ``short`` words have no digest and neither start nor break a run. A run of at least ``least`` words is a
+passage to remove; it is reported by its first and last code point in the original text.
+
+With ``lines``, a line that repeats a whole line is a passage to remove whatever its length: lines are hashed
+beside the units, in a space of their own. Passages that overlap are reported as one. The query asks for lines.
 
 Shuffles carry a digest and offsets for each unit, never texts. A digest that stands in a third of all
 documents is one partial sum a task, and the join that marks its occurrences can be split by Spark, since the
@@ -13,7 +16,7 @@ other side has one row a digest.
 
 Defined results: null and empty texts have no units; rows that share a doc_id are one document (all of them
 keep what it keeps); a null doc_id comes last; a passage that comes twice in one document is removed the second
-time; only documents with something to remove have rows.
+time; a line without a letter or digit is no passage; only documents with something to remove have rows.
 """
 
 from __future__ import annotations
@@ -27,38 +30,56 @@ from pyspark.sql import functions as F
 
 SHORT, LEAST = 3, 25
 LAST = (1 << 63) - 1
+SENTENCE = (".", "!", "?")
+CLOSING = "\"')]}»”’*"
 
 
-def cut(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of each unit: no blanks at its ends."""
+def cut_lines(text: str) -> Iterator[list[tuple[int, int]]]:
+    """The units of each line that has any, as (start, end): no blanks at their ends."""
     at = 0
     for line in text.split("\n"):
+        out: list[tuple[int, int]] = []
         start, end, pos = -1, at, at
         for w in line.split(" "):
             if w:
                 first = w if w[0].isalnum() else w.lstrip("\"'([{«“‘¿¡*-")
                 if start >= 0 and first and first[0].isupper() and (len(first) == 1 or not first.isupper()):
-                    yield start, end
+                    out.append((start, end))
                     start = pos
                 elif start < 0:
                     start = pos
                 end = pos + len(w)
+                if w[-1] in SENTENCE or w[-1] in CLOSING and w.rstrip(CLOSING).endswith(SENTENCE):
+                    out.append((start, end))
+                    start = -1
             pos += len(w) + 1
         if start >= 0:
-            yield start, end
+            out.append((start, end))
+        if out:
+            yield out
         at += len(line) + 1
 
 
+def cut(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of each unit: no blanks at its ends."""
+    for line in cut_lines(text):
+        yield from line
+
+
 def normal(unit: str) -> str:
     return " ".join(unit.lower().split()).strip(".,;:!?\"'()[]{}«»“”‘’*-#%&$ ")
 
 
-def units(docs: DataFrame, short: int = SHORT) -> DataFrame:
-    """(doc_id, place, start, end, first_word, last_word, digest, again) of each unit of at least ``short`` words of ``docs(doc_id, text)``."""
+def digest(kind: bytes, unit: str) -> int:
+    return int.from_bytes(hashlib.blake2b(normal(unit).encode("utf-8", "surrogatepass"), digest_size=8, person=kind).digest(), "little", signed=True)
+
+
+def units(docs: DataFrame, short: int = SHORT, lines: bool = False) -> DataFrame:
+    """(doc_id, line, place, start, end, first_word, last_word, digest, again) of each unit of at least ``short`` words of ``docs(doc_id, text)``, and of each line if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "place", "start", "end", "first_word", "last_word", "digest", "again"]
-        kinds = [None, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
+        names = ["doc_id", "line", "place", "start", "end", "first_word", "last_word", "digest", "again"]
+        kinds = [None, pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
         for whole in batches:
             kinds[0] = whole.schema.field(0).type
             for at in range(0, whole.num_rows, 500):
@@ -67,39 +88,52 @@ def units(docs: DataFrame, short: int = SHORT) -> DataFrame:
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     place = word = 0
                     seen: set[int] = set()
-                    for start, end in cut(text or ""):
-                        unit = text[start:end]
-                        n = len(unit.split())
-                        if n >= short:
-                            d = int.from_bytes(hashlib.blake2b(normal(unit).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-                            rows.append((doc_id, place, start, end, word, word + n, d, d in seen))
+                    for number, line in enumerate(cut_lines(text or "")):
+                        before = word
+                        for start, end in line:
+                            unit = text[start:end]
+                            n = len(unit.split())
+                            if n >= short:
+                                d = digest(b"", unit)
+                                rows.append((doc_id, False, place, start, end, word, word + n, d, d in seen))
+                                seen.add(d)
+                                place += 1
+                            word += n
+                        start, end = line[0][0], line[-1][1]
+                        if lines and any(map(str.isalnum, text[start:end])):
+                            d = digest(b"line", text[start:end])
+                            rows.append((doc_id, True, number, start, end, before, word, d, d in seen))
                             seen.add(d)
-                            place += 1
-                        word += n
-                cols = zip(*rows) if rows else [[]] * 8
+                cols = zip(*rows) if rows else [[]] * 9
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, place int, start int, end int, first_word int, last_word int, digest long, again boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line boolean, place int, start int, end int, first_word int, last_word int, digest long, again boolean")
 
 
-def repeated_passages(docs: DataFrame, short: int = SHORT, least: int = LEAST) -> DataFrame:
+def repeated_passages(docs: DataFrame, short: int = SHORT, least: int = LEAST, lines: bool = False) -> DataFrame:
     """(doc_id, start, end, n_words, first_doc_id): every passage to remove from ``docs(doc_id, text)``."""
-    found = units(docs, short)
+    found = units(docs, short, lines)
     rank = F.coalesce(F.col("doc_id"), F.lit(LAST))
     firsts = found.groupBy("digest").agg(F.min(rank).alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("__digest"), "first_doc")
     marked = found.join(firsts, F.col("digest") == F.col("__digest")).where(F.col("again") | (rank > F.col("first_doc")))
-    marked = marked.select("doc_id", "place", "start", "end", "first_word", "last_word", "first_doc").distinct()
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("place"))
-    runs = marked.withColumn("run", F.col("place") - number).groupBy("doc_id", "run")
-    runs = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("last_word") - F.min("first_word")).alias("n_words"), F.min("first_doc").alias("first_doc"))
-    out = runs.where(F.col("n_words") >= least)
-    return out.select("doc_id", "start", "end", F.col("n_words").cast("int").alias("n_words"), F.when(F.col("first_doc") < LAST, F.col("first_doc")).alias("first_doc_id"))
-
-
-def remove(docs: DataFrame, short: int = SHORT, least: int = LEAST) -> DataFrame:
+    marked = marked.select("doc_id", "line", "place", "start", "end", "first_word", "last_word", "first_doc").distinct()
+    number = F.row_number().over(Window.partitionBy("doc_id", "line").orderBy("place"))
+    runs = marked.withColumn("run", F.when(F.col("line"), F.col("place")).otherwise(F.col("place") - number)).groupBy("doc_id", "line", "run")
+    spans = [F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.min("first_doc").alias("first_doc")]
+    out = runs.agg(*spans).where(F.col("line") | (F.col("last_word") - F.col("first_word") >= least))
+    if lines:
+        earlier = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "line")
+        reached = F.coalesce(F.max("end").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+        out = out.withColumn("begins", (F.col("start") >= reached).cast("int")).withColumn("passage", F.sum("begins").over(earlier.rowsBetween(Window.unboundedPreceding, 0)))
+        out = out.groupBy("doc_id", "passage").agg(*spans)
+    n_words = (F.col("last_word") - F.col("first_word")).cast("int")
+    return out.select("doc_id", "start", "end", n_words.alias("n_words"), F.when(F.col("first_doc") < LAST, F.col("first_doc")).alias("first_doc_id"))
+
+
+def remove(docs: DataFrame, short: int = SHORT, least: int = LEAST, lines: bool = False) -> DataFrame:
     """``docs`` without the repeated passages, and ``removed``: their (start, end) in the original text."""
-    spans = repeated_passages(docs.select("doc_id", "text"), short, least)
+    spans = repeated_passages(docs.select("doc_id", "text"), short, least, lines)
     per = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
     out = docs.join(per, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
     rest = (
@@ -109,5 +143,5 @@ def remove(docs: DataFrame, short: int = SHORT, least: int = LEAST) -> DataFrame
     return out.withColumn("text", F.when(F.col("removed").isNotNull(), F.expr(rest)).otherwise(F.col("text")))
 
 
-def op7_repeats(docs: DataFrame) -> DataFrame:
-    return repeated_passages(docs.select("doc_id", "text"))
+def op7_repeats(docs: DataFrame, lines: bool = False) -> DataFrame:
+    return repeated_passages(docs.select("doc_id", "text"), lines=lines)

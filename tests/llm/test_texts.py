@@ -255,6 +255,19 @@ def test_repeats_odd_rows(odd, empty):
     assert repeats.remove(odd).count() == odd.count()
 
 
+def test_passage_inside_a_line_and_whole_lines(spark):
+    passage = "Zeta holds eleven words and they all stand right in here. Then the second sentence has got its own fourteen words until it ends here."
+    texts = {1: "Some beginning. " + passage + "\nKeep out", 2: "lower words before " + passage + " and lower words behind it", 3: "Another text\n  keep out\n---\nof its own", 4: "---\nShort ones. Keep out\nkeep out"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    runs = {(r.doc_id, texts[r.doc_id][r.start : r.end]) for r in repeats.op7_repeats(df).collect()}
+    assert runs == {(2, passage)}
+    both = {(r.doc_id, texts[r.doc_id][r.start : r.end], r.n_words, r.first_doc_id) for r in repeats.op7_repeats(df, lines=True).collect()}
+    assert both == {(2, passage, 25, 1), (3, "keep out", 2, 1), (4, "keep out", 2, 1)}
+    again = spark.createDataFrame([(1, passage + " " + passage + "\nEnd of it"), (2, "First line\n" + passage + " " + passage + "\nEnd of it")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in repeats.remove(again, lines=True).collect()}
+    assert got == {1: passage + " \nEnd of it", 2: "First line\n"}
+
+
 # --- tokens and pieces
 
 
