@@ -4,6 +4,8 @@ The lexicon is learned from labelled rows: words that stand mostly in toxic docu
 trie. A text's word is turned into a Levenshtein automaton of ``errors`` edits, held as bit masks (bit
 ``i`` of mask ``e``: the word's first ``i`` letters are matched with ``e`` edits), and trie and automaton are
 walked together; a branch ends where no mask has a bit left. Each distinct word is walked once a worker.
+Terms from four letters on are found with one edit, a swap of neighbouring letters being one; hits on terms of
+fewer than ``FIRM`` letters, which ordinary words come near, are a feature of their own.
 
 A term's window (``WINDOW`` words each side, and the marks around the term) gives a context score between
 quotation and abuse: quotation marks that enclose the term and words of reporting speak for quotation,
@@ -38,7 +40,9 @@ WINDOW = 5
 REACH = 60
 #: A worker forgets the words it has looked up beyond this number; it looks them up anew when they return.
 REMEMBERED = 400_000
-FEATURES = ("exact", "strongest", "misspelled", "quoted", "addressed", "density")
+FEATURES = ("exact", "strongest", "misspelled", "quoted", "addressed", "density", "short")
+#: Misspelled terms of fewer letters are weighed apart.
+FIRM = 6
 
 # Marks and words that frame quotation, and words that address somebody.
 OPENING = "\"'“‘«„‹`"
@@ -50,8 +54,8 @@ ADDRESSING = frozenset("you your yours youre u ur du dich dir dein deine ihr euc
 class Lexicon:
     """A trie of terms with weights, walked together with the automaton of a word."""
 
-    def __init__(self, weights: dict[str, float], errors: int = 1, least: int = 6):
-        self.weights, self.errors, self.least = weights, errors, least
+    def __init__(self, weights: dict[str, float], errors: int = 1, least: int = 4, swaps: bool = False):
+        self.weights, self.errors, self.least, self.swaps = weights, errors, least, swaps
         self.root: dict = {}
         self.longest = max(map(len, weights), default=0)
         #: halves of terms, with the lengths of the words that may hold them
@@ -70,7 +74,7 @@ class Lexicon:
         self.tail_sizes = sorted({len(x) for x in self.tails})
 
     def maybe(self, word: str) -> bool:
-        """Whether the walk could find something: a single edit leaves one half of a term whole."""
+        """Whether the walk could find something: a single edit leaves one half of a term whole, but for a swap across its middle."""
         if self.errors > 1:
             return True
         n, heads, tails = len(word), self.heads, self.tails
@@ -80,7 +84,8 @@ class Lexicon:
         for k in self.tail_sizes:
             if word[-k:] in tails and n in tails[word[-k:]]:
                 return True
-        return False
+        k = n // 2
+        return self.swaps and k > 0 and word[: k - 1] + word[k] + word[k - 1] + word[k + 1 :] in self.weights
 
     def find(self, word: str) -> tuple[str, int] | None:
         """The nearest term within the edits (at equal distance the heavier, then the first), or None."""
@@ -95,9 +100,10 @@ class Lexicon:
         full, end = (1 << n + 1) - 1, 1 << n
         masks = [((1 << e + 1) - 1) & full for e in range(self.errors + 1)]
         best: tuple[int, float, str] | None = None
-        stack = [(self.root, masks)]
+        # with each node, for swaps: the masks of its parent and the places of its own letter
+        stack = [(self.root, masks, [0] * len(masks), 0)]
         while stack:
-            node, masks = stack.pop()
+            node, masks, parent, came = stack.pop()
             for c, child in node.items():
                 if c == "":
                     continue
@@ -105,7 +111,10 @@ class Lexicon:
                 new = [(masks[0] & fits) << 1]
                 for e in range(1, len(masks)):
                     # match | insertion in the term | substitution | deletion from the term
-                    new.append((((masks[e] & fits) << 1) | masks[e - 1] | masks[e - 1] << 1 | new[e - 1] << 1) & full)
+                    m = ((masks[e] & fits) << 1) | masks[e - 1] | masks[e - 1] << 1 | new[e - 1] << 1
+                    if self.swaps:
+                        m |= ((parent[e - 1] & fits) << 1 & came) << 1
+                    new.append(m & full)
                 if not new[-1]:
                     continue
                 if (term := child.get("")) is not None and len(term) >= self.least:
@@ -114,7 +123,7 @@ class Lexicon:
                             found = (e, -self.weights[term], term)
                             best = min(best, found) if best else found
                             break
-                stack.append((child, new))
+                stack.append((child, new, masks, fits))
         return (best[2], best[0]) if best else None
 
 
@@ -143,7 +152,7 @@ class Scanner:
         return self.weigh(low, words, found) if found else [0.0] * len(FEATURES)
 
     def weigh(self, low: str, words: list[str], found: set[str]) -> list[float]:
-        exact = strongest = misspelled = quoted = addressed = 0.0
+        exact = strongest = misspelled = quoted = addressed = short = 0.0
         for m in re.finditer(rf"\b(?:{'|'.join(sorted(map(re.escape, found)))})\b", low):
             term, edits = self.hits[m.group()]
             weight = self.lexicon.weights[term]
@@ -153,6 +162,9 @@ class Scanner:
             quotation = (0.6 if framed else 0.0) + min(0.4, 0.2 * sum(x in REPORTING for x in near))
             abuse = min(1.0, 0.5 * sum(x in ADDRESSING for x in near))
             weight *= 1 - 0.8 * quotation * (1 - abuse)
+            if edits and len(term) < FIRM:
+                short += weight
+                continue
             quoted += quotation * (1 - abuse)
             addressed += abuse
             if edits:
@@ -160,7 +172,7 @@ class Scanner:
             else:
                 exact += weight
                 strongest = max(strongest, weight)
-        return [np.log1p(exact), strongest, np.log1p(misspelled), np.log1p(quoted), np.log1p(addressed), np.log1p(1000 * (exact + misspelled) / (20 + len(words)))]
+        return [np.log1p(exact), strongest, np.log1p(misspelled), np.log1p(quoted), np.log1p(addressed), np.log1p(1000 * (exact + misspelled) / (20 + len(words))), np.log1p(short)]
 
 
 def learn_lexicon(rows: DataFrame, support: int = 3, precision: float = 0.9, terms: int = 1000, ceiling: float = 4.0) -> dict[str, float]:
@@ -229,7 +241,7 @@ def _features(rows: DataFrame, lexicon: dict[str, float], carried: str) -> DataF
     kind = dict(rows.dtypes)[carried]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = per_worker(("toxicity", named), lambda: Scanner(Lexicon(sent.value)))
+        scanner = per_worker(("toxicity", named), lambda: Scanner(Lexicon(sent.value, swaps=True)))
         for batch in batches:
             x = [scanner.features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], [carried, "x"])

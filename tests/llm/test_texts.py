@@ -108,6 +108,15 @@ def test_automaton_finds_the_nearest_term(errors):
         assert got == ((near[2], near[0]) if near[0] <= errors else None), w
 
 
+def test_short_terms_and_swapped_letters():
+    lexicon = toxicity.Lexicon({w: 2.0 for w in ("clown", "idiot", "moron", "scum", "stupid")}, swaps=True)
+    near = {"idi0t": "idiot", "morron": "moron", "clwn": "clown", "stupdi": "stupid", "stpuid": "stupid", "stuipd": "stupid", "sucm": "scum", "csum": "scum", "scm": "scum"}
+    assert {w: lexicon.find(w) for w in near} == {w: (t, 1) for w, t in near.items()}
+    assert not any(map(lexicon.find, ("dumb", "sc", "mucs", "tsupdi", "idol")))
+    short, long = (dict(zip(toxicity.FEATURES, toxicity.Scanner(lexicon).features(t))) for t in ("what an idi0t", "how stupdi"))
+    assert short["short"] > 0 == short["misspelled"] and long["misspelled"] > 0 == long["short"]
+
+
 def test_context_tells_quotation_from_abuse():
     s = toxicity.Scanner(toxicity.Lexicon({"idiots": 4.0}))
     at = {n: k for k, n in enumerate(toxicity.FEATURES)}
