@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import per_worker
+from ledgerline.llm.common import materialise, per_worker
 from ledgerline.llm.langid import held_out
 
 WORD = re.compile(r"\w+")
@@ -58,34 +58,28 @@ class Lexicon:
         self.weights, self.errors, self.least, self.swaps = weights, errors, least, swaps
         self.root: dict = {}
         self.longest = max(map(len, weights), default=0)
-        #: halves of terms, with the lengths of the words that may hold them
-        self.heads: dict[str, set[int]] = {}
-        self.tails: dict[str, set[int]] = {}
+        #: terms, and terms without one of their letters
+        self.nearby: set[str] = set()
         for term in weights:
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = term
             if len(term) >= least:
-                lengths = range(len(term) - errors, len(term) + errors + 1)
-                self.heads.setdefault(term[: len(term) // 2], set()).update(lengths)
-                self.tails.setdefault(term[len(term) // 2 :], set()).update(lengths)
-        self.head_sizes = sorted({len(x) for x in self.heads})
-        self.tail_sizes = sorted({len(x) for x in self.tails})
+                self.nearby.add(term)
+                self.nearby.update(term[:k] + term[k + 1 :] for k in range(len(term)))
 
     def maybe(self, word: str) -> bool:
-        """Whether the walk could find something: a single edit leaves one half of a term whole, but for a swap across its middle."""
+        """Whether the walk could find something: after a single edit, word and term are equal with a letter less on one side or on both."""
         if self.errors > 1:
             return True
-        n, heads, tails = len(word), self.heads, self.tails
-        for k in self.head_sizes:
-            if word[:k] in heads and n in heads[word[:k]]:
-                return True
-        for k in self.tail_sizes:
-            if word[-k:] in tails and n in tails[word[-k:]]:
+        nearby = self.nearby
+        if word in nearby:
+            return True
+        for k in range(len(word)):
+            if word[:k] + word[k + 1 :] in nearby:
                 return True
-        k = n // 2
-        return self.swaps and k > 0 and word[: k - 1] + word[k] + word[k - 1] + word[k + 1 :] in self.weights
+        return False
 
     def find(self, word: str) -> tuple[str, int] | None:
         """The nearest term within the edits (at equal distance the heavier, then the first), or None."""
@@ -175,8 +169,12 @@ class Scanner:
         return [np.log1p(exact), strongest, np.log1p(misspelled), np.log1p(quoted), np.log1p(addressed), np.log1p(1000 * (exact + misspelled) / (20 + len(words))), np.log1p(short)]
 
 
-def learn_lexicon(rows: DataFrame, support: int = 3, precision: float = 0.9, terms: int = 1000, ceiling: float = 4.0) -> dict[str, float]:
-    """Weights of the words of ``rows(text, toxic)`` that stand mostly in toxic texts: smoothed log odds up to a ceiling, so that a term counts by how sure it is, not by how common."""
+def learn_lexicon(rows: DataFrame, support: int = 3, precision: float = 0.5, terms: int = 1000, ceiling: float = 4.0, lift: float = 1.0) -> dict[str, float]:
+    """Weights of the words of ``rows(text, toxic)`` that stand mostly in toxic texts: smoothed log odds over those of all rows, up to a ceiling, so that a term counts by how sure it is, not by how common.
+
+    Every word's clean and toxic texts are counted whole before any is ranked, so the lexicon doesn't depend on how the rows are
+    dealt. A word that clean texts quote enters with the smaller weight that its odds give it; one under ``lift`` doesn't.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list[int]] = {}
@@ -186,39 +184,18 @@ def learn_lexicon(rows: DataFrame, support: int = 3, precision: float = 0.9, ter
                 total[y] += 1
                 for w in set(WORD.findall((text or "").lower())):
                     sums.setdefault(w, [0, 0])[y] += 1
-        words = [w for w, v in sums.items() if v[1]]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(["", *words], pa.string()), pa.array([total[0], *(sums[w][0] for w in words)], pa.int64()), pa.array([total[1], *(sums[w][1] for w in words)], pa.int64())], ["word", "clean", "toxic"]
+            [pa.array(["", *sums], pa.string()), pa.array([total[0], *(v[0] for v in sums.values())], pa.int64()), pa.array([total[1], *(v[1] for v in sums.values())], pa.int64())], ["word", "clean", "toxic"]
         )
 
-    # a word that no toxic text of a partition has still counts its clean texts there: the second pass
-    firm = rows.select("text", "toxic").mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    firm = firm.where((F.col("toxic") >= support) | (F.col("word") == ""))
-    odds = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5))
-    top = firm.orderBy((F.col("word") == "").desc(), (F.col("toxic") / (F.col("toxic") + F.col("clean")) >= precision).desc(), (F.col("toxic") * odds).desc(), "word").limit(terms + 1).collect()
-    whole = {r["word"]: r for r in top}
-    base = whole.pop("", None)
+    counts = rows.select("text", "toxic").mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = materialise(counts.where((F.col("word") == "") | (F.col("toxic") >= support) & (F.col("toxic") >= precision * (F.col("toxic") + F.col("clean")))))
+    base = counts.where("word = ''").first()
     if not base or not base["clean"] or not base["toxic"]:
         return {}
-    wanted = [w for w, r in whole.items() if r["toxic"] >= precision * (r["toxic"] + r["clean"])]
-    sent = rows.sparkSession.sparkContext.broadcast(frozenset(wanted))
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, int] = {}
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for w in sent.value & set(WORD.findall((text or "").lower())):
-                    sums[w] = sums.get(w, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["word", "n"])
-
-    n_clean = {r["word"]: r["n"] for r in rows.where("toxic = 0").select("text").mapInArrow(clean, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    shift = np.log((base["clean"] + 1) / (base["toxic"] + 1))
-    out = {}
-    for w in wanted:
-        t, c = whole[w]["toxic"], n_clean.get(w, 0)
-        if t >= precision * (t + c):
-            out[w] = float(np.log((t + 0.5) / (c + 0.5)) + shift)
-    return {w: min(v, ceiling) for w, v in out.items() if v > 0}
+    weight = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) + float(np.log((base["clean"] + 1) / (base["toxic"] + 1)))
+    top = counts.where("word <> ''").withColumn("weight", weight).where(F.col("weight") >= lift).orderBy((F.col("toxic") * F.col("weight")).desc(), "word").limit(terms)
+    return {r["word"]: min(r["weight"], ceiling) for r in top.collect()}
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:

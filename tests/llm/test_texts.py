@@ -141,6 +141,14 @@ def test_toxicity_learns_the_words(spark):
     assert one.x[2] > 0
 
 
+def test_lexicon_is_the_same_however_rows_are_dealt(spark):
+    rows = [(f"some common words stand in all {'the idiotword' if k % 4 == 0 else 'quiet'} {'with quotedword' if k % 4 == 0 or k % 12 == 1 else ''} n{k}", int(k % 4 == 0)) for k in range(48)]
+    df = spark.createDataFrame(rows, "text string, toxic int")
+    whole, dealt = (toxicity.learn_lexicon(x, terms=4) for x in (df.coalesce(1), df.repartition(48)))
+    assert whole == dealt and whole.keys() == {"the", "idiotword", "with", "quotedword"}
+    assert 0 < whole["quotedword"] < whole["idiotword"]
+
+
 # --- near duplicates
 
 
