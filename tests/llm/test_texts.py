@@ -187,6 +187,15 @@ def test_near_duplicates_against_brute_force(spark, documents):
     assert got == brute_classes(texts)
 
 
+def test_near_copies_with_a_line_said_many_times(spark):
+    texts = {}
+    for k in range(20):
+        texts[2 * k] = " ".join(f"tok{k}x{n}" for n in range(94))
+        texts[2 * k + 1] = texts[2 * k] + " " + " ".join(f"junk{k}x{n}" for n in range(10)).join([" "] * 51)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(df).collect()} == brute_classes(texts) == {k: k // 2 * 2 for k in texts}
+
+
 def test_prob_minhash_estimates_jaccard():
     rng = np.random.default_rng(2)
     est = []
