@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,18 +34,45 @@ def null_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset,
-    as in local tests, a temporary folder is used.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a local session that names none
+    gets a temporary folder. On a cluster without the setting this is an error: no machine's own disk will do.
     """
     sc = df.sparkSession.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named is None and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    elif named is not None and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named)
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
+def sampled(salt: str, key, bound: int, total: int) -> Column:
+    """Whether a row is among about ``bound`` of ``total`` rows, by a keyed hash of ``key``; 63 bits, so the share is never rounded to none."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(salt), key), 1) < F.lit(min((1 << 63) - 1, (bound << 63) // max(total, 1)))
+
+
+def by_key(rows: DataFrame, per: DataFrame, key: str, members: str, share: int = 500) -> DataFrame:
+    """``rows`` joined with ``per``, which holds one row a key with the number of its ``members`` in rows; both should be written tables.
+
+    Keys with over one in ``share`` of all rows, at most ``share`` of them, are sent to every task, so that no key's rows
+    meet in one; all other keys are joined by shuffle.
+    """
+    total = per.agg(F.sum(members)).first()[0] or 0
+    hot = per.where(F.col(members) > max(1000, total // share))
+    if not total or hot.isEmpty():
+        return rows.join(per, key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(per.where(F.col(members) <= max(1000, total // share)), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called so in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row ``(node, label)`` for each node that has an edge.
 
