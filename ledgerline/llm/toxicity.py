@@ -31,13 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialise, per_worker
+from ledgerline.llm.common import materialise, per_worker, sampled
 from ledgerline.llm.langid import held_out
 
 WORD = re.compile(r"\w+")
 WINDOW = 5
-#: Letters each side in which the window's words and the marks of quotation are looked for.
-REACH = 60
 #: A worker forgets the words it has looked up beyond this number; it looks them up anew when they return.
 REMEMBERED = 400_000
 FEATURES = ("exact", "strongest", "misspelled", "quoted", "addressed", "density", "short")
@@ -147,11 +145,14 @@ class Scanner:
 
     def weigh(self, low: str, words: list[str], found: set[str]) -> list[float]:
         exact = strongest = misspelled = quoted = addressed = short = 0.0
-        for m in re.finditer(rf"\b(?:{'|'.join(sorted(map(re.escape, found)))})\b", low):
-            term, edits = self.hits[m.group()]
+        spans = [m.span() for m in WORD.finditer(low)]
+        for k in (k for k, w in enumerate(words) if w in found):
+            term, edits = self.hits[words[k]]
             weight = self.lexicon.weights[term]
-            before, after = low[max(0, m.start() - REACH) : m.start()], low[m.end() : m.end() + REACH]
-            near = WORD.findall(before)[-WINDOW:] + WORD.findall(after)[:WINDOW]
+            near = words[max(0, k - WINDOW) : k] + words[k + 1 : k + 1 + WINDOW]
+            # the window's letters reach to the words that lie next to it
+            before = low[spans[k - WINDOW - 1][1] if k > WINDOW else 0 : spans[k][0]]
+            after = low[spans[k][1] : spans[k + WINDOW + 1][0] if k + WINDOW + 1 < len(spans) else len(low)]
             framed = any(x in before for x in OPENING) and any(x in after for x in CLOSING)
             quotation = (0.6 if framed else 0.0) + min(0.4, 0.2 * sum(x in REPORTING for x in near))
             abuse = min(1.0, 0.5 * sum(x in ADDRESSING for x in near))
@@ -169,11 +170,12 @@ class Scanner:
         return [np.log1p(exact), strongest, np.log1p(misspelled), np.log1p(quoted), np.log1p(addressed), np.log1p(1000 * (exact + misspelled) / (20 + len(words))), np.log1p(short)]
 
 
-def learn_lexicon(rows: DataFrame, support: int = 3, precision: float = 0.5, terms: int = 1000, ceiling: float = 4.0, lift: float = 1.0) -> dict[str, float]:
+def learn_lexicon(rows: DataFrame, support: int = 3, precision: float = 0.5, ceiling: float = 4.0, lift: float = 1.0) -> dict[str, float]:
     """Weights of the words of ``rows(text, toxic)`` that stand mostly in toxic texts: smoothed log odds over those of all rows, up to a ceiling, so that a term counts by how sure it is, not by how common.
 
     Every word's clean and toxic texts are counted whole before any is ranked, so the lexicon doesn't depend on how the rows are
     dealt. A word that clean texts quote enters with the smaller weight that its odds give it; one under ``lift`` doesn't.
+    All words that pass are terms; the bounded sample bounds them.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +196,7 @@ def learn_lexicon(rows: DataFrame, support: int = 3, precision: float = 0.5, ter
     if not base or not base["clean"] or not base["toxic"]:
         return {}
     weight = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) + float(np.log((base["clean"] + 1) / (base["toxic"] + 1)))
-    top = counts.where("word <> ''").withColumn("weight", weight).where(F.col("weight") >= lift).orderBy((F.col("toxic") * F.col("weight")).desc(), "word").limit(terms)
+    top = counts.where("word <> ''").withColumn("weight", weight).where(F.col("weight") >= lift)
     return {r["word"]: min(r["weight"], ceiling) for r in top.collect()}
 
 
@@ -231,7 +233,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 50_000) -> tuple[dic
     marked = labels.where("toxic is not null").select("doc_id", "toxic").where(~held_out(3, 1)).where("doc_id is not null")
     n = marked.count()
     if n > sample:
-        marked = marked.where(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_003)) < int(1_000_003 * sample / n))
+        marked = marked.where(sampled("toxicity", "doc_id", sample, n))
     marked = marked.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     # about `sample` rows of 12 bytes, whatever the size of the tables
     rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")
