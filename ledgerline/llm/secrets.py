@@ -7,6 +7,8 @@ is over the limit of its character class. A window slides over each candidate an
 symbol: a step adds the entering symbol and takes the leaving one away, and the sum of ``c * log2(c)``
 changes by these two terms alone.
 
+Candidates of letters alone, however long, are words or names and are allow-listed, as are placeholders, UUIDs and numbers.
+
 Defined results: a null text is an empty text; a text without a match has an empty array; repeated rows
 are scanned each for themselves; only the text column is read, so other columns cannot clash. There is
 no shuffle: a row's work depends on its own text alone, whatever its source or copies.
@@ -19,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import free_name
+
 # The kinds, in the order in which ties are listed.
 KINDS = ("assign", "access", "hex", "entropy")
 
@@ -29,6 +33,9 @@ ASSIGN_SEEN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 
+#: Matches of a text whose spans are put together at once.
+STRETCH = 64
+
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 
@@ -52,8 +59,16 @@ def _spans(text: Column, pattern: str, seen: str | None = None) -> Column:
         end = start + F.char_length(x["m"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value")))).alias("out"))
 
+    # spans are gathered a stretch of matches at a time: a growing array is copied at each step
     zipped = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("gap")))
-    made = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(zipped) - 1) / STRETCH)), lambda k: F.slice(zipped, (k * STRETCH + 1).cast("int"), F.lit(STRETCH)))
+
+    def gather(acc: Column, part: Column) -> Column:
+        got = F.aggregate(part, F.struct(acc["at"].alias("at"), empty.alias("out")), step)
+        return F.struct(got["at"].alias("at"), F.concat(acc["out"], F.array(got["out"])).alias("out"))
+
+    made = F.flatten(F.aggregate(stretches, F.struct(F.lit(0).alias("at"), F.slice(F.array(empty), 1, 0).alias("out")), gather, lambda acc: acc["out"]))
+    made = F.when(F.size(found) > 0, made).otherwise(empty)
     return F.when(text.rlike(seen or pattern), made).otherwise(empty)
 
 
@@ -108,17 +123,25 @@ def entropy_spans(text: Column, width: int = 20, hex_limit: float = 3.01, mixed_
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with two array columns, ``base`` and ``added`` (entropy spans that lie in no base span)."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("base", base_spans(t)).withColumn("found", entropy_spans(t))
-    covered = "filter(found, x -> not exists(base, b -> b.start < x.end and x.start < b.end))"
-    return out.withColumn("added", F.expr(covered)).drop("found")
+    """``docs`` with two array columns, ``base`` and ``added`` (entropy spans that lie in no base span).
+
+    A column of ``docs`` that has one of these names gives way to it; ``redact`` and the query never meet that case.
+    """
+    t, found = F.coalesce(F.col(text), F.lit("")), free_name([*docs.columns, "base", "added"], "found")
+    out = docs.drop("base", "added").withColumn("base", base_spans(t)).withColumn(found, entropy_spans(t))
+    covered = f"filter({found}, x -> not exists(base, b -> b.start < x.end and x.start < b.end))"
+    return out.withColumn("added", F.expr(covered)).drop(found)
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """Replace every secret span of ``text`` by ``mark``; ``n_chars`` follows. All rows and columns stay."""
+    """Replace every secret span of ``text`` by ``mark``; ``n_chars`` follows. All rows and columns stay.
+
+    Defined results: null, empty and clean texts stay as they are, with their n_chars; repeated rows are changed alike; an empty table
+    stays empty; other columns are carried along, whatever their names.
+    """
     cols = docs.columns
-    found = scan(docs)
+    kept = {c: free_name(cols, f"own_{c}") for c in cols if c in ("base", "added")}
+    found = scan(docs.withColumnsRenamed(kept))
     spans = "array_sort(concat(base, added))"
     rebuilt = (
         f"aggregate({spans}, named_struct('at', 0, 'out', ''), (a, x) -> "
@@ -127,7 +150,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         "a -> concat(a.out, substring(text, a.at + 1)))"
     )
     hit = found.withColumn("text", F.when(F.size("base") + F.size("added") > 0, F.expr(rebuilt)).otherwise(F.col("text")))
-    return hit.withColumn("n_chars", F.when(F.size("base") + F.size("added") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*cols)
+    return hit.withColumn("n_chars", F.when(F.size("base") + F.size("added") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*(F.col(kept.get(c, c)).alias(c) for c in cols))
 
 
 def op2_secrets(docs: DataFrame) -> DataFrame:
