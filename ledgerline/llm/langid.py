@@ -8,7 +8,7 @@ chosen by penalised likelihood: a language stays only if the log-likelihood it a
 languages go one at a time, smallest share first.
 
 Trigram counts come from labelled rows only: a sample by keyed hash of about ``sample`` rows, at any size
-of the table, hashed into ``BUCKETS`` counts a language. The model is that table, a bounded size.
+of the table, equally many of each language as far as there are so many, hashed into ``BUCKETS`` counts a language. The model is that table, a bounded size.
 
 Prediction reads each text once, whole, in blocks of about a million letters: no shuffle.
 
@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import sampled
+
 BUCKETS = 1 << 16
 BLOCK = 1 << 20
 UND = "und"
@@ -73,9 +75,13 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def learn(labelled: DataFrame, sample: int = 20_000) -> tuple[list[str], np.ndarray]:
     """(languages, log probability by language and bucket) from ``labelled(doc_id, text, lang)``."""
     labelled = labelled.where("lang is not null and text is not null")
-    n = labelled.count()
-    if n > sample:
-        labelled = labelled.where(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_003)) < int(1_000_003 * sample / n))
+    per = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
+    each = sample // max(1, len(per))
+    wanted = F.lit(True)
+    for lang, n in sorted(per.items()):
+        if n > each:
+            wanted = F.when(F.col("lang") == lang, sampled("langid", "doc_id", each, n)).otherwise(wanted)
+    labelled = labelled.where(wanted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -100,23 +106,32 @@ def learn(labelled: DataFrame, sample: int = 20_000) -> tuple[list[str], np.ndar
     return langs, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32) if langs else table.astype(np.float32)
 
 
-def _em(p: np.ndarray, words: np.ndarray, starts: np.ndarray, share: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shares (language, text) after some steps of EM, and the log-likelihood of each text under them."""
-    for _ in range(steps):
-        joint = p * np.repeat(share, words, axis=1)
+def _em(p: np.ndarray, words: np.ndarray, starts: np.ndarray, share: np.ndarray, settled: float = 1e-3, most: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Shares (language, text) by EM until no share of a text moves by ``settled`` in a step (``most`` steps for texts that creep on), and the log-likelihood of each text under them."""
+    share = share.copy()
+    live, q, w = np.arange(len(words)), p, words
+    for _ in range(most):
+        s = np.cumsum(w) - w
+        joint = q * np.repeat(share[:, live], w, axis=1)
         joint /= joint.sum(axis=0)
-        share = np.add.reduceat(joint, starts, axis=1) / words
+        new = np.add.reduceat(joint, s, axis=1) / w
+        moves = np.abs(new - share[:, live]).max(axis=0) >= settled
+        share[:, live] = new
+        if not moves.any():
+            break
+        if moves.mean() < 0.7:
+            q, live, w = q[:, np.repeat(moves, w)], live[moves], w[moves]
     fit = np.log((p * np.repeat(share, words, axis=1)).sum(axis=0, dtype=np.float64))
     return share, np.add.reduceat(fit, starts)
 
 
-def mixtures(word_ll: np.ndarray, words: np.ndarray, penalty: float = 2.0, steps: int = 10) -> np.ndarray:
+def mixtures(word_ll: np.ndarray, words: np.ndarray, penalty: float = 2.0) -> np.ndarray:
     """Shares (language, text) of the chosen languages; ``words`` are at least 1 for every text."""
     top = word_ll.max(axis=0)
     p = np.exp(np.maximum(word_ll - top, -60.0)).astype(np.float32)
     n_lang = len(p)
     starts = np.concatenate([[0], np.cumsum(words)[:-1]])
-    share, full = _em(p, words, starts, np.full((n_lang, len(words)), 1 / n_lang, np.float32), steps)
+    share, full = _em(p, words, starts, np.full((n_lang, len(words)), 1 / n_lang, np.float32))
     cost = penalty * np.log(np.maximum(words, 2)) / 2
     single = np.add.reduceat(np.log(p).astype(np.float64), starts, axis=1)
     best = single.argmax(axis=0)
@@ -133,7 +148,7 @@ def mixtures(word_ll: np.ndarray, words: np.ndarray, penalty: float = 2.0, steps
         fewer = active.copy()
         fewer[least, np.arange(len(live))] = False
         start = np.where(fewer, np.maximum(share, 1e-3), 0).astype(np.float32)
-        tried, fit = _em(q, w, s, start / start.sum(axis=0), steps)
+        tried, fit = _em(q, w, s, start / start.sum(axis=0))
         drop = fit >= full - cost[live]
         chosen[:, live[~drop]] = share[:, ~drop]
         go = drop & (fewer.sum(axis=0) > 1)
@@ -185,7 +200,12 @@ def op3_language(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """Rows of ``docs`` whose main language has at least the share ``least``; ``lang`` becomes what was predicted."""
+    """Rows of ``docs(doc_id, text, lang, ...)`` whose main language has at least the share ``least``; ``lang`` becomes what was predicted.
+
+    Defined results: null texts, texts without a letter, and every row where nothing could be learned go; repeated rows are judged each
+    for themselves; at equal shares the language that comes first by code point counts; an empty table stays empty; a null doc_id is a
+    row like any other; other columns are carried along, whatever their names.
+    """
     cols = docs.columns
     langs, table = learn(docs.where(~held_out(4, 2)).select("doc_id", "text", "lang"))
     sent = docs.sparkSession.sparkContext.broadcast((langs, table))
