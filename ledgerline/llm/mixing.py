@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialise, null_join
+from ledgerline.llm.common import free_name, materialise, null_join
 
 # Fixed value: what a word is (runs of anything but space, tab, line feed, vertical tab, form feed, carriage return).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,7 +35,10 @@ SALTS = 64
 
 
 def targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, cap: float = 3.0) -> DataFrame:
-    """One row a source: (source, source_size, target). ``sizes`` holds (source, size)."""
+    """One row a source: (source, source_size, target). ``sizes`` holds (source, size).
+
+    The weights go round by the sources' order, so the sources (not their documents) are put in one order: a row of some 50 bytes each.
+    """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     per = per.withColumn("w", F.get(F.array(*[F.lit(float(c)) for c in cycle]), (F.row_number().over(order) - 1) % len(cycle)))
@@ -134,19 +137,22 @@ def op6_mix(docs: DataFrame) -> DataFrame:
 
 
 def repeat_taken(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """``docs`` as the mix takes them: each document as many times as it has copies; columns unchanged.
+    """``docs(doc_id, text, source, ...)`` as the mix takes them: each document as many times as it has copies; columns unchanged.
 
-    Decisions belong to (doc_id, size); repeated rows with different copies share them in row order.
+    Decisions belong to (doc_id, source, size); repeated rows with different copies share them in the order of their texts. Defined
+    results: null and empty texts go (they have no words to take); a null doc_id or source is a key like any other; an empty table
+    stays empty; other columns are carried along, whatever their names.
     """
     cols = docs.columns
     taken = mix(docs.select("doc_id", "text", "source"), seed).where("copies > 0")
-    key = ["doc_id", "source", "__size"]
-    taken = taken.withColumnRenamed("size", "__size").select(*key, "copies")
-    taken = taken.withColumn("__nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.col("copies").desc())))
-    sized = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    sized = sized.withColumn("__nth", F.row_number().over(Window.partitionBy(*key).orderBy("text")))
-    out = null_join(sized, taken, [*key, "__nth"])
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*cols)
+    size, nth, copies, copy = (free_name(cols, x) for x in ("size", "nth", "copies", "copy"))
+    key = ["doc_id", "source", size]
+    taken = taken.select("doc_id", "source", F.col("size").alias(size), F.col("copies").alias(copies))
+    taken = taken.withColumn(nth, F.row_number().over(Window.partitionBy(*key).orderBy(F.col(copies).desc())))
+    sized = docs.withColumn(size, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).where(F.col(size) > 0)
+    sized = sized.withColumn(nth, F.row_number().over(Window.partitionBy(*key).orderBy("text")))
+    out = null_join(sized, taken, [*key, nth])
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*cols)
 
 
 def oracle(seed: int = 7) -> str:
