@@ -10,24 +10,27 @@ passage to remove; it is reported by its first and last code point in the origin
 With ``lines``, a line that repeats a whole line is a passage to remove whatever its length: lines are hashed
 beside the units, in a space of their own. Passages that overlap are reported as one. The query asks for lines.
 
-Shuffles carry a digest and offsets for each unit, never texts. A digest that stands in a third of all
+Both minimums are parameters: ``short=1, least=1`` removes every later occurrence of every unit. Shuffles carry a digest of 128 bits and offsets for each unit, never texts. A digest that stands in a third of all
 documents is one partial sum a task, and the join that marks its occurrences can be split by Spark, since the
 other side has one row a digest.
 
-Defined results: null and empty texts have no units; rows that share a doc_id are one document (all of them
-keep what it keeps); a null doc_id comes last; a passage that comes twice in one document is removed the second
+Defined results: null and empty texts have no units; rows that share a doc_id are one document by rank (all of them
+keep what it keeps) and cut each for itself; a null doc_id comes last; a passage that comes twice in one document is removed the second
 time; a line without a letter or digit is no passage; only documents with something to remove have rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import free_name
+
 SHORT, LEAST = 3, 25
 LAST = (1 << 63) - 1
 SENTENCE = (".", "!", "?")
@@ -70,24 +73,25 @@ def normal(unit: str) -> str:
     return " ".join(unit.lower().split()).strip(".,;:!?\"'()[]{}«»“”‘’*-#%&$ ")
 
 
-def digest(kind: bytes, unit: str) -> int:
-    return int.from_bytes(hashlib.blake2b(normal(unit).encode("utf-8", "surrogatepass"), digest_size=8, person=kind).digest(), "little", signed=True)
+def digest(kind: bytes, unit: str) -> tuple[int, int]:
+    """128 bits, as two numbers."""
+    return struct.unpack("<qq", hashlib.blake2b(normal(unit).encode("utf-8", "surrogatepass"), digest_size=16, person=kind).digest())
 
 
 def units(docs: DataFrame, short: int = SHORT, lines: bool = False) -> DataFrame:
-    """(doc_id, line, place, start, end, first_word, last_word, digest, again) of each unit of at least ``short`` words of ``docs(doc_id, text)``, and of each line if asked for."""
+    """(doc_id, text_hash, line, place, start, end, first_word, last_word, high, low, again) of each unit of at least ``short`` words of ``docs(doc_id, text)``, and of each line if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "line", "place", "start", "end", "first_word", "last_word", "digest", "again"]
-        kinds = [None, pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
+        names = ["doc_id", "text_hash", "line", "place", "start", "end", "first_word", "last_word", "high", "low", "again"]
+        kinds = [None, pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
         for whole in batches:
             kinds[0] = whole.schema.field(0).type
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 rows: list[tuple] = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for doc_id, text, text_hash in zip(*(c.to_pylist() for c in batch.columns)):
                     place = word = 0
-                    seen: set[int] = set()
+                    seen: set[tuple[int, int]] = set()
                     for number, line in enumerate(cut_lines(text or "")):
                         before = word
                         for start, end in line:
@@ -95,52 +99,57 @@ def units(docs: DataFrame, short: int = SHORT, lines: bool = False) -> DataFrame
                             n = len(unit.split())
                             if n >= short:
                                 d = digest(b"", unit)
-                                rows.append((doc_id, False, place, start, end, word, word + n, d, d in seen))
+                                rows.append((doc_id, text_hash, False, place, start, end, word, word + n, *d, d in seen))
                                 seen.add(d)
                                 place += 1
                             word += n
                         start, end = line[0][0], line[-1][1]
                         if lines and any(map(str.isalnum, text[start:end])):
                             d = digest(b"line", text[start:end])
-                            rows.append((doc_id, True, number, start, end, before, word, d, d in seen))
+                            rows.append((doc_id, text_hash, True, number, start, end, before, word, *d, d in seen))
                             seen.add(d)
-                cols = zip(*rows) if rows else [[]] * 9
+                cols = zip(*rows) if rows else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line boolean, place int, start int, end int, first_word int, last_word int, digest long, again boolean")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, f"doc_id {kind}, text_hash long, line boolean, place int, start int, end int, first_word int, last_word int, high long, low long, again boolean")
 
 
 def repeated_passages(docs: DataFrame, short: int = SHORT, least: int = LEAST, lines: bool = False) -> DataFrame:
-    """(doc_id, start, end, n_words, first_doc_id): every passage to remove from ``docs(doc_id, text)``."""
+    """(doc_id, text_hash, start, end, n_words, first_doc_id): every passage to remove from ``docs(doc_id, text)``; ``text_hash`` is Spark's ``xxhash64(text)``, by which texts that share a doc_id are told apart."""
     found = units(docs, short, lines)
     rank = F.coalesce(F.col("doc_id"), F.lit(LAST))
-    firsts = found.groupBy("digest").agg(F.min(rank).alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("__digest"), "first_doc")
-    marked = found.join(firsts, F.col("digest") == F.col("__digest")).where(F.col("again") | (rank > F.col("first_doc")))
-    marked = marked.select("doc_id", "line", "place", "start", "end", "first_word", "last_word", "first_doc").distinct()
-    number = F.row_number().over(Window.partitionBy("doc_id", "line").orderBy("place"))
-    runs = marked.withColumn("run", F.when(F.col("line"), F.col("place")).otherwise(F.col("place") - number)).groupBy("doc_id", "line", "run")
+    firsts = found.groupBy("high", "low").agg(F.min(rank).alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    marked = found.join(firsts, ["high", "low"]).where(F.col("again") | (rank > F.col("first_doc")))
+    marked = marked.select("doc_id", "text_hash", "line", "place", "start", "end", "first_word", "last_word", "first_doc").distinct()
+    number = F.row_number().over(Window.partitionBy("doc_id", "text_hash", "line").orderBy("place"))
+    runs = marked.withColumn("run", F.when(F.col("line"), F.col("place")).otherwise(F.col("place") - number)).groupBy("doc_id", "text_hash", "line", "run")
     spans = [F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.min("first_doc").alias("first_doc")]
     out = runs.agg(*spans).where(F.col("line") | (F.col("last_word") - F.col("first_word") >= least))
     if lines:
-        earlier = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "line")
+        earlier = Window.partitionBy("doc_id", "text_hash").orderBy("start", F.desc("end"), "line")
         reached = F.coalesce(F.max("end").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
         out = out.withColumn("begins", (F.col("start") >= reached).cast("int")).withColumn("passage", F.sum("begins").over(earlier.rowsBetween(Window.unboundedPreceding, 0)))
-        out = out.groupBy("doc_id", "passage").agg(*spans)
+        out = out.groupBy("doc_id", "text_hash", "passage").agg(*spans)
     n_words = (F.col("last_word") - F.col("first_word")).cast("int")
-    return out.select("doc_id", "start", "end", n_words.alias("n_words"), F.when(F.col("first_doc") < LAST, F.col("first_doc")).alias("first_doc_id"))
+    return out.select("doc_id", "text_hash", "start", "end", n_words.alias("n_words"), F.when(F.col("first_doc") < LAST, F.col("first_doc")).alias("first_doc_id"))
 
 
 def remove(docs: DataFrame, short: int = SHORT, least: int = LEAST, lines: bool = False) -> DataFrame:
-    """``docs`` without the repeated passages, and ``removed``: their (start, end) in the original text."""
+    """``docs(doc_id, text, ...)`` without the repeated passages, and ``removed``: their (start, end) in the original text, null where nothing was.
+
+    Defined results: null and empty texts stay as they are; texts that share a doc_id are cut each at its own passages; a column ``removed``
+    of ``docs`` stays, and the new one has as many underscores before its name as make it free; an empty table stays empty.
+    """
     spans = repeated_passages(docs.select("doc_id", "text"), short, least, lines)
-    per = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    out = docs.join(per, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    removed, id_, hash_ = (free_name(docs.columns, x) for x in ("removed", "of_doc_id", "of_text"))
+    per = spans.groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(removed))
+    out = docs.join(per, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_)), "left").drop(id_, hash_)
     rest = (
-        "aggregate(removed, named_struct('at', 0, 'out', ''), (a, x) -> named_struct('at', x.end, 'out', "
+        f"aggregate({removed}, named_struct('at', 0, 'out', ''), (a, x) -> named_struct('at', x.end, 'out', "
         "concat(a.out, substring(text, a.at + 1, x.start - a.at))), a -> concat(a.out, substring(text, a.at + 1)))"
     )
-    return out.withColumn("text", F.when(F.col("removed").isNotNull(), F.expr(rest)).otherwise(F.col("text")))
+    return out.withColumn("text", F.when(F.col(removed).isNotNull(), F.expr(rest)).otherwise(F.col("text")))
 
 
 def op7_repeats(docs: DataFrame, lines: bool = False) -> DataFrame:
