@@ -8,16 +8,18 @@ Texts are lower-cased words between white space; a shingle is five of them (a sh
    advance together to a common time, which is put off only while a slot is still empty, so most shingles stop
    after their first arrivals. Two slots agree with the probability
    Jaccard similarity of the shingle sets, which is the one verified.
-3. Banding: ``BANDS`` bands of ``ROWS`` slots; texts that share a band are candidates. A bucket is compared in
-   blocks of at most about ``BLOCK`` texts against each other, by signature, in one task for each pair of blocks; of the pairs that agree in
-   ``NEAR`` of the slots or more only a spanning forest goes on. Buckets of any size are compared whole.
+3. Banding: ``BANDS`` bands of ``ROWS`` slots; texts that share a band are candidates if ``NEAR`` of all slots or more agree. A bucket's
+   texts are first compared with one of them, its leader, by signature; those near it are joined through it. Only the texts that aren't are
+   compared with all others, in blocks of at most about ``BLOCK`` texts, one task for each pair of blocks. Only a spanning forest of the
+   pairs goes on. Buckets of any size are compared whole, and one that holds copies of one text costs a row a text.
 4. Verification: the forests' components are the groups inside which every link lies. Their texts are read again
-   as sets of 64-bit shingle hashes, compared in blocks, exactly; pairs with a Jaccard similarity of
-   ``similarity`` or more are links. Again a forest stands for a block's links.
+   as sets of 64-bit shingle hashes and compared exactly; pairs with a Jaccard similarity of
+   ``similarity`` or more are links. Again a group's leader comes first: texts that are linked with it are one class already and need not be
+   compared with each other; every other text is compared with all texts of the group, in blocks.
 5. Components of the links are the classes; a class's id is its smallest doc_id.
 
 Similarity is that of the sets (a shingle counts once). At 0.8, 24 bands of 5 slots miss a pair with
-probability 7e-5 and the slot filter drops one with 1.8e-04; together they miss at most the sum.
+probability 7e-5 and the slot filter drops one with less than 1e-6; together they miss at most the sum.
 
 Defined results: null texts and texts without a word are in no class but their own (each row for itself, with
 its doc_id); repeated rows are copies of each other; a null doc_id comes last in its class.
@@ -30,17 +32,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import components, materialise, per_worker
+from ledgerline.llm.common import by_key, components, materialise, per_worker
 from ledgerline.llm.langid import blocks
 
 WIDTH = 5
 BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
-NEAR = 0.66
+NEAR = 0.6
 BLOCK = 128
+#: Texts that are compared with their leader in one task.
+LED = 2048
 #: A worker keeps the hashes of at most so many words.
 REMEMBERED = 500_000
 #: Letters of the texts that are signed together.
@@ -174,17 +178,28 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def blocked(members: DataFrame, key: str, node: str, per_block: int = BLOCK) -> DataFrame:
-    """``members`` dealt to pairs of blocks of their key: columns ``i <= j`` and ``own`` (the member's block) are added.
+def led(members: DataFrame, key: str, count: str, leads: Column) -> DataFrame:
+    """``members`` dealt to parts of about ``LED`` rows of their key: a column ``part`` and ``leads`` are added; the key's leader is in every part."""
+    parts = F.ceil(F.col(count) / LED).cast("int")
+    out = members.withColumn("leads", leads).withColumn("own", F.pmod(F.xxhash64(F.lit("part"), "digest"), parts).cast("int"))
+    out = out.withColumn("part", F.explode(F.when(F.col("leads"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array("own"))))
+    return out.withColumn("last", ~F.col("leads"))
 
-    Keys with a single member go. A key's blocks follow from its count, so a task holds about two blocks of it
-    at most, whatever the key's size; a member is sent once for each block of its key.
+
+def rest_blocked(members: DataFrame, key: str, per_block: int) -> DataFrame:
+    """``members(key, digest, near, ...)`` dealt to pairs of blocks of their key, so that every two of which one isn't near the leader meet: columns ``i <= j`` and ``own`` are added.
+
+    Keys whose members are all near their leader go. A near member meets the blocks of the rest, one of the rest meets all blocks; how many
+    blocks there are follows from the counts, so a task holds about two blocks, whatever the key's size.
     """
-    count = members.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    out = members.join(count, members[key] == count["__k"]).withColumn("blocks", F.ceil(F.col("__n") / per_block).cast("int")).drop("__k", "__n")
-    out = out.withColumn("own", F.pmod(F.xxhash64(F.lit("block"), node), F.col("blocks")).cast("int"))
-    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return out.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+    counts = members.groupBy(key).agg(F.count_if("near").alias("n_near"), F.count_if(~F.col("near")).alias("n_rest")).where("n_rest > 0")
+    counts = materialise(counts.withColumn("members", F.col("n_near") + F.col("n_rest")))
+    out = by_key(members, counts, key, "members")
+    near, rest = (F.ceil(F.col(c) / per_block).cast("int") for c in ("n_near", "n_rest"))
+    turn = F.xxhash64(F.lit("block"), "digest")
+    out = out.withColumn("own", F.when(F.col("near"), F.pmod(turn, near)).otherwise(near + F.pmod(turn, rest)).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.when(F.col("near"), near).otherwise(F.lit(0)), near + rest - 1)))
+    return out.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "n_near", "n_rest", "members")
 
 
 def in_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -222,45 +237,73 @@ def sorted_groups(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
 
 
+def _agreeing(sig: np.ndarray, n: np.ndarray, x: int, rest: np.ndarray, near: float, similarity: float) -> np.ndarray:
+    """Which of ``rest`` may be similar to ``x`` by size and by the slots that agree."""
+    rest = rest[(n[rest] >= similarity * n[x]) & (n[x] >= similarity * n[rest])]
+    return rest[(sig[rest] == sig[x]).sum(axis=1) >= near * sig.shape[1]] if len(rest) else rest
+
+
+def _signed(g: pa.Table | pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    ids = g.column("digest").to_pylist()
+    return ids, g.column("n").to_numpy(), np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+
+
 def candidates(texts: DataFrame, near: float = NEAR, similarity: float = 0.8) -> DataFrame:
     """Edges (a, b) between digests of ``texts(digest, n, sig, bands)``: forests of the pairs that agree nearly enough."""
-    members = texts.select("digest", "n", "sig", F.explode("bands").alias("bucket"))
-    sent = sorted_groups(blocked(members, "bucket", "digest").select("bucket", "i", "j", "own", "digest", "n", "sig"), ["bucket", "i", "j"], [])
+    members = texts.select("digest", "n", "sig", F.explode("bands").alias("bucket")).withColumn("turn", F.xxhash64(F.lit("leader"), "digest"))
+    size = members.groupBy(F.col("bucket").alias("__bucket")).agg(F.count(F.lit(1)).alias("members"), F.min("turn").alias("__turn")).where("members > 1")
+    members = members.join(size, F.col("bucket") == F.col("__bucket")).select("bucket", "members", "digest", "n", "sig", (F.col("turn") == F.col("__turn")).alias("first"))
+    dealt = sorted_groups(led(members, "bucket", "members", F.col("first")).select("bucket", "part", "last", "digest", "n", "sig"), ["bucket", "part"], ["last", "digest"])
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, leader = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, n, sig = _signed(batch)
+            bucket, part = batch.column("bucket").to_numpy(), batch.column("part").to_numpy()
+            change = np.flatnonzero((bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])) + 1
+            leaders: list[bytes | None] = [None] * len(ids)
+            told = np.ones(len(ids), bool)
+            for a, b in zip([0, *change.tolist()], [*change.tolist(), len(ids)]):
+                if (bucket[a], part[a]) != held:
+                    held, leader = (bucket[a], part[a]), (ids[a], n[a], sig[a])
+                    told[a] = part[a] == 0  # the leader is told of once
+                key, size, own = leader
+                ok = (n[a:b] >= similarity * size) & (size >= similarity * n[a:b]) & ((sig[a:b] == own).sum(axis=1) >= near * len(own))
+                for x in np.flatnonzero(ok).tolist():
+                    leaders[a + x] = key
+            made = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("bucket", "digest", "n", "sig")), pa.array(leaders, pa.binary())], ["bucket", "digest", "n", "sig", "leader"])
+            yield made.filter(pa.array(told))
+
+    told = materialise(dealt.mapInArrow(follow, "bucket long, digest binary, n long, sig binary, leader binary"))
+    starry = told.where("leader is not null and leader <> digest").select(F.least("leader", "digest").alias("a"), F.greatest("leader", "digest").alias("b"))
+    rest = rest_blocked(told.select("bucket", "digest", "n", "sig", F.col("leader").isNotNull().alias("near")), "bucket", BLOCK)
+    sent = sorted_groups(rest.select("bucket", "i", "j", "own", "digest", "n", "sig"), ["bucket", "i", "j"], [])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[bytes, bytes]] = []
         done: set[tuple[bytes, bytes]] = set()
         for g in in_groups(batches, 3):
-            if g.num_rows < 2:
-                continue
-            ids = g.column("digest").to_pylist()
-            own, n = g.column("own").to_numpy(), g.column("n").to_numpy()
-            sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+            ids, n, sig = _signed(g)
+            own = g.column("own").to_numpy()
             i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
             left = np.flatnonzero(own == i)
             right = left if i == j else np.flatnonzero(own == j)
             if not len(left) or not len(right):
                 continue
-            xs, ys = [], []
-            for x in left.tolist():
-                rest = right[right > x] if i == j else right
-                rest = rest[(n[rest] >= similarity * n[x]) & (n[x] >= similarity * n[rest])]
-                if len(rest):
-                    ok = rest[(sig[rest] == sig[x]).sum(axis=1) >= near * sig.shape[1]]
-                    xs.append(np.full(len(ok), x))
-                    ys.append(ok)
-            if xs:
-                for x, y in forest(len(ids), np.concatenate(xs), np.concatenate(ys)):
-                    e = (min(ids[x], ids[y]), max(ids[x], ids[y]))
-                    if e not in done:
-                        done.add(e)
-                        out.append(e)
+            found = [(x, _agreeing(sig, n, x, right[right > x] if i == j else right, near, similarity)) for x in left.tolist()]
+            for x, y in forest(len(ids), np.repeat([x for x, _ in found], [len(y) for _, y in found]), np.concatenate([y for _, y in found])):
+                e = (min(ids[x], ids[y]), max(ids[x], ids[y]))
+                if e not in done:
+                    done.add(e)
+                    out.append(e)
             if len(out) > 10_000:
                 yield _emit(out)
                 out, done = [], set()
         yield _emit(out)
 
-    return sent.mapInArrow(compare, "a binary, b binary").distinct()
+    return starry.union(sent.mapInArrow(compare, "a binary, b binary")).distinct()
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -313,14 +356,39 @@ def links(docs: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFra
     """Verified edges (a, b) between digests; ``texts`` holds one row (doc_id, digest, n, sig, bands) a distinct text."""
     edges = candidates(texts, similarity=similarity)
     groups = components(edges)
-    wanted = materialise(texts.join(groups, texts["digest"] == groups["node"]).select("doc_id", "digest", F.col("label").alias("grp")))
+    size = materialise(groups.groupBy("label").agg(F.count(F.lit(1)).alias("members")))
+    groups = by_key(groups, size, "label", "members")
+    wanted = materialise(texts.join(groups, texts["digest"] == groups["node"]).select("doc_id", "digest", F.col("label").alias("grp"), "members"))
     ids = wanted.select(F.col("doc_id").alias("__id")).distinct()
     read = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     sets = shingle_sets(read).withColumnRenamed("digest", "__digest")
-    got = wanted.join(sets, F.col("digest") == F.col("__digest")).select("grp", "digest", "set")
+    got = wanted.join(sets, F.col("digest") == F.col("__digest")).select("grp", "members", "digest", "set")
     # copies of a text under one doc_id give the same set again
-    got = materialise(got.groupBy("grp", "digest").agg(F.first("set").alias("set")))
-    sent = sorted_groups(blocked(got, "grp", "digest", BLOCK // 2).select("grp", "i", "j", "own", "digest", "set"), ["grp", "i", "j"], [])
+    got = materialise(got.groupBy("digest").agg(F.first("grp").alias("grp"), F.first("members").alias("members"), F.first("set").alias("set")))
+    # a group is named after one of its texts, its leader
+    dealt = sorted_groups(led(got, "grp", "members", F.col("digest") == F.col("grp")).select("grp", "part", "last", "digest", "set"), ["grp", "part"], ["last", "digest"])
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, leader = None, None
+        for batch in batches:
+            rows = []
+            for grp, part, last, key, s in zip(*(batch.column(c).to_pylist() for c in ("grp", "part", "last", "digest", "set"))):
+                items = np.frombuffer(s, np.uint64)
+                if (grp, part) != held:
+                    held, leader = (grp, part), items
+                    if not part:
+                        rows.append((grp, key, True))
+                    continue
+                found = np.minimum(np.searchsorted(leader, items), len(leader) - 1)
+                common = int((leader[found] == items).sum())
+                rows.append((grp, key, common >= similarity * (len(leader) + len(items) - common) - 1e-9))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.bool_())], ["grp", "digest", "near"])
+
+    told = materialise(dealt.mapInArrow(follow, "grp binary, digest binary, near boolean"))
+    starry = told.where("near and grp <> digest").select(F.col("grp").alias("a"), F.col("digest").alias("b"))
+    rest = rest_blocked(told, "grp", BLOCK // 2)
+    rest = rest.join(got.select(F.col("digest").alias("__digest"), "set"), F.col("digest") == F.col("__digest"))
+    sent = sorted_groups(rest.select("grp", "i", "j", "own", "digest", "set"), ["grp", "i", "j"], [])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[bytes, bytes]] = []
@@ -342,7 +410,7 @@ def links(docs: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFra
                 out = []
         yield _emit(out)
 
-    return sent.mapInArrow(verify, "a binary, b binary")
+    return starry.union(sent.mapInArrow(verify, "a binary, b binary"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -351,17 +419,22 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     reps = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     reps = materialise(reps)
     found = components(links(docs, reps, similarity))
-    labelled = reps.select("digest", "doc_id").join(found.withColumnRenamed("node", "__node"), F.col("digest") == F.col("__node"), "left")
-    labelled = labelled.select("digest", "doc_id", F.coalesce("label", "digest").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    classes = labelled.join(least, "label").select(F.col("digest").alias("__digest"), "class_id")
+    linked = materialise(reps.select("digest", "doc_id").join(found.withColumnRenamed("node", "__node"), F.col("digest") == F.col("__node")).select("digest", "doc_id", "label"))
+    least = materialise(linked.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("members")))
+    linked = by_key(linked.select("digest", "label"), least, "label", "members").select("digest", "class_id", F.lit(True).alias("linked"))
+    classes = reps.select("digest", "doc_id").join(linked, "digest", "left")
+    classes = classes.select(F.col("digest").alias("__digest"), F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
     out = signed.select("doc_id", "digest").join(classes, F.col("digest") == F.col("__digest"), "left")
     class_id = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     return out.select("doc_id", class_id.alias("class_id"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """One row of ``docs`` for each class of near duplicates; columns unchanged."""
+    """One row of ``docs(doc_id, text, ...)`` for each class of near duplicates; columns unchanged.
+
+    Defined results: every null text and every text without a word stays (repeated rows of one doc_id once); of rows that share the
+    kept doc_id one of each text stays; an empty table stays empty; other columns are carried along, whatever their names.
+    """
     kept = near_duplicates(docs.select("doc_id", "text"), similarity).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))
     kept = materialise(kept.withColumnRenamed("doc_id", "__id"))
     out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "inner")
