@@ -23,5 +23,9 @@ def test_stages_on_odd_rows(spark, sf_dir, odd):
         docs = stage(spark, docs, sf_dir)
         assert docs.columns == P.COLUMNS, name
     assert max(Counter(r.doc_id for r in docs.collect()).values()) <= 3
+    named = P.STAGES[0][1](spark, odd, sf_dir)
+    assert named.columns == P.COLUMNS and {r.doc_id for r in named.collect()} <= {1, 2, 3, 8, 9, 10, None}
+    pieces = P.STAGES[4][1](spark, odd, sf_dir).collect()
+    assert len(pieces) == odd.count() and all(r.lossless for r in pieces) and {r.n_pieces for r in pieces if r.doc_id in (4, 5)} == {0}
     for _, stage in P.STAGES:
         assert stage(spark, odd.limit(0), sf_dir).count() == 0

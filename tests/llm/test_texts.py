@@ -51,6 +51,20 @@ def test_entropy_windows(spark):
     assert [r.n_entropy for r in secrets.op2_secrets(rows).orderBy("doc_id").collect()] == [1, 0, 0]
 
 
+def test_many_spans_and_clashing_names(spark):
+    text = "é " + " ".join(f"token=abc{k:04d}" for k in range(300))
+    df = spark.createDataFrame([(1, text, len(text), "mine", 5)], "doc_id long, text string, n_chars long, base string, added int")
+    assert [(b["start"], b["kind_no"], b["kind"], b["end"]) for b in secrets.scan(df.select("doc_id", "text")).first().base] == base_spans(text)
+    r = secrets.redact(df).first()
+    assert (r.base, r.added, r.text) == ("mine", 5, "é " + " ".join(["[SECRET]"] * 300))
+    taken = mixing.repeat_taken(df.withColumn("source", F.lit("s")).withColumn("copies", F.lit(9)).withColumn("size", F.lit("z")))
+    assert taken.columns[-2:] == ["copies", "size"] and taken.first()["copies"] == 9
+    two = spark.createDataFrame([(1, "A line that stands twice here\nown one", "x"), (2, "Other beginning\nA line that stands twice here", "y"), (2, "A line that stands twice here\nthird", "z")], "doc_id long, text string, removed string")
+    assert {(r.doc_id, r.removed): (r.text, r._removed and [tuple(x) for x in r._removed]) for r in repeats.remove(two, lines=True).collect()} == {
+        (1, "x"): ("A line that stands twice here\nown one", None), (2, "y"): ("Other beginning\n", [(16, 45)]), (2, "z"): ("\nthird", [(0, 29)])
+    }
+
+
 def test_redact_replaces_spans_only(odd, spark):
     df = spark.createDataFrame([(1, "a token=abcdefgh b", 18), (2, "clean", 5), (3, None, None)], "doc_id long, text string, n_chars long")
     assert [(r.text, r.n_chars) for r in secrets.redact(df).orderBy("doc_id").collect()] == [("a [SECRET] b", 12), ("clean", 5), (None, None)]
@@ -76,6 +90,38 @@ def test_language_odd_rows_and_mixtures(odd, empty, documents):
     assert 0.3 < mixed[langs.index(a), 0] < 0.7 and 0.3 < mixed[langs.index(b), 0] < 0.7 and mixed[langs.index(a), 1] > 0.9
 
 
+def test_mixtures_against_every_subset(documents):
+    """Plain EM in doubles for every set of languages; the set with the best penalised likelihood wins."""
+    langs, table = langid.learn(documents)
+    logs = table.astype(float)
+    texts = [r.text[:1500] for r in documents.where("length(text) > 200").orderBy("doc_id").limit(40).collect()]
+    texts += [a[:300] + "\n" + b[:300] for a, b in zip(texts[::2], texts[1::2])]
+    got, same = langid.shares(texts, table), 0
+    for t, share in zip(texts, got.T):
+        bucket, first, _ = langid.trigrams([t])
+        ll = np.add.reduceat(logs[:, bucket], first, axis=1)
+        p = np.exp(np.maximum(ll - ll.max(axis=0), -60))
+        best = None
+        for bits in range(1, 1 << len(langs)):
+            live = [k for k in range(len(langs)) if bits >> k & 1]
+            w = np.full(len(live), 1 / len(live))
+            for _ in range(300):
+                j = p[live] * w[:, None]
+                w = (j / j.sum(axis=0)).mean(axis=1)
+            worth = np.log((p[live] * w[:, None]).sum(axis=0)).sum() - (len(live) - 1) * np.log(max(2, p.shape[1]))
+            if best is None or worth > best[0]:
+                best = (worth, dict(zip(live, w)))
+        same += set(best[1]) == set(np.flatnonzero(share)) and all(abs(share[k] - w) < 0.02 for k, w in best[1].items())
+        assert abs(share.max() - max(best[1].values())) < 0.05 or set(best[1]) != set(np.flatnonzero(share))
+    assert same >= 0.95 * len(texts)
+
+
+def test_rare_language_is_learned(spark):
+    rows = [(k, f"the words of common text number {k}", "en") for k in range(3000)] + [(5000 + k, f"çà où être forêt ligne {k}", "fr") for k in range(20)]
+    langs, _ = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=60)
+    assert langs == ["en", "fr"]
+
+
 # --- toxicity
 
 
@@ -124,6 +170,42 @@ def test_context_tells_quotation_from_abuse():
     assert abuse[at["strongest"]] > quote[at["strongest"]] > 0 and quote[at["quoted"]] > 0 and not any(clean)
 
 
+def test_score_against_brute_force(documents, spark):
+    """Every word against every term by its edits, windows by word positions, sums and score written out."""
+
+    def near(a, b):
+        swapped = [b[:k] + b[k + 1] + b[k] + b[k + 2 :] for k in range(len(b) - 1)]
+        return 0 if a == b else 1 if edits(a, b) == 1 or a in swapped else 2
+
+    texts = [r.text for r in documents.orderBy("doc_id").limit(30).collect()] + ["you are idiots", 'he said "what an idi0ts team" twice', "stupdi stupid scm", "Scum! " + "verylongword" * 12 + " you stupid", None, ""]
+    words = Counter(w for t in texts for w in re.findall(r"\w+", (t or "").lower()))
+    terms = {"idiots": 3.5, "stupid": 2.0, "scum": 1.5} | {w: 1.0 + len(w) / 10 for w, n in words.items() if n == 2 and len(w) > 6}
+    weights = np.linspace(-1.0, 1.5, len(toxicity.FEATURES) + 1)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(df, (terms, weights)).collect()}
+    for k, text in enumerate(texts):
+        low = (text or "").lower()
+        at = [(m.group(), m.start(), m.end()) for m in re.finditer(r"\w+", low)]
+        exact = strongest = mis = quoted = addressed = short = 0.0
+        for i, (w, s, e) in enumerate(at):
+            found = sorted((near(w, t), -v, t) for t, v in terms.items() if abs(len(t) - len(w)) < 2 and (w == t or len(t) >= 4 and near(w, t) < 2))
+            if not found:
+                continue
+            d, v, t = found[0]
+            window = [x for x, _, _ in at[max(0, i - 5) : i] + at[i + 1 : i + 6]]
+            left, right = low[at[i - 6][2] if i > 5 else 0 : s], low[e : at[i + 6][1] if i + 6 < len(at) else len(low)]
+            q = 0.6 * (any(c in toxicity.OPENING for c in left) and any(c in toxicity.CLOSING for c in right)) + min(0.4, 0.2 * sum(x in toxicity.REPORTING for x in window))
+            ab = min(1.0, 0.5 * sum(x in toxicity.ADDRESSING for x in window))
+            v = -v * (1 - 0.8 * q * (1 - ab))
+            if d and len(t) < 6:
+                short += v
+                continue
+            quoted, addressed = quoted + q * (1 - ab), addressed + ab
+            mis, exact, strongest = (mis + v, exact, strongest) if d else (mis, exact + v, max(strongest, v))
+        x = [np.log1p(exact), strongest, np.log1p(mis), np.log1p(quoted), np.log1p(addressed), np.log1p(1000 * (exact + mis) / (20 + len(at))) if at else 0.0, np.log1p(short)]
+        assert np.allclose(got[k].x, x) and abs(got[k].score - 1 / (1 + np.exp(-(np.dot(weights[:-1], x) + weights[-1])))) < 1e-9
+
+
 def test_toxicity_odd_rows(odd, empty, spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (99, None)], "doc_id long, toxic int")
     got = toxicity.op1_toxicity(odd, labels).collect()
@@ -144,7 +226,7 @@ def test_toxicity_learns_the_words(spark):
 def test_lexicon_is_the_same_however_rows_are_dealt(spark):
     rows = [(f"some common words stand in all {'the idiotword' if k % 4 == 0 else 'quiet'} {'with quotedword' if k % 4 == 0 or k % 12 == 1 else ''} n{k}", int(k % 4 == 0)) for k in range(48)]
     df = spark.createDataFrame(rows, "text string, toxic int")
-    whole, dealt = (toxicity.learn_lexicon(x, terms=4) for x in (df.coalesce(1), df.repartition(48)))
+    whole, dealt = (toxicity.learn_lexicon(x) for x in (df.coalesce(1), df.repartition(48)))
     assert whole == dealt and whole.keys() == {"the", "idiotword", "with", "quotedword"}
     assert 0 < whole["quotedword"] < whole["idiotword"]
 
@@ -338,8 +420,38 @@ def test_pieces_vary_and_decode(odd, empty, documents):
     assert piece_codec.op10_pieces(empty).count() == 0
     a, b, c = (sorted((r.doc_id, r.ids_sha256) for r in piece_codec.op10_pieces(documents, seed=s).collect()) for s in (1, 1, 2))
     assert a == b and a != c
-    codec = piece_codec.Codec(*read_pieces(), dropout=0.1)
-    assert len({tuple(codec.cut(" international", v)) for v in range(40)}) > 1
+
+
+def test_merge_dropout_against_brute_force(documents, odd):
+    pieces, octets = read_pieces()
+    codec = piece_codec.Codec(pieces, octets, dropout=0.2, seed=5)
+    order = {v: k for k, v in enumerate(sorted({v for _, v in pieces.values()}, reverse=True))}
+
+    def brute(text, key):
+        out = []
+        for number, chunk in enumerate(re.findall(r" *[^ \n]+| +|\n", " " + text) if text else []):
+            parts = [(k, c.replace("▁", "\ufffe").replace(" ", SPACE)) for k, c in enumerate(chunk)]
+            mark = codec.occurrence(key, number)
+            while True:
+                can = [(order[pieces[a + b][1]], i, n) for n, ((i, a), (_, b)) in enumerate(zip(parts, parts[1:])) if a + b in pieces]
+                can = [x for x in can if not codec.skips(mark, x[1], x[0])]
+                if not can:
+                    break
+                n = min(can)[2]
+                parts[n : n + 2] = [(parts[n][0], parts[n][1] + parts[n + 1][1])]
+            for i, p in parts:
+                out += [pieces[p][0]] if p in pieces else [octets[b] for b in chunk[i].encode()]
+        return out
+
+    rows = [(r.doc_id or 0, r.text) for r in documents.select("doc_id", "text").limit(25).union(odd.select("doc_id", "text")).collect()]
+    rows += [(1, "a" * 70 + " tail"), (2, "  two\n\n  blanks  "), (3, "日本▁語 " * 3), (4, "international international")]
+    rows = [(k, t) for k, t in rows if len(t or "") < 5000]
+    got = codec.encode_all([t for _, t in rows], [k for k, _ in rows])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [brute(t, k) for k, t in rows]
+    # every occurrence in one text is cut for itself
+    many = np.frombuffer(codec.encode(" ".join(["international"] * 200)), "<u4").tolist()
+    words = "".join(f"|{i}|" for i in many).split(f"|{pieces[SPACE + 'intern'][0]}|")
+    assert len(set(words)) > 4
 
 
 def test_digest_of_spans(spark):
