@@ -4,20 +4,21 @@ The index is fitted on a bounded sample: its exact neighbour graph is cut into e
 bisection (the second eigenvector of each part's graph, split at the median and smoothed by neighbours'
 votes, both halves kept equal). A softmax classifier learns, for a vector, the shares of its neighbours'
 parts. Every row of the table is then indexed: it goes to its likeliest part, and a part is stored in blocks
-of about ``BLOCK`` rows. A query goes to its ``probes`` likeliest parts, where every row is compared exactly, and
+of about ``BLOCK`` rows. A query goes to its likeliest parts, where every row is compared exactly, and
 the best of all blocks are kept.
 
-In tests ``probes`` gives a recall of 0.9 and more against brute force even on vectors without structure, where
-the nearest neighbour stands hardly out (64 dimensions, cosine 0.46).
+The number of parts follows the number of rows (one for about ``ROWS`` of them, between ``LEAST`` and ``MOST``). How many parts
+a query goes to is measured: on ``HELD`` rows of the sample that the classifier wasn't fitted on, it is the smallest number that
+holds the share ``recall`` of their neighbours in the sample. In the whole table neighbours are nearer than in a sample, so the
+share found there is rarely less. Vectors without structure need most of the parts, vectors in clusters few.
 
 A query's score is the cosine of the original vectors, in double precision and summed in one fixed order, so
-equal vectors score equally; ties go to the smaller vec_id. The row of the query itself is no candidate; a
-repeated row of it is one, as a vector of another row with that vec_id would be: rows are told apart by
-vec_id, so rows that share the query's vec_id are left out together.
+equal vectors score equally; ties go to the smaller vec_id, null last. A row is no candidate of its own; any other row is one,
+whatever its vec_id, and a query row that comes twice asks twice.
 
-Defined results: vectors that take no part (null, zero, a null or non-finite component, another length than
-most) neither ask nor answer; with fewer candidates than asked for, all found are returned; an empty table
-gives no rows.
+Defined results: vectors that take no part (null, empty, zero, a null or non-finite component) neither ask nor answer; a vector's
+candidates are those of its length; with fewer candidates than asked for, all found are returned; rows with a null vec_id
+don't ask but answer; an empty table gives no rows. Only vec_id and embedding are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -29,22 +30,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import materialise
 from ledgerline.llm.near_dup import sorted_groups
-from ledgerline.llm.vectors import in_slices, sample_of, to_matrix, unit, usual_length
+from ledgerline.llm.vectors import by_length, in_slices, lengths_of, sample_of, unit
 
 BLOCK = 2048
 NEIGHBOURS = 10
+ROWS, LEAST, MOST = 2048, 8, 512
+#: Rows of the sample for which the number of parts is measured.
+HELD = 512
+LAST = (1 << 63) - 1
 
 
-def neighbour_graph(u: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
-    """The k nearest other rows of each row."""
+def neighbour_graph(u: np.ndarray, k: int = NEIGHBOURS, strip: int = 64) -> np.ndarray:
+    """The k nearest other rows of each row, a strip of rows at a time."""
     k = min(k, len(u) - 1)
-    out = [np.zeros((0, max(k, 0)), int)]
-    for a in range(0, len(u) if k > 0 else 0, 1024):
-        s = u[a : a + 1024] @ u.T
-        s[np.arange(len(s)), a + np.arange(len(s))] = -np.inf
-        out.append(np.argpartition(-s, k - 1, axis=1)[:, :k])
-    return np.concatenate(out)
+    out = np.zeros((len(u), max(k, 0)), np.int32)
+    for a in range(0, len(u) if k > 0 else 0, strip):
+        s = -(u[a : a + strip] @ u.T)
+        s[np.arange(len(s)), a + np.arange(len(s))] = np.inf
+        out[a : a + strip] = np.argpartition(s, k - 1, axis=1)[:, :k]
+    return out
 
 
 def balanced_parts(graph: np.ndarray, parts: int, steps: int = 40, seed: int = 0) -> np.ndarray:
@@ -80,13 +86,17 @@ def balanced_parts(graph: np.ndarray, parts: int, steps: int = 40, seed: int = 0
     return label
 
 
-def fit_router(u: np.ndarray, shares: np.ndarray, rounds: int = 200, rate: float = 0.1) -> np.ndarray:
-    """Weights (dimension + 1, parts) of a softmax regression onto the shares, by Adam."""
+def fit_router(u: np.ndarray, near: np.ndarray, parts: int, rounds: int = 300, rate: float = 0.1, batch: int = 2048, seed: int = 0) -> np.ndarray:
+    """Weights (dimension + 1, parts) of a softmax regression onto the shares of the parts ``near`` of each row's neighbours, by Adam on parts of the rows."""
     x = np.hstack([u, np.ones((len(u), 1))])
-    w = np.zeros((x.shape[1], shares.shape[1]))
+    w = np.zeros((x.shape[1], parts))
     m, v = np.zeros_like(w), np.zeros_like(w)
+    rng = np.random.default_rng(seed)
     for t in range(1, rounds + 1):
-        g = x.T @ (softmax(x @ w) - shares) / len(x) + 1e-5 * w
+        at = rng.choice(len(x), batch, replace=False) if len(x) > batch else np.arange(len(x))
+        d = softmax(x[at] @ w)
+        np.subtract.at(d, (np.repeat(np.arange(len(at)), near.shape[1]), near[at].ravel()), 1 / near.shape[1])
+        g = x[at].T @ d / len(at) + 1e-5 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w
@@ -97,87 +107,112 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit_index(vectors: DataFrame, dim: int, parts: int = 32, sample: int = 8192) -> np.ndarray:
-    """The router, fitted on about ``sample`` rows; one part only where the sample has too few rows to cut."""
-    u = sample_of(vectors, dim, sample, vectors.count())
-    while parts > 1 and len(u) < 128 * parts:
-        parts //= 2
-    if parts == 1:
-        return np.zeros((dim + 1, 1))
-    graph = neighbour_graph(u)
-    label = balanced_parts(graph, parts)
-    shares = np.zeros((len(u), parts))
-    np.add.at(shares, (np.repeat(np.arange(len(u)), graph.shape[1]), label[graph].ravel()), 1 / graph.shape[1])
-    return fit_router(u, shares)
+def likeliest(u: np.ndarray, router: np.ndarray) -> np.ndarray:
+    """The parts of each row, likeliest first."""
+    return np.argsort(-(np.hstack([u, np.ones((len(u), 1))]) @ router), axis=1, kind="stable")
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, parts: int = 32, probes: int = 23, sample: int = 8192) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest found of every query row among all rows."""
-    rows = vectors.select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("asks")).where("vec_id is not null")
-    dim = usual_length(rows)
-    router = fit_index(rows, dim, parts, sample)
-    probes = max(1, min(router.shape[1], -(-probes * router.shape[1] // parts)))
-    sent = rows.sparkSession.sparkContext.broadcast(router)
+def fit_index(u: np.ndarray, total: int, recall: float) -> tuple[np.ndarray, int]:
+    """(router, parts that a query goes to) for a table of ``total`` rows, fitted on the unit vectors ``u`` of its sample."""
+    parts = LEAST
+    while parts < min(MOST, total / ROWS, len(u) / 32):
+        parts *= 2
+    if len(u) < 4 * parts:  # fewer rows than make parts
+        return np.zeros((u.shape[1] + 1, 1)), 1
+    graph = neighbour_graph(u)
+    label = balanced_parts(graph, parts)
+    held = np.zeros(len(u), bool)
+    held[np.random.default_rng(1).choice(len(u), min(HELD, len(u) // 4), replace=False)] = True
+    router = fit_router(u[~held], label[graph[~held]], parts)
+    home = np.concatenate([likeliest(u[a : a + 2048], router)[:, 0] for a in range(0, len(u), 2048)])
+    asked = likeliest(u[held], router)
+    place = np.argsort(asked, axis=1)  # of each part in a query's order
+    met = np.take_along_axis(place, home[graph[held]], axis=1)
+    found = np.cumsum(np.bincount(met.ravel(), minlength=parts)) / met.size
+    return router, int(np.searchsorted(found, recall) + 1)
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.95, sample: int = 8192) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest found of every query row among all rows.
+
+    The index of a length is fitted on about ``sample`` rows, 64 a part where there are more parts (32,768 at most).
+    """
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = materialise(rows)  # from here on the rows' numbers stay
+    models = {}
+    for dim, n in lengths_of(rows, 4 * LEAST).items():
+        bound = int(max(sample, min(64 * n / ROWS, 64 * MOST)))
+        models[dim] = fit_index(sample_of(rows, "row", dim, bound, n), n, recall)
+    sent = rows.sparkSession.sparkContext.broadcast(models)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = sent.value
-        for batch in batches:
-            m, ok = to_matrix(batch.column(1), dim)
-            z = np.hstack([unit(m), np.ones((len(m), 1))]) @ w
-            order = np.argsort(-z, axis=1, kind="stable")
-            asks = np.asarray(batch.column(2).to_pylist(), bool) & ok
-            r = np.concatenate([np.flatnonzero(ok), np.repeat(np.flatnonzero(asks), probes)])
-            part = np.concatenate([order[ok, 0], order[asks, :probes].ravel()])
-            query = np.concatenate([np.zeros(ok.sum(), bool), np.ones(asks.sum() * probes, bool)])
-            raw = [m[x].tobytes() for x in r]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(query), batch.column(0).take(pa.array(r)), pa.array(raw, pa.binary())], ["part", "query", "vec_id", "v"])
-
-    kind = dict(rows.dtypes)["vec_id"]
-    routed = rows.mapInArrow(route, f"part int, query boolean, vec_id {kind}, v binary")
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
+                wants = np.asarray(batch.column("asks").to_pylist(), bool)
+                for at, m in by_length(batch.column("embedding")):
+                    router, probes = sent.value.get(m.shape[1], (None, 1))
+                    order = likeliest(unit(m), router) if router is not None else np.zeros((len(m), 1), int)
+                    asks = wants[at]
+                    r = np.concatenate([at, np.repeat(at[asks], probes)])
+                    part = np.concatenate([order[:, 0], order[asks, :probes].ravel()])
+                    query = np.arange(len(r)) >= len(at)
+                    take = pa.array(r)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(r), m.shape[1], np.int32)), pa.array(part.astype(np.int32)), pa.array(query), *(batch.column(c).take(take) for c in ("row", "vec_id", "embedding"))],
+                        ["dim", "part", "query", "row", "vec_id", "embedding"],
+                    )
+
+    kinds = dict(rows.dtypes)
+    routed = rows.mapInArrow(route, f"dim int, part int, query boolean, row long, vec_id {kinds['vec_id']}, embedding {kinds['embedding']}")
     # blocks of a part follow from its size alone: any number of rows, or copies, may go to one part
-    size = routed.where("not query").groupBy(F.col("part").alias("__part")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = routed.join(F.broadcast(size), F.col("part") == F.col("__part"))  # one row a part: router.shape[1] at most
-    block = F.when(F.col("query"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")))
-    placed = placed.select("part", F.explode(block).alias("block"), "query", "vec_id", "v")
-    # queries come in hundreds, so that a task holds a bounded number of them beside its block
-    turn = F.when(F.col("query"), F.pmod(F.xxhash64(F.lit("turn"), "vec_id"), F.lit(1 << 20))).otherwise(F.lit(-1))
-    groups = sorted_groups(placed.withColumn("turn", turn.cast("int")).select("part", "block", "turn", "query", "vec_id", "v"), ["part", "block"], ["turn"])
+    size = materialise(routed.where("not query").groupBy("dim", "part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+    few = size.count() <= 20_000  # a row of 12 bytes a part; more only with thousands of rare lengths
+    placed = routed.join(F.broadcast(size) if few else size, ["dim", "part"])
+    block = F.when(F.col("query"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")))
+    # a block's own rows come first, then the queries that pass by
+    placed = placed.select("dim", "part", F.explode(block).alias("block"), "query", "row", "vec_id", "embedding")
+    groups = sorted_groups(placed, ["dim", "part", "block"], ["query"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, ids, stored = None, None, None
-        for g in in_slices(batches):
-            at = (g.column(0)[0].as_py(), g.column(1)[0].as_py())
-            asks = np.asarray(g.column(3).to_pylist(), bool)
-            m = np.frombuffer(b"".join(g.column(5).to_pylist()), np.float64).reshape(g.num_rows, -1)
-            key = np.asarray(g.column(4).to_pylist())
+        held, kept = None, []
+        for g in in_slices(batches, 3, 512):
+            at = tuple(g.column(c)[0].as_py() for c in range(3))
+            asks = np.asarray(g.column("query").to_pylist(), bool)
+            ((_, m),) = by_length(g.column("embedding"))
+            ids = np.asarray(g.column("vec_id").cast(pa.int64()).fill_null(LAST))
+            now = (g.column("row").to_numpy(), ids, m)
             if at != held:
-                held, ids, stored = at, key[:0], m[:0]
-            if (~asks).any():
-                ids, stored = np.concatenate([ids, key[~asks]]), np.concatenate([stored, m[~asks]])
-            if asks.any() and len(ids):
-                yield best_of(key[asks], m[asks], ids, stored, k)
-
-    found = groups.mapInArrow(compare, f"query_id {kind}, vec_id {kind}, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                held, kept = at, [x[:0] for x in now]
+            if not asks.all():
+                kept = [np.concatenate([x, y[~asks]]) for x, y in zip(kept, now)]
+            if asks.any() and len(kept[0]):
+                yield best_of(*(x[asks] for x in now), *kept, k)
+
+    found = groups.mapInArrow(compare, "row long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return ranked.select(*(F.nullif(c, F.lit(LAST)).cast(kinds["vec_id"]).alias(c) if c == "vec_id" else F.col(c).cast(kinds["vec_id"]) if c == "query_id" else c for c in ("query_id", "rank", "vec_id", "score")))
 
 
-def best_of(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int) -> pa.RecordBatch:
-    """The best ``k`` of each query. Products by matrix find what is near; what can be among the best is scored one by one."""
+def best_of(asking: np.ndarray, query_ids: np.ndarray, q: np.ndarray, rows: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int) -> pa.RecordBatch:
+    """The best ``k`` of each query among other rows. Products by matrix find what is near; what can be among the best is scored one by one."""
     qn, mn = np.sqrt((q * q).sum(axis=1)), np.sqrt((m * m).sum(axis=1))
     rough = (q / qn[:, None]) @ (m / mn[:, None]).T
-    out_q, out_v, out_s = [], [], []
+    rough[asking[:, None] == rows[None, :]] = -np.inf
+    n = np.zeros(len(q), int)
+    out_v, out_s = [ids[:0]], [rough[0, :0]]
     for x in range(len(q)):
-        s = np.where(ids == query_ids[x], -np.inf, rough[x])
+        s = rough[x]
         least = -np.inf if len(s) <= k else np.partition(s, len(s) - k)[len(s) - k]
         near = np.flatnonzero((s >= least - 1e-9) & np.isfinite(s))
         exact = (m[near] * q[x]).sum(axis=1) / (mn[near] * qn[x])
         top = np.lexsort((ids[near], -exact))[:k]
-        out_q += [query_ids[x]] * len(top)
+        n[x] = len(top)
         out_v.append(ids[near][top])
         out_s.append(exact[top])
-    return pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(np.concatenate(out_v), pa.int64()), pa.array(np.concatenate(out_s), pa.float64())], ["query_id", "vec_id", "score"])
+    made = [np.repeat(asking, n), np.repeat(query_ids, n), np.concatenate(out_v), np.concatenate(out_s)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["row", "query_id", "vec_id", "score"])
 
 
 def op8_neighbours(vectors: DataFrame) -> DataFrame:

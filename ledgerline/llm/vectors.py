@@ -1,7 +1,7 @@
 """Embedding near duplicates and approximate nearest neighbours, by cosine in double precision.
 
-Both read (vec_id, embedding). A vector takes no part if it is null, zero, holds a null or a component that
-isn't finite, or has another length than most vectors have.
+Both read (vec_id, embedding). A vector takes no part if it is null, empty, zero, or holds a null or a component that
+isn't finite. Vectors of different lengths have no cosine: each length is a space of its own.
 """
 
 from __future__ import annotations
@@ -14,37 +14,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import components, materialise
+from ledgerline.llm.common import by_key, components, materialise, sampled
 from ledgerline.llm.near_dup import forest, sorted_groups
 
-BLOCK = 2048
+BLOCK = 4096
 #: Rows that are multiplied with a block at once.
 STRIP = 512
+#: Lengths that get a fit of their own, commonest first; vectors of any other length share one cell or part, in blocks.
+LENGTHS = 8
 
 
-def usual_length(vectors: DataFrame) -> int:
-    """The commonest number of components (the smaller at equal counts); 0 for an empty table."""
-    found = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return found["d"] if found else 0
+def by_length(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, vectors as rows) of the vectors that take part, a length at a time.
 
-
-def to_matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(vectors as rows, which of them take part); the others are 0."""
+    A vector is scaled by the power of two that brings its largest component between 0.5 and 1: cosines stay what they
+    are to the last bit, and no norm over- or underflows.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    out = np.zeros((len(column), dim))
-    sizes = np.asarray(column.value_lengths().fill_null(-1))
-    fit = np.flatnonzero(sizes == dim) if dim else np.zeros(0, int)
-    if len(fit):
-        values = column.take(pa.array(fit)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
-        out[fit] = values.reshape(len(fit), dim)  # a null component is NaN
-    ok = np.isfinite(out).all(axis=1)
-    out[~ok] = 0
-    with np.errstate(over="ignore"):
-        norm = np.linalg.norm(out, axis=1)
-    ok &= (norm > 0) & np.isfinite(norm)
-    out[~ok] = 0
-    return out, ok
+    sizes = np.asarray(column.value_lengths().fill_null(0))
+    for dim in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == dim)
+        values = column.take(pa.array(rows)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+        m = values.reshape(len(rows), dim)  # a null component is NaN
+        top = np.abs(m).max(axis=1)
+        ok = np.isfinite(top) & (top > 0)
+        if ok.any():
+            yield rows[ok], np.ldexp(m[ok], -np.frexp(top[ok])[1][:, None])
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -52,23 +48,31 @@ def unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(n > 0, n, 1)
 
 
-def sample_of(vectors: DataFrame, dim: int, bound: int, total: int) -> np.ndarray:
-    """Unit vectors of about ``bound`` rows, drawn by keyed hash."""
-    drawn = vectors.select("vec_id", "embedding")
+def lengths_of(vectors: DataFrame, least: int) -> dict[int, int]:
+    """Rows of each of the commonest lengths that at least so many rows have."""
+    found = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("d")).count().where((F.col("count") >= least) & (F.col("d") > 0))
+    return {r["d"]: r["count"] for r in found.orderBy(F.desc("count"), "d").limit(LENGTHS).collect()}
+
+
+def sample_of(vectors: DataFrame, key: str, dim: int, bound: int, total: int) -> np.ndarray:
+    """Unit vectors of about ``bound`` of the ``total`` rows of a length, drawn by a keyed hash of the column ``key``, which tells the rows apart."""
+    drawn = vectors.where(F.size("embedding") == dim)
     if total > bound:
-        drawn = drawn.where(F.pmod(F.xxhash64(F.lit("vectors"), "vec_id"), F.lit(1_000_003)) < int(1_000_003 * bound / total))
-    got = drawn.select("embedding").toArrow().column(0)
-    m, ok = to_matrix(got, dim)
-    return unit(m[ok])
+        drawn = drawn.where(sampled("vectors", key, bound, total))
+    got = [unit(m) for _, m in by_length(drawn.select("embedding").toArrow().column(0))]
+    return got[0] if got else np.zeros((0, dim))
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], most: int = 2048) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by their first two columns, cut where one of them changes and before they grow beyond ``most`` rows."""
+def in_slices(batches: Iterator[pa.RecordBatch], keys: int, most: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by their first ``keys`` columns, cut where one of them changes and before they grow beyond ``most`` rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        part, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        cuts = np.flatnonzero((part[1:] != part[:-1]) | (block[1:] != block[:-1])) + 1
+        change = np.zeros(batch.num_rows - 1, bool)
+        for k in range(keys):
+            c = batch.column(k).to_numpy()
+            change |= c[1:] != c[:-1]
+        cuts = np.flatnonzero(change) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
             for s in range(a, b, most):
                 yield batch.slice(s, min(most, b - s))
@@ -90,116 +94,133 @@ def spherical_kmeans(u: np.ndarray, k: int, rounds: int = 12, seed: int = 3) ->
     return c
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.95, per_cell: int = 1000, max_cells: int = 1024, sample: int = 20_000) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.95, per_cell: int = 3000, max_cells: int = 2048, sample: int = 20_000) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors(vec_id, embedding)``.
 
-    Equal vectors are one vector with a count. Spherical k-means on a bounded sample gives the cells (one for
+    Equal vectors are one vector with a count. Spherical k-means on a bounded sample gives the cells of a length (one for
     each ``per_cell`` rows, ``max_cells`` at most); every vector goes to its nearest centroid's cell and, as a
     guest, to each other cell whose border is nearer than half the chord of the threshold. Of two vectors
     nearer than that chord one is then always a guest in the other's cell, so no link is missed. A cell's own
-    vectors lie in blocks of about 2048; guests, and those of later blocks, pass by each block in strips and give
+    vectors lie in blocks of about ``BLOCK``; guests, and those of later blocks, pass by each block in strips and give
     counts of links and a spanning forest, not the links: any number may share a cell. The smallest vec_id of a component is kept.
 
-    Defined results: vectors that take no part (see above) have no link, are their own component and are kept;
-    repeated rows are other vectors at cosine 1; a null vec_id comes last in its component.
+    Defined results: vectors that take no part (see above) have no link, are their own component and are kept; vectors of
+    different lengths have no link; repeated rows are other vectors at cosine 1; a null vec_id comes last in its
+    component; an empty table gives no rows. Only vec_id and embedding are read, so other columns can't clash.
     """
     rows = vectors.select("vec_id", "embedding")
-    dim = usual_length(rows)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m, ok = to_matrix(batch.column(1), dim)
-            names = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() if good else None for v, good in zip(m, ok)]
+            names: list[bytes | None] = [None] * batch.num_rows
+            for at, m in by_length(batch.column(1)):
+                for x, v in zip(at.tolist(), m):
+                    names[x] = hashlib.blake2b(v.tobytes(), digest_size=16).digest()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), batch.column(1)], ["vec_id", "digest", "embedding"])
 
     kinds = dict(rows.dtypes)
     named = materialise(rows.mapInArrow(name, f"vec_id {kinds['vec_id']}, digest binary, embedding {kinds['embedding']}"))
     reps = named.where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("vec_id"), F.first("embedding").alias("embedding"))
     reps = materialise(reps)
-    total = reps.count()
-    fit = sample_of(reps, dim, sample, total)
-    k = int(min(max(1, total // per_cell), max_cells, len(fit))) if len(fit) else 0
-    centroids = spherical_kmeans(fit, k) if k else np.zeros((0, dim))
-    sent = reps.sparkSession.sparkContext.broadcast(centroids)
+    centres = {}
+    for dim, n in lengths_of(reps, per_cell).items():
+        fit = sample_of(reps, "digest", dim, sample, n)
+        centres[dim] = spherical_kmeans(fit, int(max(1, min(n // per_cell, max_cells, len(fit) // 4))))
+    sent = reps.sparkSession.sparkContext.broadcast(centres)
     half_chord = float(np.sqrt(2 - 2 * cosine) / 2) + 1e-9
+    width = -(-max([len(c) for c in centres.values()], default=1) // 8)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = sent.value
-        apart = np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2) if len(c) <= 2048 else None
+        apart = {dim: np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) for dim, c in sent.value.items()}
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                m, _ = to_matrix(batch.column(2), dim)
-                u = unit(m)
-                s = u @ c.T
-                own = s.argmax(axis=1)
-                border = s[np.arange(len(s)), own][:, None] - s
-                goes = border <= half_chord * apart[own]
-                goes[np.arange(len(s)), own] = True
-                r, cell = np.nonzero(goes)
-                cells = np.split(cell, np.cumsum(goes.sum(axis=1))[:-1])
-                take = pa.array(r)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(cell.astype(np.int32)), pa.array(own[r].astype(np.int32)), pa.array([cells[x] for x in r], pa.list_(pa.int32())),
-                        batch.column(0).take(take), batch.column(1).take(take), pa.array([u[x].tobytes() for x in r], pa.binary()),
-                    ],
-                    ["cell", "home", "cells", "digest", "copies", "u"],
-                )
-
-    placed = reps.select("digest", "copies", "embedding").mapInArrow(assign, "cell int, home int, cells array<int>, digest binary, copies long, u binary")
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
+                for at, m in by_length(batch.column("embedding")):
+                    dim, u = m.shape[1], unit(m)
+                    c = sent.value.get(dim)
+                    s = u @ c.T if c is not None else np.zeros((len(u), 1))
+                    own = s.argmax(axis=1)
+                    border = s[np.arange(len(s)), own][:, None] - s
+                    goes = border <= half_chord * apart[dim][own] if c is not None else border == 0
+                    goes[np.arange(len(s)), own] = True
+                    bits = np.packbits(goes, axis=1)
+                    bits = np.hstack([bits, np.zeros((len(bits), width - bits.shape[1]), np.uint8)])
+                    r, cell = np.nonzero(goes)
+                    take = pa.array(at[r])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(r), dim, np.int32)), pa.array(cell.astype(np.int32)), pa.array(own[r].astype(np.int32)), pa.array([x.tobytes() for x in bits], pa.binary()).take(pa.array(r)),
+                            *(batch.column(k).take(take) for k in ("digest", "copies", "embedding")),
+                        ],
+                        ["dim", "cell", "home", "cells", "digest", "copies", "embedding"],
+                    )
+
+    placed = reps.select("digest", "copies", "embedding").mapInArrow(assign, f"dim int, cell int, home int, cells binary, digest binary, copies long, embedding {kinds['embedding']}")
     # a cell's residents lie in blocks; its guests, and the residents of later blocks, visit each block
-    homes = placed.where("cell = home").groupBy(F.col("cell").alias("__cell")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = placed.join(F.broadcast(homes), F.col("cell") == F.col("__cell"))  # a row a cell, max_cells at most
+    homes = placed.where("cell = home").groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    homes = materialise(homes)
+    few = homes.count() <= LENGTHS * max_cells + 10_000  # a row of 12 bytes a cell; more only with thousands of rare lengths
+    placed = placed.join(F.broadcast(homes) if few else homes, ["dim", "cell"])
     placed = placed.withColumn("own", F.when(F.col("cell") == F.col("home"), F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")))
     placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("own", F.col("blocks") - 1))))
     placed = placed.withColumn("visits", F.coalesce(F.col("own") != F.col("block"), F.lit(True)))
-    groups = sorted_groups(placed.select("cell", "block", "visits", "home", "cells", "digest", "copies", "u"), ["cell", "block"], ["visits"])
+    groups = sorted_groups(placed.select("dim", "cell", "block", "visits", "home", "cells", "digest", "copies", "embedding"), ["dim", "cell", "block"], ["visits"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, lived = None, None
-        for g in in_slices(batches, STRIP):
-            at = (g.column(0)[0].as_py(), g.column(1)[0].as_py())
+        held, lived = None, {}
+        for g in in_slices(batches, 3, STRIP):
+            at = (g.column(0)[0].as_py(), g.column(1)[0].as_py(), g.column(2)[0].as_py())
+            ((_, m),) = by_length(g.column("embedding"))
             now = {
-                "keys": np.array(g.column("digest").to_pylist(), object), "home": g.column("home").to_numpy(), "copies": g.column("copies").to_numpy(),
-                "u": np.frombuffer(b"".join(g.column("u").to_pylist()), np.float64).reshape(g.num_rows, -1), "cells": np.array([frozenset(x) for x in g.column("cells").to_pylist()], object),
+                "keys": np.array(g.column("digest").to_pylist(), object), "home": g.column("home").to_numpy(), "copies": g.column("copies").to_numpy(), "u": unit(m),
+                "cells": np.frombuffer(b"".join(g.column("cells").to_pylist()), np.uint8).reshape(g.num_rows, -1),
             }
             visits = np.asarray(g.column("visits").to_pylist(), bool)
             if at != held:
                 held, lived = at, {k: v[:0] for k, v in now.items()}
             before = len(lived["keys"])
-            lived = {k: np.concatenate([lived[k], v[~visits]]) for k, v in now.items()}
-            for these in (~visits, visits):
-                if not these.any() or not len(lived["keys"]):
-                    continue
-                linked = now["u"][these] @ lived["u"].T >= cosine
-                if not visits[these].any():  # residents that came now: with those before them, each pair once
-                    linked &= np.arange(len(lived["keys"]))[None, :] < (before + np.arange(these.sum()))[:, None]
-                if not linked.any():
+            if not visits.all():
+                lived = {k: np.concatenate([lived[k], v[~visits]]) for k, v in now.items()}
+            for these in (np.flatnonzero(~visits), np.flatnonzero(visits)):
+                if not len(these) or not len(lived["keys"]):
                     continue
+                near = now["u"][these] @ lived["u"].T
+                x, y = np.nonzero(near >= cosine - 1e-9)
+                close = np.flatnonzero(near[x, y] < cosine + 1e-9)  # sums of another order decide at the border
+                keep = np.ones(len(x), bool)
+                keep[close] = (now["u"][these[x[close]]] * lived["u"][y[close]]).sum(axis=1) >= cosine
+                if not visits[these[0]]:  # residents that came now: with those before them, each pair once
+                    keep &= y < before + x
                 # two vectors that meet in both their cells count in the one with the smaller number
-                home = now["home"][these]
-                for c in np.unique(home[home < at[0]]):
-                    both = np.array([int(c) in x for x in lived["cells"]], bool)
-                    linked &= ~((home == c)[:, None] & both[None, :])
-                x, y = np.nonzero(linked)
-                a, b = linked @ lived["copies"], linked.T @ now["copies"][these]
+                home = now["home"][these[x]]
+                twice = np.flatnonzero(home < at[1])
+                keep[twice] &= (lived["cells"][y[twice], home[twice] >> 3] >> (7 - (home[twice] & 7)) & 1) == 0
+                x, y = x[keep], y[keep]
+                if not len(x):
+                    continue
+                n = np.concatenate([np.bincount(x, lived["copies"][y], len(these)), np.bincount(y, now["copies"][these[x]], len(lived["keys"]))])
                 names = np.concatenate([now["keys"][these], lived["keys"]])
-                n = np.concatenate([a, b])
                 some = np.flatnonzero(n)
-                tree = forest(len(names), x, y + len(a))
+                # a visitor is joined to the first it meets, and that one to the others: as connected as all links
+                first = np.full(len(these), -1)
+                first[x[::-1]] = y[::-1]
+                a, b = np.divmod(np.unique(first[x] * len(names) + y), len(names))
+                met = np.flatnonzero(first >= 0)
+                tree = forest(len(names), np.concatenate([met, a + len(these)]), np.concatenate([first[met], b]) + len(these))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[z] for z in some] + [names[p] for p, _ in tree], pa.binary()), pa.array([None] * len(some) + [names[q] for _, q in tree], pa.binary()), pa.array(n[some].tolist() + [0] * len(tree), pa.int64())],
+                    [pa.array([names[z] for z in some] + [names[p] for p, _ in tree], pa.binary()), pa.array([None] * len(some) + [names[q] for _, q in tree], pa.binary()), pa.array(n[some].astype(np.int64).tolist() + [0] * len(tree), pa.int64())],
                     ["a", "b", "n"],
                 )
 
     found = materialise(groups.mapInArrow(compare, "a binary, b binary, n long"))
     counts = found.where("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("n").alias("n"))
     labels = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "digest")
-    told = reps.select("digest", "copies", "vec_id").join(counts, "digest", "left").join(labels, "digest", "left")
-    told = told.select("digest", "vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("label", "digest").alias("label"))
-    least = told.groupBy("label").agg(F.min("vec_id").alias("component_id"))
-    told = told.drop("vec_id").join(least, "label").select(F.col("digest").alias("__digest"), "n_links", "component_id")
+    linked = materialise(reps.select("digest", "vec_id").join(labels, "digest"))
+    least = materialise(linked.groupBy("label").agg(F.min("vec_id").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    linked = by_key(linked.select("digest", "label"), least, "label", "members").select("digest", "component_id")
+    told = reps.select("digest", "copies", "vec_id").join(counts, "digest", "left").join(linked.withColumn("linked", F.lit(True)), "digest", "left")
+    component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("vec_id"))
+    told = told.select(F.col("digest").alias("__digest"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), component.alias("component_id"))
     out = named.select("vec_id", "digest").join(told, F.col("digest") == F.col("__digest"), "left")
     component = F.when(F.col("digest").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

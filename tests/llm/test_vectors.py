@@ -49,10 +49,50 @@ def test_links_odd_rows(odd):
 def test_search_odd_rows(odd):
     got = [tuple(r) for r in neighbours.op8_neighbours(odd).orderBy("query_id", "rank").collect()]
     assert [(q, r, v) for q, r, v, _ in got] == [(50, 1, 1), (50, 2, 2), (50, 3, 3), (50, 4, 10)] and got[0][3] == 1.0
+    twice = odd.where("vec_id = 50").union(odd.where("vec_id in (50, 10)")).union(odd.where("vec_id = 2").selectExpr("cast(null as long)", "embedding", "label", "cell", "score"))
+    assert sorted([(q, r, v or 0) for q, r, v, _ in neighbours.op8_neighbours(twice).collect()]) == sorted([(50, 1, 50), (50, 2, 0), (50, 3, 10)] * 2)
     assert math.isclose(got[3][3], 0.0, abs_tol=1e-12)
     assert neighbours.op8_neighbours(odd.limit(0)).count() == 0
 
 
+def test_other_lengths_and_extreme_norms(spark):
+    rows = [(1, [1e300, 1e300]), (2, [1e-310, 1e-310]), (3, [1.0, 1.0]), (4, [1.0, 1.0, 1e-3]), (5, [2.0, 2.0, 0.0]), (50, [3.0, 3.1]), (100, [1.0, 1.0, 0.0]), (6, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.op5_embedding_dups(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 50: (3, 1), 4: (2, 4), 5: (2, 4), 100: (2, 4), 6: (0, 6)}
+    near = {(r.query_id, r["rank"]): r.vec_id for r in neighbours.op8_neighbours(df).collect()}
+    assert {near[50, k] for k in (1, 2, 3)} == {1, 2, 3} and near[100, 1] == 5 and near[100, 2] == 4 and len(near) == 5
+
+
+def test_links_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 100)
+    monkeypatch.setattr(vectors, "STRIP", 16)
+    m = groups(1500, 8, seed=4)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(m)], "vec_id long, embedding array<double>")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.95
+    np.fill_diagonal(linked, False)
+    for per_cell in (400, 5000):
+        got = sorted(vectors.near_duplicates(df, per_cell=per_cell).collect())
+        assert [r.n_links for r in got] == linked.sum(axis=1).tolist()
+
+
+def test_parts_in_many_blocks_and_probes(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 50)
+    rng = np.random.default_rng(6)
+    m = np.repeat(rng.normal(size=(40, 12)), 75, axis=0) + rng.normal(size=(3000, 12)) * 0.2
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(m)], "vec_id long, embedding array<double>")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    router, probes = neighbours.fit_index(u, 100_000, 0.95)
+    assert router.shape[1] == 64 and probes <= 6  # clustered vectors need few of the parts
+    hits = 0
+    for r in neighbours.op8_neighbours(df).collect():
+        s = u @ u[r.query_id]
+        s[r.query_id] = -9
+        hits += r.vec_id in np.argsort(-s, kind="stable")[:5]
+    assert hits >= 0.9 * 300
+
+
 def test_search_recall_and_scores(spark):
     rng = np.random.default_rng(1)
     m = rng.normal(size=(5000, 64))
