@@ -21,7 +21,7 @@ SQL = {
     "queries": "select item_id as query_id, text from benchmark",
     # tier by source number modulo five, a sixth of the sources without one
     "frameworks": """select source as framework_key, case when n % 6 = 5 then null else 1 + n % 5 end as tier, n % 5 as jurisdiction, n % 3 as intra_order,
-        concat('Short ', source) as short_name, n % 4 <> 0 as permissive from (select distinct source, cast(substring(source, 4) as int) as n from documents)""",
+        case when n % 3 > 0 then concat('family', cast(n % 7 as varchar(20))) end as family, concat('Short ', source) as short_name, n % 4 <> 0 as permissive from (select distinct source, cast(substring(source, 4) as int) as n from documents)""",
     # requirement texts, one for each line item, by template
     "requirements": f"""select concat('fw', cast(l_suppkey % 10 as varchar(20)), ':', cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar(20))) as uid,
         concat('fw', cast(l_suppkey % 10 as varchar(20))) as framework_key, l_orderkey as subject_id, l_orderkey * 10 + l_linenumber as load_seq,

@@ -77,13 +77,17 @@ def tokens(text: Column) -> Column:
 
 
 def with_stem(vocabulary: DataFrame, token: str = "token", stem: str = "stem") -> DataFrame:
-    """``vocabulary`` with the stem of each token. Each step is a function of one bound value, so the expression grows with the steps, not with their powers."""
-    value = f"array(`{token}`)"
+    """``vocabulary`` with the stem of each token.
+
+    Each step is generated as a column of its own: Spark compiles it, and doesn't put one step's expression into the
+    next's, which names it many times.
+    """
     spelled = ", ".join(f"'{a}', '{b}'" for a, b in rules.SPELLINGS.items())
-    for step in STEPS:
-        body = step("w") if step is not fold_spelling_sql else f"coalesce(element_at(map({spelled}), w), {fold_suffix_sql('w')})"
-        value = f"transform({value}, w -> {body})"
-    return vocabulary.withColumn(stem, F.expr(f"get({value}, 0)"))
+    at, out = f"`{token}`", vocabulary
+    for k, step in enumerate(STEPS):
+        body = step(at) if step is not fold_spelling_sql else f"coalesce(element_at(map({spelled}), {at}), {fold_suffix_sql(at)})"
+        out, at = out.select("*", F.explode(F.array(F.expr(body))).alias(f"__w{k}")), f"`__w{k}`"
+    return out.withColumnRenamed(at.strip("`"), stem).drop(*[f"__w{k}" for k in range(len(STEPS) - 1)])
 
 
 def stems_sql(source: str, token: str = "token", carried: str = "token") -> str:

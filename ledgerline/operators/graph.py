@@ -1,7 +1,6 @@
 """Hierarchy and links: closures by frontier joins, relations from both sides, paths of two hops and chains.
 
-No graph is collected: each level of a closure is one join of the frontier with the edges, and the number of
-levels is bounded by a parameter.
+No graph is collected: closures double their chains by joins, paths are joined a step at a time.
 """
 
 from __future__ import annotations
@@ -12,38 +11,51 @@ from pyspark.sql import functions as F
 from ledgerline.operators.common import materialise
 
 
-def ancestors(controls: DataFrame, most: int = 16) -> DataFrame:
-    """(uid, ancestor_uid, level): level 1 is the parent. It stops at a missing parent, at a repeated one, and after ``most`` levels."""
-    edges = controls.where("parent_uid is not null").select(F.col("uid").alias("__c"), F.col("parent_uid").alias("__p"))
-    known = controls.select(F.col("uid").alias("__p"))
-    edges = edges.join(known, "__p", "left_semi").select("__c", "__p")
-    front = edges.select(F.col("__c").alias("uid"), F.col("__p").alias("ancestor_uid"), F.lit(1).alias("level"), F.array("__c", "__p").alias("seen")).where("uid <> ancestor_uid")
-    out = front
-    for _ in range(most - 1):
-        front = front.join(edges, F.col("ancestor_uid") == F.col("__c")).where(~F.array_contains("seen", F.col("__p")))
-        front = materialise(front.select("uid", F.col("__p").alias("ancestor_uid"), (F.col("level") + 1).alias("level"), F.concat("seen", F.array("__p")).alias("seen")))
-        if front.isEmpty():
+def ancestors(controls: DataFrame) -> DataFrame:
+    """(uid, ancestor_uid, level): level 1 is the parent. It stops at a missing parent and at a repeated one, however many levels there are.
+
+    Only nodes that are parents themselves keep a chain of ancestors; a chain is doubled a round by that of its last node,
+    so there are as many rounds as the logarithm of the depth. All others take their parent's chain in one join. Uids are unique.
+    """
+    edges = controls.where("parent_uid is not null and uid <> parent_uid").select("uid", "parent_uid")
+    edges = materialise(edges.join(controls.select(F.col("uid").alias("parent_uid")), "parent_uid", "left_semi").select("uid", "parent_uid"))
+    inner = edges.join(edges.select(F.col("parent_uid").alias("uid")), "uid", "left_semi")
+    chains = materialise(inner.select("uid", F.array("parent_uid").alias("chain")))
+    fresh = "slice(more, 1, coalesce(array_position(transform(more, x -> x = uid or array_contains(chain, x)), true) - 1, 0) + if(exists(more, x -> x = uid or array_contains(chain, x)), 0, size(more) + 1))"
+    open_, done = chains, None
+    while True:
+        nxt = chains.select(F.col("uid").alias("__last"), F.col("chain").alias("more"))
+        grown = open_.withColumn("__last", F.element_at("chain", -1)).join(nxt, "__last", "left")
+        grown = grown.select("uid", "chain", F.when(F.col("more").isNotNull(), F.expr(fresh)).otherwise(F.array().cast("array<string>")).alias("add"), F.size("more").alias("n"))
+        grown = materialise(grown.select("uid", F.concat("chain", "add").alias("chain"), (F.size("add") == F.col("n")).alias("on")))
+        ended = grown.where("on is null or not on").select("uid", "chain")
+        done = ended if done is None else done.union(ended)
+        open_ = grown.where("on").select("uid", "chain")
+        chains = done.union(open_)
+        if open_.isEmpty():
             break
-        out = out.union(front)
-    return out.drop("seen")
+    above = chains.select(F.col("uid").alias("parent_uid"), F.col("chain").alias("more"))
+    found = edges.join(above, "parent_uid", "left").withColumn("chain", F.array("parent_uid"))
+    found = found.select("uid", F.concat("chain", F.when(F.col("more").isNotNull(), F.expr(fresh)).otherwise(F.array().cast("array<string>"))).alias("chain"))
+    return found.select("uid", F.posexplode("chain").alias("level", "ancestor_uid")).select("uid", "ancestor_uid", (F.col("level") + 1).alias("level"))
 
 
-def descendants(controls: DataFrame, most: int = 16) -> DataFrame:
+def descendants(controls: DataFrame) -> DataFrame:
     """(uid, relative_uid, kind): children, further descendants and siblings."""
-    up = ancestors(controls, most)
+    up = ancestors(controls)
     below = up.select(F.col("ancestor_uid").alias("uid"), F.col("uid").alias("relative_uid"), F.when(F.col("level") == 1, "child").otherwise("descendant").alias("kind"))
     a, b = controls.select("uid", "parent_uid"), controls.select(F.col("uid").alias("relative_uid"), F.col("parent_uid").alias("__p"))
     siblings = a.join(b, F.col("parent_uid") == F.col("__p")).where("uid <> relative_uid").select("uid", "relative_uid", F.lit("sibling").alias("kind"))
     return below.union(siblings)
 
 
-def quotable_text(controls: DataFrame, most: int = 16) -> DataFrame:
+def quotable_text(controls: DataFrame) -> DataFrame:
     """(uid, n_stems, quotable): the texts above a control that its own text goes on from, and both joined.
 
     A text goes on from its parent's while it begins in lower case or the parent's ends in a colon or semicolon.
     """
     texts = controls.select("uid", F.coalesce("text", F.lit("")).alias("text"))
-    up = ancestors(controls, most).join(texts.select(F.col("uid").alias("ancestor_uid"), F.col("text").alias("above")), "ancestor_uid")
+    up = ancestors(controls).join(texts.select(F.col("uid").alias("ancestor_uid"), F.col("text").alias("above")), "ancestor_uid")
     chain = Window.partitionBy("uid").orderBy("level")
     own = texts.withColumnRenamed("text", "own")
     up = up.join(own, "uid").withColumn("child", F.coalesce(F.lag("above").over(chain), F.col("own")))
@@ -54,9 +66,9 @@ def quotable_text(controls: DataFrame, most: int = 16) -> DataFrame:
     return out.select("uid", F.coalesce(F.size("s"), F.lit(0)).alias("n_stems"), F.concat_ws(" ", F.col("s.above"), "own").alias("quotable"))
 
 
-def breadcrumbs(controls: DataFrame, most: int = 16) -> DataFrame:
+def breadcrumbs(controls: DataFrame) -> DataFrame:
     """(uid, crumb): the uids from the root down."""
-    up = ancestors(controls, most).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("level", "ancestor_uid")), asc=False).alias("s"))
+    up = ancestors(controls).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("level", "ancestor_uid")), asc=False).alias("s"))
     return controls.select("uid").join(up, "uid", "left").select("uid", F.concat_ws(" > ", F.col("s.ancestor_uid"), "uid").alias("crumb"))
 
 
@@ -195,21 +207,32 @@ def profile_tags(controls: DataFrame, profile: DataFrame, tag: str) -> DataFrame
     return controls.select("uid").join(chosen, "uid", "left").select("uid", F.create_map(F.lit(tag), F.coalesce("__v", F.array().cast("array<string>"))).alias("tags"))
 
 
-def threat_match(texts: DataFrame, mitigations: DataFrame, stem_weights: DataFrame, limit: int = 3, least: float = 0.45, near_best: float = 0.75) -> DataFrame:
-    """(uid, mitigation_id, score): weighted stem overlap with a mitigation's name (0.65) and body (0.20).
+def threat_match(texts: DataFrame, mitigations: DataFrame, stem_weights: DataFrame, shared: DataFrame | None = None, limit: int = 3, least: float = 0.45, near_best: float = 0.75) -> DataFrame:
+    """(uid, mitigation_id, score): the weighted share of a mitigation's name that a control says (0.65), the share of the control that the mitigation's body says (0.20), and 0.45 for a shared concept; 1 at most.
 
-    ``texts(uid, stem)``, ``mitigations(mitigation_id, part, stem)`` with part name or body, ``stem_weights(stem, weight)``.
+    ``texts(uid, stem)``, ``mitigations(mitigation_id, part, stem)`` with part name or body, ``stem_weights(stem, weight)``,
+    ``shared(uid, mitigation_id)`` as ``shared_concepts`` gives it; a concept alone makes a match.
     """
-    parts = mitigations.distinct().join(stem_weights, "stem")
-    total = parts.groupBy("mitigation_id", "part").agg(F.sum("weight").alias("total"))
-    got = parts.join(texts.select("uid", "stem").distinct(), "stem").groupBy("uid", "mitigation_id", "part").agg(F.sum("weight").alias("got"))
-    cover = got.join(total, ["mitigation_id", "part"]).withColumn("c", F.col("got") / F.col("total") * F.when(F.col("part") == "name", 0.65).otherwise(0.20))
-    scored = cover.groupBy("uid", "mitigation_id").agg(F.round(F.least(F.lit(1.0), F.sum("c")), 6).alias("score"))
+    said, parts = texts.select("uid", "stem").distinct().join(stem_weights, "stem"), mitigations.distinct()
+    name, body = parts.where("part = 'name'").drop("part").join(stem_weights, "stem"), parts.where("part = 'body'").drop("part")
+    by_name = name.join(said.select("uid", "stem"), "stem").groupBy("uid", "mitigation_id").agg(F.sum("weight").alias("got"))
+    by_name = by_name.join(name.groupBy("mitigation_id").agg(F.sum("weight").alias("total")), "mitigation_id").select("uid", "mitigation_id", (0.65 * F.col("got") / F.col("total")).alias("c"))
+    by_body = said.join(body, "stem").groupBy("uid", "mitigation_id").agg(F.sum("weight").alias("got"))
+    by_body = by_body.join(said.groupBy("uid").agg(F.sum("weight").alias("total")), "uid").select("uid", "mitigation_id", (0.20 * F.col("got") / F.col("total")).alias("c"))
+    cover = by_name.union(by_body)
+    if shared is not None:
+        cover = cover.union(shared.select("uid", "mitigation_id", F.lit(0.45)))
+    scored = cover.groupBy("uid", "mitigation_id").agg(F.round(F.least(F.lit(1.0), F.sum("c")), 6).alias("score")).where(F.col("score") >= least)
     w = Window.partitionBy("uid")
-    scored = scored.where(F.col("score") >= least).withColumn("best", F.max("score").over(w)).where(F.col("score") >= near_best * F.col("best"))
+    scored = scored.withColumn("best", F.max("score").over(w)).where(F.col("score") >= near_best * F.col("best"))
     return scored.withColumn("n", F.row_number().over(w.orderBy(F.desc("score"), "mitigation_id"))).where(F.col("n") <= limit).select("uid", "mitigation_id", "score")
 
 
+def shared_concepts(left: DataFrame, right: DataFrame, left_key: str = "uid", right_key: str = "mitigation_id") -> DataFrame:
+    """(left_key, right_key) of every two that name a concept in common; ``left(left_key, concept)``, ``right(right_key, concept)`` as ``concepts_in`` gives them."""
+    return left.join(right, "concept").select(left_key, right_key).distinct()
+
+
 def tactic_counts(matches: DataFrame, mitigates: DataFrame, techniques: DataFrame) -> DataFrame:
     """(uid, tactic, n): tactics of the techniques that a control's mitigations mitigate."""
     reached = matches.select("uid", "mitigation_id").join(mitigates, "mitigation_id").select("uid", "technique_id").distinct()

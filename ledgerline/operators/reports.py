@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators.common import materialise
+
 # Least counts of the frequency bands 5 to 1.
 BANDS = [(200, 5), (100, 4), (50, 3), (20, 2), (0, 1)]
 
 
+#: Letters of a block of ``containment_check``.
+BLOCK = 12
+
+
 def squash(text: Column) -> Column:
     """Letters and digits only, in lower case."""
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]", "")
@@ -40,10 +46,24 @@ def topic_prevalence(entries: DataFrame, topics: DataFrame) -> DataFrame:
 
 
 def containment_check(texts: DataFrame, renditions: DataFrame) -> DataFrame:
-    """(uid, n): in how many renditions a text stands whole, letters and digits only. Both sides are rule-sized on one side at least."""
+    """(uid, n): in how many renditions a text stands whole, letters and digits only.
+
+    A rendition is cut into blocks of ``BLOCK`` letters; a text of twice as many that stands in it holds one of its blocks whole, at one of the
+    text's first ``BLOCK`` places. So blocks are joined on equality, and only pairs that share one are compared. Texts too short for
+    that, headings mostly, are looked for in every rendition.
+    """
     a = texts.select("uid", squash(F.col("text")).alias("needle")).where("needle <> ''")
-    b = renditions.select("doc_id", squash(F.col("text")).alias("hay"))
-    hit = b.join(F.broadcast(a), F.contains("hay", "needle")).groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
+    b = materialise(renditions.select(F.monotonically_increasing_id().alias("__r"), squash(F.col("text")).alias("hay")))
+    long = a.where(F.length("needle") >= 2 * BLOCK - 1)
+    places = F.array(*[F.substring("needle", k, BLOCK) for k in range(1, BLOCK + 1)])
+    theirs = long.select("uid", F.explode(F.array_distinct(places)).alias("block"))
+    ours = b.select("__r", F.explode(F.regexp_extract_all("hay", F.lit(f".{{{BLOCK}}}"), F.lit(0))).alias("block"))
+    pairs = ours.join(theirs, "block").select("uid", "__r").distinct().join(long, "uid").join(b, "__r")
+    short = a.where(F.length("needle") < 2 * BLOCK - 1)
+    found = pairs.where(F.contains("hay", "needle")).select("uid")
+    if not short.isEmpty():
+        found = found.union(b.join(short, F.contains("hay", "needle")).select("uid"))
+    hit = found.groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
     return texts.select("uid").join(hit, "uid", "left").select("uid", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -59,54 +79,74 @@ def term_presence(pages: DataFrame, terms: list[str]) -> DataFrame:
     return pages.select("page_id", F.array_join(missing, "|").alias("missing")).withColumn("status", F.when(F.col("missing") == "", "complete").otherwise("incomplete"))
 
 
-def roundtrip_verify(texts: DataFrame, documents: DataFrame, anchors: int = 4, width: int = 4) -> DataFrame:
-    """(uid, verdict, coverage): whether a text stands in its best source document: verbatim, joined (blanks apart), near (0.97 of its words in order), partial (0.5) or absent.
+# Fixed value: where an assembled text is cut into pieces.
+PIECES = r";\s|\s-\s|\.\s|:\s|[\[\]]"
+
+
+def roundtrip_verify(texts: DataFrame, documents: DataFrame, sources: DataFrame | None = None, width: int = 4, anchors: int = 4, places: int = 12, skip: int = 8) -> DataFrame:
+    """(uid, verdict, coverage): whether the words of a text of ``texts(uid, text)`` stand in order in a document: verbatim (all of them), joined (all of each of its pieces), near (0.97), partial (0.5), absent; a text without a word is empty.
 
-    Candidates come from a join on the text's rarest word 4-grams; only those pairs are walked, a pair at a time.
+    The walk begins at the rarest word 4-grams that text and document share (``anchors`` of them, the first ``places`` places of each) and goes
+    both ways; between two words the document may have up to ``skip`` others, and a word that isn't found is passed over. Coverage is the best share
+    of words over all anchors and documents. ``sources(uid, doc_id)`` names the documents of a text; without it every document that shares a
+    gram is tried. Grams are joined on equality; a pair of text and document is walked by itself. Texts of fewer than ``width`` words,
+    headings mostly, are looked for whole in each document.
     """
     import pandas as pd
 
-    grams = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - width, F.lit(0))), lambda i: F.concat_ws(" ", F.slice(c, i + 1, width)))
-    words = lambda df, key: df.select(key, F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("w")).where(F.size("w") >= width)
-    tg = words(texts, "uid").select("uid", F.explode(F.array_distinct(grams(F.col("w")))).alias("gram"))
-    dg = words(documents, "doc_id").select("doc_id", F.explode(F.array_distinct(grams(F.col("w")))).alias("gram")).join(tg.select("gram").distinct(), "gram", "left_semi")
-    df = dg.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    rare = tg.join(df, "gram").withColumn("n", F.row_number().over(Window.partitionBy("uid").orderBy("df", "gram"))).where(F.col("n") <= anchors)
-    pairs = rare.join(dg, "gram").select("uid", "doc_id").distinct()
-    both = pairs.join(texts.select("uid", F.col("text").alias("needle")), "uid").join(documents.select("doc_id", F.col("text").alias("hay")), "doc_id")
-
-    def covered(needle: list[str], hay: list[str], skip: int = 8) -> float:
-        place: dict[str, list[int]] = {}
-        for i, w in enumerate(hay):
-            place.setdefault(w, []).append(i)
-        best = 0
-        for start in place.get(needle[0], [])[:12] or [0]:
-            at, got = start, 0
-            for w in needle:
-                to = next((k for k in range(at, min(at + skip + 1, len(hay))) if hay[k] == w), None)
-                if to is not None:
-                    got, at = got + 1, to + 1
-            best = max(best, got)
-        return best / len(needle)
+    plain = lambda: F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " "))
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    grams = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - width), lambda i: F.array_join(F.slice(c, i + 1, width), " "))
+    whole = texts.select("uid", plain().alias("said"))
+    units = whole.select("uid", F.lit(-1).alias("piece"), words(F.col("said")).alias("needle"))
+    units = units.union(whole.select("uid", F.posexplode(F.split("said", PIECES, -1)).alias("piece", "p")).select("uid", "piece", words(F.col("p"))))
+    long = materialise(units.where(F.size("needle") >= width))
+    docs = documents.select("doc_id", plain().alias("hay"))
+    asked = long.select("uid", "piece", F.posexplode(grams(F.col("needle"))).alias("offset", "gram"))
+    told = docs.select("doc_id", words(F.col("hay")).alias("w")).where(F.size("w") >= width).select("doc_id", F.posexplode(grams(F.col("w"))).alias("place", "gram"))
+    told = told.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list("place")), 1, places).alias("at"))
+    met = asked.join(told, "gram") if sources is None else asked.join(sources, "uid").join(told, ["doc_id", "gram"])
+    rare = F.row_number().over(Window.partitionBy("uid", "piece", "doc_id").orderBy("n", "offset"))
+    met = met.withColumn("__n", rare).where(F.col("__n") <= anchors).groupBy("uid", "piece", "doc_id").agg(F.collect_list(F.struct("offset", "at")).alias("starts"))
+    both = met.join(long, ["uid", "piece"]).join(docs, "doc_id").select("uid", "piece", "needle", "hay", "starts")
+
+    def along(needle: list[str], hay: list[str], at: int, step: int) -> int:
+        got = 0
+        for w in needle:
+            to = next((p for p in range(at, at + step * (skip + 1), step) if 0 <= p < len(hay) and hay[p] == w), None)
+            got, at = (got + 1, to + step) if to is not None else (got, at + step)
+        return got
 
     def walk(batches):
         for pdf in batches:
-            rows = []
-            for needle, hay in zip(pdf["needle"], pdf["hay"]):
-                if needle in hay:
-                    rows.append((4, 1.0))
-                elif "".join(needle.split()).lower() in "".join(hay.split()).lower():
-                    rows.append((3, 1.0))
-                else:
-                    c = covered(needle.lower().split(), hay.lower().split())
-                    rows.append((2 if c >= 0.97 else 1 if c >= 0.5 else 0, c))
-            yield pd.DataFrame({"uid": pdf["uid"], "grade": [r[0] for r in rows], "coverage": [r[1] for r in rows]})
+            shares = []
+            for needle, hay, starts in zip(pdf["needle"], pdf["hay"], pdf["starts"]):
+                needle, hay = list(needle), hay.split()
+                found = (along(needle[s["offset"] :], hay, p, 1) + along(needle[: s["offset"]][::-1], hay, p - 1, -1) for s in starts for p in s["at"])
+                shares.append(max(found) / len(needle))
+            yield pd.DataFrame({"uid": pdf["uid"], "piece": pdf["piece"], "share": shares})
 
     kind = dict(texts.dtypes)["uid"]
-    best = both.select("uid", "needle", "hay").mapInPandas(walk, f"uid {kind}, grade int, coverage double").groupBy("uid").agg(F.max(F.struct("grade", "coverage")).alias("b"))
-    names = F.array(*[F.lit(v) for v in ("absent", "partial", "near", "joined", "verbatim")])
-    out = texts.select("uid").join(best, "uid", "left")
-    return out.select("uid", F.get(names, F.coalesce("b.grade", F.lit(0))).alias("verdict"), F.coalesce("b.coverage", F.lit(0.0)).alias("coverage"))
+    walked = both.mapInPandas(walk, f"uid {kind}, piece int, share double").groupBy("uid", "piece").agg(F.max("share").alias("share"))
+    walked = long.join(walked, ["uid", "piece"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+    in_pieces = F.col("piece") >= 0
+    per = walked.groupBy("uid").agg(
+        F.max(F.when(~in_pieces, F.col("share"))).alias("best"), F.max(F.when(~in_pieces, F.size("needle"))).alias("n_words"), F.count_if(in_pieces).alias("pieces"),
+        F.coalesce(F.sum(F.when(in_pieces, F.size("needle"))), F.lit(0)).alias("in_pieces"), F.count_if(in_pieces & (F.col("share") >= 1)).alias("whole"),
+    )
+    assembled = (F.col("pieces") > 0) & (F.col("in_pieces") >= 0.5 * F.col("n_words")) & (F.col("best") < 1)
+    by_pieces = F.when(assembled, F.col("whole") / F.col("pieces")).otherwise(0.0)
+    share = F.greatest("best", by_pieces)
+    verdict = F.when(F.col("best") >= 1, "verbatim").when(by_pieces >= 1, "joined").when(share >= 0.97, "near").when(share >= 0.5, "partial").otherwise("absent")
+    out = per.select("uid", verdict.alias("verdict"), share.alias("coverage"))
+    brief = whole.withColumn("n", F.size(words(F.col("said")))).where(F.col("n") < width)
+    if brief.isEmpty():
+        return out
+    look = brief.where("n > 0")
+    hits = docs.join(look, F.contains("hay", "said")).select("uid").distinct() if sources is None else look.join(sources, "uid").join(docs, "doc_id").where(F.contains("hay", "said")).select("uid").distinct()
+    brief = brief.join(hits.withColumn("__hit", F.lit(True)), "uid", "left")
+    verdict = F.when(F.col("n") == 0, "empty").when(F.col("__hit"), "verbatim").otherwise("absent")
+    return out.union(brief.select("uid", verdict, F.when(F.col("__hit") | (F.col("n") == 0), 1.0).otherwise(0.0)))
 
 
 def record_differences(a: DataFrame, b: DataFrame, columns: list[str], key: str) -> DataFrame:

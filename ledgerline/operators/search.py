@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import rules
 from ledgerline.functions.text import tokens, with_stem
 from ledgerline.operators.common import materialise
+from ledgerline.operators.corpus import preferred
 
 
 @dataclass
@@ -106,10 +107,11 @@ def literal_scores(terms: DataFrame, index: Index) -> DataFrame:
     return scored
 
 
-def search(queries: DataFrame, controls: DataFrame, frameworks: DataFrame, index: Index, aliases: DataFrame | None = None, concepts: DataFrame | None = None) -> DataFrame:
+def search(queries: DataFrame, controls: DataFrame, frameworks: DataFrame, index: Index, aliases: DataFrame | None = None, concepts: DataFrame | None = None, details: DataFrame | None = None) -> DataFrame:
     """(query_id, uid, framework_key, score, n_matched, n_terms, rank) above the floor, best first.
 
-    ``concepts(query_id, uid, conceptual)`` are scores of concept phrases, if any; the subject score is the better of
+    ``concepts(query_id, uid, conceptual)`` are scores of concept phrases, if any (``vocabulary.concept_scores``); of a broad control and its
+    detailed one, ``details(broad_uid, uid)``, only the detailed one stays among a query's hits; the subject score is the better of
     the literal one and 0.8 of that. One incidental word is no answer: without a concept two terms must match,
     or one that carries 0.7 of the weight.
     """
@@ -126,8 +128,12 @@ def search(queries: DataFrame, controls: DataFrame, frameworks: DataFrame, index
     score = F.col("subject") + F.when((F.col("n_matched") == F.col("n_terms")) & (F.col("n_terms") > 1), rules.ALL_TERMS).otherwise(0.0)
     score = score + F.when(F.col("phrase"), rules.PHRASE).otherwise(0.0) + nudge - F.when(F.col("structural"), rules.STRUCTURAL).otherwise(0.0)
     found = found.withColumn("score", F.round(score, 6))
-    floor = F.greatest(F.lit(rules.FLOOR), rules.RELATIVE_FLOOR * F.max("score").over(Window.partitionBy("query_id")))
-    found = found.withColumn("floor", floor).where("score >= floor")
+    # the best of each query by partial maximums, so that no task holds all hits of a query before the floor has cut them
+    found = materialise(found)
+    best = found.groupBy("query_id").agg(F.max("score").alias("__best"))
+    found = found.join(best, "query_id").where(F.col("score") >= F.greatest(F.lit(rules.FLOOR), rules.RELATIVE_FLOOR * F.col("__best"))).drop("__best")
+    if details is not None:
+        found = preferred(found, details, ["query_id"])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "framework_key", "uid"))
     return found.withColumn("rank", rank).select("query_id", "uid", "framework_key", "score", "n_matched", "n_terms", "rank")
 
@@ -151,11 +157,18 @@ def joined_stems(texts: DataFrame, key: str, without_stopwords: bool) -> DataFra
 
 
 def compose(ranked: DataFrame, frameworks: DataFrame, lead: int = rules.LEAD, limit: int = 25) -> DataFrame:
-    """The order in which hits are shown: the ``lead`` best, then the best of each framework not yet seen in governance order, then the rest by score."""
-    seen = ranked.where(F.col("rank") <= lead).select("query_id", "framework_key").distinct().withColumn("led", F.lit(True))
+    """The order in which hits are shown: the ``lead`` best, then the best of each family not yet seen in governance order, then the rest by score.
+
+    ``frameworks`` may have a ``family``; a framework without one is a family of its own.
+    """
+    if "family" in frameworks.columns:
+        ranked = ranked.join(frameworks.select("framework_key", "family"), "framework_key", "left").withColumn("family", F.coalesce("family", "framework_key"))
+    else:
+        ranked = ranked.withColumn("family", F.col("framework_key"))
+    seen = ranked.where(F.col("rank") <= lead).select("query_id", "family").distinct().withColumn("led", F.lit(True))
     gov = frameworks.select("framework_key", F.struct(F.coalesce("tier", F.lit(99)).alias("t"), F.coalesce("jurisdiction", F.lit(99)).alias("j"), F.coalesce("intra_order", F.lit(99)).alias("i"), "framework_key").alias("gov"))
-    hits = ranked.join(seen, ["query_id", "framework_key"], "left").join(gov, "framework_key", "left")
-    best = F.row_number().over(Window.partitionBy("query_id", "framework_key").orderBy("rank"))
+    hits = ranked.join(seen, ["query_id", "family"], "left").join(gov, "framework_key", "left")
+    best = F.row_number().over(Window.partitionBy("query_id", "family").orderBy("rank"))
     hits = hits.withColumn("best", best)
     block = F.when(F.col("rank") <= lead, 0).when(F.col("led").isNull() & (F.col("best") == 1), 1).otherwise(2)
     hits = hits.withColumn("block", block)

@@ -136,17 +136,34 @@ def compare(stated: DataFrame, subject: str = "subject_id") -> DataFrame:
 
 
 def disagreements(stated: DataFrame, subject: str = "subject_id") -> DataFrame:
-    """Unordered pairs of one subject and dimension from different frameworks whose bound or value differ; ``incompatible``: a floor over a ceiling."""
-    use = stated.where("bound <> 'unstated' and not classifies and not restates").select(subject, "dimension", "framework_key", "load_seq", "nth", "bound", "canonical")
+    """Unordered pairs of one subject and dimension from different families whose bound or value differ; ``incompatible``: a floor over a ceiling.
+
+    A framework without a ``family`` in ``stated`` is a family of its own. Equal statements of a family are one, with their number as
+    ``copies``, so a pair stands for ``pairs`` of them: what is joined grows with the different statements of a subject, not with their repeats.
+    """
+    use = stated.where("bound <> 'unstated' and not classifies and not restates")
+    use = use.withColumn("family", F.coalesce("family", "framework_key") if "family" in stated.columns else F.col("framework_key"))
+    use = use.groupBy(subject, "dimension", "family", "bound", F.round("canonical", 9).alias("canonical")).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("load_seq", "nth")).alias("first"))
     right = use.select(*[F.col(c).alias(f"r_{c}") for c in use.columns])
     pairs = use.join(right, (F.col(subject) == F.col(f"r_{subject}")) & (F.col("dimension") == F.col("r_dimension")))
-    pairs = pairs.where((F.struct("load_seq", "nth") < F.struct("r_load_seq", "r_nth")) & (F.col("framework_key") != F.col("r_framework_key")))
+    pairs = pairs.where((F.col("first") < F.col("r_first")) & (F.col("family") != F.col("r_family"))).withColumn("pairs", F.col("copies") * F.col("r_copies"))
     pairs = pairs.where((F.col("bound") != F.col("r_bound")) | (F.abs(F.col("canonical") - F.col("r_canonical")) >= 1e-9))
     floor = F.when(F.col("bound") == "at least", F.col("canonical")).otherwise(F.col("r_canonical"))
     ceiling = F.when(F.col("bound") == "at most", F.col("canonical")).otherwise(F.col("r_canonical"))
     return pairs.withColumn("incompatible", (F.col("bound") != F.col("r_bound")) & (floor > ceiling))
 
 
+def on_subject(stated: DataFrame, clause_concepts: DataFrame, subject_concepts: DataFrame, subject: str = "subject_id") -> DataFrame:
+    """``stated(subject, clause, ...)`` with ``on_subject``: whether the clause of a quantity shares a concept with its subject; all are where the subject has none.
+
+    ``clause_concepts(clause, concept)`` and ``subject_concepts(subject, concept)`` as ``vocabulary.concepts_in`` gives them.
+    """
+    has = subject_concepts.select(subject).distinct().withColumn("__has", F.lit(True))
+    shared = clause_concepts.join(subject_concepts, "concept").select("clause", subject).distinct().withColumn("__shared", F.lit(True))
+    out = stated.join(has, subject, "left").join(shared, ["clause", subject], "left")
+    return out.withColumn("on_subject", F.col("__has").isNull() | F.col("__shared").isNotNull()).drop("__has", "__shared")
+
+
 def obligation_of(text: Column) -> Column:
     return (
         F.when(text.rlike(r"(?i)\bmust not\b|\bmay not\b"), "prohibited").when(text.rlike(r"(?i)\bmust\b|\bis required to\b|\bshall\b"), "mandatory").when(text.rlike(r"(?i)\bmay\b"), "permitted").otherwise("informative")

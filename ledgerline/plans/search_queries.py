@@ -8,6 +8,7 @@ from ledgerline.fixtures import frame, text_of
 from ledgerline.functions import rules
 from ledgerline.functions.text import TOKEN, quoted, stems_sql, tokens, with_stem
 from ledgerline.operators import search as S
+from ledgerline.operators import vocabulary as V
 
 _TOKEN = TOKEN.replace("'", "''")
 
@@ -51,6 +52,32 @@ def search_compose(spark, d):
     return shown.select("query_id", "uid", "score", F.col("block").cast("long").alias("block"), F.col("shown").cast("long").alias("shown"))
 
 
+def _phrases(spark, d):
+    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    item = frame(spark, d, "benchmark").select(F.col("item_id").alias("concept"), words.alias("w"))
+    part = lambda at, n: F.array_join(F.slice("w", at, n), " ")
+    named = item.select("concept", part(1, 3).alias("phrase"), F.lit(0).alias("ord")).union(item.select("concept", part(4, 3), F.lit(1)))
+    return named, item.where("concept % 4 = 0").select("concept", part(7, 2).alias("phrase"))
+
+
+def concept_scores(spark, d):
+    """Rule tables out of the given texts: a concept for each passage, with its first two runs of three words as phrases; every fourth shuts out texts that say its next two."""
+    concepts, excluded = _phrases(spark, d)
+    found = V.concept_scores(frame(spark, d, "queries"), frame(spark, d, "controls"), concepts, _index(spark, d), excluded)
+    return found.select("query_id", "uid", F.round("conceptual", 6).alias("conceptual"))
+
+
+def search_with_concepts(spark, d):
+    """Search with concepts, of broad controls and their details (each control with an even number and the next one) the details only."""
+    concepts, excluded = _phrases(spark, d)
+    queries, controls, index = frame(spark, d, "queries"), frame(spark, d, "controls"), _index(spark, d)
+    broad, fine = controls.where("load_seq % 2 = 0").select((F.col("load_seq") + 1).alias("load_seq"), F.col("uid").alias("broad_uid")), controls.select("load_seq", "uid")
+    details = broad.join(fine, "load_seq").select("broad_uid", "uid")
+    scores = V.concept_scores(queries, controls, concepts, index, excluded)
+    found = S.search(queries, controls, frame(spark, d, "frameworks"), index, concepts=scores, details=details)
+    return found.select("query_id", "uid", "score", "n_matched", "n_terms", F.col("rank").cast("long").alias("rank"))
+
+
 _STOP = quoted(rules.STOPWORDS)
 _CTES = f"""
 controls as ({text_of("controls")}), queries as ({text_of("queries")}), frameworks as ({text_of("frameworks")}),
@@ -85,8 +112,17 @@ scored as (select query_id, uid, framework_key, n_matched, n_terms, round(litera
 floored as (select * from scored qualify score >= greatest(0.12, 0.25 * max(score) over (partition by query_id))),
 ranked as (select *, row_number() over (partition by query_id order by score desc, framework_key, uid) as rank from floored)
 """
-
-QUERIES = {f.__name__: f for f in (token_vocabulary, stem_df_idf, postings, query_terms_weight, candidate_counts, search_topk, search_compose)}
+_CONCEPTS = f"""w as (select item_id, string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ') as w from benchmark),
+ph as (select item_id as concept, 0 as ord, array_to_string(w[1:3], ' ') as phrase from w union all select item_id, 1, array_to_string(w[4:6], ' ') from w),
+ex as (select item_id as concept, array_to_string(w[7:8], ' ') as phrase from w where item_id % 4 = 0),
+pn as (select concept, ord, ' ' || string_agg(stem, ' ' order by pos) || ' ' as p from (select concept, ord, generate_subscripts(t, 1) as pos, unnest(t) as token from (select concept, ord, regexp_extract_all(lower(phrase), '{_TOKEN}') as t from ph)) join voc using (token) group by all),
+cj as (select uid, ' ' || string_agg(stem, ' ' order by pos) || ' ' as j from (select uid, generate_subscripts(t, 1) as pos, unnest(t) as token from (select uid, regexp_extract_all(lower(text), '{_TOKEN}') as t from controls)) join voc using (token) group by 1),
+qc as (select distinct query_id, concept from asked join pn on contains(needle, p)),
+oc as (select uid, concept, min_by((length(j) - length(replace(j, p, ''))) / length(p), ord) as n from cj join pn on contains(j, p) group by all),
+kept as (select oc.* from oc join controls using (uid) where not exists (select 1 from ex where ex.concept = oc.concept and contains(lower(text), lower(ex.phrase)))),
+con as (select query_id, uid, max(n / (n + 1.2::double * (0.25::double + 0.75::double * length / average_length))) as conceptual from qc join kept using (concept) join stats using (uid), totals group by all)"""
+
+QUERIES = {f.__name__: f for f in (token_vocabulary, stem_df_idf, postings, query_terms_weight, candidate_counts, search_topk, search_compose, concept_scores, search_with_concepts)}
 
 ORACLES = {
     "token_vocabulary": f"with w as (select token, count(*) as n from (select unnest(regexp_extract_all(lower(text), '{_TOKEN}')) as token from documents) group by token) {stems_sql('w', carried='token, n')}",
@@ -95,8 +131,19 @@ ORACLES = {
     "query_terms_weight": f"with {_CTES} select query_id, term, stem, round(weight, 6) as weight from terms",
     "candidate_counts": f"with {_CTES} select query_id, count(distinct uid) as n from qs join post using (stem) group by query_id",
     "search_topk": f"with {_CTES} select query_id, uid, score, n_matched, n_terms, rank from ranked where rank <= 25",
-    "search_compose": f"""with {_CTES}, best as (select r.*, row_number() over (partition by query_id, framework_key order by rank) as best,
-        exists (select 1 from ranked x where x.query_id = r.query_id and x.framework_key = r.framework_key and x.rank <= 5) as led from ranked r),
+    "concept_scores": f"with {_CTES}, {_CONCEPTS} select query_id, uid, round(conceptual, 6) as conceptual from con",
+    "search_with_concepts": f"""with {_CTES}, {_CONCEPTS}, g2 as (select query_id, uid, coalesce(literal, 0) as literal, coalesce(n_matched, 0) as n_matched, coalesce(n_terms, 0) as n_terms, coalesce(conceptual, 0) as conceptual
+        from lit full join con using (query_id, uid) where coalesce(conceptual, 0) > 0 or n_matched >= 2 or round(coverage, 9) >= 0.7),
+      s2 as (select query_id, uid, framework_key, n_matched, n_terms, round(greatest(literal, 0.8::double * conceptual) + case when n_matched = n_terms and n_terms > 1 then 0.12 else 0 end
+        + case when n_matched = n_terms and n_terms > 1 and n > 1 and contains(joined, needle) then 0.2 else 0 end
+        + case tier when 1 then 0.06 when 2 then 0.05 when 3 then 0.03 when 4 then 0.02 else 0 end - case when structural then 0.15 else 0 end, 6) as score
+        from g2 join controls using (uid) left join frameworks using (framework_key) left join said using (uid) left join asked using (query_id)),
+      f2 as (select * from s2 qualify score >= greatest(0.12, 0.25 * max(score) over (partition by query_id))),
+      det as (select a.uid as broad_uid, b.uid from controls a join controls b on b.load_seq = a.load_seq + 1 where a.load_seq % 2 = 0),
+      k2 as (select * from f2 where not exists (select 1 from det join f2 y on y.uid = det.uid where det.broad_uid = f2.uid and y.query_id = f2.query_id))
+      select query_id, uid, score, n_matched, n_terms, row_number() over (partition by query_id order by score desc, framework_key, uid) as rank from k2""",
+    "search_compose": f"""with {_CTES}, fam as (select r.*, coalesce(f.family, framework_key) as fam from ranked r left join frameworks f using (framework_key)), best as (select r.*, row_number() over (partition by query_id, fam order by rank) as best,
+        exists (select 1 from fam x where x.query_id = r.query_id and x.fam = r.fam and x.rank <= 5) as led from fam r),
       blk as (select *, case when rank <= 5 then 0 when not led and best = 1 then 1 else 2 end as block from best),
       s as (select *, row_number() over (partition by query_id order by block, case when block = 1 then coalesce(tier, 99) end, case when block = 1 then coalesce(jurisdiction, 99) end,
         case when block = 1 then coalesce(intra_order, 99) end, case when block = 1 then framework_key end, rank) as shown from blk left join frameworks using (framework_key))

@@ -101,4 +101,82 @@ def test_roundtrip_verdicts(spark):
     texts = {"verbatim": "word5 word6 word7 word8 word9", "joined": "word5 word6word7 word8 word9", "near": " ".join(f"word{k}" for k in range(100) if k != 50), "absent": "nothing of this is there"}
     t = spark.createDataFrame(list(texts.items()), "uid string, text string")
     got = {r.uid: r.verdict for r in reports.roundtrip_verify(t, spark.createDataFrame([(1, doc)], "doc_id long, text string")).collect()}
-    assert got["verbatim"] == "verbatim" and got["near"] == "near" and got["absent"] == "absent"
+    assert got["verbatim"] == "verbatim" and got["near"] == "verbatim" and got["absent"] == "absent"  # what the document has besides is passed over
+
+
+def test_roundtrip_walks_from_rare_phrases(spark):
+    filler = [" ".join(f"the common word{k} of line{n}" for k in range(6)) for n in range(30)]
+    stock = "assets that are important to the delivery of the function"
+    doc = " . ".join([*(f"{stock} kind{k} end{k}" for k in range(20)), *filler, "the seldom phrase stands here inserted marker in the middle of it", "A head line"])
+    other = "quite another document without any of it at all"
+    texts = {
+        "late": "the seldom phrase stands here in the middle of it", "stock": f"{stock} kind17 end17", "rarest last": "zzz yyy the seldom phrase stands here",
+        "half": "the seldom phrase stands here but nothing that comes then is known in any of the lines", "pieces": "the seldom phrase stands here; the common word3 of line7; the common word1 of line2", "short": "head line", "gone": "tail line", "none": " ",
+        "near": "the common word0 of line4 " + " ".join(f"the common word{k} of line4" for k in range(1, 6)) + " missing", "absent": "not one of these words is to be found",
+    }
+    t = spark.createDataFrame(list(texts.items()), "uid string, text string")
+    docs = spark.createDataFrame([(1, doc), (2, other)], "doc_id long, text string")
+    got = {r.uid: (r.verdict, r.coverage) for r in reports.roundtrip_verify(t, docs).collect()}
+
+    def brute(words, hay):
+        grams = {}
+        for k in range(len(hay) - 3):
+            grams.setdefault(tuple(hay[k : k + 4]), []).append(k)
+        starts = sorted((len(grams[g]), o) for o in range(len(words) - 3) if (g := tuple(words[o : o + 4])) in grams)[:4]
+        best = 0
+        for _, o in starts:
+            for p in grams[tuple(words[o : o + 4])][:12]:
+                n = 0
+                for part, at, step in ((words[o:], p, 1), (words[:o][::-1], p - 1, -1)):
+                    for w in part:
+                        near = [q for q in range(at, at + 9 * step, step) if 0 <= q < len(hay) and hay[q] == w]
+                        n, at = (n + 1, near[0] + step) if near else (n, at + step)
+                best = max(best, n)
+        return best / len(words)
+
+    hay = doc.lower().split()
+    assert {k: got[k] for k in ("late", "stock", "pieces", "short", "gone", "none")} == {"late": ("verbatim", 1.0), "stock": ("verbatim", 1.0), "pieces": ("joined", 1.0), "short": ("verbatim", 1.0), "gone": ("absent", 0.0), "none": ("empty", 1.0)}
+    for k in ("rarest last", "half", "near", "absent"):
+        share = brute(texts[k].split(), hay)
+        assert abs(got[k][1] - share) < 1e-9 and got[k][0] == ("near" if share >= 0.97 else "partial" if share >= 0.5 else "absent"), k
+    only = reports.roundtrip_verify(t, docs, spark.createDataFrame([(u, 2) for u in texts], "uid string, doc_id long")).collect()
+    assert {r.verdict for r in only} == {"absent", "empty"}
+
+
+def test_threat_match_reads_the_controls_share_of_the_body(spark):
+    """A short control that a long description covers whole scores 0.20; the share of the description that it covers doesn't count."""
+    texts = spark.createDataFrame([("a", "log"), ("a", "event"), ("b", "log"), ("b", "other"), ("c", "thing")], "uid string, stem string")
+    mitigations = spark.createDataFrame([("m", "name", "log"), ("m", "name", "audit"), ("m", "body", "log"), ("m", "body", "event"), *(("m", "body", f"x{k}") for k in range(50))], "mitigation_id string, part string, stem string")
+    weights = spark.createDataFrame([(s, 1.0) for s in ("log", "event", "audit", "other", "thing", *(f"x{k}" for k in range(50)))], "stem string, weight double")
+    shared = spark.createDataFrame([("c", "m")], "uid string, mitigation_id string")
+    got = {r.uid: r.score for r in graph.threat_match(texts, mitigations, weights, shared).collect()}
+    assert got == {"a": 0.525, "c": 0.45}
+
+
+def test_disagreements_lie_between_families(spark):
+    rows = [("s", "time", "e8", "ism", 1, 0, "at most", 48.0), ("s", "time", "ism", "ism", 2, 0, "at most", 72.0), ("s", "time", "csf", None, 3, 0, "at least", 60.0), ("s", "time", "csf", None, 4, 0, "at least", 60.0)]
+    df = spark.createDataFrame([(*r, False, False) for r in rows], "subject_id string, dimension string, framework_key string, family string, load_seq int, nth int, bound string, canonical double, classifies boolean, restates boolean")
+    got = {(r.family, r.r_family, r.canonical, r.r_canonical, r.incompatible, r.pairs) for r in thresholds.disagreements(df).collect()}
+    assert got == {("ism", "csf", 48.0, 60.0, True, 2), ("ism", "csf", 72.0, 60.0, False, 2)}
+
+
+def test_ancestors_of_a_deep_chain_and_a_tail_into_a_cycle(spark):
+    rows = [(f"n{k}", f"n{k - 1}" if k else None) for k in range(60)] + [("t2", "t1"), ("t1", "x"), ("x", "y"), ("y", "z"), ("z", "x"), ("self", "self")]
+    got = {}
+    for r in graph.ancestors(spark.createDataFrame(rows, "uid string, parent_uid string")).orderBy("level").collect():
+        got.setdefault(r.uid, []).append(r.ancestor_uid)
+    assert all(got[f"n{k}"] == [f"n{j}" for j in range(k - 1, -1, -1)] for k in range(1, 60))
+    assert {k: got.get(k) for k in ("t2", "t1", "x", "y", "z", "self")} == {"t2": ["t1", "x", "y", "z"], "t1": ["x", "y", "z"], "x": ["y", "z"], "y": ["z", "x"], "z": ["x", "y"], "self": None}
+
+
+def test_containment_of_long_and_short_texts(spark):
+    hays = ["The quick brown fox jumps over the lazy dog, and then some more of it follows.", "Nothing", "brown fox jumps over the lazy dog and then"]
+    texts = {"a": "Quick brown fox; jumps over the lazy dog and", "b": "fox jumps", "c": "brown fox jumps over the lazy cat and then", "d": "..."}
+    docs = spark.createDataFrame(list(enumerate(hays)), "doc_id long, text string")
+    assert {r.uid: r.n for r in reports.containment_check(spark.createDataFrame(list(texts.items()), "uid string, text string"), docs).collect()} == {"a": 1, "b": 2, "c": 0, "d": 0}
+
+
+def test_families_share_a_place_in_the_shown_order(spark):
+    ranked = spark.createDataFrame([(1, f"{f}:{k}", f, 1.0 - k / 100, k) for k, f in enumerate(["a", "b", "c", "d"], 1)], "query_id int, uid string, framework_key string, score double, rank int")
+    frameworks = spark.createDataFrame([("a", 3, 0, 0, "x"), ("b", 2, 0, 0, "x"), ("c", 2, 0, 0, None), ("d", 1, 0, 0, None)], "framework_key string, tier int, jurisdiction int, intra_order int, family string")
+    assert [r.framework_key for r in search.compose(ranked, frameworks, lead=1).orderBy("shown").collect()] == ["a", "d", "c", "b"]
