@@ -186,15 +186,18 @@ def led(members: DataFrame, key: str, count: str, leads: Column) -> DataFrame:
     return out.withColumn("last", ~F.col("leads"))
 
 
-def rest_blocked(members: DataFrame, key: str, per_block: int) -> DataFrame:
+def rest_blocked(members: DataFrame, key: str, per_block: int, beside: DataFrame | None = None) -> DataFrame:
     """``members(key, digest, near, ...)`` dealt to pairs of blocks of their key, so that every two of which one isn't near the leader meet: columns ``i <= j`` and ``own`` are added.
 
     Keys whose members are all near their leader go. A near member meets the blocks of the rest, one of the rest meets all blocks; how many
-    blocks there are follows from the counts, so a task holds about two blocks, whatever the key's size.
+    blocks there are follows from the counts, so a task holds about two blocks, whatever the key's size. ``beside`` has one row a digest and is
+    joined to the members before they are sent to their blocks.
     """
     counts = members.groupBy(key).agg(F.count_if("near").alias("n_near"), F.count_if(~F.col("near")).alias("n_rest")).where("n_rest > 0")
     counts = materialise(counts.withColumn("members", F.col("n_near") + F.col("n_rest")))
     out = by_key(members, counts, key, "members")
+    if beside is not None:
+        out = out.join(beside, "digest")
     near, rest = (F.ceil(F.col(c) / per_block).cast("int") for c in ("n_near", "n_rest"))
     turn = F.xxhash64(F.lit("block"), "digest")
     out = out.withColumn("own", F.when(F.col("near"), F.pmod(turn, near)).otherwise(near + F.pmod(turn, rest)).cast("int"))
@@ -370,7 +373,7 @@ def links(docs: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFra
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, leader = None, None
-        for batch in batches:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             rows = []
             for grp, part, last, key, s in zip(*(batch.column(c).to_pylist() for c in ("grp", "part", "last", "digest", "set"))):
                 items = np.frombuffer(s, np.uint64)
@@ -386,8 +389,7 @@ def links(docs: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFra
 
     told = materialise(dealt.mapInArrow(follow, "grp binary, digest binary, near boolean"))
     starry = told.where("near and grp <> digest").select(F.col("grp").alias("a"), F.col("digest").alias("b"))
-    rest = rest_blocked(told, "grp", BLOCK // 2)
-    rest = rest.join(got.select(F.col("digest").alias("__digest"), "set"), F.col("digest") == F.col("__digest"))
+    rest = rest_blocked(told, "grp", BLOCK // 2, got.select("digest", "set"))
     sent = sorted_groups(rest.select("grp", "i", "j", "own", "digest", "set"), ["grp", "i", "j"], [])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
