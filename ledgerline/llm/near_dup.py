@@ -418,17 +418,17 @@ def links(docs: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFra
 def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(doc_id, class_id, kept) of every row of ``docs(doc_id, text)``; kept: the row has its class's id."""
     signed = materialise(sign(docs))
-    reps = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    reps = signed.where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     reps = materialise(reps)
     found = components(links(docs, reps, similarity))
     linked = materialise(reps.select("digest", "doc_id").join(found.withColumnRenamed("node", "__node"), F.col("digest") == F.col("__node")).select("digest", "doc_id", "label"))
     least = materialise(linked.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("members")))
     linked = by_key(linked.select("digest", "label"), least, "label", "members").select("digest", "class_id", F.lit(True).alias("linked"))
-    classes = reps.select("digest", "doc_id").join(linked, "digest", "left")
-    classes = classes.select(F.col("digest").alias("__digest"), F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
-    out = signed.select("doc_id", "digest").join(classes, F.col("digest") == F.col("__digest"), "left")
-    class_id = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return out.select("doc_id", class_id.alias("class_id"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
+    classes = reps.select("digest", "doc_id", "copies").join(linked, "digest", "left")
+    classes = materialise(classes.select("digest", F.when(F.col("linked"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "copies"))
+    out = by_key(signed.where("digest is not null").select("doc_id", "digest"), classes, "digest", "copies").select("doc_id", "class_id")
+    out = out.union(signed.where("digest is null").select("doc_id", F.col("doc_id").alias("class_id")))
+    return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

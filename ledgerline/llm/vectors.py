@@ -220,10 +220,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, per_cell: int = 30
     linked = by_key(linked.select("digest", "label"), least, "label", "members").select("digest", "component_id")
     told = reps.select("digest", "copies", "vec_id").join(counts, "digest", "left").join(linked.withColumn("linked", F.lit(True)), "digest", "left")
     component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("vec_id"))
-    told = told.select(F.col("digest").alias("__digest"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), component.alias("component_id"))
-    out = named.select("vec_id", "digest").join(told, F.col("digest") == F.col("__digest"), "left")
-    component = F.when(F.col("digest").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    told = materialise(told.select("digest", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), component.alias("component_id"), "copies"))
+    out = by_key(named.where("digest is not null").select("vec_id", "digest"), told, "digest", "copies").select("vec_id", "n_links", "component_id")
+    out = out.union(named.where("digest is null").select("vec_id", F.lit(0).cast("long"), F.col("vec_id")))
+    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op5_embedding_dups(vectors: DataFrame) -> DataFrame:
