@@ -44,7 +44,7 @@ SLOTS = BANDS * ROWS
 NEAR = 0.6
 BLOCK = 128
 #: Texts that are compared with their leader in one task.
-LED = 2048
+LED = 256
 #: A worker keeps the hashes of at most so many words.
 REMEMBERED = 500_000
 #: Letters of the texts that are signed together.
