@@ -63,3 +63,23 @@ CADENCE = ["at least every", "at regular intervals no more than", "every"]
 NEGATIONS = ["must not", "shall not", "may not", "is not", "are not", "not set to", "cannot", "never"]
 LOOSE_BOUNDS = [("maximum", "at most"), ("no more than", "at most"), ("must not exceed", "at most"), ("minimum", "at least"), ("at least", "at least")]
 STATUS_WORDS = ["disallowed", "deprecated", "legacy use", "acceptable", "approval status", "restricted", "no longer approved"]
+
+# A number per unit of time is a rate; where a clause ends.
+RATE = r"(?i)^\s*(per|every|a|each)\s+(hour|day|week|month|year)\b"
+CLAUSE_BREAKS = r"\. |; |: | - | • | — "
+
+# Who can be asked to do something, and what refuses a derivation: (reason, part, letters read, pattern, lifted by, letters read for that).
+ACTOR = r"(?i)\b(entity|entities|organisation|organization|agency|agencies|responsible entity|system owner|personnel|users?|supplier|service provider)\b"
+DEFINITION = r"(?i)^\s*(meaning of|definitions?|interpretation|simplified outline|application of (?:this|the)|object(?:s)? of (?:this|the))\b"
+REFUSED_ABOVE = r"(?i)^\s*(definitions?|interpretation|preliminary|meaning of|dictionary|simplified outline)\b"
+SHORTEST_TEXT = 12
+REFUSALS = [
+    ("definition", "title", None, DEFINITION, None, None),
+    ("definition", "text", None, DEFINITION, None, None),
+    ("definition", "text", 240, r"\b(means|has the same meaning as|is taken to be)\b", ACTOR, 240),
+    ("penalty", "both", None, r"(?i)\b(civil penalty|penalty units|is guilty of an offence)\b", ACTOR, 200),
+    ("power of an office holder", "text", 220, r"\b(the Minister|the Secretary|the Prime Minister|the Commissioner|the Inspector-General|the Department)\b", ACTOR, 220),
+]
+
+# Usual rules of what may not be released, in order: (reason, pattern of the path).
+WITHHELD = [("folder", "^(sources|cache|private)/"), ("suffix", r"\.(pdf|docx|xlsx|zip)$"), ("name", "(?i)secret|credential")]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions import rules
 from ledgerline.operators.common import materialise
 
 # Least counts of the frequency bands 5 to 1.
@@ -190,17 +191,19 @@ def mapping_inventory(sheet: DataFrame, columns: list[str], priorities: DataFram
     return sheet.agg(*filled).selectExpr(f"stack({len(columns)}, {pairs}) as (column, mapped)").join(F.broadcast(priorities), "column", "left")
 
 
-def release_gate(files: DataFrame, licences: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Files that may be released, and (path, reason) of the others: the licence, the folder, the suffix or the name forbids it.
+def release_gate(files: DataFrame, licences: DataFrame, withheld: list[tuple[str, str]] = rules.WITHHELD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files that may be released, (path, reason) of the others, and (reason, n) of every rule: one that withholds nothing (n = 0) is out of use or misspelt.
 
-    ``files(path, framework_key)``, ``licences(framework_key, shippable)``.
+    ``files(path, framework_key)``, ``licences(framework_key, shippable)``; after the licence, the first row of ``withheld(reason, pattern)`` that matches the path decides.
     """
-    out = files.join(F.broadcast(licences), "framework_key", "left")
-    reason = (
-        F.when(~F.coalesce("shippable", F.lit(False)), "licence").when(F.col("path").rlike("^(sources|cache|private)/"), "folder").when(F.col("path").rlike(r"\.(pdf|docx|xlsx|zip)$"), "suffix").when(F.col("path").rlike("(?i)secret|credential"), "name")
-    )
-    out = out.withColumn("reason", reason)
-    return out.where("reason is null").drop("reason"), out.where("reason is not null").select("path", "reason")
+    reason = F.when(~F.coalesce("shippable", F.lit(False)), "licence")
+    for name, pattern in withheld:
+        reason = reason.when(F.col("path").rlike(pattern), name)
+    out = files.join(licences, "framework_key", "left").withColumn("reason", reason)
+    held = out.where("reason is not null").select("path", "reason")
+    names = files.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(["licence", *(n for n, _ in withheld)])], "reason string")
+    used = names.join(held.groupBy("reason").agg(F.count(F.lit(1)).alias("n")), "reason", "left").fillna(0, ["n"])
+    return out.where("reason is null").drop("reason"), held, used
 
 
 def parameter_reference_check(calls: DataFrame, references: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def _bound_from(window: Column, first: Column) -> Column:
 
 def clause(flat: Column, start: Column, end: Column) -> Column:
     """The text around a quantity up to the nearest breaks."""
-    breaks = r"\. |; |: | - | • | — "
+    breaks = rules.CLAUSE_BREAKS
     left = F.element_at(F.split(F.substring(flat, F.lit(1), start), breaks, -1), -1)
     right = F.element_at(F.split(F.substring(flat, end + 1, F.length(flat)), breaks, -1), 1)
     whole = F.regexp_replace(F.concat(left, F.substring(flat, start + 1, end - start), right), r"\s+", " ")
@@ -103,7 +103,7 @@ def thresholds(texts: DataFrame, key: str = "uid") -> DataFrame:
     """Quantities with their bounds: rates are left out; restatements in brackets and texts that classify are marked."""
     q = quantities(texts, key)
     follows = F.substring("flat", F.col("end") + 1, F.lit(12))
-    q = q.where(~follows.rlike(r"(?i)^\s*(per|every|a|each)\s+(hour|day|week|month|year)\b"))
+    q = q.where(~follows.rlike(rules.RATE))
     before = F.substring("flat", F.greatest(F.col("start") - LOOK_BACK, F.lit(0)) + 1, F.least(F.col("start"), F.lit(LOOK_BACK)))
     q = q.withColumn("__w", F.trim(F.regexp_replace(F.lower(before), r"\s+", " "))).withColumn("__b", read_bound(F.col("__w")))
     q = q.withColumn("dimension", dimension(F.col("unit"))).withColumn("canonical", canonical(F.col("value"), F.col("unit")))

@@ -141,11 +141,11 @@ _QS = rf"""q0 as (select text, regexp_extract_all(text, '(?i){_Q}') as m, string
   q1 as (select text, i - 1 as nth, m[i] as found, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) + length(regexp_extract(m[i], '(?i){_Q}', 1)) as s,
     regexp_extract(m[i], '(?i){_Q}', 2) as w, regexp_replace(lower(regexp_extract(m[i], '(?i){_Q}', 3)), 's$', '') as unit from (select *, unnest(generate_series(1, len(m))) as i from q0)),
   qq as (select text, nth::bigint as nth, s::bigint as start, (s + length(found) - length(regexp_extract(found, '(?i){_Q}', 1)))::bigint as "end", {_WORDS} as value, unit from q1)"""
-_BREAKS = r"\. |; |: | - | • | — "
+_BREAKS = rules.CLAUSE_BREAKS
 _TH = rf"""{_QS}, bounds(ord, p, bound, own) as (values {_VALUES([(k, *b) for k, b in enumerate(rules.BOUNDS)])}), loose(ord, p, bound) as (values {_VALUES([(k, *b) for k, b in enumerate(rules.LOOSE_BOUNDS)])}),
   t0 as (select *, trim(regexp_replace(lower(substr(text, greatest(start - 52, 0)::int + 1, least(start, 52)::int)), '\s+', ' ', 'g')) as win, case unit when 'bit' then 'bits' when 'character' then 'characters' else 'time' end as dimension, value * {_HOURS} as canonical,
     unit in ('month', 'year') as approximate, substr(text, 1, start::int) as head,
-    regexp_replace(regexp_replace(string_split_regex(substr(text, 1, start::int), '{_BREAKS}')[-1] || substr(text, start::int + 1, ("end" - start)::int) || string_split_regex(substr(text, "end"::int + 1), '{_BREAKS}')[1], '\s+', ' ', 'g'), '^[ .;:—-]+|[ .;:—-]+$', '', 'g') as clause from qq where not regexp_matches(substr(text, "end"::int + 1, 12), '(?i)^\s*(per|every|a|each)\s+(hour|day|week|month|year)\b')),
+    regexp_replace(regexp_replace(string_split_regex(substr(text, 1, start::int), '{_BREAKS}')[-1] || substr(text, start::int + 1, ("end" - start)::int) || string_split_regex(substr(text, "end"::int + 1), '{_BREAKS}')[1], '\s+', ' ', 'g'), '^[ .;:—-]+|[ .;:—-]+$', '', 'g') as clause from qq where not regexp_matches(substr(text, "end"::int + 1, 12), '{rules.RATE}')),
   rf as (select text, nth, ord, p, bound, own, length(win) - instr(reverse(win), reverse(p)) - length(p) + 1 as pl, length(win) as l from t0, bounds where instr(reverse(win), reverse(p)) > 0),
   b1 as (select text, nth, min_by(bound, (pl, ord)) as bound, min_by(own, (pl, ord)) as own, min(pl) as pl from rf where pl + length(p) >= l - 2 group by all),
   l1 as (select text, nth, max_by(bound, (length(win) - instr(reverse(win), reverse(p)) - length(p), -ord)) as near from t0, loose where instr(reverse(win), reverse(p)) > 0 group by all),
