@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import search as S
 from ledgerline.operators import shape
+from ledgerline.operators.common import if_small
 from ledgerline.operators.corpus import preferred
 from ledgerline.operators.graph import framework_of, relations
 from ledgerline.operators.vocabulary import concepts_in
@@ -109,7 +110,7 @@ def analysis_notes(readings: DataFrame, bands: DataFrame, quantities: DataFrame)
 
 def curated_sources(texts: DataFrame, profiles: DataFrame, key: str = "uid") -> DataFrame:
     """(key, source_uid): the curated sources of the first profile that a text matches. ``profiles(pattern, uids ARRAY, ord)`` is a rule table."""
-    hit = texts.join(F.broadcast(profiles), F.expr("text rlike pattern")).groupBy(key).agg(F.min_by("uids", "ord").alias("uids"))
+    hit = texts.join(if_small(profiles), F.expr("text rlike pattern")).groupBy(key).agg(F.min_by("uids", "ord").alias("uids"))
     return hit.select(key, F.explode("uids").alias("source_uid"))
 
 
@@ -126,10 +127,10 @@ def risk_statement(risk: Column, quote: Column) -> Column:
     return F.concat(F.lit("There is a risk that "), risk, F.lit(". The requirement says: "), quote, F.lit("."))
 
 
-def derive_all(controls: DataFrame, archetypes: list[tuple[str, str]], profiles: list[tuple[str, str]], risks: DataFrame, figures: DataFrame) -> DataFrame:
-    """(uid, refusal, archetypes, test, risk) of ``controls(uid, title, text, structural, ancestor_titles)``: a control that can't be derived from has its refusal and nothing else.
+def derive_all(controls: DataFrame, archetypes: list[tuple[str, str]], profiles: list[tuple], risks: DataFrame, figures: DataFrame) -> DataFrame:
+    """(uid, refusal, archetypes, test, risk, assessment) of ``controls(uid, title, text, structural, ancestor_titles)``: a control that can't be derived from has its refusal and nothing else.
 
-    ``figures(uid, figures ARRAY<STRING>)``; ``risks(archetype, risk)``.
+    ``figures(uid, figures ARRAY<STRING>)``; ``profiles`` and ``risks`` as of ``shape.guidance``.
     """
     read = controls.withColumn("refusal", shape.not_derivable(F.col("title"), F.col("text"), F.col("structural"), F.col("ancestor_titles")))
     open_ = read.where("refusal is null").select("uid", "text")
@@ -138,7 +139,7 @@ def derive_all(controls: DataFrame, archetypes: list[tuple[str, str]], profiles:
     out = read.join(listed, "uid", "left").join(shape.guidance(kinds, open_, profiles, risks), "uid", "left").join(figures, "uid", "left")
     test = shape.test_procedure(F.get("archetypes", 0), F.col("text"), F.coalesce("figures", F.array().cast("array<string>")), F.lit(None).cast("string"))
     derived = lambda c: F.when(F.col("refusal").isNull(), c)
-    return out.select("uid", "refusal", "archetypes", derived(test).alias("test"), derived(risk_statement(F.col("risk"), F.col("text"))).alias("risk"))
+    return out.select("uid", "refusal", "archetypes", derived(test).alias("test"), derived(risk_statement(F.col("risk"), F.col("text"))).alias("risk"), derived(F.col("assessment")).alias("assessment"))
 
 
 def candidate_mentions(controls: DataFrame, candidates: DataFrame, families: DataFrame, details: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -147,8 +148,8 @@ def candidate_mentions(controls: DataFrame, candidates: DataFrame, families: Dat
     ``candidates(candidate, pattern, uids ARRAY)`` is a rule table, ``details(broad_uid, uid)``, ``families(framework_key, family)``.
     """
     hay = controls.select("uid", "framework_key", F.concat_ws(" ", "title", "text").alias("hay"))
-    hit = hay.join(F.broadcast(candidates.select("candidate", "pattern")), F.expr("hay rlike pattern")).select("candidate", "uid", "framework_key")
-    hit = preferred(hit, details, ["candidate"]).join(F.broadcast(families), "framework_key", "left")
+    hit = hay.join(if_small(candidates.select("candidate", "pattern")), F.expr("hay rlike pattern")).select("candidate", "uid", "framework_key")
+    hit = preferred(hit, details, ["candidate"]).join(families, "framework_key", "left")
     counts = hit.groupBy("candidate", F.coalesce("family", "framework_key").alias("family")).agg(F.count(F.lit(1)).alias("n"))
     cited = candidates.select("candidate", F.explode("uids").alias("uid"))
     return counts, cited.join(controls.select("uid"), "uid", "left_anti").select("candidate", "uid")
@@ -192,3 +193,17 @@ def risk_rows(derived: DataFrame, related: DataFrame, published: DataFrame) -> D
     n = lambda df, key, name: df.groupBy(F.col(key).alias("uid")).agg(F.count(F.lit(1)).alias(name))
     out = derived.join(n(published, "control_uid", "n_published"), "uid", "left").join(n(related, "uid", "n_related"), "uid", "left").fillna(0, ["n_published", "n_related"])
     return out.select("uid", "risk", "test", "refusal", "n_published", "n_related")
+
+
+def test_plan_rows(derived: DataFrame, published: DataFrame, related: DataFrame, details: DataFrame) -> DataFrame:
+    """(uid, kind, content): a row for each thing that a test plan of a control lists, so that a control with many needs no row that holds them all.
+
+    Kinds: published (``published(uid, content)``), derived (the composed test) or refusal (why there is none), related
+    (``related(uid, source_uid)``) and detail (``details(uid, detail_id)``). A publisher's own procedures take the place of a composed one.
+    """
+    row = lambda df, kind, content: df.select("uid", F.lit(kind).alias("kind"), F.col(content).cast("string").alias("content"))
+    own = derived.join(published.select("uid").distinct(), "uid", "left_anti")
+    composed = row(own.where("refusal is null"), "derived", "test").union(row(own.where("refusal is not null"), "refusal", "refusal"))
+    known = derived.select("uid")
+    listed = row(published, "published", "content").union(row(related, "related", "source_uid")).union(row(details, "detail", "detail_id"))
+    return composed.union(listed.join(known, "uid", "left_semi")).distinct()

@@ -5,11 +5,26 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows up to which a table counts as a rule table.
+RULES = 10_000
+
+
+def if_small(df: DataFrame, most: int = RULES) -> DataFrame:
+    """``df`` to be sent to every task if it has at most ``most`` rows, counted beforehand up to that many; else as it is, for Spark to decide.
+
+    For joins by a pattern or a substring, which have no key to shuffle by: a larger table is met block by block.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder (``spark.checkpoint.dir``; a temporary one only where that is unset)."""
+    """Cut the lineage through the shared checkpoint folder (``spark.checkpoint.dir``; a temporary one only where that is unset and everything runs in one process)."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)

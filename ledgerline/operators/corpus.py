@@ -107,7 +107,7 @@ def governance_key(frameworks: DataFrame) -> DataFrame:
 def governance_order(controls: DataFrame, frameworks: DataFrame, within: list[str] | None = None) -> DataFrame:
     """``controls`` with ``place``, its number in governance order, over all or ``within`` groups (of a bounded size)."""
     unknown = F.struct(*[F.lit(NO_TIER).alias(c) for c in ("tier", "jurisdiction", "intra_order")], F.col("framework_key").alias("key"))
-    joined = controls.join(F.broadcast(governance_key(frameworks)), "framework_key", "left").withColumn("gov", F.coalesce("gov", unknown))
+    joined = controls.join(governance_key(frameworks), "framework_key", "left").withColumn("gov", F.coalesce("gov", unknown))
     if within:
         return joined.withColumn("place", F.row_number().over(Window.partitionBy(*within).orderBy("gov", "uid"))).drop("gov")
     # number each framework's controls for themselves, then add what the frameworks before it hold
@@ -138,7 +138,7 @@ def preferred(uids: DataFrame, details: DataFrame, group: list[str]) -> DataFram
 
 def family_counts(controls: DataFrame, families: DataFrame) -> DataFrame:
     """(family, n_frameworks, n): ``families(framework_key, family)``; a framework outside it is its own family."""
-    joined = controls.join(F.broadcast(families), "framework_key", "left").withColumn("family", F.coalesce("family", "framework_key"))
+    joined = controls.join(families, "framework_key", "left").withColumn("family", F.coalesce("family", "framework_key"))
     return joined.groupBy("family").agg(F.countDistinct("framework_key").alias("n_frameworks"), F.count(F.lit(1)).alias("n"))
 
 

@@ -131,7 +131,7 @@ def chains(starts: DataFrame, links: DataFrame, controls: DataFrame, tiers: Data
     up = tree.select("uid", F.col("parent_uid").alias("other_uid"), F.lit(True).alias("outward"), none.alias("kind"), none.alias("provenance"), F.lit("up").alias("move"), F.struct(F.lit(2).alias("a"), "load_seq").alias("seq"))
     down = tree.select(F.col("parent_uid").alias("uid"), F.col("uid").alias("other_uid"), F.lit(False).alias("outward"), none.alias("kind"), none.alias("provenance"), F.lit("down").alias("move"), F.struct(F.lit(3).alias("a"), "load_seq").alias("seq"))
     steps = materialise(step.union(up).union(down))
-    tier = F.broadcast(tiers.select(F.col("framework_key").alias("__fw"), "tier"))  # a row a document
+    tier = tiers.select(F.col("framework_key").alias("__fw"), "tier")
     start = starts.select(F.col("uid").alias("start")).distinct().withColumn("fw", framework_of(F.col("start"))).join(tier, F.col("fw") == F.col("__fw"), "left")
     front = start.select("start", F.col("tier").alias("start_tier"), F.col("start").alias("node"), F.array("fw").alias("left"), F.lit("").alias("way"), F.array().cast("array<struct<a:int,load_seq:bigint>>").alias("seq"), F.array().cast(HOP).alias("path"))
     seen = materialise(front.select("start", "node"))

@@ -31,7 +31,7 @@ def lookup(queries: DataFrame, index: DataFrame, words: DataFrame | None = None,
     first = F.regexp_extract("raw", "^(\\S+)\\s", 1)
     q = q.withColumn("word", F.when(~first.rlike("[0-9]"), F.regexp_extract(F.lower(first), "^[a-z]+", 0)))
     if words is not None:
-        q = q.join(F.broadcast(words.withColumnRenamed("framework_key", "fw")), "word", "left")
+        q = q.join(words.withColumnRenamed("framework_key", "fw"), "word", "left")
     else:
         q = q.withColumn("fw", F.lit(None).cast("string"))
     q = q.withColumn("stripped", F.when(F.col("fw").isNotNull(), F.regexp_replace("raw", "^\\S+\\s+", "")).otherwise(F.col("raw")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import rules
-from ledgerline.operators.common import materialise
+from ledgerline.operators.common import if_small, materialise
 
 # Least counts of the frequency bands 5 to 1.
 BANDS = [(200, 5), (100, 4), (50, 3), (20, 2), (0, 1)]
@@ -30,14 +30,14 @@ def assessable_entries(entries: DataFrame) -> DataFrame:
 
 def topic_hits(entries: DataFrame, topics: DataFrame) -> DataFrame:
     """(topic, uid, family): ``topics(topic, pattern)`` is a rule table of a few dozen rows; an entry counts for every topic it matches."""
-    return entries.join(F.broadcast(topics), F.expr("text rlike pattern")).select("topic", "uid", "family")
+    return entries.join(if_small(topics), F.expr("text rlike pattern")).select("topic", "uid", "family")
 
 
 def topic_prevalence(entries: DataFrame, topics: DataFrame) -> DataFrame:
     """(topic, n, families, band, mean_share, rank): counts, the frequency band and the mean share of all families, also of those with none."""
     hits = topic_hits(entries, topics)
     families = entries.groupBy("family").agg(F.count(F.lit(1)).alias("total"))
-    grid = topics.select("topic").join(F.broadcast(families))  # topics by families, both a few dozen
+    grid = topics.select("topic").join(if_small(families))  # topics by families, both a few dozen
     per = grid.join(hits.groupBy("topic", "family").agg(F.count(F.lit(1)).alias("n")), ["topic", "family"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     out = per.groupBy("topic").agg(F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("long")).alias("families"), F.round(F.avg(F.col("n") / F.col("total") * 100), 6).alias("mean_share"))
     band = F.lit(1)
@@ -188,7 +188,7 @@ def mapping_inventory(sheet: DataFrame, columns: list[str], priorities: DataFram
     """(column, mapped, priority): filled cells of each mapping column."""
     filled = [F.sum(F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) != "", 1).otherwise(0)).alias(c) for c in columns]
     pairs = ", ".join(f"'{c}', `{c}`" for c in columns)
-    return sheet.agg(*filled).selectExpr(f"stack({len(columns)}, {pairs}) as (column, mapped)").join(F.broadcast(priorities), "column", "left")
+    return sheet.agg(*filled).selectExpr(f"stack({len(columns)}, {pairs}) as (column, mapped)").join(priorities, "column", "left")
 
 
 def release_gate(files: DataFrame, licences: DataFrame, withheld: list[tuple[str, str]] = rules.WITHHELD) -> tuple[DataFrame, DataFrame, DataFrame]:

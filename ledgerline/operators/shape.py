@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import rules
+from ledgerline.operators.common import if_small
 
 
 def not_derivable(title: Column, text: Column, structural: Column, ancestor_titles: Column, refusals: list[tuple] = rules.REFUSALS, above: str = rules.REFUSED_ABOVE, shortest: int = rules.SHORTEST_TEXT) -> Column:
@@ -28,10 +29,10 @@ def not_derivable(title: Column, text: Column, structural: Column, ancestor_titl
     return out
 
 
-def first_match(texts: DataFrame, rules: list[tuple[str, str]], key: str = "uid") -> Column:
-    """The name of the first rule (name, pattern) that a text matches, or null."""
+def first_match(named: list[tuple[str, str]]) -> Column:
+    """The name of the first rule (name, pattern) that the column ``text`` matches, or null."""
     out = F.lit(None).cast("string")
-    for name, pattern in reversed(rules):
+    for name, pattern in reversed(named):
         out = F.when(F.col("text").rlike(pattern), F.lit(name)).otherwise(out)
     return out
 
@@ -48,28 +49,40 @@ def classify(texts: DataFrame, archetypes: list[tuple[str, str]], fallback: str
     return texts.select(key, F.explode(F.when(F.size(hits) > 0, hits).otherwise(none)).alias("h")).select(key, "h.archetype", "h.evidence", "h.ord")
 
 
-def guidance(classified: DataFrame, texts: DataFrame, profiles: list[tuple[str, str]], by_archetype: DataFrame, key: str = "uid") -> DataFrame:
-    """(key, risk): of the first profile that matches the text, else of the first archetype, else a general one."""
+def guidance(classified: DataFrame, texts: DataFrame, profiles: list[tuple], by_archetype: DataFrame, key: str = "uid") -> DataFrame:
+    """(key, risk, assessment): of the first profile that matches the text, else of the first archetype, else general ones.
+
+    ``profiles`` are (risk, pattern[, assessment]), ``by_archetype(archetype, risk[, assessment])``; what a rule doesn't say of the
+    assessment the next one may.
+    """
     first = classified.groupBy(key).agg(F.min_by("archetype", "ord").alias("archetype"))
-    out = texts.withColumn("risk", first_match(texts, profiles)).join(first, key, "left").join(F.broadcast(by_archetype.withColumnRenamed("risk", "__r")), "archetype", "left")
-    return out.select(key, F.coalesce("risk", "__r", F.lit("the requirement is not met")).alias("risk"))
+    said = by_archetype.select("archetype", F.col("risk").alias("__r"), (F.col("assessment") if "assessment" in by_archetype.columns else F.lit(None).cast("string")).alias("__a"))
+    out = texts.withColumn("risk", first_match([p[:2] for p in profiles])).withColumn("assessment", first_match([(p[2], p[1]) for p in profiles if len(p) > 2]))
+    out = out.join(first, key, "left").join(said, "archetype", "left")
+    return out.select(key, F.coalesce("risk", "__r", F.lit("the requirement is not met")).alias("risk"), F.coalesce("assessment", "__a", F.lit("assess whether the requirement is met")).alias("assessment"))
 
 
 def details_in_scope(texts: DataFrame, sources: DataFrame, key: str = "uid") -> DataFrame:
     """(key, source, phrase): a source is in scope if the text names one of its phrases; the first phrase is kept. ``sources(source, phrase, ord)`` is a rule table."""
-    hit = texts.join(F.broadcast(sources), F.contains(F.lower("text"), F.lower("phrase")))
+    hit = texts.join(if_small(sources), F.contains(F.lower("text"), F.lower("phrase")))
     return hit.groupBy(key, "source").agg(F.min_by("phrase", "ord").alias("phrase"))
 
 
-def rank_details(stems: DataFrame, details: DataFrame, scope: DataFrame, weights: DataFrame, limit: int = 6, least: float = 0.45, key: str = "uid") -> DataFrame:
-    """(key, detail_id, score): of the sources in scope, the details that cover most of a control's stems by weight.
+def rank_details(stems: DataFrame, details: DataFrame, scope: DataFrame, weights: DataFrame, shared: DataFrame | None = None, limit: int = 6, least: float = 0.45, key: str = "uid") -> DataFrame:
+    """(key, detail_id, score): of the sources in scope, the details that cover most of a control's stems by weight, with 0.2 more for a shared concept and 1 at most.
 
-    ``stems(key, stem)``, ``details(source, detail_id, stem)``, ``scope(key, source)``, ``weights(stem, weight)``.
+    ``stems(key, stem)``, ``details(source, detail_id, stem)``, ``scope(key, source)``, ``weights(stem, weight)``,
+    ``shared(key, detail_id)`` as ``graph.shared_concepts`` gives it.
     """
+    scope = scope.select(key, "source").distinct()
     own = stems.distinct().join(weights, "stem")
     total = own.groupBy(key).agg(F.sum("weight").alias("total"))
-    got = own.join(details.distinct(), "stem").join(scope.select(key, "source").distinct(), [key, "source"], "left_semi").groupBy(key, "detail_id").agg(F.sum("weight").alias("got"))
-    scored = got.join(total, key).withColumn("score", F.round(F.least(F.lit(1.0), F.col("got") / F.col("total")), 6)).where(F.col("score") >= least)
+    got = own.join(details.distinct(), "stem").join(scope, [key, "source"], "left_semi").groupBy(key, "detail_id").agg(F.sum("weight").alias("got"))
+    parts = got.join(total, key).select(key, "detail_id", (F.col("got") / F.col("total")).alias("c"))
+    if shared is not None:
+        named = shared.join(details.select("source", "detail_id").distinct(), "detail_id").join(scope, [key, "source"], "left_semi")
+        parts = parts.union(named.select(key, "detail_id").distinct().withColumn("c", F.lit(0.2)))
+    scored = parts.groupBy(key, "detail_id").agg(F.round(F.least(F.lit(1.0), F.sum("c")), 6).alias("score")).where(F.col("score") >= least)
     n = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "detail_id"))
     return scored.withColumn("n", n).where(F.col("n") <= limit).select(key, "detail_id", "score")
 

@@ -177,12 +177,24 @@ def coverage(frameworks: DataFrame, found: DataFrame, shown: DataFrame) -> DataF
     return out.select("tier", "framework_key", "total", "shown", F.greatest(F.lit(0), F.col("total") - F.col("shown")).alias("hidden"), F.when(F.col("total") > 0, "says").otherwise("silent").alias("state"))
 
 
+def coverage_lists(bands: DataFrame, frameworks: DataFrame, absent: DataFrame) -> DataFrame:
+    """(list, framework_key, note) beside ``coverage``: the placed documents that are silent, those that aren't loaded with the reason, and the attribution of each document that something is shown of, once.
+
+    ``bands`` as of ``coverage``, ``frameworks(framework_key, attribution)``, ``absent(framework_key, reason)``; a document that is loaded isn't absent.
+    """
+    none = F.lit(None).cast("string")
+    silent = bands.where("state = 'silent'").select(F.lit("silent").alias("list"), "framework_key", none.alias("note"))
+    missing = absent.join(frameworks.select("framework_key"), "framework_key", "left_anti").select(F.lit("absent"), "framework_key", "reason")
+    shown = bands.where("shown > 0").select("framework_key").join(frameworks.select("framework_key", "attribution"), "framework_key").where("attribution is not null")
+    return silent.union(missing).union(shown.select(F.lit("attribution"), "framework_key", "attribution")).distinct()
+
+
 def readings(controls: DataFrame, currency: DataFrame) -> DataFrame:
     """(uid, summary): the obligation a publisher states, else its own currency, else what the wording says.
 
     ``controls(uid, framework_key, obligation, published, tags MAP<STRING,STRING>)``, ``currency(framework_key, tag, label, ord)``.
     """
-    said = controls.join(F.broadcast(currency), "framework_key").withColumn("v", F.try_element_at("tags", "tag")).where("v is not null")
+    said = controls.join(currency, "framework_key").withColumn("v", F.try_element_at("tags", "tag")).where("v is not null")
     said = said.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("ord", F.concat_ws(": ", "label", "v").alias("t")))).alias("s"))
     out = controls.join(said, "uid", "left")
     summary = (

@@ -13,8 +13,9 @@ from ledgerline.operators import vocabulary as V
 
 # Rule tables of the queries below.
 ARCHETYPES = [("record", r"\b[Ll]ogs\b|\brecords\b"), ("periodic", r"\bevery\b"), ("limit", r"\bwithin\b|\bno later than\b|\bmaximum\b"), ("prohibition", r"\bmust not\b"), ("configuration", r"\b[Pp]asswords\b|\bkeys\b")]
-PROFILES = [("access goes unreviewed", r"review access"), ("logs are lost", r"[Ll]ogs shall"), ("keys are compromised", r"rotate keys")]
+PROFILES = [("access goes unreviewed", r"review access", "compare the records of reviews with the list of users"), ("logs are lost", r"[Ll]ogs shall"), ("keys are compromised", r"rotate keys", "read the ages of all keys")]
 SOURCES = [("db", "session tokens", 0), ("db", "tokens", 1), ("os", "passwords", 0), ("os", "backups", 1), ("net", "outages", 0)]
+LEADS = ["", "Interpretation. ", "A period means this: ", "Who fails this is guilty of an offence. ", "On advice the Minister may decide. "]
 # Concepts of quantities, and the subjects that the requirements are held against in turn.
 CONCEPTS = [("access", "review access"), ("access", "access records"), ("tokens", "session tokens"), ("keys", "rotate keys"), ("logs", "logs shall be kept")]
 SUBJECTS = ["Who may review access?", "Session tokens and rotated keys", "Rotate keys, log shall be kept", "anything at all"]
@@ -101,15 +102,17 @@ def archetypes(spark, d):
 
 
 def not_derivable(spark, d):
-    req = frame(spark, d, "requirements")
-    reason = S.not_derivable(F.lit(""), F.col("text"), F.col("text").startswith("Section"), F.when(F.col("subject_id") % 9 == 0, F.array(F.lit("Definitions"))))
-    return req.select(F.coalesce(reason, F.lit("derivable")).alias("reason"), "framework_key").groupBy("framework_key", "reason").agg(F.count(F.lit(1)).alias("n"))
+    # a lead-in for every requirement, so that all rows of the rule table come to bear
+    lead = F.element_at(F.array(*[F.lit(t) for t in LEADS]), (F.col("load_seq") % len(LEADS) + 1).cast("int"))
+    req = frame(spark, d, "requirements").withColumn("title", F.when(F.col("load_seq") % 13 == 0, "Meaning of terms").otherwise("")).withColumn("text", F.when(F.col("load_seq") % 17 == 0, " x ").otherwise(F.concat(lead, "text")))
+    reason = S.not_derivable(F.col("title"), F.col("text"), F.col("load_seq") % 19 == 0, F.when(F.col("subject_id") % 9 == 0, F.array(F.lit("Part 2"), F.lit("Definitions"))))
+    return req.select("uid", reason.alias("reason"))
 
 
 def guidance_profile(spark, d):
     texts = frame(spark, d, "requirements").select(F.col("text").alias("uid"), "text").distinct()
-    fallback = spark.createDataFrame([("record", "records are missing"), ("limit", "limits are passed")], "archetype string, risk string")
-    return S.guidance(S.classify(texts, ARCHETYPES), texts, PROFILES, fallback).groupBy("risk").agg(F.count(F.lit(1)).alias("n"))
+    fallback = spark.createDataFrame([("record", "records are missing", "sample the records"), ("limit", "limits are passed", None)], "archetype string, risk string, assessment string")
+    return S.guidance(S.classify(texts, ARCHETYPES), texts, PROFILES, fallback).withColumnRenamed("uid", "text")
 
 
 def detail_scope(spark, d):
@@ -182,9 +185,13 @@ ORACLES = {
     "readings": """select 'o' || o_orderkey as uid, case when o_orderkey % 3 = 0 and o_orderstatus <> 'O' then 'mandatory' when c_nationkey % 4 = 0 then 'market: ' || c_mktsegment || '; level: ' || o_orderpriority
         when c_nationkey % 4 = 2 then 'level: ' || o_orderpriority when o_orderstatus <> 'O' then 'mandatory (read from the wording)' else 'states no strength' end as summary from orders join customer on c_custkey = o_custkey""",
     "archetypes": f"with r as (select load_seq, text from ({_R})) select text, archetype, evidence, count(*) as n from ({_ARCH} union all select *, 99, 'activity', '' from r where not ({_ARCHN})) group by all",
-    "not_derivable": rf"""select framework_key, case when starts_with(text, 'Section') then 'structural' when subject_id % 9 = 0 then 'definition' when length(text) < 12 then 'no text' else 'derivable' end as reason, count(*) as n from ({_R}) group by all""",
+    "not_derivable": rf"""with r as (select uid, subject_id, load_seq, case when load_seq % 13 = 0 then 'Meaning of terms' else '' end as title, case when load_seq % 17 = 0 then 'x' else trim((list_value({_LIST(LEADS)}))[load_seq % {len(LEADS)} + 1] || text) end as text from ({_R}))
+        select uid, case when load_seq % 19 = 0 then 'structural' when subject_id % 9 = 0 then 'definition' when length(text) < 12 then 'no text' when title <> '' or regexp_matches(text, '{rules.DEFINITION}') then 'definition'
+          when contains(left(text, 240), ' means ') and not regexp_matches(left(text, 240), '{rules.ACTOR}') then 'definition' when contains(text, 'is guilty of an offence') and not regexp_matches(left(text, 200), '{rules.ACTOR}') then 'penalty'
+          when contains(left(text, 220), 'the Minister') and not regexp_matches(left(text, 220), '{rules.ACTOR}') then 'power of an office holder' end as reason from r""",
     "guidance_profile": f"""with r as (select distinct text from ({_R})), a as (select text, min_by(archetype, ord) as archetype from ({_ARCH} union all select *, 99, 'activity', '' from r where not ({_ARCHN})) group by 1)
-        select case {" ".join(f"when regexp_matches(text, '{p}') then '{n}'" for n, p in PROFILES)} when archetype = 'record' then 'records are missing' when archetype = 'limit' then 'limits are passed' else 'the requirement is not met' end as risk, count(*) as n from a group by 1""",
+        select text, case {" ".join(f"when regexp_matches(text, '{p[1]}') then '{p[0]}'" for p in PROFILES)} when archetype = 'record' then 'records are missing' when archetype = 'limit' then 'limits are passed' else 'the requirement is not met' end as risk,
+        case {" ".join(f"when regexp_matches(text, '{p[1]}') then '{p[2]}'" for p in PROFILES if len(p) > 2)} when archetype = 'record' then 'sample the records' else 'assess whether the requirement is met' end as assessment from a""",
     "detail_scope": f"select text, source, min_by(phrase, ord) as phrase from (select distinct text from ({_R})) join (values {_VALUES(SOURCES)}) s(source, phrase, ord) on contains(lower(text), phrase) group by all",
     "test_procedures": f"""with {_QS}, r as (select distinct text from ({_R})), a as (select text, min_by(archetype, ord) as archetype from ({_ARCH} union all select *, 99, 'activity', '' from r where not ({_ARCHN})) group by 1),
         f as (select text, string_agg(value::int || ' ' || unit, '; ' order by nth) filter (nth < 3) as figs from qq group by 1)

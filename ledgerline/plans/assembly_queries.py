@@ -89,6 +89,12 @@ def risk_rows(spark, d):
     return out.select("uid", "risk", "refusal", "n_published", "n_related")
 
 
+def test_plan_rows(spark, d):
+    req = frame(spark, d, "requirements")
+    published = req.where("load_seq % 7 = 0").select(F.col("text").alias("uid"), F.concat(F.lit("procedure of "), "framework_key").alias("content"))
+    return A.test_plan_rows(_derived(spark, d), published, req.select(F.col("text").alias("uid"), F.col("framework_key").alias("source_uid")), req.select(F.col("text").alias("uid"), (F.col("subject_id") % 5).alias("detail_id")))
+
+
 def _candidates(spark):
     return spark.createDataFrame([(n, p, ["src0:0", f"nowhere:{n}"]) for n, p in TOPICS], "candidate string, pattern string, uids array<string>")
 
@@ -133,7 +139,7 @@ def reports_for_control(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        prepared_queries, named_set_listing, search_notes, analysis_set, routed_queries, analysis_notes, related_assessments, derived_controls, risk_rows, candidate_mentions, corpus_revalidation, scoped_mappings,
+        prepared_queries, named_set_listing, search_notes, analysis_set, routed_queries, analysis_notes, related_assessments, derived_controls, risk_rows, test_plan_rows, candidate_mentions, corpus_revalidation, scoped_mappings,
         preview_catalog, reports_for_control,
     )
 }
@@ -143,7 +149,7 @@ _ORDERED = f"with r as (select distinct text from ({text_of('requirements')}))"
 _MATCH = ", ".join(f"case when regexp_matches(text, '{p}') then '{n}' end" for n, p in N.ARCHETYPES)
 _READ = f"""{_ORDERED}, k as (select text, starts_with(text, 'Section') as s, case when concat_ws('|', {_MATCH}) = '' then 'activity' else concat_ws('|', {_MATCH}) end as a from r),
     g as (select text, case when s then 'structural' end as refusal, case when not s then a end as archetypes,
-      case when not s then 'There is a risk that ' || case {' '.join(f"when regexp_matches(text, '{p}') then '{n}'" for n, p in N.PROFILES)}
+      case when not s then 'There is a risk that ' || case {' '.join(f"when regexp_matches(text, '{p[1]}') then '{p[0]}'" for p in N.PROFILES)}
         else case split_part(a, '|', 1) {' '.join(f"when '{n}' then '{r}'" for n, r in _RISKS)} else 'the requirement is not met' end end || '. The requirement says: ' || text || '.' end as risk from k)"""
 
 ORACLES = {
@@ -176,6 +182,10 @@ ORACLES = {
         select uid, source_uid, arg_min(connection, o) as connection from b where uid <> source_uid and source_uid in (select 's' || s_suppkey % 4 || ':' || s_suppkey from supplier where s_suppkey % 3 <> 0) group by 1, 2""",
     "derived_controls": f"{_READ} select text as uid, refusal, archetypes, case when refusal is null then procedure end as test, risk from g left join ({N.ORACLES['test_procedures']}) using (text)",
     "risk_rows": f"""{_READ}, q as (select text, count(*) as n, count(distinct framework_key) as m from ({text_of('requirements')}) group by 1) select text as uid, risk, refusal, n as n_published, m as n_related from g join q using (text)""",
+    "test_plan_rows": f"""with q as ({text_of('requirements')}), p as (select distinct text as uid, 'procedure of ' || framework_key as content from q where load_seq % 7 = 0),
+        dc as ({_READ} select text as uid, refusal, procedure as test from g left join ({N.ORACLES['test_procedures']}) using (text))
+        select uid, 'published' as kind, content from p union all select uid, case when refusal is null then 'derived' else 'refusal' end, coalesce(refusal, test) from dc where uid not in (select uid from p)
+        union all select distinct text, 'related', framework_key from q union all select distinct text, 'detail', (subject_id % 5)::varchar from q""",
     "candidate_mentions": f"""with c as ({text_of("controls")}), f as ({text_of("frameworks")}), t as (select unnest([{', '.join(f"{{'n': '{n}', 'p': '{p}'}}" for n, p in TOPICS)}], recursive := true)),
         h as (select t.n as candidate, load_seq, framework_key from c join t on regexp_matches(concat_ws(' ', title, text), p)),
         k as (select * from h where not (load_seq % 2 = 0 and exists (select 1 from h x where x.candidate = h.candidate and x.load_seq = h.load_seq + 1)))

@@ -10,6 +10,9 @@ from ledgerline.operators import graph as G
 from ledgerline.operators import reports as R
 from ledgerline.operators import shape as S
 from ledgerline.operators import thresholds as T
+from ledgerline.operators import vocabulary as V
+from ledgerline.plans.graph_queries import _JOINED
+from ledgerline.plans.vocabulary_queries import _VOC, _concepts
 from ledgerline.sources import catalog, sinks, texts
 
 # Frameworks out of nations, controls out of customers, children of controls out of line items; the same in any engine.
@@ -105,12 +108,26 @@ def rank_details(spark, d):
     stems, details = words("documents", F.col("doc_id").alias("uid")), words("benchmark", F.col("item_id").alias("detail_id"))
     weights = stems.groupBy("stem").agg((1 / F.count(F.lit(1))).alias("weight"))
     scope = frame(spark, d, "documents").select(F.col("doc_id").alias("uid"), (F.col("doc_id") % 4).alias("source"))
-    return S.rank_details(stems, details.withColumn("source", F.col("detail_id") % 4), scope, weights, least=0.05)
+    concepts = _concepts(spark, d)
+    ours = V.concepts_in(frame(spark, d, "documents").select(F.col("doc_id").alias("uid"), "text"), concepts)
+    theirs = V.concepts_in(frame(spark, d, "benchmark").select(F.col("item_id").alias("detail_id"), "text"), concepts, "detail_id")
+    return S.rank_details(stems, details.withColumn("source", F.col("detail_id") % 4), scope, weights, G.shared_concepts(ours, theirs, right_key="detail_id"), least=0.05)
+
+
+def coverage_lists(spark, d):
+    frameworks = frame(spark, d, "frameworks").withColumn("attribution", F.when(F.col("permissive"), F.concat(F.lit("by "), "short_name")))
+    absent = _of(spark, d, _FRAMEWORKS, "nation").where("levels = 0").select("framework_key", F.lit("no levels").alias("reason"))
+    return T.coverage_lists(_coverage(spark, d), frameworks, absent)
+
+
+def release_rules_used(spark, d):
+    files = frame(spark, d, "documents").select(F.concat(F.when(F.col("doc_id") % 7 == 0, "cache/").otherwise("data/"), F.col("doc_id").cast("string")).alias("path"), F.col("source").alias("framework_key"))
+    return R.release_gate(files, frame(spark, d, "frameworks").select("framework_key", F.col("permissive").alias("shippable")))[2]
 
 
 QUERIES = {
     f.__name__: f
-    for f in (link_parents, carried_props, symmetric_related, parameter_tags, resolved_aliases, mapped_frameworks, validate_children, known_frameworks, framework_warnings, evidence_verified, workspace_filter, export_status, result_groups, rank_details)
+    for f in (link_parents, carried_props, symmetric_related, parameter_tags, resolved_aliases, mapped_frameworks, validate_children, known_frameworks, framework_warnings, evidence_verified, workspace_filter, export_status, result_groups, rank_details, coverage_lists, release_rules_used)
 }
 
 _TAGS = ", ".join(f"case when regexp_matches(text, '{p}') then '{n}' end" for n, p in texts.PARAMETERS)
@@ -133,8 +150,14 @@ ORACLES = {
     "workspace_filter": f"select id from ({_LIBRARY}) where (split_part(technique, '.', 1) in ('T1', 'T2.1') or technique in ('T1', 'T2.1')) and (contains(lower(topic), 'brand#1') or contains(lower(name), 'brand#1'))",
     "export_status": f"with {_COV} select framework_key, shown, total, state from cov union all select framework_key, 0, 0, 'absent: no levels' from ({_FRAMEWORKS}) where levels = 0",
     "result_groups": f"""with {_COV} select framework_key, case when tier <= 3 then '1-3' else tier::varchar end as "group", short_name, state from cov""",
-    "rank_details": """with t as (select distinct doc_id as uid, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) as stem from documents), w as (select stem, 1.0::double / count(*) as weight from t group by 1),
-        own as (select uid, sum(weight) as total from t join w using (stem) group by 1), m as (select distinct item_id as detail_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) as stem from benchmark),
-        g as (select uid, detail_id, round(least(1.0, sum(weight) / any_value(total)), 6) as score from t join w using (stem) join m using (stem) join own using (uid) where uid % 4 = detail_id % 4 group by all)
+    "coverage_lists": f"""with {_COV} select 'silent' as list, framework_key, null::varchar as note from cov where state = 'silent' union all select 'absent', framework_key, 'no levels' from ({_FRAMEWORKS}) where levels = 0
+        union all select 'attribution', framework_key, 'by ' || short_name from cov join ({text_of("frameworks")}) f using (framework_key, short_name) where shown > 0 and permissive""",
+    "release_rules_used": f"""with f as (select doc_id, permissive from documents left join ({text_of("frameworks")}) on framework_key = source) select 'licence' as reason, count(*) filter (not coalesce(permissive, false)) as n from f
+        union all select 'folder', count(*) filter (permissive and doc_id % 7 = 0) from f union all select unnest(['suffix', 'name']), 0""",
+    "rank_details": f"""with {_VOC}, {_JOINED}, t as (select distinct doc_id as uid, unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) as stem from documents), w as (select stem, 1.0::double / count(*) as weight from t group by 1),
+        own as (select uid, sum(weight) as total from t join w using (stem) group by 1), m as (select distinct item_id as detail_id, unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) as stem from benchmark),
+        c as (select uid, detail_id, sum(weight) / any_value(total) as c from t join w using (stem) join m using (stem) join own using (uid) where uid % 4 = detail_id % 4 group by all
+          union all select distinct a.doc_id, x.item_id, 0.2::double from dj a join con on contains(a.j, con.n) join bj x on contains(x.j, con.n) where a.doc_id % 4 = x.item_id % 4),
+        g as (select uid, detail_id, round(least(1.0, sum(c)), 6) as score from c group by all)
         select * from g where score >= 0.05 qualify row_number() over (partition by uid order by score desc, detail_id) <= 6""",
 }

@@ -23,7 +23,7 @@ def export_status(coverage: DataFrame, absent: DataFrame) -> DataFrame:
 def result_groups(coverage: DataFrame, frameworks: DataFrame) -> DataFrame:
     """``coverage`` with the group under which it is shown (tiers 1 to 3 together) and its place there, by short name."""
     group = F.when(F.col("tier") <= 3, "1-3").otherwise(F.col("tier").cast("string"))
-    return coverage.join(F.broadcast(frameworks.select("framework_key", "short_name")), "framework_key").withColumn("group", group).orderBy("group", "short_name")
+    return coverage.join(frameworks.select("framework_key", "short_name"), "framework_key").withColumn("group", group).orderBy("group", "short_name")
 
 
 def write(df: DataFrame, path: str, kind: str = "parquet", by: list[str] | None = None, mode: str = "error") -> None:
