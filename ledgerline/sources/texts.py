@@ -49,6 +49,13 @@ def html_statements(pages: DataFrame, key: str = "page_id", least: int = 40) ->
     return b.where(F.col("tag").isin("p", "li") & (F.length("text") >= least)).select(key, "pos", F.concat_ws(".", F.col("h1").cast("string"), F.col("h2").cast("string")).alias("section"), "heading", "text")
 
 
+def html_normative_statements(pages: DataFrame, key: str = "page_id", least: int = 40, prefix: int = 120, patterns: list[tuple[str, str]] = PARAMETERS, keyword: str = r"\b(SHALL|SHOULD)\b") -> DataFrame:
+    """``html_statements`` that hold a keyword and state a parameter, with ``parameters``; of those that begin alike the first of a page."""
+    s = html_statements(pages, key, least).where(F.col("text").rlike(keyword)).withColumn("parameters", parameter_tags(F.col("text"), patterns)).where(F.size("parameters") > 0)
+    first = Window.partitionBy(key, F.substring("text", 1, prefix)).orderBy("pos")
+    return s.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+
+
 def markdown_blocks(texts: DataFrame, stop: str = r"\n(?:#{1,6} |---)") -> DataFrame:
     """(doc, identifier, statement): ``#### ID`` blocks up to the first stop marker."""
     block = r"(?ms)^#### +(\S+)[^\n]*\n(.*?)(?=^#### |\z)"
