@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows up to which a table of runs is sent to every task.
+SMALL = 100_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,13 +41,17 @@ def materialise(df: DataFrame) -> DataFrame:
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only a local session that names none
     gets a temporary folder. On a cluster without the setting this is an error: no machine's own disk will do.
     """
-    sc = df.sparkSession.sparkContext
+    _checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _checkpoint_dir(spark: SparkSession) -> None:
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
         if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
 
 
 def sampled(salt: str, key, bound: int, total: int) -> Column:
@@ -65,6 +73,32 @@ def by_key(rows: DataFrame, per: DataFrame, key: str, members: str, share: int =
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[Column], place: str = "idx", size: str = "n") -> DataFrame:
+    """``rows`` with their ``place`` (from 0) in the order of their group and the ``size`` of the group. Group columns hold no nulls.
+
+    No group is sorted in one task: the rows are dealt by ranges of (group, order), and what a range holds of a group starts at
+    the number of that group's rows in the ranges before. Rows that are equal in ``order`` are numbered in any order, once and for all.
+    ``order`` should tell apart what many rows share, since equal rows lie in one range.
+    """
+    at, part, first, before, here = (free_name(rows.columns, x) for x in ("at", "part", "first", "before", "here"))
+    keys = [F.col(c) for c in group]
+    dealt = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn(at, F.monotonically_increasing_id())
+    dealt = materialise(dealt.withColumn(part, F.shiftrightunsigned(at, 33)))
+    runs = dealt.groupBy(*keys, part).agg(F.min(at).alias(first), F.count(F.lit(1)).alias(here))
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    runs = materialise(runs.withColumn(before, F.coalesce(F.sum(here).over(earlier), F.lit(0))).withColumn(size, F.sum(here).over(whole)))
+    if runs.limit(SMALL + 1).count() <= SMALL:
+        runs = F.broadcast(runs)
+    return dealt.join(runs, [*group, part]).withColumn(place, F.col(at) - F.col(first) + F.col(before)).drop(at, part, first, before, here)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder, as a path that Spark's readers and writers take."""
+    _checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def free_name(columns: list[str], name: str) -> str:
     """``name``, with underscores before it until no column is called so in any case."""
     taken = {c.lower() for c in columns}

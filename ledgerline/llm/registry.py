@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ledgerline.llm import langid, mixing, near_dup, neighbours, piece_codec, repeats, secrets, token_counts, toxicity, vectors
+from ledgerline.llm import langid, merkle, mixing, near_dup, neighbours, piece_codec, repeats, secrets, token_counts, toxicity, vectors
 from ledgerline.llm.common import table
 
 QUERIES = {
@@ -17,12 +17,14 @@ QUERIES = {
     "op8_neighbours": lambda spark, d: neighbours.op8_neighbours(table(spark, d, "embeddings")),
     "op9_token_counts": lambda spark, d: token_counts.op9_token_counts(table(spark, d, "documents")),
     "op10_pieces": lambda spark, d: piece_codec.op10_pieces(table(spark, d, "documents")),
+    "op11_merkle": lambda spark, d: merkle.op11_merkle(table(spark, d, "documents")),
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
     "op2_secrets": secrets.oracle(),
     "op6_mix": mixing.oracle(),
+    "op11_merkle": merkle.oracle(),
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
