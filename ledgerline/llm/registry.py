@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ledgerline.llm import langid, merkle, mixing, near_dup, neighbours, piece_codec, repeats, secrets, token_counts, toxicity, vectors
+from ledgerline.llm import importance, langid, merkle, mixing, near_dup, neighbours, piece_codec, repeats, secrets, token_counts, toxicity, vectors
 from ledgerline.llm.common import table
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_token_counts": lambda spark, d: token_counts.op9_token_counts(table(spark, d, "documents")),
     "op10_pieces": lambda spark, d: piece_codec.op10_pieces(table(spark, d, "documents")),
     "op11_merkle": lambda spark, d: merkle.op11_merkle(table(spark, d, "documents")),
+    "op12_importance": lambda spark, d: importance.op12_importance(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "pipeline": corpus_pipeline.run,
 }
 
@@ -25,6 +26,7 @@ ORACLES = {
     "op2_secrets": secrets.oracle(),
     "op6_mix": mixing.oracle(),
     "op11_merkle": merkle.oracle(),
+    "op12_importance": importance.oracle(),
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
