@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ledgerline.llm import importance, langid, merkle, mixing, near_dup, neighbours, piece_codec, repeats, secrets, token_counts, toxicity, vectors
+from ledgerline.llm import importance, langid, merkle, mixing, near_dup, neighbours, piece_codec, repeats, secrets, token_counts, toxicity, vectors, warc
 from ledgerline.llm.common import table
 
 QUERIES = {
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_pieces": lambda spark, d: piece_codec.op10_pieces(table(spark, d, "documents")),
     "op11_merkle": lambda spark, d: merkle.op11_merkle(table(spark, d, "documents")),
     "op12_importance": lambda spark, d: importance.op12_importance(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op13_warc": lambda spark, d: warc.op13_warc(table(spark, d, "pages")),
     "pipeline": corpus_pipeline.run,
 }
 
@@ -27,6 +28,7 @@ ORACLES = {
     "op6_mix": mixing.oracle(),
     "op11_merkle": merkle.oracle(),
     "op12_importance": importance.oracle(),
+    "op13_warc": warc.oracle(),
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
