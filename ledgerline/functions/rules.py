@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 # Words that carry no subject. They are tested on stems, so a word whose stem differs survives.
-STOPWORDS = (
-    "a an and any are as at be been being but by can do does each for from had has have if in into is it its may must not of "
-    "on only or other shall should such than that the their then there these this those to was were when where which will with "
-    "would how what who whom whose why quickly soon long many much need needs"
-).split()
+STOPWORDS = [
+    "a", "an", "and", "any", "are", "as", "at", "be", "been", "being", "but", "by", "can", "do", "does", "each", "for", "from", "had", "has", "have",
+    "if", "in", "into", "is", "it", "its", "may", "must", "not", "of", "on", "only", "or", "other", "shall", "should", "such", "than", "that", "the",
+    "their", "then", "there", "these", "this", "those", "to", "was", "were", "when", "where", "which", "will", "with", "would", "how", "what", "who",
+    "whom", "whose", "why", "quickly", "soon", "long", "many", "much", "need", "needs",
+]
 
 # Words whose -ise ending is no suffix.
-KEEP_ISE = (
-    "advise advertise arise chastise circumcise comprise compromise concise demise despise devise disguise excise exercise "
-    "franchise improvise incise merchandise otherwise precise premise promise revise rise supervise surmise surprise televise wise"
-).split()
+KEEP_ISE = [
+    "advise", "advertise", "arise", "chastise", "circumcise", "comprise", "compromise", "concise", "demise", "despise", "devise", "disguise",
+    "excise", "exercise", "franchise", "improvise", "incise", "merchandise", "otherwise", "precise", "premise", "promise", "revise", "rise",
+    "supervise", "surmise", "surprise", "televise", "wise",
+]
 
 # Spellings that no suffix rule covers.
 SPELLINGS = {

@@ -10,7 +10,7 @@ from ledgerline.operators import shape
 from ledgerline.operators.common import if_small
 from ledgerline.operators.corpus import preferred
 from ledgerline.operators.graph import framework_of, relations
-from ledgerline.operators.vocabulary import concepts_in
+from ledgerline.operators.vocabulary import concepts_for, of_side
 
 
 def prepare_queries(queries: DataFrame, aliases: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def prepare_queries(queries: DataFrame, aliases: DataFrame, concepts: DataFrame)
     typed = words.select("query_id", "stem", F.lit(0).alias("o"))
     stems = lambda rows: rows.select("query_id", F.explode(S.tokens(F.col("t"))).alias("token"))
     by_alias = stems(words.join(aliases, "token").select("query_id", F.explode("expansion").alias("t")))
-    named = concepts_in(queries, concepts, "query_id").join(concepts, "concept")
+    named = concepts_for(queries, concepts).join(of_side(concepts, "query"), "concept")
     by_concept = stems(named.select("query_id", F.col("phrase").alias("t")))
     parts = [typed] + [df.join(S.vocabulary(df), "token").select("query_id", "stem", F.lit(k).alias("o")) for k, df in ((1, by_alias), (2, by_concept))]
     out = parts[0].union(parts[1]).union(parts[2]).groupBy("query_id", "stem").agg(F.min("o").alias("o"))
@@ -49,16 +49,27 @@ def search_notes(queries: DataFrame, found: DataFrame, kept: DataFrame, floor: f
     return out.select("query_id", note.alias("note"))
 
 
-def reasons(hits: DataFrame) -> DataFrame:
-    """``hits(n_matched, n_terms, phrase, tier, structural)`` with ``reasons``, an array of what made the score."""
-    parts = [
-        F.format_string("%d of %d terms", "n_matched", "n_terms"),
-        F.when((F.col("n_matched") == F.col("n_terms")) & (F.col("n_terms") > 1), F.lit("all terms")),
-        F.when(F.col("phrase"), F.lit("the words as typed")),
-        F.when(F.col("tier").isNotNull(), F.format_string("tier %d", "tier")),
-        F.when(F.col("structural"), F.lit("a heading")),
+def explain(hits: DataFrame, matched: DataFrame, said: DataFrame | None = None) -> DataFrame:
+    """(query_id, uid, reasons): why each of ``hits(query_id, uid, n_matched, n_terms, phrase, tier, structural)`` scores as it does.
+
+    ``reasons`` is ``array<struct<kind, what, field, share>>`` in the order terms, concepts, all terms, phrase, tier, heading. ``matched`` are the
+    terms of the reported hits (``search.evidence``), ``said`` their concepts (``vocabulary.concept_notes``); both hold a bounded number of entries a hit.
+    """
+    one = lambda kind, what, field=None, share=None: F.struct(
+        F.lit(kind).alias("kind"), what.cast("string").alias("what"), (F.lit(None) if field is None else field).cast("string").alias("field"), (F.lit(None) if share is None else share).cast("double").alias("share")
+    )
+    none = F.array().cast("array<struct<kind:string,what:string,field:string,share:double>>")
+    out = hits.join(matched, ["query_id", "uid"], "left")
+    out = out.join(said, ["query_id", "uid"], "left") if said is not None else out.withColumn("said", F.lit(None).cast("array<struct<concept:string,phrase:string>>"))
+    more = [
+        F.when((F.col("n_matched") == F.col("n_terms")) & (F.col("n_terms") > 1), one("all terms", F.col("n_terms"))),
+        F.when(F.col("phrase"), one("phrase", F.lit(None))),
+        F.when(F.col("tier").between(1, 4), one("tier", F.col("tier"))),
+        F.when(F.col("structural"), one("heading", F.lit(None))),
     ]
-    return hits.withColumn("reasons", F.array_compact(F.array(*parts)))
+    terms = F.transform("matched", lambda t: one("term", t["label"], t["field"], t["share"]))
+    concepts = F.transform("said", lambda c: one("concept", c["phrase"], c["concept"]))
+    return out.select("query_id", "uid", F.concat(F.coalesce(terms, none), F.coalesce(concepts, none), F.array_compact(F.array(*more))).alias("reasons"))
 
 
 def gather(ranked: DataFrame, depth: int = 200) -> DataFrame:
@@ -79,14 +90,26 @@ def route(queries: DataFrame, controls: DataFrame, lookups: DataFrame, ranked: D
     return direct.union(ids).union(topical).withColumn("shown", F.col("place") <= limit)
 
 
-def subject_neighbours(uids: DataFrame, controls: DataFrame, frameworks: DataFrame, links: DataFrame, index: S.Index, limit: int = 8, least: float = 0.35) -> DataFrame:
-    """(uid, neighbour, score): what a search with a control's own title and text finds in other frameworks and isn't linked to it."""
-    asked = controls.join(uids, "uid", "left_semi").select(F.col("uid").alias("query_id"), F.concat_ws(" ", "title", "text").alias("text"))
-    hits = S.search(asked, controls, frameworks, index).where(F.col("score") >= least).select(F.col("query_id").alias("uid"), F.col("uid").alias("neighbour"), "score", "framework_key")
+def subject_neighbours(
+    uids: DataFrame, controls: DataFrame, frameworks: DataFrame, links: DataFrame, index: S.Index, limit: int = 8, least: float = 0.35, spare: int = 24, details: DataFrame | None = None
+) -> DataFrame:
+    """(uid, neighbour, score): what a search with a control's own title and text finds in other frameworks and isn't linked to it.
+
+    ``controls`` may have ``quotable``, asked in place of the text, and ``title_is_shared``, where the title isn't asked. The search is a
+    threshold join: a pair meets only through stems whose absence would leave it under ``least`` (``search.literal_scores``). As many hits
+    are read as a control has links, and ``spare`` and ``limit`` more; among them its own, linked ones and those of its framework go.
+    """
+    own_text = F.coalesce("quotable", "text") if "quotable" in controls.columns else F.col("text")
+    own_title = F.when(~F.coalesce("title_is_shared", F.lit(False)), F.col("title")) if "title_is_shared" in controls.columns else F.col("title")
+    asked = controls.join(uids.select("uid").distinct(), "uid", "left_semi").select(F.col("uid").alias("query_id"), F.concat_ws(" ", own_title, own_text).alias("text"))
+    hits = S.search(asked, controls, frameworks, index, details=details, floor=least)
+    hits = hits.select(F.col("query_id").alias("uid"), F.col("uid").alias("neighbour"), "score", "framework_key", "rank")
     linked = relations(links).select("uid", F.col("other_uid").alias("neighbour")).distinct()
+    n_linked = linked.groupBy("uid").agg(F.count(F.lit(1)).alias("n_linked"))
     own = controls.select("uid", F.col("framework_key").alias("__f"))
+    hits = hits.join(n_linked, "uid", "left").where(F.col("rank") <= limit + spare + F.coalesce("n_linked", F.lit(0)))
     hits = hits.where("uid <> neighbour").join(linked, ["uid", "neighbour"], "left_anti").join(own, "uid").where("framework_key <> __f")
-    n = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("score"), "framework_key", "neighbour"))
+    n = F.row_number().over(Window.partitionBy("uid").orderBy("rank"))
     return hits.withColumn("n", n).where(F.col("n") <= limit).select("uid", "neighbour", "score")
 
 

@@ -1,8 +1,9 @@
 """Topical search in batch: many queries over many controls, scored term by term with reasons.
 
-``build_index`` gives three tables: ``postings(uid, stem, tf_body, tf_title, tf_section)``, ``doc_stats(uid, length)`` (both written once, as any index is) and
-``stem_stats(stem, df, idf)``. Everything after it is joins on stems and windows by query; the query side is
-small, so Spark may broadcast it, and nothing is ranked across queries.
+``build_index`` gives ``postings(uid, stem, tf_body, tf_title, tf_section, places)`` and ``doc_stats(uid, length)`` (both written once, as
+any index is) and ``stem_stats(stem, df, idf)``. ``places`` are where a stem stands among the stems of body and title, stopwords left
+out: a phrase stands where the places of its stems, each moved back by its number in the phrase, meet. Everything after the index is
+joins on stems and windows by query; the query side is small, so Spark may broadcast it, and nothing is ranked across queries.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from ledgerline.functions.text import tokens, with_stem
 from ledgerline.operators.common import materialise
 from ledgerline.operators.corpus import preferred
 
+FIELDS = ("text", "title", "section_ref")
+
 
 @dataclass
 class Index:
@@ -31,17 +34,18 @@ def vocabulary(counted: DataFrame) -> DataFrame:
     return with_stem(counted.select("token").distinct()).where(~F.col("stem").isin(rules.STOPWORDS))
 
 
-def token_counts(controls: DataFrame) -> DataFrame:
-    """(uid, field, token, n) of body, title and section."""
-    parts = [controls.select("uid", F.lit(f).alias("field"), F.explode(tokens(F.col(c))).alias("token")) for f, c in (("body", "text"), ("title", "title"), ("section", "section_ref"))]
-    return parts[0].union(parts[1]).union(parts[2]).groupBy("uid", "field", "token").agg(F.count(F.lit(1)).alias("n"))
+def placed(words: DataFrame, stems: DataFrame, key: str = "uid") -> DataFrame:
+    """(key, place, field, stem) of ``words(key, field, pos, token)``: stems in order, numbered over those that ``stems(token, stem)`` keeps."""
+    kept = words.join(stems, "token").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("field", "pos", "stem"))).alias("s"))
+    return kept.select(key, F.posexplode("s").alias("place", "x")).select(key, "place", "x.field", "x.stem")
 
 
 def build_index(controls: DataFrame) -> Index:
-    counted = token_counts(controls)
-    stems = counted.join(vocabulary(counted), "token")
-    of = lambda f: F.sum(F.when(F.col("field") == f, F.col("n")).otherwise(0)).alias(f"tf_{f}")
-    postings = materialise(stems.groupBy("uid", "stem").agg(of("body"), of("title"), of("section")))
+    part = lambda k, c: controls.select("uid", F.lit(k).alias("field"), F.posexplode(tokens(F.col(c))).alias("pos", "token"))
+    words = part(0, FIELDS[0]).union(part(1, FIELDS[1])).union(part(2, FIELDS[2]))
+    of = lambda k, name: F.count(F.when(F.col("field") == k, 1)).alias(name)
+    places = F.array_sort(F.collect_list(F.when(F.col("field") < 2, F.col("place")))).alias("places")
+    postings = materialise(placed(words, vocabulary(words)).groupBy("uid", "stem").agg(of(0, "tf_body"), of(1, "tf_title"), of(2, "tf_section"), places))
     doc_stats = postings.groupBy("uid").agg(F.sum(F.col("tf_body") + F.col("tf_title") + F.col("tf_section")).alias("length"))
     doc_stats = materialise(doc_stats)
     totals = doc_stats.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("average_length"))
@@ -51,6 +55,44 @@ def build_index(controls: DataFrame) -> Index:
     return Index(postings, doc_stats, stem_stats, totals)
 
 
+def phrase_parts(phrases: DataFrame, key: str, text: str = "phrase") -> DataFrame:
+    """(key, k, stem, m): the stems of each phrase in order, stopwords included, and how many there are."""
+    words = phrases.select(key, F.posexplode(tokens(F.col(text))).alias("k", "token"))
+    words = words.join(with_stem(words.select("token").distinct()), "token")
+    return words.select(key, "k", "stem", F.count(F.lit(1)).over(Window.partitionBy(key)).alias("m"))
+
+
+def phrases_at(postings: DataFrame, parts: DataFrame, key: str, pairs: DataFrame, uid: str = "uid") -> DataFrame:
+    """(key, uid, starts): where each phrase of ``parts`` stands whole in the controls that ``pairs(key, uid)`` names; ``postings(uid, stem, places)``.
+
+    The places of each stem, moved back by its number in the phrase, are intersected; a task holds one phrase's places in one control.
+    """
+    said = pairs.join(parts, key).join(postings.select(uid, "stem", "places"), [uid, "stem"])
+    moved = F.transform("places", lambda at: at - F.col("k"))
+    met = said.groupBy(key, uid).agg(F.first("m").alias("m"), F.count(F.lit(1)).alias("n"), F.collect_list(moved).alias("moved")).where("n = m")
+    starts = F.aggregate(F.slice("moved", 2, F.size("moved")), F.get("moved", 0), F.array_intersect)
+    return met.select(key, uid, "m", F.array_sort(F.array_distinct(starts)).alias("starts")).where(F.size("starts") > 0)
+
+
+def occurrences(starts: Column, m: Column) -> Column:
+    """How many of a phrase's places count, from the left: two that share a stem, or only the blank between them, are one."""
+    step = lambda acc, at: F.when(at >= acc["free"], F.struct((acc["n"] + 1).alias("n"), (at + m + 1).alias("free"))).otherwise(acc)
+    return F.aggregate(starts, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("free")), step, lambda acc: acc["n"])
+
+
+def phrase_counts(postings: DataFrame, stem_df: DataFrame, phrases: DataFrame, uid: str = "uid") -> DataFrame:
+    """(concept, phrase, uid, n): how often each of ``phrases(concept, phrase)`` stands in the controls that have it; ``stem_df(stem, df)``.
+
+    A phrase is looked for only in controls that have its rarest stem, which is an equi-join.
+    """
+    wanted = phrases.select(F.struct("concept", "phrase").alias("p")).distinct()
+    parts = materialise(phrase_parts(wanted.withColumn("phrase", F.col("p.phrase")), "p"))
+    rare = parts.join(stem_df, "stem").groupBy("p").agg(F.min_by("stem", F.struct("df", "k")).alias("stem"))
+    pairs = rare.join(postings.where(F.size("places") > 0).select(uid, "stem"), "stem").select("p", uid)
+    found = phrases_at(postings, parts, "p", pairs, uid)
+    return found.select("p.concept", "p.phrase", uid, occurrences(F.col("starts"), F.col("m")).alias("n"))
+
+
 def query_stems(queries: DataFrame) -> DataFrame:
     """(query_id, pos, token, stem), stopwords kept out of the terms but counted in ``n_tokens``."""
     words = queries.select("query_id", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
@@ -58,7 +100,7 @@ def query_stems(queries: DataFrame) -> DataFrame:
 
 
 def query_terms(queries: DataFrame, index: Index, aliases: DataFrame | None = None, most: int = rules.MAX_TERMS) -> DataFrame:
-    """(query_id, term, form, stem, weight): the heaviest terms of each query with their forms.
+    """(query_id, term, label, form, form_size, nth, stem, weight): the heaviest terms of each query with their forms.
 
     A term is a distinct stem in order of first use; ``aliases(token, expansion ARRAY<STRING>)`` adds a second form whose
     stems must all be present. A form weighs its rarest-known stem's least idf, a term its best form. Aliases of
@@ -67,20 +109,20 @@ def query_terms(queries: DataFrame, index: Index, aliases: DataFrame | None = No
     words = query_stems(queries)
     size = queries.select("query_id", F.size(tokens(F.col("text"))).alias("n_tokens"))
     first = words.groupBy("query_id", "stem").agg(F.min(F.struct("pos", "token")).alias("at"))
-    forms = first.select("query_id", F.col("at.pos").alias("term"), F.col("at.token").alias("label"), F.lit(0).alias("form"), "stem")
+    forms = first.select("query_id", F.col("at.pos").alias("term"), F.col("at.token").alias("label"), F.lit(0).alias("form"), F.lit(0).alias("nth"), "stem")
     if aliases is not None:
         usable = forms.join(size, "query_id").join(aliases, forms["label"] == aliases["token"])
         usable = usable.where((F.length("label") > 3) | (F.col("n_tokens") <= 4))
-        parts = usable.select("query_id", "term", "label", F.explode("expansion").alias("__e")).select("query_id", "term", "label", F.explode(tokens(F.col("__e"))).alias("token"))
-        extra = with_stem(parts.select("token").distinct())
-        forms = forms.union(parts.join(extra, "token").select("query_id", "term", "label", F.lit(1).alias("form"), "stem").distinct())
+        parts = usable.select("query_id", "term", "label", F.posexplode(tokens(F.concat_ws(" ", "expansion"))).alias("nth", "token"))
+        extra = parts.join(with_stem(parts.select("token").distinct()), "token").groupBy("query_id", "term", "label", F.lit(1).alias("form"), "stem").agg(F.min("nth").alias("nth"))
+        forms = forms.unionByName(extra)
     unseen = F.log(1 + (F.col("n_docs") + 0.5) / 1.5)
     weighed = forms.join(index.stem_stats, "stem", "left").join(F.broadcast(index.totals)).withColumn("w", F.coalesce("idf", unseen))
     per_form = Window.partitionBy("query_id", "term", "form")
     weighed = weighed.withColumn("form_weight", F.min("w").over(per_form)).withColumn("form_size", F.count(F.lit(1)).over(per_form))
     weighed = weighed.withColumn("weight", F.max("form_weight").over(Window.partitionBy("query_id", "term")))
     place = F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.round("weight", 9).desc(), "term"))
-    return materialise(weighed.withColumn("place", place).where(F.col("place") <= most)).select("query_id", "term", "label", "form", "form_size", "stem", "weight")
+    return materialise(weighed.withColumn("place", place).where(F.col("place") <= most)).select("query_id", "term", "label", "form", "form_size", "nth", "stem", "weight")
 
 
 def saturate(tf: Column, length: Column, average: Column) -> Column:
@@ -92,58 +134,109 @@ def candidates(queries: DataFrame, index: Index) -> DataFrame:
     return query_stems(queries).select("query_id", "stem").distinct().join(index.postings, "stem").select("query_id", "uid").distinct()
 
 
-def literal_scores(terms: DataFrame, index: Index) -> DataFrame:
-    """(query_id, uid, literal, coverage, n_matched, n_terms): a term counts if one of its forms is present whole in body or title."""
-    total = terms.select("query_id", "term", "weight").distinct().groupBy("query_id").agg(F.sum("weight").alias("total_weight"), F.count(F.lit(1)).alias("n_terms"))
-    hit = terms.join(index.postings, "stem").where(F.col("tf_body") + F.col("tf_title") > 0)
+def literal_scores(terms: DataFrame, index: Index, least: float = 0.0) -> DataFrame:
+    """(query_id, uid, literal, coverage, n_matched, n_terms): a term counts if one of its forms is present whole in body or title.
+
+    A threshold join: pairs whose literal score can't reach ``least`` and that don't have all terms may be left out, all others come with
+    their exact scores. Terms are taken rarest first. The lightest ones, as many as have no more than ``least`` of the weight together, find
+    no pairs of their own; they are looked up only in pairs that are still able to reach it, so common stems meet few controls.
+    """
+    each = terms.select("query_id", "term", "weight").distinct()
+    all_of = Window.partitionBy("query_id")
+    lighter = all_of.orderBy(F.round("weight", 9), F.col("term").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("share", F.col("weight") / F.sum("weight").over(all_of)).withColumn("n_terms", F.count(F.lit(1)).over(all_of))
+    each = each.withColumn("light", F.sum("share").over(lighter) < least - 1e-9)
+    light = F.col("light")
+    sums = each.groupBy("query_id").agg(F.sum(F.when(light, F.col("share")).otherwise(0.0)).alias("light_share"), F.count(F.when(~light, 1)).alias("n_heavy"))
+    shared = terms.join(each.drop("weight"), ["query_id", "term"])
+    heavy = _term_scores(shared.where(~light), index.postings, ["stem"], index)
+    if least <= 0:
+        return _summed(heavy)
+    # what the heavy terms give: a pair stays if it has all of them, or if the light ones could lift it to ``least``
+    hits = materialise(heavy)
+    able = hits.groupBy("query_id", "uid").agg(F.sum("part").alias("part"), F.count(F.lit(1)).alias("n")).join(sums, "query_id")
+    able = able.where((F.col("part") + F.col("light_share") >= least - 1e-9) | (F.col("n") == F.col("n_heavy"))).select("query_id", "uid")
+    more = _term_scores(able.join(shared.where(light), "query_id"), index.postings, ["uid", "stem"], index)
+    return _summed(hits.join(able, ["query_id", "uid"], "left_semi").union(more))
+
+
+def _term_scores(shared: DataFrame, postings: DataFrame, on: list[str], index: Index) -> DataFrame:
+    """(query_id, uid, n_terms, share, part) of each term that a control has: its best form's least frequency, saturated."""
+    hit = shared.join(postings.drop("places"), on).where(F.col("tf_body") + F.col("tf_title") > 0)
     tf = rules.TF_BODY * F.col("tf_body") + rules.TF_TITLE * F.col("tf_title") + rules.TF_SECTION * F.col("tf_section")
-    hit = hit.withColumn("tf", tf).groupBy("query_id", "term", "form", "form_size", "weight", "uid").agg(F.count(F.lit(1)).alias("present"), F.min("tf").alias("tf"))
-    best = hit.where("present = form_size").groupBy("query_id", "term", "weight", "uid").agg(F.max("tf").alias("tf"))
-    scored = best.join(total, "query_id").join(index.doc_stats, "uid").join(F.broadcast(index.totals))
-    share = F.col("weight") / F.col("total_weight")
-    scored = scored.groupBy("query_id", "uid", "n_terms").agg(
-        F.sum(share * saturate(F.col("tf"), F.col("length"), F.col("average_length"))).alias("literal"), F.sum(share).alias("coverage"), F.count(F.lit(1)).alias("n_matched")
-    )
-    return scored
+    hit = hit.withColumn("tf", tf).groupBy("query_id", "term", "form", "form_size", "share", "n_terms", "uid").agg(F.count(F.lit(1)).alias("present"), F.min("tf").alias("tf"))
+    best = hit.where("present = form_size").groupBy("query_id", "term", "share", "n_terms", "uid").agg(F.max("tf").alias("tf"))
+    scored = best.join(index.doc_stats, "uid").join(F.broadcast(index.totals))  # one row of totals
+    return scored.select("query_id", "uid", "n_terms", "share", (F.col("share") * saturate(F.col("tf"), F.col("length"), F.col("average_length"))).alias("part"))
 
 
-def search(queries: DataFrame, controls: DataFrame, frameworks: DataFrame, index: Index, aliases: DataFrame | None = None, concepts: DataFrame | None = None, details: DataFrame | None = None) -> DataFrame:
-    """(query_id, uid, framework_key, score, n_matched, n_terms, rank) above the floor, best first.
+def _summed(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("query_id", "uid", "n_terms").agg(F.sum("part").alias("literal"), F.sum("share").alias("coverage"), F.count(F.lit(1)).alias("n_matched"))
+
+
+def search(
+    queries: DataFrame, controls: DataFrame, frameworks: DataFrame, index: Index, aliases: DataFrame | None = None, concepts: DataFrame | None = None, details: DataFrame | None = None,
+    floor: float = rules.FLOOR,
+) -> DataFrame:
+    """(query_id, uid, framework_key, score, n_matched, n_terms, phrase, rank) above the floor, best first.
 
     ``concepts(query_id, uid, conceptual)`` are scores of concept phrases, if any (``vocabulary.concept_scores``); of a broad control and its
     detailed one, ``details(broad_uid, uid)``, only the detailed one stays among a query's hits; the subject score is the better of
     the literal one and 0.8 of that. One incidental word is no answer: without a concept two terms must match,
-    or one that carries 0.7 of the weight.
+    or one that carries 0.7 of the weight. A score is at least ``floor``; under a higher one than usual, pairs that can't reach it aren't met.
     """
-    found = literal_scores(query_terms(queries, index, aliases), index)
+    # beside its subject a hit gains by its tier, and by all terms and the phrase only if it has all terms
+    least = floor - max(rules.TIER_NUDGE.values()) - 5e-5 if concepts is None and floor > rules.FLOOR else 0.0
+    found = literal_scores(query_terms(queries, index, aliases), index, least)
     if concepts is not None:
         found = found.join(concepts, ["query_id", "uid"], "full").fillna(0, ["literal", "coverage", "n_matched", "n_terms", "conceptual"])
     else:
         found = found.withColumn("conceptual", F.lit(0.0))
     found = found.withColumn("subject", F.greatest("literal", rules.CONCEPT * F.col("conceptual")))
     found = materialise(found.where((F.col("conceptual") > 0) | (F.col("n_matched") >= 2) | (F.round("coverage", 9) >= rules.SOLO)))
-    phrases = phrase_hits(queries, controls, found.where("n_matched = n_terms and n_terms > 1"))
+    phrases = phrase_hits(queries, index, found.where("n_matched = n_terms"))
     found = found.join(phrases, ["query_id", "uid"], "left").join(controls.select("uid", "framework_key", "structural"), "uid").join(frameworks.select("framework_key", "tier"), "framework_key", "left")
     nudge = F.coalesce(F.get(F.array(*[F.lit(rules.TIER_NUDGE[t]) for t in range(1, 6)]), F.col("tier") - 1), F.lit(0.0))
     score = F.col("subject") + F.when((F.col("n_matched") == F.col("n_terms")) & (F.col("n_terms") > 1), rules.ALL_TERMS).otherwise(0.0)
     score = score + F.when(F.col("phrase"), rules.PHRASE).otherwise(0.0) + nudge - F.when(F.col("structural"), rules.STRUCTURAL).otherwise(0.0)
-    found = found.withColumn("score", F.round(score, 6))
+    found = found.withColumn("score", F.round(score, 4)).withColumn("phrase", F.coalesce("phrase", F.lit(False)))
     # the best of each query by partial maximums, so that no task holds all hits of a query before the floor has cut them
     found = materialise(found)
     best = found.groupBy("query_id").agg(F.max("score").alias("__best"))
-    found = found.join(best, "query_id").where(F.col("score") >= F.greatest(F.lit(rules.FLOOR), rules.RELATIVE_FLOOR * F.col("__best"))).drop("__best")
+    found = found.join(best, "query_id").where(F.col("score") >= F.greatest(F.lit(floor), rules.RELATIVE_FLOOR * F.col("__best"))).drop("__best")
     if details is not None:
         found = preferred(found, details, ["query_id"])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "framework_key", "uid"))
-    return found.withColumn("rank", rank).select("query_id", "uid", "framework_key", "score", "n_matched", "n_terms", "rank")
+    return found.withColumn("rank", rank).select("query_id", "uid", "framework_key", "score", "n_matched", "n_terms", "phrase", "rank")
+
 
+def phrase_hits(queries: DataFrame, index: Index, pairs: DataFrame) -> DataFrame:
+    """(query_id, uid, phrase): the pairs, of those that have all terms, in which the query's two or more stems stand one after the other.
 
-def phrase_hits(queries: DataFrame, controls: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(query_id, uid, phrase): whether the query's stems stand in the control one after the other. Only pairs that have all terms are read."""
-    said = joined_stems(controls.select("uid", F.concat_ws(" \n ", "text", "title").alias("text")).join(pairs.select("uid").distinct(), "uid"), "uid", True)
-    asked = joined_stems(queries.select("query_id", "text"), "query_id", False).withColumnRenamed("joined", "needle")
-    both = pairs.select("query_id", "uid").join(said, "uid").join(asked, "query_id")
-    return both.select("query_id", "uid", (F.col("joined").contains(F.col("needle")) & (F.size(F.split(F.trim("needle"), " ")) > 1)).alias("phrase"))
+    A query with a stopword is never a phrase: places count without them.
+    """
+    parts = phrase_parts(queries.select("query_id", "text"), "query_id", "text").where("m > 1")
+    spoilt = parts.where(F.col("stem").isin(rules.STOPWORDS)).select("query_id").distinct()
+    found = phrases_at(index.postings, parts.join(spoilt, "query_id", "left_anti"), "query_id", pairs.select("query_id", "uid"))
+    return found.select("query_id", "uid", F.lit(True).alias("phrase"))
+
+
+def evidence(hits: DataFrame, terms: DataFrame, index: Index) -> DataFrame:
+    """(query_id, uid, matched): of each hit the terms it has, in the query's order: ``array<struct<term, label, field, share>>``.
+
+    Only hits that are reported are looked up again, and a query has ``rules.MAX_TERMS`` terms at most, so a hit costs a fixed number of
+    entries. A term counts by its best form; it stands in the title if that form's first stem does.
+    """
+    each = terms.select("query_id", "term", "label", "weight").distinct()
+    each = each.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("query_id"))).drop("weight")
+    tf = rules.TF_BODY * F.col("tf_body") + rules.TF_TITLE * F.col("tf_title") + rules.TF_SECTION * F.col("tf_section")
+    hit = hits.select("query_id", "uid").join(terms.select("query_id", "term", "form", "form_size", "nth", "stem"), "query_id").join(index.postings.drop("places"), ["uid", "stem"])
+    hit = hit.where(F.col("tf_body") + F.col("tf_title") > 0).withColumn("tf", tf)
+    form = hit.groupBy("query_id", "uid", "term", "form", "form_size").agg(F.count(F.lit(1)).alias("n"), F.min("tf").alias("tf"), F.min_by(F.col("tf_title") > 0, "nth").alias("titled"))
+    best = form.where("n = form_size").groupBy("query_id", "uid", "term").agg(F.max_by("titled", F.struct("tf", -F.col("form"))).alias("titled"))
+    named = best.join(each, ["query_id", "term"])
+    one = F.struct("term", "label", F.when(F.col("titled"), "title").otherwise("text").alias("field"), "share")
+    return named.groupBy("query_id", "uid").agg(F.array_sort(F.collect_list(one)).alias("matched"))
 
 
 def joined_stems(texts: DataFrame, key: str, without_stopwords: bool) -> DataFrame:

@@ -16,11 +16,6 @@ def test_neighbours_leave_out_own_document_and_links(spark):
     assert [(r.uid, r.neighbour) for r in found.collect()] == [("a:1", "b:1")]
 
 
-def test_reasons(spark):
-    df = spark.createDataFrame([(2, 2, True, 3, False), (1, 3, None, None, True)], "n_matched int, n_terms int, phrase boolean, tier int, structural boolean")
-    assert [r.reasons for r in assembly.reasons(df).collect()] == [["2 of 2 terms", "all terms", "the words as typed", "tier 3"], ["1 of 3 terms", "a heading"]]
-
-
 def test_preview_of_nothing(spark):
     none = spark.createDataFrame([], "uid string, identifier string, text string")
     assert [(r.problem, r.key) for r in assembly.preview(none).collect()] == [("number of controls", "0")]
