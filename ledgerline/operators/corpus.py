@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators.scan import numbered
+
 NO_TIER = 99
 
 
@@ -110,11 +112,8 @@ def governance_order(controls: DataFrame, frameworks: DataFrame, within: list[st
     joined = controls.join(governance_key(frameworks), "framework_key", "left").withColumn("gov", F.coalesce("gov", unknown))
     if within:
         return joined.withColumn("place", F.row_number().over(Window.partitionBy(*within).orderBy("gov", "uid"))).drop("gov")
-    # number each framework's controls for themselves, then add what the frameworks before it hold
-    sizes = joined.groupBy("gov").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("gov", (F.sum("__n").over(Window.orderBy("gov")) - F.col("__n")).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("gov").orderBy("uid"))
-    return joined.withColumn("__i", inside).join(before, "gov").withColumn("place", F.col("__i") + F.col("__before")).drop("gov", "__i", "__before")
+    # dealt by ranges of the order: neither a large framework nor the whole is sorted in one task
+    return numbered(joined.withColumn("__all", F.lit(0)), ["__all"], ["gov", "uid"], "place").drop("gov", "__all")
 
 
 def tier_bands(frameworks: DataFrame, controls: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.operators.common import materialise
+from ledgerline.operators.scan import numbered, ordered_scan
+
 
 def _fields(kind: T.DataType) -> dict:
     while isinstance(kind, T.ArrayType):
@@ -42,18 +45,27 @@ def flatten_catalog(spark: SparkSession, path: str) -> DataFrame:
     return reduce(DataFrame.union, out)
 
 
+PLACEHOLDER = r"\{\{\s*insert:\s*param,\s*([^}\s]+)\s*\}\}"
+
+
 def resolve_params(text: Column, params: Column, passes: int = 5) -> Column:
-    """``{{ insert: param, id }}`` replaced by the label of ``params`` (a map), again for what labels insert; an unknown id stays as ``[id]``."""
+    """``{{ insert: param, id }}`` replaced by the label of ``params`` (a map), all at once, and again for what labels insert; an unknown id becomes ``[id]``."""
+
+    def once(t: Column) -> Column:
+        said = F.transform(F.regexp_extract_all(t, F.lit(PLACEHOLDER), F.lit(1)), lambda p: F.coalesce(F.try_element_at(params, p), F.concat(F.lit("["), p, F.lit("]"))))
+        return F.array_join(F.zip_with(F.split(t, PLACEHOLDER, -1), said, lambda gap, s: F.concat(gap, F.coalesce(s, F.lit("")))), "")
+
     out = text
     for _ in range(passes):
-        out = F.aggregate(F.map_entries(params), out, lambda t, e: F.regexp_replace(t, F.concat(F.lit(r"\{\{\s*insert:\s*param,\s*"), F.regexp_replace(e["key"], r"([.\-])", r"\\$1"), F.lit(r"\s*\}\}")), F.regexp_replace(e["value"], r"([\\$])", r"\\$1")))
-    return F.regexp_replace(out, r"\{\{\s*insert:\s*param,\s*([^\s}]+)\s*\}\}", "[$1]")
+        out = F.get(F.transform(F.array(out), once), 0)
+    return out
 
 
 def preferred_label(labels: Column, identifier: Column) -> tuple[Column, Column]:
-    """(the shortest label, first by letter at equal length, or the identifier in capitals; the other labels)."""
+    """(the shortest label, first by letter at equal length, or the identifier with its leading letters in capitals; the other labels)."""
     ranked = F.array_sort(F.transform(F.array_distinct(labels), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
-    best = F.coalesce(F.get(ranked, F.lit(0))["x"], F.upper(identifier))
+    prefix = F.regexp_extract(identifier, "^([a-z]+)[-_]", 1)
+    best = F.coalesce(F.get(ranked, F.lit(0))["x"], F.concat(F.upper(prefix), F.substring(identifier, F.length(prefix) + 1, F.length(identifier))))
     return best, F.array_except(F.coalesce(labels, F.array().cast("array<string>")), F.array(best))
 
 
@@ -70,6 +82,106 @@ def published_procedures(parts: DataFrame) -> DataFrame:
     return rows.where("text is not null and text <> ''")
 
 
+def _items(node: str, field: str) -> Column:
+    """The elements of a field that is an array, with their places; no rows if there is none."""
+    return F.posexplode(F.try_variant_get(F.col(node), f"$.{field}", "array<variant>")).alias("i", "child")
+
+
+def _text_of(node: str, field: str) -> Column:
+    return F.try_variant_get(F.col(node), f"$.{field}", "string")
+
+
+def walk_catalogs(catalogs: DataFrame) -> DataFrame:
+    """(doc, place, id, parent_id, depth, group_path, control VARIANT) of every control in ``catalogs(doc, json)``, however deep groups and controls are nested.
+
+    No schema is read off the files: a catalogue is a variant that is walked a level a round, all documents at once, until no node has
+    children. ``place`` orders a document's controls as one reads them, groups of a node before its controls. The parent is the control
+    or group above. Texts that aren't JSON, or no catalogue, have no controls.
+    """
+    none = F.lit(None).cast("string")
+    root = catalogs.select("doc", F.try_variant_get(F.try_parse_json("json"), "$.catalog", "variant").alias("node"))
+    ways = F.array().cast("array<string>"), F.array().cast("array<int>")
+    level = root.where("node is not null").select("doc", "node", none.alias("parent_id"), F.lit(-1).alias("depth"), ways[0].alias("group_path"), ways[1].alias("place"), F.lit(False).alias("is_control"))
+
+    def kids(field: str, if_: Column) -> Column:
+        some = F.when(if_, F.try_variant_get(F.col("node"), f"$.{field}", "array<variant>"))
+        listed = F.transform(some, lambda c, i: F.struct(F.lit(field).alias("field"), i.alias("i"), c.alias("child")))
+        return F.coalesce(listed, F.array().cast("array<struct<field:string,i:int,child:variant>>"))
+
+    found = []
+    while True:
+        level = materialise(level)
+        if level.isEmpty():
+            break
+        found.append(level.where("is_control"))
+        # groups and controls of a node in one pass, so the number of tasks stays as it is
+        below = F.posexplode(F.concat(kids("groups", ~F.col("is_control")), kids("controls", F.lit(True)))).alias("__n", "kid")
+        level = level.select("doc", "node", "depth", "group_path", "place", F.col("is_control").alias("inner"), below)
+        controls, child, i = F.col("kid.field") == "controls", "kid.child", F.col("kid.i")
+        way = F.when(F.col("inner"), F.array(i)).otherwise(F.array(F.when(controls, 1).otherwise(0), i))
+        level = level.select(
+            "doc", F.col(child).alias("node"), F.when(controls, _text_of("node", "id")).alias("parent_id"), (F.col("depth") + controls.cast("int")).alias("depth"),
+            F.when(controls, F.col("group_path")).otherwise(F.concat("group_path", F.array(F.coalesce(_text_of(child, "title"), F.lit(""))))).alias("group_path"), F.concat("place", way).alias("place"), controls.alias("is_control"),
+        )
+    if not found:
+        found = [level]
+    return reduce(DataFrame.union, found).select("doc", "place", _text_of("node", "id").alias("id"), "parent_id", "depth", "group_path", F.col("node").alias("control"))
+
+
+def parameter_labels(controls: DataFrame) -> DataFrame:
+    """(doc, place, params MAP): what stands for each parameter of a control: its label, its choices, its values, or its id; of repeated ids the last."""
+    rows = controls.select("doc", "place", _items("control", "params")).select("doc", "place", "i", F.col("child").alias("p"), _text_of("child", "id").alias("pid")).where("pid <> ''")
+    choice = F.try_variant_get(F.col("p"), "$.select.choice", "array<variant>")
+    named = F.transform(choice, lambda c: F.when(F.schema_of_variant(c) == "STRING", F.try_variant_get(c, "$", "string")).otherwise(F.coalesce(F.nullif(F.try_variant_get(c, "$.value", "string"), F.lit("")), F.try_variant_get(c, "$.prose", "string"))))
+    named = F.filter(named, lambda x: x.isNotNull() & (x != ""))
+    many = F.try_variant_get(F.col("p"), "$.values", "array<string>")
+    framed = lambda c: F.concat(F.lit("["), c, F.lit("]"))
+    label = F.when(_text_of("p", "label") != "", framed(_text_of("p", "label")))
+    label = label.when(F.try_variant_get(F.col("p"), "$.select", "variant").isNotNull(), F.when(F.size(named) > 0, framed(F.array_join(named, " or "))).otherwise("[selection]"))
+    label = label.when(F.size(many) > 0, F.array_join(many, ", ")).when(many.isNull() & (_text_of("p", "values") != ""), _text_of("p", "values")).otherwise(framed(F.col("pid")))
+    last = rows.groupBy("doc", "place", "pid").agg(F.max_by(label, "i").alias("label"))
+    return last.groupBy("doc", "place").agg(F.map_from_entries(F.collect_list(F.struct("pid", "label"))).alias("params"))
+
+
+def walk_parts(controls: DataFrame) -> DataFrame:
+    """(doc, place, name, path, label, prose) of every part of every control that has prose; ``name`` is that of the outermost part, ``path`` where it stands."""
+    label = F.get(F.filter(F.try_variant_get(F.col("child"), "$.props", "array<variant>"), lambda p: F.try_variant_get(p, "$.name", "string") == "label"), 0)
+    said = lambda name, path: ("doc", "place", name.alias("name"), path.alias("path"), F.trim(F.try_variant_get(label, "$.value", "string")).alias("label"), F.trim(_text_of("child", "prose")).alias("prose"), F.col("child").alias("node"))
+    level = controls.select("doc", "place", _items("control", "parts")).select(*said(_text_of("child", "name"), F.array("i")))
+    found = []
+    while True:
+        level = materialise(level)
+        found.append(level)
+        if level.isEmpty():
+            return reduce(DataFrame.union, found).where("prose <> ''").drop("node")
+        level = level.select("doc", "place", "name", "path", _items("node", "parts")).select(*said(F.col("name"), F.concat("path", F.array("i"))))
+
+
+def catalog_controls(catalogs: DataFrame) -> DataFrame:
+    """(doc, place, id, identifier, alternates, title, text, guidance, depth, parent_id, section_ref, class) of ``catalogs(doc, json)``.
+
+    Statements and guidance are their parts depth first, two blanks a level and the label before the prose, with the control's own
+    parameters put in; parameters reach their control by a join, so a catalogue of any size is never read by one task after the parse.
+    """
+    controls = materialise(walk_catalogs(catalogs))
+    params = parameter_labels(controls)
+    parts = walk_parts(controls).where("name in ('statement', 'guidance')")
+    line = F.concat(F.repeat(F.lit("  "), F.size("path") - 1), F.concat_ws(" ", F.nullif("label", F.lit("")), "prose"))
+    texts = parts.groupBy("doc", "place", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("line")))), lambda x: x["line"]), "\n").alias("t"))
+    texts = texts.groupBy("doc", "place").agg(*[F.max(F.when(F.col("name") == n, F.col("t"))).alias(n) for n in ("statement", "guidance")])
+    props = F.try_variant_get(F.col("control"), "$.props", "array<variant>")
+    labels = F.transform(F.filter(props, lambda p: F.try_variant_get(p, "$.name", "string") == "label"), lambda p: F.try_variant_get(p, "$.value", "string"))
+    labels = F.array_distinct(F.filter(labels, lambda x: x.isNotNull()))
+    out = controls.join(params, ["doc", "place"], "left").join(texts, ["doc", "place"], "left").withColumn("__labels", labels)
+    best, others = preferred_label(F.col("__labels"), F.col("id"))
+    put = lambda c: F.trim(resolve_params(F.col(c), F.coalesce("params", F.create_map().cast("map<string,string>"))))
+    shown = F.array_join(F.filter("group_path", lambda g: g != ""), " > ")
+    return out.withColumn("identifier", F.coalesce(best, F.lit(""))).select(
+        "doc", "place", "id", "identifier", others.alias("alternates"), real_title(_text_of("control", "title"), F.col("id"), F.col("identifier")).alias("title"),
+        F.coalesce(put("statement"), F.lit("")).alias("text"), F.nullif(put("guidance"), F.lit("")).alias("guidance"), "depth", "parent_id", F.nullif(shown, F.lit("")).alias("section_ref"), _text_of("control", "class").alias("class"),
+    )
+
+
 def part_text(parts: DataFrame) -> DataFrame:
     """(control_uid, text) of ``parts(control_uid, path ARRAY<INT>, label, prose)``: depth first, two blanks a level."""
     line = F.concat(F.repeat(F.lit("  "), F.size("path") - 1), F.concat_ws(" ", "label", "prose"))
@@ -105,15 +217,15 @@ def numbering_gaps(rows: DataFrame, group: str, number: str) -> DataFrame:
 
 def positional_ids(rows: DataFrame, parent: str, order: list[str], cell: str | None = None) -> DataFrame:
     """``rows`` with ``nth`` and ``identifier`` (parent.nth), and ``renumbered`` where the cell says otherwise."""
-    out = rows.withColumn("nth", F.row_number().over(Window.partitionBy(parent).orderBy(*order)))
+    out = numbered(rows, [parent], order)
     out = out.withColumn("identifier", F.concat_ws(".", F.col(parent).cast("string"), F.col("nth").cast("string")))
     return out if cell is None else out.withColumn("renumbered", ~F.col(cell).cast("string").eqNullSafe(F.col("identifier")))
 
 
 def forward_fill(rows: DataFrame, document: str, order: str, columns: list[str]) -> DataFrame:
     """Blank cells take the nearest value above them in their document."""
-    above = Window.partitionBy(document).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({c: F.last(F.when(F.trim(F.col(c)) != "", F.col(c)), ignorenulls=True).over(above) for c in columns})
+    filled = ordered_scan(rows, [document], [order], {f"__{c}": F.when(F.trim(F.col(c)) != "", F.col(c)) for c in columns})
+    return filled.select(*[F.col(f"__{c}").alias(c) if c in columns else c for c in rows.columns])
 
 
 def mapping_cells(rows: DataFrame, cell: str, pattern: str, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
