@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,58 @@ def if_small(df: DataFrame, most: int = RULES) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def phrases_said(texts: DataFrame, phrases: DataFrame, key: str, most: int = RULES) -> DataFrame:
+    """(key, phrase) of every phrase of ``phrases(phrase)`` that stands in a text of ``texts(key, text)`` as a substring, in any case.
+
+    Up to ``most`` phrases, counted first, go to every task as one automaton that each text runs through once. More phrases meet the
+    texts by shuffle: on a phrase's rarest run of three letters (or the whole, if it is shorter), which a text must have, and are then looked for.
+    Repeated keys are told apart by their texts; an empty phrase stands in every text, a null text or phrase in none.
+    """
+    wanted = phrases.select("phrase").where("phrase is not null").distinct()
+    said = texts.select(key, F.lower("text").alias("text")).where("text is not null")
+    if wanted.limit(most + 1).count() > most:
+        return _by_rarest_gram(said, wanted, key)
+    low = [(r.low, r.phrase) for r in wanted.select(F.lower("phrase").alias("low"), "phrase").collect()]  # at most ``most`` rows
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        by, machine = {}, ahocorasick.Automaton()
+        for lowered, phrase in low:
+            by.setdefault(lowered, []).append(phrase)
+        for lowered in by:
+            if lowered:
+                machine.add_word(lowered, lowered)
+        machine.make_automaton()
+        for batch in batches:
+            rows, found = [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                hits = {lowered for _, lowered in machine.iter(text)} if len(machine) else set()
+                for lowered in sorted(hits | ({""} & by.keys())):
+                    rows += [k] * len(by[lowered])
+                    found += by[lowered]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], [key, "phrase"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return said.mapInArrow(search, f"`{key}` {kind}, phrase string")
+
+
+def _by_rarest_gram(said: DataFrame, wanted: DataFrame, key: str, width: int = 3) -> DataFrame:
+    grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda at: F.substring(c, at, F.lit(n))))
+    said = said.withColumn("__row", F.monotonically_increasing_id())
+    said = materialise(said)
+    low = wanted.withColumn("low", F.lower("phrase"))
+    everywhere = low.where("low = ''")
+    parts = low.where("low <> ''").select("phrase", "low", F.explode(F.when(F.length("low") >= width, grams("low", width)).otherwise(F.array("low"))).alias("gram"))
+    lengths = [n for n in range(1, width + 1)]
+    have = said.select("__row", F.explode(F.flatten(F.array(*[F.when(F.length("text") >= n, grams("text", n)).otherwise(F.array().cast("array<string>")) for n in lengths]))).alias("gram"))
+    have = materialise(have.join(parts.select("gram").distinct(), "gram", "left_semi"))
+    df = have.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    rare = parts.join(df, "gram", "left").fillna(0, ["df"]).groupBy("phrase", "low").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"), F.min("df").alias("least")).where("least > 0")
+    met = have.join(rare, "gram").join(said, "__row").where(F.contains("text", F.col("low"))).select(key, "phrase")
+    return met.union(said.select(key).join(everywhere.select("phrase"))) if not everywhere.isEmpty() else met  # one phrase
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder (``spark.checkpoint.dir``; a temporary one only where that is unset and everything runs in one process)."""
     sc = df.sparkSession.sparkContext

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.operators.common import materialise
 from ledgerline.operators.scan import numbered
 
 NO_TIER = 99
@@ -89,6 +90,38 @@ def load_report(frameworks: DataFrame, controls: DataFrame, links: DataFrame) ->
     )
 
 
+def load_summary(frameworks: DataFrame, controls: DataFrame, links: DataFrame, statements: DataFrame, absent: DataFrame, beside: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(part, key, n, note): what a corpus holds and what it lacks, counted in one pass over all its tables.
+
+    ``frameworks(framework_key, tier, family, revision, fidelity, permissive)``, ``controls(framework_key)``, ``links(provenance)``,
+    ``statements(provenance)``, ``absent(framework_key, reason)``; ``beside`` are further tables whose rows are counted. Parts: a framework
+    with its revision and fidelity, or ``not loaded`` with the reason; totals; loaded frameworks and families; links and statements by
+    provenance; licences; tiers in which nothing is loaded.
+    """
+    none = F.lit(None).cast("string")
+    fact = lambda df, kind, key=none, way=none: df.select(F.lit(kind).alias("kind"), key.alias("framework_key"), way.cast("string").alias("way"))
+    facts = fact(controls, "controls", F.col("framework_key")).union(fact(links, "links", way=F.col("provenance"))).union(fact(statements, "statements", way=F.col("provenance")))
+    facts = facts.union(fact(frameworks, "licence", way=F.when(F.col("permissive"), "shippable").otherwise("import only")))
+    for kind, df in (beside or {}).items():
+        facts = facts.union(fact(df, kind))
+    by, per, way = F.grouping_id("kind", "framework_key", "way"), F.col("framework_key"), F.col("way")
+    counted = materialise(facts.groupingSets([[F.col("kind"), per], [F.col("kind"), way], [F.col("kind")]], F.col("kind"), per, way).agg(F.count(F.lit(1)).alias("n"), by.alias("set")))
+    # set 1 is by framework, 2 by provenance or licence, 3 over all
+    n = counted.where("kind = 'controls' and set = 1").select("framework_key", "n")
+    state = frameworks.join(n, "framework_key", "left").join(absent.select("framework_key", "reason"), "framework_key", "left")
+    gone = F.col("reason").isNotNull() | F.col("n").isNull()
+    state = state.withColumn("gone", gone).withColumn("n", F.coalesce("n", F.lit(0)))
+    note = F.when(F.col("gone"), F.coalesce("reason", F.lit("no loader ran"))).otherwise(F.concat_ws(", ", F.coalesce("revision", F.lit("revision not stated")), "fidelity"))
+    lines = state.select(F.when(F.col("gone"), "not loaded").otherwise("framework").alias("part"), F.col("framework_key").alias("key"), "n", note.alias("note"))
+    ways = counted.where("set = 2 and way is not null").select("kind", "way", "n", none)
+    totals = counted.where("set = 3 and kind <> 'licence'").select(F.lit("total"), "kind", "n", none)
+    loaded = state.where("not gone").agg(F.count(F.lit(1)).alias("frameworks"), F.countDistinct(F.coalesce("family", "framework_key")).alias("families"))
+    loaded = loaded.select(F.explode(F.create_map(F.lit("frameworks"), "frameworks", F.lit("families"), "families")).alias("key", "n")).select(F.lit("loaded"), "key", "n", none)
+    tiers = frameworks.sparkSession.range(1, 6).select(F.col("id").cast("int").alias("tier"))
+    empty = tiers.join(state.where("n > 0").select("tier").distinct(), "tier", "left_anti").select(F.lit("empty tier"), F.col("tier").cast("string"), F.lit(0).cast("long"), none)
+    return lines.union(ways).union(totals).union(loaded).union(empty)
+
+
 def framework_warnings(frameworks: DataFrame) -> DataFrame:
     """(framework_key, warning): no tier, no levels, a revision without its source, no source files."""
     checks = F.array(

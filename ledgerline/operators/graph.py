@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators.common import materialise
+from ledgerline.operators.corpus import NO_TIER, governance_key
 
 
 def ancestors(controls: DataFrame) -> DataFrame:
@@ -94,6 +95,34 @@ def lineage_bands(uids: DataFrame, links: DataFrame, provenances: list[str]) ->
     return out.select("uid", "provenance", F.coalesce("n", F.lit(0)).alias("n"), note.alias("note"))
 
 
+def lineage(uids: DataFrame, links: DataFrame, frameworks: DataFrame, provenances: list[str] | None = None) -> DataFrame:
+    """(uid, provenance, nth, other_uid, kind, outward, load_seq, note): each provenance of each control with its neighbours in governance order, or one row with a note.
+
+    A neighbour that several links reach takes as many places, each of them with the last of these links (outgoing ones come first, then
+    by load order). ``frameworks(framework_key, short_name, tier, jurisdiction, intra_order)``; an unknown one comes last. The notes tell
+    a derived band in which nothing was matched from a framework that nobody maps and from one that is mapped elsewhere.
+    """
+    provenances = provenances or ["published", "published-tag", "derived"]
+    wanted = uids.select("uid").distinct()
+    rel = relations(links).join(wanted, "uid", "left_semi").where(F.col("provenance").isin(provenances))
+    seq = F.struct((~F.col("outward")).cast("int").alias("inward"), "load_seq")
+    last = rel.groupBy("uid", "provenance", "other_uid").agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("kind", "outward", "load_seq"), seq).alias("r"))
+    gov = governance_key(frameworks).withColumnRenamed("framework_key", "__f")
+    far = F.struct(*[F.lit(NO_TIER).alias(c) for c in ("tier", "jurisdiction", "intra_order")], F.col("__f").alias("key"))
+    placed = last.withColumn("__f", framework_of(F.col("other_uid"))).join(gov, "__f", "left").withColumn("gov", F.coalesce("gov", far))
+    listed = placed.groupBy("uid", "provenance").agg(F.array_sort(F.collect_list(F.struct("gov", "other_uid", "r", "n"))).alias("others"))
+    said = listed.select("uid", "provenance", F.flatten(F.transform("others", lambda o: F.array_repeat(o, o["n"].cast("int")))).alias("others"))
+
+    bands = wanted.withColumn("provenance", F.explode(F.array(*[F.lit(p) for p in provenances]))).withColumn("framework_key", framework_of(F.col("uid")))
+    mapped = mapped_frameworks(links).withColumn("mapped", F.lit(True))
+    out = bands.join(said, ["uid", "provenance"], "left").join(mapped, "framework_key", "left").join(frameworks.select("framework_key", "short_name"), "framework_key", "left")
+    name = F.coalesce("short_name", "framework_key")
+    note = F.when(F.col("provenance") == "derived", F.lit("nothing was matched to this control"))
+    note = note.when(F.col("mapped"), F.concat(name, F.lit(" has "), "provenance", F.lit(" links, none of this control"))).otherwise(F.concat(F.lit("nobody maps "), name))
+    out = out.withColumn("note", F.when(F.col("others").isNull(), note)).select("uid", "provenance", "note", F.posexplode_outer("others").alias("p", "o"))
+    return out.select("uid", "provenance", (F.col("p") + 1).alias("nth"), "o.other_uid", "o.r.kind", "o.r.outward", "o.r.load_seq", "note")
+
+
 def mapped_frameworks(links: DataFrame) -> DataFrame:
     return relations(links).select(framework_of(F.col("uid")).alias("framework_key")).distinct()
 
@@ -215,14 +244,23 @@ def threat_match(texts: DataFrame, mitigations: DataFrame, stem_weights: DataFra
     """
     said, parts = texts.select("uid", "stem").distinct().join(stem_weights, "stem"), mitigations.distinct()
     name, body = parts.where("part = 'name'").drop("part").join(stem_weights, "stem"), parts.where("part = 'body'").drop("part")
-    by_name = name.join(said.select("uid", "stem"), "stem").groupBy("uid", "mitigation_id").agg(F.sum("weight").alias("got"))
-    by_name = by_name.join(name.groupBy("mitigation_id").agg(F.sum("weight").alias("total")), "mitigation_id").select("uid", "mitigation_id", (0.65 * F.col("got") / F.col("total")).alias("c"))
-    by_body = said.join(body, "stem").groupBy("uid", "mitigation_id").agg(F.sum("weight").alias("got"))
+    # the body gives 0.20 at most, so without a shared concept a pair needs this share of the name; its lightest stems that weigh less together find no pair
+    need = (least - 0.20) / 0.65
+    inside = Window.partitionBy("mitigation_id")
+    name = name.withColumn("total", F.sum("weight").over(inside))
+    lighter = inside.orderBy("weight", "stem").rowsBetween(Window.unboundedPreceding, 0)
+    name = materialise(name.withColumn("light", F.sum("weight").over(lighter) < (need - 1e-6) * F.col("total")))
+    met = name.where("not light").select("mitigation_id", "stem").join(said.select("uid", "stem"), "stem").select("uid", "mitigation_id").distinct()
+    named = shared.select("uid", "mitigation_id").distinct() if shared is not None else None
+    met = met if named is None else met.union(named).distinct()
+    by_name = met.join(name.select("mitigation_id", "stem", "weight", "total"), "mitigation_id").join(said.select("uid", "stem"), ["uid", "stem"]).groupBy("uid", "mitigation_id", "total").agg(F.sum("weight").alias("got"))
+    by_name = by_name.select("uid", "mitigation_id", (0.65 * F.col("got") / F.col("total")).alias("c"))
+    cover = by_name if named is None else by_name.union(named.withColumn("c", F.lit(0.45)))
+    # bodies are weighed only for pairs that can still pass
+    able = materialise(cover.groupBy("uid", "mitigation_id").agg(F.sum("c").alias("c")).where(F.col("c") >= least - 0.20 - 1e-6))
+    by_body = able.select("uid", "mitigation_id").join(body, "mitigation_id").join(said, ["uid", "stem"]).groupBy("uid", "mitigation_id").agg(F.sum("weight").alias("got"))
     by_body = by_body.join(said.groupBy("uid").agg(F.sum("weight").alias("total")), "uid").select("uid", "mitigation_id", (0.20 * F.col("got") / F.col("total")).alias("c"))
-    cover = by_name.union(by_body)
-    if shared is not None:
-        cover = cover.union(shared.select("uid", "mitigation_id", F.lit(0.45)))
-    scored = cover.groupBy("uid", "mitigation_id").agg(F.round(F.least(F.lit(1.0), F.sum("c")), 6).alias("score")).where(F.col("score") >= least)
+    scored = able.union(by_body).groupBy("uid", "mitigation_id").agg(F.round(F.least(F.lit(1.0), F.sum("c")), 6).alias("score")).where(F.col("score") >= least)
     w = Window.partitionBy("uid")
     scored = scored.withColumn("best", F.max("score").over(w)).where(F.col("score") >= near_best * F.col("best"))
     return scored.withColumn("n", F.row_number().over(w.orderBy(F.desc("score"), "mitigation_id"))).where(F.col("n") <= limit).select("uid", "mitigation_id", "score")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,46 @@ def topic_prevalence(entries: DataFrame, topics: DataFrame) -> DataFrame:
     return out.withColumn("band", band.cast("long")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "topic")).cast("long"))
 
 
+@dataclass
+class TopicReport:
+    topics: DataFrame
+    families: DataFrame
+    samples: DataFrame
+    ratings: DataFrame
+    problems: DataFrame
+
+
+def topic_report(entries: DataFrame, topics: list[tuple[str, str, str]], known: list[str], sample: int = 8) -> TopicReport:
+    """How often the topics (code, name, pattern) are spoken of in ``entries(uid, family, text, load_seq)``; a text is read once for all of them.
+
+    ``topics``: (code, topic, n, families, band, mean_share, rank), most entries first, then most families, then by name; ``families``: (code,
+    family, n); ``samples``: (code, nth, uid), the first entries in load order, of which a task sends on no more than ``sample`` a topic;
+    ``ratings``: (band, n) of all bands, also empty ones; ``problems``: (problem, topic), names without a pattern or that ``known`` lacks.
+    """
+    spark = entries.sparkSession
+    spoken = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(c)) for c, _, p in topics]))
+    hits = materialise(entries.select("uid", "family", "load_seq", F.explode(spoken).alias("code")))
+    names = spark.createDataFrame([(c, t) for c, t, _ in topics], "code string, topic string")
+    per = materialise(hits.groupBy("code", "family").agg(F.count(F.lit(1)).alias("n")))
+    totals = entries.groupBy("family").agg(F.count(F.lit(1)).alias("total"))
+    shares = per.join(totals, "family").groupBy("code").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("families"), F.sum(F.col("n") / F.col("total")).alias("shares"))
+    # a family without hits adds nothing to the sum of shares, but counts in their mean
+    out = names.join(shares, "code", "left").join(F.broadcast(totals.agg(F.count(F.lit(1)).alias("all"))))  # one row
+    band = F.lit(1)
+    for least, score in reversed(BANDS):
+        band = F.when(F.col("n") >= least, score).otherwise(band)
+    out = out.fillna(0, ["n", "families", "shares"]).withColumn("band", band.cast("long")).withColumn("mean_share", F.round(F.coalesce(F.col("shares") / F.nullif("all", F.lit(0)), F.lit(0.0)) * 100, 2))
+    rank = F.row_number().over(Window.orderBy(F.desc("n"), F.desc("families"), "topic", "code"))  # a row a topic
+    out = out.select("code", "topic", "n", "families", "band", "mean_share", rank.cast("long").alias("rank"))
+    first = F.row_number().over(Window.partitionBy("code").orderBy("load_seq", "uid"))
+    samples = hits.withColumn("nth", first).where(F.col("nth") <= sample).select("code", F.col("nth").cast("long").alias("nth"), "uid")
+    bands = spark.createDataFrame([(b,) for b in sorted({1, *(score for _, score in BANDS)})], "band long")
+    ratings = bands.join(out.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "band", "left").fillna(0, ["n"])
+    stated, wanted = {t for _, t, _ in topics}, set(known)
+    odd = [("no pattern", t) for t in sorted(wanted - stated)] + [("unknown topic", t) for t in sorted(stated - wanted)]
+    return TopicReport(out, per, samples, ratings, spark.createDataFrame(odd, "problem string, topic string"))
+
+
 def containment_check(texts: DataFrame, renditions: DataFrame) -> DataFrame:
     """(uid, n): in how many renditions a text stands whole, letters and digits only.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import rules
-from ledgerline.operators.common import if_small
+from ledgerline.operators.common import phrases_said
 
 
 def not_derivable(title: Column, text: Column, structural: Column, ancestor_titles: Column, refusals: list[tuple] = rules.REFUSALS, above: str = rules.REFUSED_ABOVE, shortest: int = rules.SHORTEST_TEXT) -> Column:
@@ -64,7 +64,7 @@ def guidance(classified: DataFrame, texts: DataFrame, profiles: list[tuple], by_
 
 def details_in_scope(texts: DataFrame, sources: DataFrame, key: str = "uid") -> DataFrame:
     """(key, source, phrase): a source is in scope if the text names one of its phrases; the first phrase is kept. ``sources(source, phrase, ord)`` is a rule table."""
-    hit = texts.join(if_small(sources), F.contains(F.lower("text"), F.lower("phrase")))
+    hit = phrases_said(texts, sources, key).join(sources, "phrase")
     return hit.groupBy(key, "source").agg(F.min_by("phrase", "ord").alias("phrase"))
 
 

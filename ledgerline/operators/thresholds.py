@@ -119,6 +119,12 @@ def thresholds(texts: DataFrame, key: str = "uid") -> DataFrame:
     return q.select(key, "nth", "start", "end", "value", "unit", "dimension", "canonical", "approximate", "__b.*", "restates", "classifies", "clause")
 
 
+def stated_by(controls: DataFrame, key: str = "uid") -> DataFrame:
+    """``thresholds`` of a control's title and text together, restatements left out; ``controls(key, title, text)``. Places count in the joined text."""
+    parts = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("text", F.lit("")))
+    return thresholds(controls.select(key, F.regexp_replace(parts, r"^[. ]+|[. ]+$", "").alias("text")), key).where("not restates")
+
+
 def compare(stated: DataFrame, subject: str = "subject_id") -> DataFrame:
     """A row a subject and dimension: how many, the strictest and loosest value if all are ceilings or all floors, what is unstated."""
     n = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
@@ -159,7 +165,9 @@ def on_subject(stated: DataFrame, clause_concepts: DataFrame, subject_concepts:
     ``clause_concepts(clause, concept)`` and ``subject_concepts(subject, concept)`` as ``vocabulary.concepts_in`` gives them.
     """
     has = subject_concepts.select(subject).distinct().withColumn("__has", F.lit(True))
-    shared = clause_concepts.join(subject_concepts, "concept").select("clause", subject).distinct().withColumn("__shared", F.lit(True))
+    # only the concepts of clauses that a subject states meet the subject's own, on both keys: no product of clauses and subjects
+    said = stated.select(subject, "clause").distinct().join(clause_concepts, "clause")
+    shared = said.join(subject_concepts, [subject, "concept"], "left_semi").select(subject, "clause").distinct().withColumn("__shared", F.lit(True))
     out = stated.join(has, subject, "left").join(shared, ["clause", subject], "left")
     return out.withColumn("on_subject", F.col("__has").isNull() | F.col("__shared").isNotNull()).drop("__has", "__shared")
 

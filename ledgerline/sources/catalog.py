@@ -235,12 +235,18 @@ def mapping_cells(rows: DataFrame, cell: str, pattern: str, targets: DataFrame)
     return ids.join(known, "identifier").select("source_uid", "target_uid"), ids.join(known, "identifier", "left_anti")
 
 
-def source_audit(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """(filename, state): available, changed or missing against ``manifest(filename, sha256)``, or unlisted."""
-    found = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.sha2("content", 256).alias("__h"))
-    out = manifest.join(found, "filename", "full")
+def source_audit(spark: SparkSession, path: str, manifest: DataFrame, files: str = "*") -> DataFrame:
+    """(filename, state, known_as): available, changed or missing against ``manifest(filename, sha256)``, or unlisted.
+
+    An unlisted file whose digest is that of a missing one is ``known_as`` it. Files of any folder under ``path`` whose name fits ``files`` are read.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", files).load(path)
+    found = materialise(found.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.sha2("content", 256).alias("__h")))
+    out = manifest.select("filename", "sha256").join(found, "filename", "full")
     state = F.when(F.col("__h").isNull(), "missing").when(F.col("sha256").isNull(), "unlisted").when(F.col("__h") == F.col("sha256"), "available").otherwise("changed")
-    return out.select("filename", state.alias("state"))
+    out = out.withColumn("state", state)
+    lost = out.where("state = 'missing'").groupBy(F.col("sha256").alias("__h")).agg(F.min("filename").alias("known_as")).withColumn("state", F.lit("unlisted"))
+    return out.join(lost, ["__h", "state"], "left").select("filename", "state", "known_as")
 
 
 def threat_graph(techniques: DataFrame, mitigations: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators.common import if_small
+from ledgerline.operators.common import phrases_said
 
 # Obligation keywords of specifications and the strengths they state.
 STRENGTHS = {"MUST": "mandatory", "SHALL": "mandatory", "MUST NOT": "prohibited", "SHALL NOT": "prohibited", "SHOULD": "recommended", "SHOULD NOT": "recommended", "MAY": "permitted"}
@@ -82,8 +82,10 @@ def incorporations(rows: DataFrame, phrases: DataFrame, roots: DataFrame) -> tup
     ``rows(source_uid, cell, condition)``, ``phrases(phrase, framework_key, ord)`` (a rule table; the first phrase in order
     wins), ``roots(uid, framework_key, structural)``: links go to a framework's roots that aren't structural, to all if there is no other.
     """
-    named = rows.join(if_small(phrases), F.contains(F.lower("cell"), F.lower("phrase")), "left")
-    named = named.groupBy("source_uid", "cell", "condition").agg(F.min_by("framework_key", "ord").alias("framework_key"))
+    # each cell runs through the phrases once; what it says is joined back on the cell
+    said = phrases_said(rows.select("cell", F.col("cell").alias("text")).distinct(), phrases, "cell").join(phrases, "phrase")
+    first = said.groupBy("cell").agg(F.min_by("framework_key", "ord").alias("framework_key"))
+    named = rows.select("source_uid", "cell", "condition").distinct().join(first, "cell", "left")
     plain = F.max((~F.col("structural")).cast("int")).over(Window.partitionBy("framework_key"))
     ends = roots.withColumn("__p", plain).where("not structural or __p = 0").select("framework_key", F.col("uid").alias("target_uid"))
     links = named.join(ends, "framework_key").select("source_uid", "target_uid", F.lit("incorporates").alias("kind"), F.lit("published").alias("provenance"), F.concat_ws("; ", "cell", "condition").alias("basis"))
