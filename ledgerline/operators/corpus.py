@@ -178,3 +178,26 @@ def statements_for(statements: DataFrame) -> DataFrame:
     """``statements`` numbered for each control, published ones first, then as loaded."""
     order = Window.partitionBy("control_uid").orderBy(F.when(F.col("provenance") == "published", 0).otherwise(1), "load_seq")
     return statements.withColumn("nth", F.row_number().over(order))
+
+
+def links_from(links: DataFrame, uids: DataFrame, provenance: str | None = None) -> DataFrame:
+    """The links that go out from ``uids(uid)``, of one provenance if it is given; ``published`` are those that may be cited."""
+    out = links.join(uids.select(F.col("uid").alias("source_uid")).distinct(), "source_uid", "left_semi")
+    return out if provenance is None else out.where(F.col("provenance") == provenance)
+
+
+def techniques_for(mitigations: DataFrame, mitigates: DataFrame, techniques: DataFrame) -> DataFrame:
+    """(mitigation_id, technique...) of every technique that the given mitigations mitigate; edges to techniques that aren't loaded go."""
+    return mitigates.join(mitigations.select("mitigation_id").distinct(), "mitigation_id", "left_semi").select("mitigation_id", "technique_id").distinct().join(techniques, "technique_id")
+
+
+def mitigations_for(techniques: DataFrame, mitigates: DataFrame, mitigations: DataFrame) -> DataFrame:
+    """(technique_id, mitigation...) of every mitigation of the given techniques; edges from mitigations that aren't loaded go."""
+    return mitigates.join(techniques.select("technique_id").distinct(), "technique_id", "left_semi").select("mitigation_id", "technique_id").distinct().join(mitigations, "mitigation_id")
+
+
+def broad_uid(uid: Column, pattern: str, codes: dict[str, str], broad: str) -> Column:
+    """The uid of the broad control that a detailed one belongs to: the whole uid fits ``pattern``, whose group is one of ``codes``; else null."""
+    low = F.lower(uid)
+    code = F.try_element_at(F.create_map(*[F.lit(x) for kv in codes.items() for x in kv]), F.regexp_extract(low, f"^(?:{pattern})$", 1))
+    return F.concat(F.lit(f"{broad}:"), code)

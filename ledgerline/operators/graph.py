@@ -223,6 +223,29 @@ def bridge_by_name(mapped: DataFrame, targets: DataFrame, aliases: DataFrame | N
     return direct.union(by_alias.join(direct.select("source_uid", "target_uid"), ["source_uid", "target_uid"], "left_anti")).distinct()
 
 
+def bridge_by_strategy(mapped: DataFrame, targets: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, unmatched): from controls that name strategies to the controls that stand under a heading of that name, or under what an alias says.
+
+    ``mapped(uid, strategy)``, ``targets(uid, section_ref, text)`` with the headings above a target parted by ``>``, and the rule table ``aliases(strategy, sections
+    ARRAY, requires ARRAY, excludes ARRAY)``, all in any case. Where a heading is called like the strategy, links are ``published-tag`` and no alias is
+    read; else a target under one of the alias's sections is linked as ``derived`` if its text has any of the required phrases (when there are some) and none of
+    the excluded ones. Links are (source_uid, target_uid, provenance, strategy, section); unmatched are strategies with neither.
+    """
+    low = lambda c: F.lower(F.trim(c))
+    named = mapped.select(F.col("uid").alias("source_uid"), F.trim("strategy").alias("strategy"), low("strategy").alias("name")).distinct()
+    under = targets.select(F.col("uid").alias("target_uid"), "text", F.explode(F.array_distinct(F.transform(F.split("section_ref", ">"), low))).alias("section")).where("section <> ''")
+    headings = under.select(F.col("section").alias("name")).distinct()
+    direct = named.join(under.drop("text"), F.col("name") == F.col("section")).select("source_uid", "target_uid", F.lit("published-tag").alias("provenance"), "strategy", "section")
+    other = named.join(headings, "name", "left_anti")
+    rules = aliases.select(low("strategy").alias("name"), "sections", "requires", "excludes")
+    none = F.array().cast("array<string>")
+    has = lambda c: F.exists(F.coalesce(c, none), lambda p: F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lower(p)))
+    read = other.join(rules, "name").select("source_uid", "strategy", "requires", "excludes", F.explode(F.transform("sections", low)).alias("section")).join(under, "section")
+    read = read.where(((F.coalesce(F.size("requires"), F.lit(0)) <= 0) | has("requires")) & ~has("excludes"))
+    links = direct.union(read.select("source_uid", "target_uid", F.lit("derived"), "strategy", "section"))
+    return links, other.join(rules.select("name"), "name", "left_anti").select("strategy").distinct()
+
+
 def align_by_title(left: DataFrame, right: DataFrame) -> DataFrame:
     """(source_uid, target_uid): equal titles at the top level, blanks and case aside."""
     t = F.lower(F.trim("title"))

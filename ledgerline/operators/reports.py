@@ -226,6 +226,29 @@ def workspace_filter(library: DataFrame, query: str = "", topic: str | None = No
     return out
 
 
+#: Identifiers of techniques and mitigations in a query, with their parts.
+THREAT_ID = r"(?i)\b[tm]\d{4}(?:\.\d{3})?\b"
+
+
+def workspace_search(library: DataFrame, queries: DataFrame, scope: DataFrame) -> DataFrame:
+    """(query_id, id): the library controls that each of ``queries(query_id, text, topic)`` finds among those with a mapping in scope.
+
+    ``library(id, topic, mappings ARRAY<STRUCT<framework_key, ...>>, threat_ids ARRAY, about)``, ``scope(framework_key)``; a null or empty topic is any. Every
+    technique or mitigation that a query names must be one of the control's, or the parent of one; every other word must stand somewhere in
+    the control's JSON, whose mappings are those in scope, or in what ``about`` says. Queries are few and counted first.
+    """
+    whole = F.struct(*[F.col(c) for c in library.columns if c != "mappings"])
+    inside = library.select("id", F.posexplode("mappings").alias("i", "m")).join(scope.select(F.col("framework_key").alias("__f")).distinct(), F.col("m.framework_key") == F.col("__f"), "left_semi")
+    kept = inside.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.to_json("m").alias("j")))), lambda x: x["j"]).alias("kept"))
+    hay = library.join(kept, "id").select("id", F.col("topic").alias("__topic"), "threat_ids", F.lower(F.concat_ws(" ", F.to_json(whole), F.array_join("kept", " "))).alias("hay"))
+    asked = queries.select(
+        "query_id", "topic", F.transform(F.regexp_extract_all("text", F.lit(f"({THREAT_ID})")), F.upper).alias("ids"), F.regexp_extract_all(F.lower(F.regexp_replace("text", THREAT_ID, "")), F.lit(r"(?U)(\w+)")).alias("words")
+    )
+    met = hay.join(if_small(asked), F.coalesce(F.nullif("topic", F.lit("")), "__topic").eqNullSafe(F.col("__topic")))
+    one = lambda i: F.exists("threat_ids", lambda k: (F.upper(k) == i) | F.startswith(F.upper(k), F.concat(i, F.lit("."))))
+    return met.where(F.forall("ids", lambda i: F.coalesce(one(i), F.lit(False))) & F.forall("words", lambda w: F.contains("hay", w))).select("query_id", "id")
+
+
 def mapping_inventory(sheet: DataFrame, columns: list[str], priorities: DataFrame) -> DataFrame:
     """(column, mapped, priority): filled cells of each mapping column."""
     filled = [F.sum(F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) != "", 1).otherwise(0)).alias(c) for c in columns]

@@ -11,7 +11,7 @@ from ledgerline.operators import reports as R
 from ledgerline.operators import thresholds as T
 from ledgerline.plans.graph_queries import _REL
 from ledgerline.plans.report_queries import _E, _entries
-from ledgerline.sources import catalog, provisions, texts
+from ledgerline.sources import catalog, hierarchies, provisions, texts
 from ledgerline.sources.provisions import Style
 
 _V = "varchar(20)"
@@ -173,9 +173,81 @@ def parameter_references(spark, d):
     return R.parameter_reference_check(calls, references)
 
 
+_GROUPED = f"""select concat('g', cast(l_suppkey % 4 as {_V})) as framework_key, case when l_suppkey % 5 = 0 then '' else concat('V', cast(l_suppkey % 5 as {_V})) end as group_key, case when k % 3 = 0 then ' ' else cast(k % 3 as {_V}) end as section_number,
+  concat('About ', cast(p as {_V})) as section_title, case k when 0 then 'Must' when 1 then ' should not ' when 2 then '' when 3 then 'may' else 'never' end as keyword, case when p % 9 = 0 then ' ' else concat('Do ', cast(p as {_V})) end as text, p, l_orderkey * 10 + l_linenumber as load_seq
+  from (select l_orderkey, l_linenumber, min(l_suppkey) as l_suppkey, min(l_partkey) as p, l_linenumber % 5 as k from lineitem group by l_orderkey, l_linenumber) as b"""
+
+
+def statement_controls(spark, d):
+    rows = _of(spark, d, _GROUPED, "lineitem").withColumn("parameters", F.when(F.col("p") % 2 == 0, F.array(F.lit("period"), F.concat(F.lit("p"), (F.col("p") % 3).cast("string")))))
+    groups = rows.select("framework_key", "group_key", F.concat(F.lit("Volume "), "group_key").alias("title")).distinct().union(spark.createDataFrame([("none", "X", " ")], "framework_key string, group_key string, title string"))
+    controls, counts, warnings = hierarchies.statement_controls(groups, rows)
+    out = controls.withColumn("parameters", F.array_join("parameters", "|")).withColumn("depth", F.col("depth").cast("long"))
+    rest = [F.lit(None)] * 6
+    out = out.select("framework_key", "identifier", "title", "depth", "parent", "section_ref", "text", "obligation", "keyword", "parameters", "structural")
+    out = out.union(counts.select("framework_key", "name", "kind", "n", *rest, F.lit(None)))
+    return out.union(warnings.select("framework_key", "warning", F.lit("warning"), F.lit(None), *rest, F.lit(None)))
+
+
+_PRACTICED = f"""select concat('m', cast(p_size % 2 as {_V})) as framework_key, concat('D', cast(p_partkey % 5 as {_V})) as domain, p_partkey % 3 as objective_number, concat('Aim ', p_brand) as objective, concat('D', cast(p_partkey % 5 as {_V}), '-', cast(p_partkey % 3 as {_V}), cast(p_partkey % 400 as {_V})) as identifier, p_name as text, p_size % 4 as mil, p_partkey as load_seq from part"""
+
+
+def practice_hierarchy(spark, d):
+    rows = _of(spark, d, _PRACTICED, "part")
+    stated = spark.createDataFrame([("m0", 7), ("m1", 0), ("m2", 5)], "framework_key string, stated long")
+    controls, warnings = hierarchies.practice_controls(rows, stated)
+    out = controls.select("framework_key", "identifier", "title", F.col("depth").cast("long").alias("depth"), "parent", "section_ref", "text", "level", "structural")
+    return out.union(warnings.select("framework_key", F.lit("warning"), F.regexp_replace("warning", r"\d+ of", "some of"), *[F.lit(None)] * 6))
+
+
+_TARGETS = f"select concat('t', cast(p_partkey as {_V})) as uid, concat('Guide > ', p_brand, ' > ', p_type) as section_ref, p_name as text from part"
+_ALIASES = [("Brand x", ["brand#11", "brand#22"], ["a"], []), ("Brand y", ["Brand#33"], [], ["e", "zz"]), ("Brand z", ["brand#44"], [], [])]
+
+
+def bridge_by_strategy(spark, d):
+    """Suppliers name strategies: brands that are headings, others that an alias reads, others that nothing does."""
+    aliases = spark.createDataFrame(_ALIASES, "strategy string, sections array<string>, requires array<string>, excludes array<string>")
+    k = F.col("s_suppkey")
+    named = F.when(k % 7 == 0, F.lit(" BRAND X ")).when(k % 7 == 1, "brand Y").when(k % 7 == 2, F.concat(F.lit("Nothing "), (k % 3).cast("string"))).when(k % 7 == 3, "Brand z").otherwise(F.concat(F.lit("brand#"), (1 + k % 5).cast("string"), (1 + k % 4).cast("string")))
+    links, unmatched = G.bridge_by_strategy(frame(spark, d, "supplier").select(F.concat(F.lit("s"), k.cast("string")).alias("uid"), named.alias("strategy")), _of(spark, d, _TARGETS, "part"), aliases)
+    return links.select("source_uid", "target_uid", "provenance", "strategy", "section").union(unmatched.select(F.lit(None), F.lit(None), F.lit("unmatched"), "strategy", F.lit(None)))
+
+
+_ASKED = [("q1", "T1003 steel", None), ("q2", "t1003.001", ""), ("q3", "M1004 T1005", None), ("q4", "BRASS", "Brand#11"), ("q5", "no_such_word", None), ("q6", "f2", None), ("q7", "", "Brand#23")]
+
+
+def workspace_search(spark, d):
+    """Parts as library controls, mapped to two frameworks each, of which some are in scope; their techniques have parts."""
+    k = F.col("p_partkey")
+    mapping = lambda n: F.struct(F.concat(F.lit("f"), ((k + n) % 6).cast("string")).alias("framework_key"), F.concat(F.lit("u"), (k + n).cast("string")).alias("uid"))
+    code = lambda letter, n: F.concat(F.lit(f"{letter}100"), ((k + n) % 9).cast("string"))
+    ids = F.array(F.when(k % 2 == 0, F.concat(code("T", 0), F.lit(".001"))).otherwise(code("T", 0)), code("M", 1))
+    library = frame(spark, d, "part").select(k.cast("string").alias("id"), F.col("p_brand").alias("topic"), F.array(mapping(0), mapping(1)).alias("mappings"), ids.alias("threat_ids"), F.col("p_type").alias("about"))
+    return R.workspace_search(library, spark.createDataFrame(_ASKED, "query_id string, text string, topic string"), spark.createDataFrame([("f0",), ("f1",), ("f2",)], "framework_key string"))
+
+
+def threat_lookups(spark, d):
+    """Techniques of some mitigations, mitigations of some techniques, and citable links of some controls."""
+    edges = frame(spark, d, "lineitem").select(F.col("l_partkey").alias("mitigation_id"), F.col("l_suppkey").alias("technique_id"))
+    techniques, mitigations = frame(spark, d, "supplier").where("s_suppkey % 3 > 0").select(F.col("s_suppkey").alias("technique_id"), "s_name"), frame(spark, d, "part").where("p_size > 9").select(F.col("p_partkey").alias("mitigation_id"), "p_name")
+    row = lambda df, what, a, b, c: df.select(F.lit(what).alias("what"), F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"), F.col(c).cast("string").alias("c"))
+    out = row(C.techniques_for(mitigations.where("mitigation_id % 4 = 0"), edges, techniques), "technique", "mitigation_id", "technique_id", "s_name")
+    out = out.union(row(C.mitigations_for(techniques.where("technique_id % 4 = 1"), edges, mitigations), "mitigation", "technique_id", "mitigation_id", "p_name"))
+    links = frame(spark, d, "links")
+    return out.union(row(C.links_from(links, links.where("load_seq % 17 = 0").select(F.col("source_uid").alias("uid")), "published"), "link", "source_uid", "target_uid", "load_seq"))
+
+
+def broad_controls(spark, d):
+    """Uids of detailed rows and the broad row that each belongs to."""
+    uid = F.concat(F.lit("E8:ML"), (F.col("p_size") % 5).cast("string"), F.lit("-"), F.substring("p_name", 1, 2), F.lit("-"), F.col("p_partkey").cast("string"))
+    rows = frame(spark, d, "part").select(uid.alias("uid"))
+    return rows.select("uid", C.broad_uid(F.col("uid"), r"e8:ml[123]-([a-z]+)-\d+", {"bl": "S01", "al": "S02", "st": "S03", "pa": "S04"}, "broad").alias("broad_uid"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (provision_levels, labelled_records, table_row_controls, catalog_controls, topic_report, topic_families, topic_samples, topic_ratings, load_summary, source_audit, lineage, stated_thresholds, threat_graph, markdown_policy_blocks, parameter_references)
+    for f in (provision_levels, labelled_records, table_row_controls, catalog_controls, topic_report, topic_families, topic_samples, topic_ratings, load_summary, source_audit, lineage, stated_thresholds, threat_graph, markdown_policy_blocks, parameter_references,
+        statement_controls, practice_hierarchy, bridge_by_strategy, workspace_search, threat_lookups, broad_controls)
 }
 
 _CODES = ", ".join(f"('{c}', '{t}', '{p}')" for c, t, p in _TOPICS)
@@ -244,4 +316,35 @@ ORACLES = {
     "parameter_references": """with p as (select p_partkey::varchar as command, unnest(string_split(lower(p_type), ' ')) as parameter, lower(p_name || case p_size % 3 when 1 then ' -' || replace(p_type, ' ', ' -') when 2 then ' -' || p_type else '' end) as t from part)
         select command, parameter from p where not contains(t, '-' || parameter)""",
     "markdown_policy_blocks": "select p_partkey % 50 as doc, 'ID-' || p_partkey as identifier, p_name || ' ' || p_type as statement from part",
+    "statement_controls": f"""with r as (select framework_key, group_key, trim(section_number) as num, section_title, upper(trim(keyword)) as kw, trim(text) as text, p, load_seq from ({_GROUPED})), gr as (select distinct framework_key, group_key, 'Volume ' || group_key as gt from r),
+      t as (select r.*, trim(gt) as gt, case when group_key <> '' then group_key || ' §' || num else num end as sec from r join gr using (framework_key, group_key) where text <> ''),
+      n as (select *, row_number() over (partition by framework_key, sec order by load_seq) as nth from t)
+      select framework_key, group_key as identifier, trim(gt) as title, 0::bigint as depth, null as parent, null as section_ref, '' as text, 'informative' as obligation, null as keyword, '' as parameters, true as structural from gr where group_key <> ''
+      union all select 'none', 'X', null, 0, null, null, '', 'informative', null, '', true
+      union all select framework_key, sec, arg_min(section_title, load_seq), 1, nullif(any_value(group_key), ''), any_value(gt), '', 'informative', null, '', true from t where num <> '' group by framework_key, sec
+      union all select framework_key, sec || '#' || nth, null, 2, case when num <> '' then sec end, case when num <> '' then group_key || ' §' || num || ' ' || section_title else gt end, text,
+        case kw when 'MUST' then 'mandatory' when 'SHOULD NOT' then 'recommended' when 'MAY' then 'permitted' else 'unknown' end, nullif(kw, ''), case when p % 2 = 0 then 'period|p' || p % 3 else '' end, false from n
+      union all select framework_key, case kw when '' then 'none' else kw end, 'keyword', count(*), null, null, null, null, null, null, null from t group by 1, 2
+      union all select framework_key, q, 'parameter', count(*), null, null, null, null, null, null, null from (select framework_key, unnest(['period', 'p' || p % 3]) as q from t where p % 2 = 0) group by 1, 2
+      union all select 'none', 'no statements', 'warning', null, null, null, null, null, null, null, null""",
+    "practice_hierarchy": f"""with p as (select *, domain || '-' || objective_number as code from ({_PRACTICED})), f as (select * from p qualify row_number() over (partition by framework_key, identifier order by load_seq) = 1)
+      select distinct framework_key, domain as identifier, domain as title, 0::bigint as depth, null as parent, null as section_ref, '' as text, null as level, true as structural from p
+      union all select framework_key, code, arg_min(objective, load_seq), 1, any_value(domain), any_value(domain), '', null, true from p group by framework_key, code
+      union all select framework_key, identifier, null, 2, code, domain || ' ' || objective, text, case when mil > 0 then 'MIL' || mil end, false from f
+      union all select 'm0', 'warning', 'practices: some of 7', null, null, null, null, null, null union all select 'm2', 'warning', 'no practices', null, null, null, null, null, null""",
+    "bridge_by_strategy": f"""with m as (select 's' || s_suppkey as uid, case s_suppkey % 7 when 0 then 'BRAND X' when 1 then 'brand Y' when 2 then 'Nothing ' || s_suppkey % 3 when 3 then 'Brand z' else 'brand#' || (1 + s_suppkey % 5) || (1 + s_suppkey % 4) end as strategy from supplier),
+      t as (select uid, text, lower(trim(s)) as section from (select uid, text, unnest(string_split(section_ref, '>')) as s from ({_TARGETS}))),
+      d as (select m.uid as source_uid, t.uid as target_uid, 'published-tag' as provenance, strategy, section from m join t on section = lower(strategy)), o as (select * from m where lower(strategy) not in (select section from t)),
+      a as (select * from (values ('brand x', 'brand#11'), ('brand x', 'brand#22'), ('brand y', 'brand#33'), ('brand z', 'brand#44')) v(name, section)),
+      r as (select o.uid as source_uid, t.uid as target_uid, 'derived' as provenance, strategy, section from o join a on name = lower(strategy) join t using (section) where (name <> 'brand x' or contains(lower(text), 'a')) and (name <> 'brand y' or not (contains(lower(text), 'e') or contains(lower(text), 'zz'))))
+      select * from d union all select * from r union all select distinct null, null, 'unmatched', strategy, null from o where lower(strategy) not in (select name from a)""",
+    "workspace_search": """with l as (select p_partkey as k, p_brand, lower(p_type) as about, p_partkey % 6 as f1, (p_partkey + 1) % 6 as f2, 'T100' || p_partkey % 9 as t, 'M100' || (p_partkey + 1) % 9 as m from part), s as (select * from l where f1 < 3 or f2 < 3)
+      select 'q1' as query_id, k::varchar as id from s where t = 'T1003' and contains(about, 'steel') union all select 'q2', k::varchar from s where t = 'T1003' and k % 2 = 0 union all select 'q3', k::varchar from s where t = 'T1005' and m = 'M1004'
+      union all select 'q4', k::varchar from s where p_brand = 'Brand#11' and contains(about, 'brass') union all select 'q6', k::varchar from s where 2 in (f1, f2) union all select 'q7', k::varchar from s where p_brand = 'Brand#23'""",
+    "threat_lookups": f"""with e as (select distinct l_partkey as m, l_suppkey as t from lineitem), l as ({text_of("links")})
+      select 'technique' as what, m::varchar as a, t::varchar as b, s_name as c from e join supplier on s_suppkey = t join part on p_partkey = m where t % 3 > 0 and p_size > 9 and m % 4 = 0
+      union all select 'mitigation', t::varchar, m::varchar, p_name from e join part on p_partkey = m join supplier on s_suppkey = t where p_size > 9 and t % 4 = 1 and t % 3 > 0
+      union all select 'link', source_uid, target_uid, load_seq::varchar from l where provenance = 'published' and source_uid in (select source_uid from l where load_seq % 17 = 0)""",
+    "broad_controls": """with u as (select 'E8:ML' || p_size % 5 || '-' || substr(p_name, 1, 2) || '-' || p_partkey as uid from part)
+      select uid, 'broad:' || case when regexp_matches(lower(uid), '^e8:ml[123]-[a-z]+-[0-9]+$') then case split_part(lower(uid), '-', 2) when 'bl' then 'S01' when 'al' then 'S02' when 'st' then 'S03' when 'pa' then 'S04' end end as broad_uid from u""",
 }
