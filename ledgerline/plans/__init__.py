@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["search_queries", "corpus_queries", "graph_queries", "analysis_queries", "report_queries", "vocabulary_queries", "extract_queries", "assembly_queries", "catalog_queries", "table_queries", "document_queries"]
+MODULES = ["search_queries", "corpus_queries", "graph_queries", "analysis_queries", "report_queries", "vocabulary_queries", "extract_queries", "assembly_queries", "catalog_queries", "table_queries", "document_queries", "row_queries"]
 
 
 def _merged(name: str) -> dict:
