@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import rules
-from ledgerline.operators.common import if_small, materialise
+from ledgerline.operators.common import if_small, materialise, phrases_said
 
 # Least counts of the frequency bands 5 to 1.
 BANDS = [(200, 5), (100, 4), (50, 3), (20, 2), (0, 1)]
@@ -93,7 +93,7 @@ def containment_check(texts: DataFrame, renditions: DataFrame) -> DataFrame:
 
     A rendition is cut into blocks of ``BLOCK`` letters; a text of twice as many that stands in it holds one of its blocks whole, at one of the
     text's first ``BLOCK`` places. So blocks are joined on equality, and only pairs that share one are compared. Texts too short for
-    that, headings mostly, are looked for in every rendition.
+    that, headings mostly, are looked for all at once (``phrases_said``).
     """
     a = texts.select("uid", squash(F.col("text")).alias("needle")).where("needle <> ''")
     b = materialise(renditions.select(F.monotonically_increasing_id().alias("__r"), squash(F.col("text")).alias("hay")))
@@ -105,7 +105,8 @@ def containment_check(texts: DataFrame, renditions: DataFrame) -> DataFrame:
     short = a.where(F.length("needle") < 2 * BLOCK - 1)
     found = pairs.where(F.contains("hay", "needle")).select("uid")
     if not short.isEmpty():
-        found = found.union(b.join(short, F.contains("hay", "needle")).select("uid"))
+        said = phrases_said(b.select("__r", F.col("hay").alias("text")), short.select(F.col("needle").alias("phrase")), "__r")
+        found = found.union(said.join(short.withColumnRenamed("needle", "phrase"), "phrase").select("uid"))
     hit = found.groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
     return texts.select("uid").join(hit, "uid", "left").select("uid", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -132,8 +133,9 @@ def roundtrip_verify(texts: DataFrame, documents: DataFrame, sources: DataFrame
     The walk begins at the rarest word 4-grams that text and document share (``anchors`` of them, the first ``places`` places of each) and goes
     both ways; between two words the document may have up to ``skip`` others, and a word that isn't found is passed over. Coverage is the best share
     of words over all anchors and documents. ``sources(uid, doc_id)`` names the documents of a text; without it every document that shares a
-    gram is tried. Grams are joined on equality; a pair of text and document is walked by itself. Texts of fewer than ``width`` words,
-    headings mostly, are looked for whole in each document.
+    gram is tried. Grams are joined on equality; a pair of text and document is walked by itself, and only the words around its anchors
+    that a walk can reach are sent to it, so a long document is never copied to a pair. Texts of fewer than ``width`` words, headings mostly,
+    are looked for whole in each document, all at once (``phrases_said``).
     """
     import pandas as pd
 
@@ -151,7 +153,17 @@ def roundtrip_verify(texts: DataFrame, documents: DataFrame, sources: DataFrame
     met = asked.join(told, "gram") if sources is None else asked.join(sources, "uid").join(told, ["doc_id", "gram"])
     rare = F.row_number().over(Window.partitionBy("uid", "piece", "doc_id").orderBy("n", "offset"))
     met = met.withColumn("__n", rare).where(F.col("__n") <= anchors).groupBy("uid", "piece", "doc_id").agg(F.collect_list(F.struct("offset", "at")).alias("starts"))
-    both = met.join(long, ["uid", "piece"]).join(docs, "doc_id").select("uid", "piece", "needle", "hay", "starts")
+    both = met.join(long, ["uid", "piece"]).join(docs.select("doc_id", words(F.col("hay")).alias("w")), "doc_id")
+    # a walk from a place can reach so many words to each side of it: only these go on, not the document
+    reach = skip + 1
+
+    def window(s: Column, at: Column) -> Column:
+        first = F.greatest(F.lit(0), at - s["offset"] * reach)
+        end = F.least(F.size("w"), at + (F.size("needle") - s["offset"]) * reach)
+        return F.struct(s["offset"].alias("offset"), (at - first).alias("at"), F.slice("w", first + 1, end - first).alias("hay"))
+
+    tried = F.flatten(F.transform("starts", lambda s: F.transform(s["at"], lambda at: window(s, at))))
+    both = both.select("uid", "piece", "needle", tried.alias("tried"))
 
     def along(needle: list[str], hay: list[str], at: int, step: int) -> int:
         got = 0
@@ -163,9 +175,9 @@ def roundtrip_verify(texts: DataFrame, documents: DataFrame, sources: DataFrame
     def walk(batches):
         for pdf in batches:
             shares = []
-            for needle, hay, starts in zip(pdf["needle"], pdf["hay"], pdf["starts"]):
-                needle, hay = list(needle), hay.split()
-                found = (along(needle[s["offset"] :], hay, p, 1) + along(needle[: s["offset"]][::-1], hay, p - 1, -1) for s in starts for p in s["at"])
+            for needle, tried in zip(pdf["needle"], pdf["tried"]):
+                needle = list(needle)
+                found = (along(needle[t["offset"] :], t["hay"], t["at"], 1) + along(needle[: t["offset"]][::-1], t["hay"], t["at"] - 1, -1) for t in tried)
                 shares.append(max(found) / len(needle))
             yield pd.DataFrame({"uid": pdf["uid"], "piece": pdf["piece"], "share": shares})
 
@@ -186,7 +198,8 @@ def roundtrip_verify(texts: DataFrame, documents: DataFrame, sources: DataFrame
     if brief.isEmpty():
         return out
     look = brief.where("n > 0")
-    hits = docs.join(look, F.contains("hay", "said")).select("uid").distinct() if sources is None else look.join(sources, "uid").join(docs, "doc_id").where(F.contains("hay", "said")).select("uid").distinct()
+    anywhere = phrases_said(docs.select("doc_id", F.col("hay").alias("text")), look.select(F.col("said").alias("phrase")), "doc_id").select(F.col("phrase").alias("said")).distinct() if sources is None else None
+    hits = look.join(anywhere, "said").select("uid").distinct() if sources is None else look.join(sources, "uid").join(docs, "doc_id").where(F.contains("hay", "said")).select("uid").distinct()
     brief = brief.join(hits.withColumn("__hit", F.lit(True)), "uid", "left")
     verdict = F.when(F.col("n") == 0, "empty").when(F.col("__hit"), "verbatim").otherwise("absent")
     return out.union(brief.select("uid", verdict, F.when(F.col("__hit") | (F.col("n") == 0), 1.0).otherwise(0.0)))
