@@ -71,12 +71,12 @@ def topic_report(entries: DataFrame, topics: list[tuple[str, str, str]], known:
     per = materialise(hits.groupBy("code", "family").agg(F.count(F.lit(1)).alias("n")))
     totals = entries.groupBy("family").agg(F.count(F.lit(1)).alias("total"))
     shares = per.join(totals, "family").groupBy("code").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("families"), F.sum(F.col("n") / F.col("total")).alias("shares"))
-    # a family without hits adds nothing to the sum of shares, but counts in their mean
+    # rounded twice, so that the order of a sum doesn't turn a half; a family without hits adds nothing to the sum of shares, but counts in their mean
     out = names.join(shares, "code", "left").join(F.broadcast(totals.agg(F.count(F.lit(1)).alias("all"))))  # one row
     band = F.lit(1)
     for least, score in reversed(BANDS):
         band = F.when(F.col("n") >= least, score).otherwise(band)
-    out = out.fillna(0, ["n", "families", "shares"]).withColumn("band", band.cast("long")).withColumn("mean_share", F.round(F.coalesce(F.col("shares") / F.nullif("all", F.lit(0)), F.lit(0.0)) * 100, 2))
+    out = out.fillna(0, ["n", "families", "shares"]).withColumn("band", band.cast("long")).withColumn("mean_share", F.round(F.round(F.coalesce(F.col("shares") / F.nullif("all", F.lit(0)), F.lit(0.0)) * 100, 9), 2))
     rank = F.row_number().over(Window.orderBy(F.desc("n"), F.desc("families"), "topic", "code"))  # a row a topic
     out = out.select("code", "topic", "n", "families", "band", "mean_share", rank.cast("long").alias("rank"))
     first = F.row_number().over(Window.partitionBy("code").orderBy("load_seq", "uid"))

@@ -254,7 +254,7 @@ _CODES = ", ".join(f"('{c}', '{t}', '{p}')" for c, t, p in _TOPICS)
 _TOPIC = f"""{_E}, t(code, topic, pattern) as (values {_CODES}), h as (select code, e.* from e join t on regexp_matches(text, pattern)), pf as (select code, family, count(*) as n from h group by all),
   tot as (select family, count(*) as total from e group by 1), s as (select code, sum(n)::bigint as n, count(*) as families, sum(n / total) as shares from pf join tot using (family) group by 1),
   o as (select code, topic, coalesce(n, 0) as n, coalesce(families, 0) as families, case when coalesce(n, 0) >= 200 then 5 when n >= 100 then 4 when n >= 50 then 3 when n >= 20 then 2 else 1 end::bigint as band,
-    round(coalesce(shares, 0) / (select count(*) from tot) * 100, 2) as mean_share from t left join s using (code))"""
+    round(round(coalesce(shares, 0) / (select count(*) from tot) * 100, 9), 2) as mean_share from t left join s using (code))"""
 
 ORACLES = {
     "provision_levels": rf"""with b as (select * from ({_BLOCKS}) where style <> 'toc'),
