@@ -2,27 +2,32 @@
 
 Texts are lower-cased words between white space; a shingle is five of them (a shorter text is one shingle).
 
+Two weightings of the shingles are compared, each by the probability Jaccard similarity of its weights: every shingle
+weighs 1, which makes it the Jaccard similarity of the sets; and a shingle said c times weighs 1 + ln(c), so that a
+line said over and over counts for more, but doesn't drown the rest. Two texts are linked if either similarity is
+``similarity`` or more. In a text that repeats no shingle both weightings are one.
+
 1. Equal word sequences are one text: only its digest goes on, so a group of copies costs one row.
-2. ProbMinHash: every shingle, weighing 1 however often it occurs, is a Poisson process of arrivals with its weight
-   as rate, each arrival at a random slot of the signature; a slot keeps its first arrival. All processes
-   advance together to a common time, which is put off only while a slot is still empty, so most shingles stop
-   after their first arrivals. Two slots agree with the probability
-   Jaccard similarity of the shingle sets, which is the one verified.
-3. Banding: ``BANDS`` bands of ``ROWS`` slots; texts that share a band are candidates if ``NEAR`` of all slots or more agree. A bucket's
-   texts are first compared with one of them, its leader, by signature; those near it are joined through it. Only the texts that aren't are
-   compared with all others, in blocks of at most about ``BLOCK`` texts, one task for each pair of blocks. Only a spanning forest of the
+2. ProbMinHash: every shingle is a Poisson process of arrivals with its weight as rate, each arrival at a random slot of the
+   signature; a slot keeps its first arrival. All processes advance together to a common time, which is put off only while
+   a slot is still empty, so most shingles stop after their first arrivals. Two slots agree with the probability Jaccard
+   similarity of the weights. A text that repeats shingles is signed once for each weighting, any other text once.
+3. Banding: ``BANDS`` bands of ``ROWS`` slots; signatures that share a band are candidates if ``NEAR`` of all slots or more agree. A bucket's
+   signatures are first compared with one of them, its leader; those near it are joined through it. Only those that aren't are
+   compared with all others, in blocks of at most about ``BLOCK``, one task for each pair of blocks. Only a spanning forest of the
    pairs goes on. Buckets of any size are compared whole, and one that holds copies of one text costs a row a text.
 4. Verification: the forests' components are the groups inside which every link lies. Their texts are read again
-   as sets of 64-bit shingle hashes and compared exactly; pairs with a Jaccard similarity of
-   ``similarity`` or more are links. Again a group's leader comes first: texts that are linked with it are one class already and need not be
-   compared with each other; every other text is compared with all texts of the group, in blocks.
+   as 64-bit shingle hashes with their numbers, and both similarities are computed exactly. Again a group's leader comes first:
+   texts that are linked with it are one class already and need not be compared with each other; every other text is compared
+   with all texts of the group, in blocks.
 5. Components of the links are the classes; a class's id is its smallest doc_id.
 
-Similarity is that of the sets (a shingle counts once). At 0.8, 24 bands of 5 slots miss a pair with
-probability 7e-5 and the slot filter drops one with less than 1e-6; together they miss at most the sum.
+At 0.8, 24 bands of 5 slots miss a pair with probability 7e-5 and the slot filter drops one with less than 1e-6;
+together they miss at most the sum.
 
 Defined results: null texts and texts without a word are in no class but their own (each row for itself, with
-its doc_id); repeated rows are copies of each other; a null doc_id comes last in its class.
+its doc_id); repeated rows are copies of each other; a null doc_id comes last in its class. Texts are compared whole, however
+long: one takes the memory of its own shingles. An empty table gives an empty result. Of other columns none is read, whatever its name.
 """
 
 from __future__ import annotations
@@ -43,6 +48,7 @@ BANDS, ROWS = 24, 5
 SLOTS = BANDS * ROWS
 NEAR = 0.6
 BLOCK = 128
+FORMS = ["sig", "bands", "heavy_sig", "heavy_bands"]
 #: Texts that are compared with their leader in one task.
 LED = 256
 #: A worker keeps the hashes of at most so many words.
@@ -120,11 +126,44 @@ def prob_minhash(items: np.ndarray, weights: np.ndarray, texts: np.ndarray, slot
         waiting = waiting[late[texts[waiting]]]
 
 
-def signatures(texts: list[list[str]]) -> tuple[np.ndarray, list[int]]:
-    """(signatures, number of distinct shingles) of texts given as words."""
-    sets = [np.unique(shingles(words)) for words in texts]
-    sizes = [len(x) for x in sets]
-    return prob_minhash(np.concatenate(sets), np.ones(sum(sizes)), np.repeat(np.arange(len(sets)), sizes)), sizes
+def weights_of(counts: np.ndarray) -> np.ndarray:
+    return 1 + np.log(counts)
+
+
+def signatures(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Of texts given as words: signatures of the sets; signatures by weight, of the texts that repeat shingles; the numbers of these texts."""
+    found = [np.unique(shingles(words), return_counts=True) for words in texts]
+    heavy = [x for x, (_, counts) in enumerate(found) if counts.max() > 1]
+    forms = [(items, np.ones(len(items))) for items, _ in found] + [(found[x][0], weights_of(found[x][1])) for x in heavy]
+    items, weights = (np.concatenate(c) for c in zip(*forms))
+    made = prob_minhash(items, weights, np.repeat(np.arange(len(forms)), [len(x) for x, _ in forms]))
+    return made[: len(texts)], made[len(texts) :], heavy
+
+
+def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
+    """Of two weighted sets, items ``a`` with weights ``x`` and ``b`` with ``y``: the sum over common i of 1 / sum over j of max(x_j / x_i, y_j / y_i)."""
+    _, p, q = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    only_x, only_y = x.sum() - x[p].sum(), y.sum() - y[q].sum()
+    x, y = x[p], y[q]
+    # for an i the first ratio is the larger one just where x_j / y_j is at least x_i / y_i
+    order = np.argsort(x / y, kind="stable")
+    x, y = x[order], y[order]
+    above, below = x[::-1].cumsum()[::-1], y.cumsum() - y
+    return float((1 / ((above + only_x) / x + (below + only_y) / y)).sum())
+
+
+def similar(a: np.ndarray, m: np.ndarray | None, b: np.ndarray, n: np.ndarray | None, similarity: float) -> bool:
+    """Whether two texts are linked: sorted shingle hashes ``a`` and ``b`` with their numbers, which are null where all are 1."""
+    common = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    if common >= similarity * (len(a) + len(b) - common) - 1e-9:
+        return True
+    if m is None and n is None:
+        return False
+    return probability_jaccard(a, weights_or_ones(a, m), b, weights_or_ones(b, n)) >= similarity - 1e-9
+
+
+def weights_or_ones(items: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
+    return np.ones(len(items)) if counts is None else weights_of(counts)
 
 
 def digest(words: list[str]) -> bytes:
@@ -132,32 +171,39 @@ def digest(words: list[str]) -> bytes:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, n, sig, bands) of every row; digest is null for a text without a word. One byte of a slot is kept for comparing."""
+    """(doc_id, digest, sig, bands, heavy_sig, heavy_bands) of every row; digest is null for a text without a word, the last two
+    are null for a text that repeats no shingle. One byte of a slot is kept for comparing.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band = np.arange(BANDS, dtype=np.uint64) * _C[2]
+
+        def packed(sigs: np.ndarray) -> list[tuple[bytes, np.ndarray]]:
+            h = np.tile(band, (len(sigs), 1))
+            for r in range(ROWS):
+                h = mix64(h * _C[3] + sigs[:, r::ROWS])
+            return [(s.tobytes(), x) for s, x in zip((sigs & np.uint64(255)).astype(np.uint8), h.view(np.int64))]
+
         for whole in batches:
             texts = whole.column(1).to_pylist()
             for a, b in blocks(texts, TOGETHER):
                 words = [(t or "").lower().split() for t in texts[a:b]]
                 keys = [digest(w) if w else None for w in words]
                 distinct = {k: w for k, w in zip(keys, words) if k is not None}
-                made: dict[bytes | None, tuple] = {None: (None, None, None)}
+                made: dict[bytes | None, tuple] = {None: (None, None, None, None)}
                 if distinct:
-                    sigs, sizes = signatures(list(distinct.values()))
-                    h = np.tile(band, (len(sigs), 1))
-                    for r in range(ROWS):
-                        h = mix64(h * _C[3] + sigs[:, r::ROWS])
-                    small = (sigs & np.uint64(255)).astype(np.uint8)
-                    made.update({k: (n, small[x].tobytes(), h[x].view(np.int64)) for x, (k, n) in enumerate(zip(distinct, sizes))})
-                n, s, bands = zip(*[made[k] for k in keys])
+                    plain, weighted, heavy = signatures(list(distinct.values()))
+                    beside = dict(zip(heavy, packed(weighted)))
+                    made.update({k: (*form, *beside.get(x, (None, None))) for x, (k, form) in enumerate(zip(distinct, packed(plain)))})
+                s, bands, hs, hbands = zip(*[made[k] for k in keys])
+                many = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [whole.column(0).slice(a, b - a), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(s, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    ["doc_id", "digest", "n", "sig", "bands"],
+                    [whole.column(0).slice(a, b - a), pa.array(keys, pa.binary()), pa.array(s, pa.binary()), pa.array(bands, many), pa.array(hs, pa.binary()), pa.array(hbands, many)],
+                    ["doc_id", "digest", *FORMS],
                 )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, digest binary, n long, sig binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, digest binary, sig binary, bands array<long>, heavy_sig binary, heavy_bands array<long>")
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -240,62 +286,63 @@ def sorted_groups(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
 
 
-def _agreeing(sig: np.ndarray, n: np.ndarray, x: int, rest: np.ndarray, near: float, similarity: float) -> np.ndarray:
-    """Which of ``rest`` may be similar to ``x`` by size and by the slots that agree."""
-    rest = rest[(n[rest] >= similarity * n[x]) & (n[x] >= similarity * n[rest])]
-    return rest[(sig[rest] == sig[x]).sum(axis=1) >= near * sig.shape[1]] if len(rest) else rest
-
-
-def _signed(g: pa.Table | pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def _signed(g: pa.Table | pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
     ids = g.column("digest").to_pylist()
-    return ids, g.column("n").to_numpy(), np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+    return ids, np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
 
 
-def candidates(texts: DataFrame, near: float = NEAR, similarity: float = 0.8) -> DataFrame:
-    """Edges (a, b) between digests of ``texts(digest, n, sig, bands)``: forests of the pairs that agree nearly enough."""
-    members = texts.select("digest", "n", "sig", F.explode("bands").alias("bucket")).withColumn("turn", F.xxhash64(F.lit("leader"), "digest"))
+def candidates(texts: DataFrame, near: float = NEAR) -> DataFrame:
+    """Edges (a, b) between digests of ``texts(digest, sig, bands, heavy_sig, heavy_bands)``: forests of the pairs of which a signature agrees nearly enough."""
+    # a signature goes by its text's digest and a byte for the weighting
+    plain = F.struct(F.concat("digest", F.unhex(F.lit("00"))).alias("digest"), "sig", "bands")
+    heavy = F.struct(F.concat("digest", F.unhex(F.lit("01"))).alias("digest"), F.col("heavy_sig").alias("sig"), F.col("heavy_bands").alias("bands"))
+    signed = texts.select(F.inline(F.when(F.col("heavy_sig").isNull(), F.array(plain)).otherwise(F.array(plain, heavy))))
+    members = signed.select("digest", "sig", F.explode("bands").alias("bucket")).withColumn("turn", F.xxhash64(F.lit("leader"), "digest"))
     size = members.groupBy(F.col("bucket").alias("__bucket")).agg(F.count(F.lit(1)).alias("members"), F.min("turn").alias("__turn")).where("members > 1")
-    members = members.join(size, F.col("bucket") == F.col("__bucket")).select("bucket", "members", "digest", "n", "sig", (F.col("turn") == F.col("__turn")).alias("first"))
-    dealt = sorted_groups(led(members, "bucket", "members", F.col("first")).select("bucket", "part", "last", "digest", "n", "sig"), ["bucket", "part"], ["last", "digest"])
+    members = members.join(size, F.col("bucket") == F.col("__bucket")).select("bucket", "members", "digest", "sig", (F.col("turn") == F.col("__turn")).alias("first"))
+    dealt = sorted_groups(led(members, "bucket", "members", F.col("first")).select("bucket", "part", "last", "digest", "sig"), ["bucket", "part"], ["last", "digest"])
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, leader = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, n, sig = _signed(batch)
+            ids, sig = _signed(batch)
             bucket, part = batch.column("bucket").to_numpy(), batch.column("part").to_numpy()
             change = np.flatnonzero((bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])) + 1
             leaders: list[bytes | None] = [None] * len(ids)
             told = np.ones(len(ids), bool)
             for a, b in zip([0, *change.tolist()], [*change.tolist(), len(ids)]):
                 if (bucket[a], part[a]) != held:
-                    held, leader = (bucket[a], part[a]), (ids[a], n[a], sig[a])
+                    held, leader = (bucket[a], part[a]), (ids[a], sig[a])
                     told[a] = part[a] == 0  # the leader is told of once
-                key, size, own = leader
-                ok = (n[a:b] >= similarity * size) & (size >= similarity * n[a:b]) & ((sig[a:b] == own).sum(axis=1) >= near * len(own))
+                key, own = leader
+                ok = (sig[a:b] == own).sum(axis=1) >= near * len(own)
                 for x in np.flatnonzero(ok).tolist():
                     leaders[a + x] = key
-            made = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("bucket", "digest", "n", "sig")), pa.array(leaders, pa.binary())], ["bucket", "digest", "n", "sig", "leader"])
+            made = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("bucket", "digest", "sig")), pa.array(leaders, pa.binary())], ["bucket", "digest", "sig", "leader"])
             yield made.filter(pa.array(told))
 
-    told = materialise(dealt.mapInArrow(follow, "bucket long, digest binary, n long, sig binary, leader binary"))
+    told = materialise(dealt.mapInArrow(follow, "bucket long, digest binary, sig binary, leader binary"))
     starry = told.where("leader is not null and leader <> digest").select(F.least("leader", "digest").alias("a"), F.greatest("leader", "digest").alias("b"))
-    rest = rest_blocked(told.select("bucket", "digest", "n", "sig", F.col("leader").isNotNull().alias("near")), "bucket", BLOCK)
-    sent = sorted_groups(rest.select("bucket", "i", "j", "own", "digest", "n", "sig"), ["bucket", "i", "j"], [])
+    rest = rest_blocked(told.select("bucket", "digest", "sig", F.col("leader").isNotNull().alias("near")), "bucket", BLOCK)
+    sent = sorted_groups(rest.select("bucket", "i", "j", "own", "digest", "sig"), ["bucket", "i", "j"], [])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[bytes, bytes]] = []
         done: set[tuple[bytes, bytes]] = set()
         for g in in_groups(batches, 3):
-            ids, n, sig = _signed(g)
+            ids, sig = _signed(g)
             own = g.column("own").to_numpy()
             i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
             left = np.flatnonzero(own == i)
             right = left if i == j else np.flatnonzero(own == j)
             if not len(left) or not len(right):
                 continue
-            found = [(x, _agreeing(sig, n, x, right[right > x] if i == j else right, near, similarity)) for x in left.tolist()]
+            found = []
+            for x in left.tolist():
+                others = right[right > x] if i == j else right
+                found.append((x, others[(sig[others] == sig[x]).sum(axis=1) >= near * sig.shape[1]]))
             for x, y in forest(len(ids), np.repeat([x for x, _ in found], [len(y) for _, y in found]), np.concatenate([y for _, y in found])):
                 e = (min(ids[x], ids[y]), max(ids[x], ids[y]))
                 if e not in done:
@@ -306,11 +353,12 @@ def candidates(texts: DataFrame, near: float = NEAR, similarity: float = 0.8) ->
                 out, done = [], set()
         yield _emit(out)
 
-    return starry.union(sent.mapInArrow(compare, "a binary, b binary")).distinct()
+    edges = starry.union(sent.mapInArrow(compare, "a binary, b binary"))
+    return edges.select(F.substring("a", 1, 16).alias("a"), F.substring("b", 1, 16).alias("b")).where("a <> b").distinct()
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(digest, set) of the distinct texts of ``docs(text)``: sorted 64-bit hashes as bytes."""
+    """(digest, set, counts) of the distinct texts of ``docs(text)``: sorted 64-bit hashes and their numbers (null if all are 1) as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -319,21 +367,34 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 for text in whole.column(0).slice(at, 200).to_pylist():
                     words = (text or "").lower().split()
                     if words:
-                        rows.append((digest(words), np.unique(shingles(words)).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.binary()), pa.array([s for _, s in rows], pa.binary())], ["digest", "set"])
+                        items, counts = np.unique(shingles(words), return_counts=True)
+                        rows.append((digest(words), items.tobytes(), counts.astype(np.uint32).tobytes() if counts.max() > 1 else None))
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.binary()) for c in range(3)], ["digest", "set", "counts"])
 
-    return docs.select("text").mapInArrow(run, "digest binary, set binary")
+    return docs.select("text").mapInArrow(run, "digest binary, set binary, counts binary")
 
 
-def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float, piece: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (of left, of right) whose Jaccard similarity is at least that, counted exactly, a bounded part of the shingles at a time."""
+def _unpacked(g: pa.Table | pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray | None]]:
+    sets = [np.frombuffer(s, np.uint64) for s in g.column("set").to_pylist()]
+    return sets, [None if c is None else np.frombuffer(c, np.uint32) for c in g.column("counts").to_pylist()]
+
+
+def similar_pairs(sets: list[np.ndarray], counts: list[np.ndarray | None], left: np.ndarray, right: np.ndarray, similarity: float, piece: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (of left, of right) that are linked, counted exactly, a bounded part of the shingles at a time.
+
+    A probability Jaccard similarity is at most the share of either side's weight that lies on common shingles; only pairs
+    whose shares allow it get the exact sum.
+    """
     size = np.array([len(s) for s in sets])
+    heavy = np.array([c is not None for c in counts])
+    weights = [weights_or_ones(s, c) for s, c in zip(sets, counts)] if heavy.any() else []
     items, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     who = np.repeat(np.arange(len(sets)), size)
     shared = count[inverse] > 1
+    weight = np.concatenate(weights)[shared].astype(np.float32) if weights else None
     who, inverse = who[shared], inverse[shared]
     _, inverse = np.unique(inverse, return_inverse=True)
-    common = np.zeros((len(left), len(right)), np.float32)
+    common, of_left, of_right = (np.zeros((len(left), len(right)), np.float32) for _ in range(3))
     width = max(1, piece // (len(left) + len(right)))
     at = np.full(len(sets), -1)
     at[left] = np.arange(len(left))
@@ -348,16 +409,32 @@ def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, s
         x[at[w[at[w] >= 0]], c[at[w] >= 0]] = 1
         y[to[w[to[w] >= 0]], c[to[w] >= 0]] = 1
         common += x @ y.T
+        if weight is not None:
+            v = weight[order[s:e]]
+            wx, wy = np.zeros_like(x), np.zeros_like(y)
+            wx[at[w[at[w] >= 0]], c[at[w] >= 0]] = v[at[w] >= 0]
+            wy[to[w[to[w] >= 0]], c[to[w] >= 0]] = v[to[w] >= 0]
+            of_left += wx @ y.T
+            of_right += x @ wy.T
     jaccard = common / (size[left][:, None] + size[right][None, :] - common)
     p, q = np.nonzero(jaccard >= similarity - 1e-6)
     exact = common[p, q].astype(np.float64)
     ok = exact >= similarity * (size[left][p] + size[right][q] - exact) - 1e-9
-    return left[p[ok]], right[q[ok]]
+    p, q = p[ok], q[ok]
+    if weight is not None:
+        total = np.array([w.sum() for w in weights])
+        open_ = (of_left >= (similarity - 1e-3) * total[left][:, None]) & (of_right >= (similarity - 1e-3) * total[right][None, :])
+        open_ &= heavy[left][:, None] | heavy[right][None, :]
+        open_[p, q] = False
+        more = [(x, y) for x, y in np.argwhere(open_).tolist() if similar(sets[left[x]], counts[left[x]], sets[right[y]], counts[right[y]], similarity)]
+        if more:
+            p, q = (np.concatenate([old, new]) for old, new in zip((p, q), np.array(more).T))
+    return left[p], right[q]
 
 
 def links(docs: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Verified edges (a, b) between digests; ``texts`` holds one row (doc_id, digest, n, sig, bands) a distinct text."""
-    edges = candidates(texts, similarity=similarity)
+    """Verified edges (a, b) between digests; ``texts`` holds one row (doc_id, digest, sig, bands, heavy_sig, heavy_bands) a distinct text."""
+    edges = candidates(texts)
     groups = components(edges)
     size = materialise(groups.groupBy("label").agg(F.count(F.lit(1)).alias("members")))
     groups = by_key(groups, size, "label", "members")
@@ -365,32 +442,29 @@ def links(docs: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFra
     ids = wanted.select(F.col("doc_id").alias("__id")).distinct()
     read = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     sets = shingle_sets(read).withColumnRenamed("digest", "__digest")
-    got = wanted.join(sets, F.col("digest") == F.col("__digest")).select("grp", "members", "digest", "set")
+    got = wanted.join(sets, F.col("digest") == F.col("__digest")).select("grp", "members", "digest", "set", "counts")
     # copies of a text under one doc_id give the same set again
-    got = materialise(got.groupBy("digest").agg(F.first("grp").alias("grp"), F.first("members").alias("members"), F.first("set").alias("set")))
+    got = materialise(got.groupBy("digest").agg(F.first("grp").alias("grp"), F.first("members").alias("members"), F.first("set").alias("set"), F.first("counts").alias("counts")))
     # a group is named after one of its texts, its leader
-    dealt = sorted_groups(led(got, "grp", "members", F.col("digest") == F.col("grp")).select("grp", "part", "last", "digest", "set"), ["grp", "part"], ["last", "digest"])
+    dealt = sorted_groups(led(got, "grp", "members", F.col("digest") == F.col("grp")).select("grp", "part", "last", "digest", "set", "counts"), ["grp", "part"], ["last", "digest"])
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, leader = None, None
         for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             rows = []
-            for grp, part, last, key, s in zip(*(batch.column(c).to_pylist() for c in ("grp", "part", "last", "digest", "set"))):
-                items = np.frombuffer(s, np.uint64)
+            for grp, part, key, items, counts in zip(*(batch.column(c).to_pylist() for c in ("grp", "part", "digest")), *_unpacked(batch)):
                 if (grp, part) != held:
-                    held, leader = (grp, part), items
+                    held, leader = (grp, part), (items, counts)
                     if not part:
                         rows.append((grp, key, True))
                     continue
-                found = np.minimum(np.searchsorted(leader, items), len(leader) - 1)
-                common = int((leader[found] == items).sum())
-                rows.append((grp, key, common >= similarity * (len(leader) + len(items) - common) - 1e-9))
+                rows.append((grp, key, similar(*leader, items, counts, similarity)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.bool_())], ["grp", "digest", "near"])
 
     told = materialise(dealt.mapInArrow(follow, "grp binary, digest binary, near boolean"))
     starry = told.where("near and grp <> digest").select(F.col("grp").alias("a"), F.col("digest").alias("b"))
-    rest = rest_blocked(told, "grp", BLOCK // 2, got.select("digest", "set"))
-    sent = sorted_groups(rest.select("grp", "i", "j", "own", "digest", "set"), ["grp", "i", "j"], [])
+    rest = rest_blocked(told, "grp", BLOCK // 2, got.select("digest", "set", "counts"))
+    sent = sorted_groups(rest.select("grp", "i", "j", "own", "digest", "set", "counts"), ["grp", "i", "j"], [])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[bytes, bytes]] = []
@@ -399,12 +473,12 @@ def links(docs: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFra
                 continue
             keys = g.column("digest").to_pylist()
             own = g.column("own").to_numpy()
-            sets = [np.frombuffer(s, np.uint64) for s in g.column("set").to_pylist()]
+            sets, counts = _unpacked(g)
             i, j = g.column("i")[0].as_py(), g.column("j")[0].as_py()
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
             if not len(left) or not len(right):
                 continue
-            x, y = similar_pairs(sets, left, right, similarity)
+            x, y = similar_pairs(sets, counts, left, right, similarity)
             differ = x != y
             out += [(keys[a], keys[b]) for a, b in forest(len(keys), x[differ], y[differ])]
             if len(out) > 10_000:
@@ -418,7 +492,7 @@ def links(docs: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFra
 def near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(doc_id, class_id, kept) of every row of ``docs(doc_id, text)``; kept: the row has its class's id."""
     signed = materialise(sign(docs))
-    reps = signed.where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    reps = signed.where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in FORMS))
     reps = materialise(reps)
     found = components(links(docs, reps, similarity))
     linked = materialise(reps.select("digest", "doc_id").join(found.withColumnRenamed("node", "__node"), F.col("digest") == F.col("__node")).select("digest", "doc_id", "label"))

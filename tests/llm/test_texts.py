@@ -1,3 +1,4 @@
+import math
 import hashlib
 import re
 from collections import Counter, defaultdict
@@ -290,6 +291,84 @@ def test_prob_minhash_estimates_jaccard():
     assert abs(np.mean(est) - 200 / 300) < 0.02
 
 
+def weighted(text):
+    w = text.lower().split()
+    return {k: 1 + math.log(n) for k, n in Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))).items()}
+
+
+def brute_probability_jaccard(x, y):
+    both = x.keys() | y.keys()
+    return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in both) for i in x.keys() & y.keys())
+
+
+def brute_weighted_classes(texts, similarity=0.8):
+    """Classes of links by either weighting, every pair compared."""
+    of = {i: weighted(t) for i, t in texts.items()}
+    root = brute_classes(texts, similarity)
+    for i in texts:
+        for j in texts:
+            if root[i] != root[j] and brute_probability_jaccard(of[i], of[j]) >= similarity:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    return root
+
+
+def test_prob_minhash_estimates_the_exact_similarity_of_weights():
+    rng = np.random.default_rng(5)
+    est = []
+    for _ in range(60):
+        x = np.unique(rng.integers(0, 2**62, 400).astype(np.uint64))
+        rng.shuffle(x)
+        a, b = np.sort(x[:250]), np.sort(x[50:300])
+        m, n = (rng.integers(1, 60, 250).astype(np.uint32) for _ in range(2))
+        wa, wb = near_dup.weights_of(m), near_dup.weights_of(n)
+        exact = near_dup.probability_jaccard(a, wa, b, wb)
+        assert exact == pytest.approx(brute_probability_jaccard(dict(zip(a.tolist(), wa.tolist())), dict(zip(b.tolist(), wb.tolist()))))
+        assert exact == pytest.approx(near_dup.probability_jaccard(b, wb, a, wa))
+        s = near_dup.prob_minhash(np.concatenate([a, b]), np.concatenate([wa, wb]), np.repeat([0, 1], 250))
+        est.append((s[0] == s[1]).mean() - exact)
+    assert abs(np.mean(est)) < 0.02
+    ones = np.ones(250)
+    assert near_dup.probability_jaccard(a, ones, b, ones) == pytest.approx(200 / 300)
+
+
+def test_pairs_of_blocks_are_those_of_either_weighting():
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(40):  # a chorus said 1 to 40 times among lines of which some change
+        chorus = " ".join(f"la{k}" for k in range(rng.integers(10, 30)))
+        own = " ".join(f"w{k}" if rng.random() < 0.985 else f"n{rng.integers(1 << 30)}" for k in range(60))
+        texts.append(own + (" " + chorus) * int(rng.integers(1, 40)))
+    found = [np.unique(near_dup.shingles(t.split()), return_counts=True) for t in texts]
+    sets, counts = [s for s, _ in found], [c.astype(np.uint32) if c.max() > 1 else None for _, c in found]
+    left, right = np.arange(15), np.arange(15, 40)
+    want = set()
+    for x in left.tolist():
+        for y in right.tolist():
+            a, b = weighted(texts[x]), weighted(texts[y])
+            if len(a.keys() & b.keys()) >= 0.8 * len(a.keys() | b.keys()) or brute_probability_jaccard(a, b) >= 0.8:
+                want.add((x, y))
+    for piece in (1 << 22, 400):
+        p, q = near_dup.similar_pairs(sets, counts, left, right, 0.8, piece)
+        assert sorted(zip(p.tolist(), q.tolist())) == sorted(want) and want
+
+
+def test_near_copies_by_repeated_lines_and_a_chain(spark):
+    texts, chorus = {}, " ".join(f"la{k}" for k in range(20))
+    for k in range(15):  # sets alike to 0.76 only: the line both repeat makes them near copies
+        own = " ".join(f"own{k}x{n}" for n in range(44))
+        for side in range(2):
+            texts[2 * k + side] = own + (" " + chorus) * 50 + " " + " ".join(f"end{k}x{side}x{n}" for n in range(10))
+    for k in range(15):  # each like the next, the ends not like each other; and texts that share nothing but an often said line
+        texts[1000 + k] = " ".join(f"c{n}" for n in range(12 * k, 12 * k + 150))
+        texts[2000 + k] = " ".join(f"u{k}x{n}" for n in range(100)) + (" " + chorus) * 300
+    want = brute_weighted_classes(texts)
+    assert [want[k] for k in range(30)] == [k // 2 * 2 for k in range(30)] != [brute_classes(texts)[k] for k in range(30)]
+    assert {want[1000 + k] for k in range(15)} == {1000} and all(want[2000 + k] == 2000 + k for k in range(15))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(df).collect()} == want
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     got = near_dup.near_duplicates(odd).collect()
     by = defaultdict(set)
