@@ -298,7 +298,10 @@ def candidates(texts: DataFrame, near: float = NEAR) -> DataFrame:
     heavy = F.struct(F.concat("digest", F.unhex(F.lit("01"))).alias("digest"), F.col("heavy_sig").alias("sig"), F.col("heavy_bands").alias("bands"))
     signed = texts.select(F.inline(F.when(F.col("heavy_sig").isNull(), F.array(plain)).otherwise(F.array(plain, heavy))))
     members = signed.select("digest", "sig", F.explode("bands").alias("bucket")).withColumn("turn", F.xxhash64(F.lit("leader"), "digest"))
-    size = members.groupBy(F.col("bucket").alias("__bucket")).agg(F.count(F.lit(1)).alias("members"), F.min("turn").alias("__turn")).where("members > 1")
+    text = F.xxhash64(F.substring("digest", 1, 16))
+    size = members.groupBy(F.col("bucket").alias("__bucket")).agg(F.count(F.lit(1)).alias("members"), F.min("turn").alias("__turn"), F.min(text).alias("__least"), F.max(text).alias("__most"))
+    # both signatures of one text are nothing to compare
+    size = size.where("__least <> __most").drop("__least", "__most")
     members = members.join(size, F.col("bucket") == F.col("__bucket")).select("bucket", "members", "digest", "sig", (F.col("turn") == F.col("__turn")).alias("first"))
     dealt = sorted_groups(led(members, "bucket", "members", F.col("first")).select("bucket", "part", "last", "digest", "sig"), ["bucket", "part"], ["last", "digest"])
 
