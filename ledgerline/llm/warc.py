@@ -6,9 +6,11 @@ its first part is segment 1 of the record, the others are ``continuation`` recor
 the last one with the total length. Every record is a row of bytes and the blank line after a record is Spark's line separator, so
 archives lie wherever Spark can write, with a bounded number of records a file.
 
-``read_archives`` takes each archive apart by its content lengths, deals the records by origin, sorts each origin's by segment number
-and goes through them in a stream: numbers must follow one another and the lengths add up to the stated total; then the HTTP head goes
-and the chunks are taken out of their framing. A task holds one batch of records and the one payload that is being put together.
+``read_archives`` takes each archive apart by its content lengths. A record whose segments follow one another in one archive is put
+together where it is read, so that no payload is dealt for it. The segments of all others are dealt by origin, sorted by segment number
+and gone through in a stream: numbers must follow one another and the lengths add up to the stated total; then the HTTP head goes
+and the chunks are taken out of their framing. Archives are read once for each of the two ways, which costs less than to deal every
+payload. A task holds one archive or one batch of records, and the one payload that is being put together.
 
 Defined results: a null html is an empty payload; empty payloads and those under ``least`` bytes are all responses; of repeated rows
 with one page_id one is the response, the others revisit it; a null page_id is smaller than all others and stays null; a null url
@@ -169,18 +171,42 @@ def parsed(archive: bytes) -> Iterator[tuple]:
         )
 
 
+def gathered(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """The records of one archive as they are, but where all segments of a record follow one another: these are one record without a number, and one of type ``gathered`` and number 0 that tells so."""
+    held = []
+    for row in rows:
+        if held and row[1] == "continuation" and row[5] == held[0][0] and row[6] == len(held) + 1:
+            held.append(row)
+            if row[7] is None:
+                continue
+            if sum(len(r[8]) for r in held) == row[7]:
+                first = held[0]
+                held = [(*first[:6], None, None, b"".join(r[8] for r in held)), (first[0], "gathered", None, None, None, first[0], 0, None, b"")]
+            yield from held
+            held = []
+            continue
+        yield from held
+        held = [row] if row[1] != "continuation" and row[6] == 1 else []
+        if not held:
+            yield row
+    yield from held
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema.types, strict=True)], schema=schema)
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """Of each archive the records that are ``whole``, or those that are not and what was gathered."""
     text = pa.string()
     schema = pa.schema(list(zip(NAMES, [text, text, pa.int64(), text, text, text, pa.int32(), pa.int64(), pa.binary()], strict=True)))
     for batch in batches:
         for content in batch.column(0):
             rows, size = [], 0
             data = content.as_py()
-            for row in parsed(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+            for row in gathered(parsed(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)):
+                if (row[6] is None and row[1] != "continuation") != whole:
+                    continue
                 rows.append(row)
                 size += len(row[-1])
                 if size >= 1 << 24:
@@ -199,8 +225,9 @@ def assembled(rows: Iterator[tuple]) -> Iterator[tuple]:
     """(record_id, record_type, page_id, refers, stated, payload) of records that come origin by origin in the order of their segments.
 
     Segments that are missing, repeated or shorter than the total says are an error, as is a continuation without its first segment.
+    What was gathered elsewhere comes before its origin's other rows, of which there must be none.
     """
-    held, parts = None, []
+    held, parts, gone = None, [], ()
 
     def whole() -> tuple:
         block = b"".join(parts)
@@ -210,7 +237,11 @@ def assembled(rows: Iterator[tuple]) -> Iterator[tuple]:
         return (*held[:5], payload)
 
     for row in rows:
-        if row[1] != "continuation":
+        if row[5] == gone:
+            raise ValueError(f"segment {row[6]} of {row[5]} comes again")
+        if row[1] == "gathered":
+            gone = row[5]
+        elif row[1] != "continuation":
             if held is not None:
                 yield whole()
             held, parts = list(row[:8]), [row[8]]
@@ -240,9 +271,10 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """(record_id, record_type, page_id, refers, stated, payload) of every record under ``folder``; revisits have an empty payload and the digest that they state."""
     files = spark.read.format("binaryFile").load(folder).select("content")
-    records = files.mapInArrow(_read, FIELDS)
-    dealt = records.repartition("origin").sortWithinPartitions("origin", F.coalesce("segment", F.lit(1)))
-    return dealt.mapInArrow(_assemble, "record_id string, record_type string, page_id long, refers string, stated string, payload binary")
+    fields = "record_id string, record_type string, page_id long, refers string, stated string, payload binary"
+    whole = files.mapInArrow(lambda batches: _assemble(_read(batches, True)), fields)
+    dealt = files.mapInArrow(lambda batches: _read(batches, False), FIELDS).repartition("origin").sortWithinPartitions("origin", F.coalesce("segment", F.lit(1)))
+    return whole.union(dealt.mapInArrow(_assemble, fields))
 
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from itertools import pairwise
@@ -166,6 +167,42 @@ def test_warc_payloads_and_small_segments(spark):
     assert files.count() > 3
 
 
+def shuffled(spark):
+    """Bytes that the session's stages have written to shuffles so far."""
+    jvm, sc = spark._jvm, spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_warc_deals_only_what_lies_in_two_archives(spark):
+    rng = random.Random(7)
+    rows = [(k, f"http://h/{k}", rng.randbytes(n // 2).hex()) for k, n in enumerate([200_000, 3_000, 90_000, 50, 400_000] * 4)]
+    want = {(k, hashlib.sha1(html.encode()).hexdigest()) for k, _, html in rows}
+    for records, share in ((4096, 0.05), (60, 0.6)):
+        folder = shared_folder(spark, "test")
+        W.write_archives(pages_of(spark, rows).coalesce(1), folder, records=records)
+        before = shuffled(spark)
+        got = W.read_pages(spark, folder).collect()
+        assert {(r.page_id, r.payload_digest) for r in got} == want and len(got) == len(rows) and all(r.digest_holds for r in got)
+        assert shuffled(spark) - before < share * sum(len(html) for _, _, html in rows)
+
+
+def test_gathering_keeps_what_is_wrong_for_the_assembler():
+    first, row = ("a", "response", 1, None, "d", "a", 1, None, W.HTTP_HEAD), ("b", "continuation", None, None, None, "a", 2, None, b"1\r\nx\r\n")
+    last, alone = ("c", "continuation", None, None, None, "a", 3, len(W.HTTP_HEAD) + 11, b"0\r\n\r\n"), ("z", "revisit", 2, "a", "d", "z", None, None, b"")
+    whole, told = W.gathered(iter([first, row, last]))
+    assert list(W.assembled(iter([whole]))) == [(*first[:5], b"x")] and list(W.assembled(iter([told]))) == []
+    for rows in ([first, last], [row, last], [first, row], [first, row, row, last], [last, row, first], [first, row, alone, last], [first, row, (*last[:7], 9, last[8])]):
+        assert list(W.gathered(iter([*rows, alone]))) == [*rows, alone]
+    # a segment, or the whole record, once more in the same archive or another
+    for more in ([first], [row], [last], [told]):
+        with pytest.raises(ValueError):
+            list(W.assembled(iter(sorted([told, *more], key=lambda r: r[6]))))
+    with pytest.raises(ValueError):
+        list(W.assembled(W.gathered(iter([first, row, last, last]))))
+
+
 def test_assembling_refuses_what_is_not_whole():
     first = ("a", "response", 1, None, "d", "a", 1, None, W.HTTP_HEAD)
     last = ("b", "continuation", None, None, None, "a", 2, len(W.HTTP_HEAD) + 5, b"0\r\n\r\n")
