@@ -24,6 +24,15 @@ def test_lineage_orders_neighbours_and_tells_why_a_band_is_empty(spark):
     assert rows["a:2", "derived", 1][0] == "b:2" and len(rows) == 3 + 2 + 3 + 3
 
 
+def test_lineage_takes_the_same_of_two_links_loaded_at_once(spark):
+    rows = [("a:1", "b:1", kind, "published", "a", 5) for kind in ("incorporates", "relates")]
+    frameworks = spark.createDataFrame([("a", "A", 1, 0, 0)], "framework_key string, short_name string, tier int, jurisdiction int, intra_order int")
+    for order in (rows, rows[::-1]):
+        links = spark.createDataFrame(order, "source_uid string, target_uid string, kind string, provenance string, asserted_by string, load_seq long").coalesce(1)
+        got = graph.lineage(spark.createDataFrame([("a:1",)], "uid string"), links, frameworks, ["published"]).collect()
+        assert [(r.nth, r.other_uid, r.kind) for r in got] == [(1, "b:1", "relates"), (2, "b:1", "relates")]
+
+
 def test_threat_match_prunes_nothing_that_counts(spark):
     rng = random.Random(4)
     stems = [f"s{k}" for k in range(30)]
