@@ -51,3 +51,12 @@ def test_moved_class_is_checked(spark):
     out, aliases, problems = extracts.move_class(controls, F.col("m"), "b", spark.createDataFrame([("1",), ("9",)], "identifier string"))
     assert {r.uid for r in out.collect()} == {"b:1", "b:2", "a:3"} and {r.old_uid for r in aliases.collect()} == {"a:1", "a:2"}
     assert {(r.identifier, r.problem) for r in problems.collect()} == {("2", "unexpected"), ("2", "empty"), ("9", "missing")}
+
+
+def test_candidate_mentions_bounds_words_by_ascii_letters(spark):
+    """As RE2 does: a letter beyond ASCII is no part of a word, so a boundary lies behind it; an escaped backslash is none."""
+    controls = spark.createDataFrame([("a:1", "a", "", "éABCDEFGH!! so"), ("a:2", "a", "", "xABCDEFGH!! no"), ("a:3", "a", "", r"at c:\build")], "uid string, framework_key string, title string, text string")
+    candidates = spark.createDataFrame([("shout", r"\b[A-Z]{8,}!!", ["a:1"]), ("inside", r"x\B[A-Z]{8}", ["a:1"]), ("folder", r"c:\\b", ["a:1"])], "candidate string, pattern string, uids array<string>")
+    families, details = spark.createDataFrame([("a", "f")], "framework_key string, family string"), spark.createDataFrame([], "broad_uid string, uid string")
+    counts, _ = assembly.candidate_mentions(controls, candidates, families, details)
+    assert sorted(tuple(r) for r in counts.collect()) == [("folder", "f", 1), ("inside", "f", 1), ("shout", "f", 1)]
