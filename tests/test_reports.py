@@ -116,3 +116,4 @@ def test_topics_bound_words_by_ascii_letters(spark):
     entries = spark.createDataFrame([(1, "f", "éABCDEFGH!! so", 1), (2, "f", "xABCDEFGH!! no", 2), (3, "g", "le théâtre, the", 3)], "uid long, family string, text string, load_seq long")
     report = reports.topic_report(entries, [("s", "Shouting", r"\b[A-Z]{8,}!!"), ("t", "A th", r"\bth\b")], [])
     assert sorted(tuple(r) for r in report.families.collect()) == [("s", "f", 1), ("t", "g", 1)]
+    assert sorted((r.code, r.n, r.mean_share) for r in report.topics.collect()) == [("s", 1, 25.0), ("t", 1, 50.0)]
