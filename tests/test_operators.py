@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from ledgerline.operators import corpus, graph, lookup, reports, search, shape, thresholds
@@ -180,3 +182,15 @@ def test_families_share_a_place_in_the_shown_order(spark):
     ranked = spark.createDataFrame([(1, f"{f}:{k}", f, 1.0 - k / 100, k) for k, f in enumerate(["a", "b", "c", "d"], 1)], "query_id int, uid string, framework_key string, score double, rank int")
     frameworks = spark.createDataFrame([("a", 3, 0, 0, "x"), ("b", 2, 0, 0, "x"), ("c", 2, 0, 0, None), ("d", 1, 0, 0, None)], "framework_key string, tier int, jurisdiction int, intra_order int, family string")
     assert [r.framework_key for r in search.compose(ranked, frameworks, lead=1).orderBy("shown").collect()] == ["a", "d", "c", "b"]
+
+
+def test_two_hop_counts_are_those_of_the_paths(spark):
+    """Counted without a row a path; repeated links and unknown kinds count as the paths do."""
+    rng = random.Random(5)
+    rows = [(f"{rng.choice('abc')}:{rng.randint(0, 2)}", f"{rng.choice('abc')}:{rng.randint(0, 2)}", rng.choice(["relates", "aligns-with", None]), rng.choice(["published", "derived"]), "x", k) for k in range(60)]
+    links = spark.createDataFrame([*rows, (None, "a:0", "relates", "published", "x", 99)], "source_uid string, target_uid string, kind string, provenance string, asserted_by string, load_seq long")
+    of = lambda c: graph.framework_of(F.col(c))
+    want = graph.two_hop_paths(links).groupBy(of("start").alias("a"), "via", of("end").alias("b"), "first_kind", "second_kind").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert sorted(map(str, graph.two_hop_counts(links).collect())) == sorted(map(str, want)) and want
+    hub = spark.range(1_000_000).select(F.concat((F.col("id") % 3).cast("string"), F.lit(":"), F.col("id").cast("string")).alias("source_uid"), F.lit("h:0").alias("target_uid"), F.lit("relates").alias("kind"), F.lit("published").alias("provenance"), F.lit("x").alias("asserted_by"), F.col("id").alias("load_seq"))
+    assert graph.two_hop_counts(hub).where("via = 'h:0'").agg(F.sum("n")).first()[0] == 2 * sum(x * y for x, y in ((333_334, 333_333), (333_334, 333_333), (333_333, 333_333)))
