@@ -60,3 +60,15 @@ def test_candidate_mentions_bounds_words_by_ascii_letters(spark):
     families, details = spark.createDataFrame([("a", "f")], "framework_key string, family string"), spark.createDataFrame([], "broad_uid string, uid string")
     counts, _ = assembly.candidate_mentions(controls, candidates, families, details)
     assert sorted(tuple(r) for r in counts.collect()) == [("folder", "f", 1), ("inside", "f", 1), ("shout", "f", 1)]
+
+
+def test_plan_rows_deal_each_row_once(spark):
+    """A text that is stated again and again is told apart where it is read: no more rows are dealt than there are different ones."""
+    related = spark.range(200_000, numPartitions=2).select(F.concat(F.lit("u"), (F.col("id") % 3).cast("string")).alias("uid"), F.lit("f").alias("source_uid"))
+    derived = spark.createDataFrame([("u0", None, "t0"), ("u1", "structural", None)], "uid string, refusal string, test string")
+    none = spark.createDataFrame([], "uid string, content string, detail_id int")
+    out = assembly.test_plan_rows(derived, none.select("uid", "content"), related, none.select("uid", "detail_id"))
+    assert sorted(tuple(r) for r in out.collect()) == [("u0", "derived", "t0"), ("u0", "related", "f"), ("u1", "refusal", "structural"), ("u1", "related", "f")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joined = [line for line in plan.split("\n") if "LeftSemi" in line]
+    assert joined and "Aggregate" in plan.split("LeftSemi")[1].split("Project")[0]
