@@ -9,6 +9,7 @@ from ledgerline.operators import corpus as C
 from ledgerline.operators import graph as G
 from ledgerline.operators import reports as R
 from ledgerline.operators import thresholds as T
+from ledgerline.operators.common import materialise
 from ledgerline.plans.graph_queries import _REL
 from ledgerline.plans.report_queries import _E, _entries
 from ledgerline.sources import catalog, hierarchies, provisions, texts
@@ -121,8 +122,7 @@ def load_summary(spark, d):
 
 def source_audit(spark, d):
     """The given files themselves against a manifest that knows some of them, one under another name and one with another digest."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(d)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.sha2("content", 256).alias("sha256"))
+    files = materialise(catalog.file_digests(spark, d, "*.parquet"))
     first = F.substring("filename", 1, 1)
     manifest = files.where(first != "p").select(F.when(first == "r", F.concat(F.lit("old-"), "filename")).otherwise(F.col("filename")).alias("filename"), F.when(first == "n", F.reverse("sha256")).otherwise(F.col("sha256")).alias("sha256"))
     return catalog.source_audit(spark, d, manifest, "*.parquet")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -235,13 +236,43 @@ def mapping_cells(rows: DataFrame, cell: str, pattern: str, targets: DataFrame)
     return ids.join(known, "identifier").select("source_uid", "target_uid"), ids.join(known, "identifier", "left_anti")
 
 
+#: Bytes up to which a file is read as one value.
+WHOLE = 32 << 20
+
+
+def file_digests(spark: SparkSession, path: str, files: str = "*", whole: int = WHOLE) -> DataFrame:
+    """(filename, sha256) of the files of any folder under ``path`` whose name fits ``files``.
+
+    Files of at most ``whole`` bytes are read by tasks, each as one value. A larger one may be longer than a value can be or than a task
+    has room for, and its digest can't be put together from parts, so it runs through a stream of the driver, which holds a few KB of it; eight run at once.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", files).load(path)
+    name = F.element_at(F.split("path", "/"), -1).alias("filename")
+    small = found.where(F.col("length") <= whole).select(name, F.sha2("content", 256).alias("sha256"))
+    paths = [(r.path, r.filename) for r in found.where(F.col("length") > whole).select("path", name).collect()]  # names only, no contents
+    if not paths:
+        return small
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+
+    def digest(at: str) -> str:
+        where = jvm.org.apache.hadoop.fs.Path(at)
+        stream = where.getFileSystem(conf).open(where)
+        try:
+            return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(8) as pool:
+        rows = list(zip([n for _, n in paths], pool.map(digest, [p for p, _ in paths]), strict=True))
+    return small.union(spark.createDataFrame(rows, "filename string, sha256 string"))
+
+
 def source_audit(spark: SparkSession, path: str, manifest: DataFrame, files: str = "*") -> DataFrame:
     """(filename, state, known_as): available, changed or missing against ``manifest(filename, sha256)``, or unlisted.
 
     An unlisted file whose digest is that of a missing one is ``known_as`` it. Files of any folder under ``path`` whose name fits ``files`` are read.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", files).load(path)
-    found = materialise(found.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.sha2("content", 256).alias("__h")))
+    found = materialise(file_digests(spark, path, files).withColumnRenamed("sha256", "__h"))
     out = manifest.select("filename", "sha256").join(found, "filename", "full")
     state = F.when(F.col("__h").isNull(), "missing").when(F.col("sha256").isNull(), "unlisted").when(F.col("__h") == F.col("sha256"), "available").otherwise("changed")
     out = out.withColumn("state", state)

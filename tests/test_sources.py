@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -87,3 +88,18 @@ def test_write(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "x long, k string")
     sinks.write(df, str(tmp_path / "o"), "csv", by=["k"])
     assert spark.read.option("header", True).csv(str(tmp_path / "o")).count() == 2
+
+
+def test_audit_of_a_file_longer_than_a_value(spark, tmp_path):
+    """Two GB that take no disk, and a name with a blank; small files are read by tasks, large ones by a stream."""
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a b.bin").write_bytes(b"x" * 100)
+    with open(tmp_path / "long.bin", "wb") as f:
+        f.truncate(1 << 31)
+    digest = hashlib.sha256()
+    for _ in range(128):
+        digest.update(bytes(1 << 24))
+    want = {"a b.bin": hashlib.sha256(b"x" * 100).hexdigest(), "long.bin": digest.hexdigest()}
+    assert {r.filename: r.state for r in catalog.source_audit(spark, str(tmp_path), spark.createDataFrame(list(want.items()), "filename string, sha256 string")).collect()} == dict.fromkeys(want, "available")
+    (tmp_path / "long.bin").unlink()
+    assert {r.filename: r.sha256 for r in catalog.file_digests(spark, str(tmp_path), whole=10).collect()} == {"a b.bin": want["a b.bin"]}
