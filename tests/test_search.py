@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import rules
+from ledgerline.functions.text import stem_of, with_stem
 from ledgerline.operators import assembly, search, vocabulary
 
 CONTROLS = "uid string, framework_key string, title string, text string, section_ref string, structural boolean"
@@ -150,3 +151,21 @@ def test_neighbours_read_a_bounded_list(spark):
     one = spark.createDataFrame([("a:1",)], "uid string")
     assert assembly.subject_neighbours(one, controls, frameworks, links, search.build_index(controls)).count() == 0
     assert assembly.subject_neighbours(one, controls, frameworks, links, search.build_index(controls), spare=60).count() == 1
+
+
+def test_postings_of_a_batch_are_those_of_meeting_tokens(spark):
+    """Counted where a text is read, without a shuffle: the same as by tokens that meet; empty, null and stopword texts, repeated stems, letters beyond ASCII, uids that stand twice."""
+    rows = [(f"u{k}", "the of" if k % 7 == 0 else f"Tests tested testing backup's {k % 5} ünder the servers' organisations", None if k % 3 else "Backups of tests", "" if k % 2 else "sec 1 test") for k in range(600)] + [("v", None, None, None), (None, "backup", "x", None)]
+    controls = spark.createDataFrame(rows, "uid string, text string, title string, section_ref string")
+    row = lambda r: (str(r.uid), r.stem, r.tf_body, r.tf_title, r.tf_section, tuple(r.places))
+    got, want = (sorted(map(row, df.collect())) for df in (search.posted(controls, "uid", search.FIELDS, False), search._posted_by_words(controls)))
+    assert got == want and len(got) > 1000
+    plan = search.posted(controls, "uid", search.FIELDS, False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    twice = search.build_index(controls.union(controls.where("uid = 'u1'"))).postings.where("uid = 'u1' and stem = 'test'").first()
+    assert (twice.tf_body, twice.tf_title) == (6, 0) and search.build_index(controls).postings.inputFiles()
+
+
+def test_stems_in_python_and_in_spark_agree(spark):
+    words = ["".join(w) + x for w in ("ab", "bless", "organ", "adv", "runn", "sse", "ox", "c'e", "colo") for x in ("", "s", "ss", "es", "ing", "ed", "ies", "ied", "ation", "ations", "isations", "ise", "ised", "izers", "our", "e", "ning")] + [*rules.SPELLINGS, *rules.KEEP_ISE]
+    assert all(r.stem == stem_of(r.token) for r in with_stem(spark.createDataFrame([(w,) for w in words], "token string")).collect())
